@@ -8,7 +8,8 @@ Bands of coordinates name buckets.
 Texts with equal sets are one class from the start. In every bucket each class is checked with
 the bucket's smallest class; these stars join most of what belongs together. Only buckets that
 then still hold several components compare their members across components, by a cheap
-estimate from signatures first. Every pair that shares a bucket is thus either checked on full
+estimate from signatures first: each member's few most similar ones, and when those have joined
+what they can, all that are left. Every pair that shares a bucket is thus either checked on full
 sets, in one component already, or so far below the threshold by the estimate that missing a
 link would need a deviation of more than six standard errors. No bucket is capped: large ones
 are compared in blocks.
@@ -35,6 +36,8 @@ WORDS, PERCENT = 5, 75
 COORDINATES, ROWS, SLOTS, SEED = 128, 4, 1 << 20, 20240229
 #: Equal coordinates (of 128, one byte each) that a pair in a mixed bucket needs before it is verified.
 LEAST_EQUAL = 64
+#: Most similar members of other components that each member of a mixed bucket is checked with first.
+NEAREST = 3
 #: Members of a block in a large bucket, partners that share one copy of a leader's text, buckets of the id filter.
 BLOCK, PARTNERS, ID_BUCKETS = 1024, 64, 1 << 18
 
@@ -110,6 +113,18 @@ def sketches(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_shingles long, set_hash binary, bands array<long>, sketch binary")
 
 
+def linked(a: np.ndarray, b: np.ndarray) -> bool:
+    common = np.intersect1d(a, b, assume_unique=True).size
+    return 100 * common >= PERCENT * (len(a) + len(b) - common)
+
+
+def needed_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, text) of the documents that can be among `ids`: the others are left out before any
+    shuffle, by ID_BUCKETS hash buckets, which bound this broadcast."""
+    bucket = F.pmod(F.xxhash64("id"), F.lit(ID_BUCKETS))
+    return docs.select(F.col("doc_id").alias("id"), "text").withColumn("part_of_ids", bucket).join(F.broadcast(ids.select(bucket.alias("part_of_ids")).distinct()), "part_of_ids", "left_semi").drop("part_of_ids")
+
+
 def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The (a, b) of `pairs` whose full sets reach the threshold.
 
@@ -117,57 +132,97 @@ def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     partners is spread over many tasks."""
     total = pairs.count()
     counts = checkpointed(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")))
-    dealt = join_group_facts(pairs, counts, "a", "n", total).select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / PARTNERS).cast("long")).alias("part"))
-    dealt = checkpointed(dealt)
+    dealt = checkpointed(join_group_facts(pairs, counts, "a", "n", total).select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / PARTNERS).cast("long")).alias("part")))
     need = dealt.select(F.col("b").alias("id"), "a", "part").unionByName(dealt.select(F.col("a").alias("id"), "a", "part").distinct())
-    texts = docs.select(F.col("doc_id").alias("id"), "text")
-    # rows whose id cannot be needed are left out before the shuffle: ID_BUCKETS bounds this broadcast
-    bucket = F.pmod(F.xxhash64("id"), F.lit(ID_BUCKETS))
-    texts = texts.withColumn("bucket", bucket).join(F.broadcast(need.select(bucket.alias("bucket")).distinct()), "bucket", "left_semi").drop("bucket")
 
     def check(rows: pd.DataFrame) -> pd.DataFrame:
         leader = rows["a"].iloc[0]
         ids = rows["id"].to_numpy()
         sets = list(shingle_sets(pa.array(rows["text"].fillna(""), pa.large_string())))
         own = next((s for i, s in zip(ids, sets, strict=True) if i == leader), None)
-        found = []
-        for i, s in zip(ids, sets, strict=True):
-            if own is None or i == leader:
-                continue
-            common = np.intersect1d(own, s, assume_unique=True).size
-            if 100 * common >= PERCENT * (len(own) + len(s) - common):
-                found.append(i)
+        found = [i for i, s in zip(ids, sets, strict=True) if own is not None and i != leader and linked(own, s)]
         return pd.DataFrame({"a": np.full(len(found), leader, dtype=np.int64), "b": np.array(found, dtype=np.int64)})
 
-    return texts.join(need, "id").groupBy("a", "part").applyInPandas(check, "a long, b long")
+    return needed_texts(docs, need).join(need, "id").groupBy("a", "part").applyInPandas(check, "a long, b long")
 
 
-def mixed_pairs(members: DataFrame) -> DataFrame:
-    """(a, b), a < b: pairs of one bucket but different components whose sketches agree enough.
+def nearest_pairs(members: DataFrame, best: int = NEAREST) -> DataFrame:
+    """(a, b), a < b: each member of a mixed bucket with its `best` most similar ones of other components.
 
-    Takes (bucket, id, component, sketch). Buckets over BLOCK members are compared block by
+    Takes (bucket, n, id, component, sketch). Buckets over BLOCK members are compared block by
     block: every pair meets in exactly one task."""
-    sizes = checkpointed(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).where(F.col("low") != F.col("high")))
-    rows = join_group_facts(members, sizes, "bucket", "n", members.count()).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    rows = members.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
     rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "component", "sketch")
 
     def compare(block: pd.DataFrame) -> pd.DataFrame:
-        i, j = block["i"].iloc[0], block["j"].iloc[0]
-        left = block if i == j else block[block["own"] == i]
-        right = block if i == j else block[block["own"] == j]
-        a, b = (np.frombuffer(b"".join(x["sketch"]), dtype=np.uint8).reshape(len(x), -1) for x in (left, right))
+        left, right = _sides(block)
+        a, b = _sketches(left), _sketches(right)
         ids, comps = right["id"].to_numpy(), right["component"].to_numpy()
-        out = []
+        out = [np.zeros((0, 2), np.int64)]
         for row, one, comp in zip(a, left["id"], left["component"], strict=True):
-            fit = (comps != comp) & ((b == row).sum(axis=1) >= LEAST_EQUAL)
-            out.append(np.column_stack([np.full(fit.sum(), one), ids[fit]]))
-        pairs = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
+            equal = np.where(comps != comp, (b == row).sum(axis=1), 0)
+            fit = np.flatnonzero(equal >= LEAST_EQUAL)
+            if len(fit) > best:
+                fit = fit[np.lexsort((ids[fit], -equal[fit]))[:best]]
+            out.append(np.column_stack([np.full(len(fit), one), ids[fit]]))
+        pairs = np.concatenate(out)
         return pd.DataFrame({"a": pairs.min(axis=1), "b": pairs.max(axis=1)}).drop_duplicates()
 
     return rows.groupBy("bucket", "i", "j").applyInPandas(compare, "a long, b long").distinct()
 
 
+def _sides(block: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
+    i, j = block["i"].iloc[0], block["j"].iloc[0]
+    return (block, block) if i == j else (block[block["own"] == i], block[block["own"] == j])
+
+
+def _sketches(rows: pd.DataFrame) -> np.ndarray:
+    return np.frombuffer(b"".join(rows["sketch"]), dtype=np.uint8).reshape(len(rows), -1)
+
+
+def settle(members: DataFrame, docs: DataFrame) -> DataFrame:
+    """(a, b): links between what shares buckets and is still in different components.
+
+    Texts that hang together by shared buckets form a cluster. Its blocks' texts travel once a
+    pair of blocks, and pairs are checked where they meet, so no pair of texts is ever a row."""
+    hubs = members.groupBy("bucket").agg(F.min("id").alias("hub"), F.first("n").alias("n"))
+    total = members.count()
+    edges = join_group_facts(members.select("bucket", "id"), checkpointed(hubs), "bucket", "n", total).select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
+    clusters = components(edges).select(F.col("node").alias("id"), F.col("component").alias("cluster"))
+    one = checkpointed(members.groupBy("id").agg(F.first("component").alias("component"), F.first("sketch").alias("sketch")).join(clusters, "id"))
+    sizes = checkpointed(one.groupBy("cluster").agg(F.count(F.lit(1)).alias("size")))
+    rows = join_group_facts(one, sizes, "cluster", "size", total).withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).join(needed_texts(docs, one), "id")
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "component", "sketch", "text")
+
+    def check(block: pd.DataFrame) -> pd.DataFrame:
+        left, right = _sides(block.reset_index(drop=True))
+        sets = dict(enumerate(shingle_sets(pa.array(block["text"].fillna(""), pa.large_string()))))
+        a, b = _sketches(left), _sketches(right)
+        ids, comps = right["id"].to_numpy(), right["component"].to_numpy()
+        sizes = np.array([len(sets[k]) for k in right.index])
+        found = []
+        for row, k, one, comp in zip(a, left.index, left["id"], left["component"], strict=True):
+            n = len(sets[k])
+            near = (comps != comp) & (100 * np.minimum(sizes, n) >= PERCENT * np.maximum(sizes, n))
+            for m in np.flatnonzero(near)[(b[near] == row).sum(axis=1) >= LEAST_EQUAL]:
+                if linked(sets[k], sets[right.index[m]]):
+                    found.append((one, ids[m]))
+        return pd.DataFrame(np.array(found, dtype=np.int64).reshape(-1, 2), columns=["a", "b"])
+
+    return rows.groupBy("cluster", "i", "j").applyInPandas(check, "a long, b long")
+
+
+def _mixed_members(members: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFrame:
+    """(bucket, n, id, component, sketch) of the buckets that hold several components; a bucket of two was settled by its star."""
+    now = members.join(labels.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
+    facts = now.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n")).where((F.col("low") != F.col("high")) & (F.col("n") > 2))
+    mixed = checkpointed(join_group_facts(now, checkpointed(facts.select("bucket", "n")), "bucket", "n", members.count()))
+    return checkpointed(mixed.join(classes.select("id", "sketch"), "id").select("bucket", "n", "id", "component", "sketch"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
@@ -186,16 +241,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     tried = checkpointed(shared.where(F.col("a") != F.col("id")).select("a", F.col("id").alias("b")).distinct())
     links = checkpointed(verify(tried, docs).distinct())
     labels = components(links)
-    # buckets that still hold several components
-    now = shared.join(labels.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
-    open_ = now.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n")).where((F.col("low") != F.col("high")) & (F.col("n") > 2))
-    # a bucket of two was settled by its star
-    left = checkpointed(join_group_facts(now, open_.select("bucket", "n"), "bucket", "n", shared.count()).select("bucket", "id", "component"))
-    left = left.join(classes.select("id", "sketch"), "id")
-    more = checkpointed(mixed_pairs(checkpointed(left.select("bucket", "id", "component", "sketch"))).join(tried, ["a", "b"], "left_anti"))
-    if not more.isEmpty():
+    members = _mixed_members(shared.select("bucket", "id"), labels, classes)
+    if not members.isEmpty():
+        more = checkpointed(nearest_pairs(members).join(tried, ["a", "b"], "left_anti"))
         links = checkpointed(links.unionByName(verify(more, docs).distinct()))
         labels = components(links)
+        members = _mixed_members(members.select("bucket", "id"), labels, classes)
+    if not members.isEmpty():
+        links = checkpointed(links.unionByName(settle(members, docs)).distinct())
+        labels = components(links)
     facts = checkpointed(classes.join(labels.withColumnRenamed("node", "id"), "id", "left").select("set_hash", "copies", F.coalesce("component", "id").alias("component_id")))
     joined = join_group_facts(some.select("doc_id", "n_shingles", "set_hash"), facts, "set_hash", "copies", all_.count()).select("doc_id", "n_shingles", "component_id")
     return joined.unionByName(all_.where(~linked).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
