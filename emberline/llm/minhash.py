@@ -28,8 +28,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.graph import components
 from .common import checkpointed, coded_words, join_group_facts, text_slices
-from .graph import components
 
 WORDS, PERCENT = 5, 75
 #: Coordinates, rows in a band, slots of the ring, seed of the permutations.
