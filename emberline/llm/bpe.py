@@ -34,17 +34,13 @@ MERGE_SQL = """
 WITH RECURSIVE steps(word, pos, token, step) AS (
     SELECT word, pos, token, 0 FROM start
   UNION ALL
-    SELECT word, pos, CASE WHEN pos = spot THEN merged ELSE token END, step + 1
+    SELECT word, pos, CASE WHEN pos = (least // 1024) % 1024 THEN least // 1048576 ELSE token END, step + 1
     FROM (
-      SELECT *, lag(pos) OVER (PARTITION BY word ORDER BY pos) AS before
-      FROM (
-        SELECT *, min(pos) FILTER (merged = least_rank) OVER (PARTITION BY word) AS spot
-        FROM (
-          SELECT p.*, m.merged, min(m.merged) OVER (PARTITION BY p.word) AS least_rank
-          FROM (SELECT *, lead(token) OVER (PARTITION BY word ORDER BY pos) AS follower FROM steps) p
-          LEFT JOIN merges m ON m.first = p.token AND m.second = p.follower)
-        WHERE least_rank IS NOT NULL))
-    WHERE before IS DISTINCT FROM spot)
+      -- rank, place and follower's place of each word's least pair in one number: words have at most QUERY_BYTES bytes
+      SELECT p.word, p.pos, p.token, p.step, min(m.merged * 1048576 + p.pos * 1024 + p.next_pos) OVER (PARTITION BY p.word) AS least
+      FROM (SELECT *, lead(token) OVER w AS follower, lead(pos) OVER w AS next_pos FROM steps WINDOW w AS (PARTITION BY word ORDER BY pos)) p
+      LEFT JOIN merges m ON m.first = p.token AND m.second = p.follower)
+    WHERE least IS NOT NULL AND pos <> least % 1024)
 SELECT word, pos, token FROM (SELECT *, max(step) OVER (PARTITION BY word) AS last FROM steps) WHERE step = last ORDER BY word, pos
 """
 
@@ -81,9 +77,7 @@ class Codec:
         self.db.unregister("given")
 
     def clear(self) -> None:
-        self.words: dict[str, np.ndarray] = {}
         self.chunks: dict[str, int] = {}
-        self.chunk_words: list[int] = []
         self.ids, self.decoded = Pieces(self.wide), Pieces(np.uint8)
         self.word_at: dict[str, int] = {}
         self.word_ids: list[np.ndarray] = []
@@ -159,8 +153,9 @@ class Codec:
         none_i, none_b = np.zeros(0, self.wide), np.zeros(0, np.uint8)
         for c, ws in zip(new, found, strict=True):
             at = [self.word_at[w] for w in ws]
-            self.chunks[c] = self.ids.add(np.concatenate([none_i, *(self.word_ids[i] for i in at)]))
-            self.decoded.add(np.concatenate([none_b, *(self.word_bytes[i] for i in at)]))
+            ids, data = (self.word_ids[at[0]], self.word_bytes[at[0]]) if len(at) == 1 else (np.concatenate([none_i, *(self.word_ids[i] for i in at)]), np.concatenate([none_b, *(self.word_bytes[i] for i in at)]))
+            self.chunks[c] = self.ids.add(ids)
+            self.decoded.add(data)
 
     def texts(self, text: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(ids, decoded bytes) of each text."""
