@@ -118,6 +118,26 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
     return 100 * common >= PERCENT * (len(a) + len(b) - common)
 
 
+def shared_counts(left: list[np.ndarray], right: list[np.ndarray], step: int = 1 << 22) -> Iterator[np.ndarray]:
+    """For each left set, how many elements it has in common with every right set: exact, by an
+    inverted index of the right sets, of which about `step` entries are looked at a time."""
+    flat = np.concatenate([np.zeros(0, np.uint64), *right])
+    order = np.argsort(flat, kind="stable")
+    owners = np.repeat(np.arange(len(right), dtype=np.int32), [len(s) for s in right])[order]
+    keys, starts = np.unique(flat[order], return_index=True)
+    lengths = np.diff(np.append(starts, len(flat)))
+    for one in left:
+        out = np.zeros(len(right), dtype=np.int64)
+        at = np.searchsorted(keys, one)
+        at = at[at < len(keys)] if not len(keys) else at[keys[np.minimum(at, len(keys) - 1)] == one]
+        each = max(1, step // max(1, len(right)))  # a key has at most one entry for each right set
+        for part in (at[i : i + each] for i in range(0, len(at), each)):
+            n = lengths[part]
+            ends = np.cumsum(n)
+            out += np.bincount(owners[np.arange(ends[-1]) + np.repeat(starts[part] - (ends - n), n)], minlength=len(right))
+        yield out
+
+
 def needed_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """(id, text) of the documents that can be among `ids`: the others are left out before any
     shuffle, by ID_BUCKETS hash buckets, which bound this broadcast."""
@@ -185,30 +205,29 @@ def settle(members: DataFrame, docs: DataFrame) -> DataFrame:
     """(a, b): links between what shares buckets and is still in different components.
 
     Texts that hang together by shared buckets form a cluster. Its blocks' texts travel once a
-    pair of blocks, and pairs are checked where they meet, so no pair of texts is ever a row."""
+    pair of blocks, and all pairs are checked on full sets where they meet, so no pair of texts
+    is ever a row and no estimate decides."""
     hubs = members.groupBy("bucket").agg(F.min("id").alias("hub"), F.first("n").alias("n"))
     total = members.count()
     edges = join_group_facts(members.select("bucket", "id"), checkpointed(hubs), "bucket", "n", total).select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
     clusters = components(edges).select(F.col("node").alias("id"), F.col("component").alias("cluster"))
-    one = checkpointed(members.groupBy("id").agg(F.first("component").alias("component"), F.first("sketch").alias("sketch")).join(clusters, "id"))
+    one = checkpointed(members.groupBy("id").agg(F.first("component").alias("component")).join(clusters, "id"))
     sizes = checkpointed(one.groupBy("cluster").agg(F.count(F.lit(1)).alias("size")))
     rows = join_group_facts(one, sizes, "cluster", "size", total).withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
     rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).join(needed_texts(docs, one), "id")
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "component", "sketch", "text")
+    rows = rows.select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "component", "text")
 
     def check(block: pd.DataFrame) -> pd.DataFrame:
         left, right = _sides(block.reset_index(drop=True))
-        sets = dict(enumerate(shingle_sets(pa.array(block["text"].fillna(""), pa.large_string()))))
-        a, b = _sketches(left), _sketches(right)
+        sets = list(shingle_sets(pa.array(block["text"].fillna(""), pa.large_string())))
         ids, comps = right["id"].to_numpy(), right["component"].to_numpy()
         sizes = np.array([len(sets[k]) for k in right.index])
-        found = []
-        for row, k, one, comp in zip(a, left.index, left["id"], left["component"], strict=True):
-            n = len(sets[k])
-            near = (comps != comp) & (100 * np.minimum(sizes, n) >= PERCENT * np.maximum(sizes, n))
-            for m in np.flatnonzero(near)[(b[near] == row).sum(axis=1) >= LEAST_EQUAL]:
-                if linked(sets[k], sets[right.index[m]]):
+        found, joined = [], set()  # one link for two components is enough
+        for k, one, comp, common in zip(left.index, left["id"], left["component"], shared_counts([sets[k] for k in left.index], [sets[k] for k in right.index]), strict=True):
+            for m in np.flatnonzero((comps != comp) & (100 * common >= PERCENT * (sizes + len(sets[k]) - common))).tolist():
+                if (pair := (min(comp, comps[m]), max(comp, comps[m]))) not in joined:
+                    joined.add(pair)
                     found.append((one, ids[m]))
         return pd.DataFrame(np.array(found, dtype=np.int64).reshape(-1, 2), columns=["a", "b"])
 

@@ -409,3 +409,12 @@ def test_pipeline_stages(spark, sf_dir):
             assert kept == sorted(i for i, _, _, k in brute_components(list(rows.items())) if k)
     out = corpus_pipeline.run(spark, sf_dir)
     assert out.count() > 0 and set(out.columns) == {"doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"}
+
+
+def test_shared_counts_against_sets():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 60, n).astype(np.uint64)) for n in (0, 1, 5, 40, 90)]
+    for step in (1, 7, 1 << 22):
+        got = list(minhash.shared_counts(sets, sets[1:], step))
+        assert [g.tolist() for g in got] == [[len(set(a.tolist()) & set(b.tolist())) for b in sets[1:]] for a in sets]
+    assert [g.tolist() for g in minhash.shared_counts(sets, [])] == [[]] * len(sets)
