@@ -3,16 +3,23 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
 def stable(df: DataFrame) -> DataFrame:
-    sc = df.sparkSession.sparkContext
+    """The rows written to the shared folder and read again: short lineage, and sizes from the files.
+
+    A checkpoint would keep the estimate of the plan it cuts, which a self-join squares in
+    every round until its digits alone take seconds to multiply."""
+    spark = df.sparkSession
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="emberline-checkpoint-"))
-    return df.checkpoint(eager=True)
+    df.write.parquet(path := f"{sc._jsc.sc().getCheckpointDir().get()}/stable-{uuid.uuid4().hex}")
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def descendants(edges: DataFrame, roots: DataFrame, max_depth: int = 64) -> DataFrame:
