@@ -158,3 +158,20 @@ def rollup_total(df: DataFrame, group: str, *aggs: Column, label: str = "TOTAL")
 def quality_flags(df: DataFrame, **rules: Column) -> DataFrame:
     """Adds reasons: the names of all rules that hold."""
     return df.withColumn("reasons", F.array_compact(F.array(*(F.when(c, F.lit(n)) for n, c in rules.items()))))
+
+
+def fixed_batches(df: DataFrame, group: str, size: int, *order: str) -> DataFrame:
+    """Adds batch: consecutive slices of `size` rows in each group's order, from 0."""
+    return df.withColumn("batch", F.floor((F.row_number().over(Window.partitionBy(group).orderBy(*order)) - 1) / size))
+
+
+def recurring(df: DataFrame, pattern: str, issue: str) -> DataFrame:
+    """(pattern, frequency) of patterns that enough issues show: at least 3 and 30 % of all, or 2 and 40 % below five issues.
+
+    Repeats within an issue go before the count, so a frequent pattern is pre-aggregated."""
+    pairs = df.select(pattern, issue).distinct()
+    total = df.agg(F.count_distinct(issue).alias("total"))  # one row
+    few = F.col("total") < 5
+    counted = pairs.groupBy(pattern).agg(F.count(issue).alias("frequency")).join(F.broadcast(total))
+    enough = (F.col("frequency") >= F.when(few, 2).otherwise(3)) & (F.col("frequency") * 100 >= F.col("total") * F.when(few, 40).otherwise(30))
+    return counted.where(enough).select(pattern, "frequency")

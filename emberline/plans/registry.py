@@ -256,6 +256,18 @@ def latest_event(spark, d):
     return R.latest_by(read_table(spark, d, "events"), "user_id", "event_id", "event_id", "event_type", "value")
 
 
+@query("SELECT conv_id, turn, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) // 2 AS batch FROM conversations")
+def turn_batches(spark, d):
+    """Slices of two turns."""
+    return R.fixed_batches(read_table(spark, d, "conversations"), "conv_id", 2, "turn").select("conv_id", "turn", "batch")
+
+
+@query("WITH p AS (SELECT DISTINCT event_type, user_id FROM events), t AS (SELECT count(DISTINCT user_id) AS total FROM events) SELECT event_type, count(*) AS frequency FROM p, t GROUP BY event_type, total HAVING count(*) >= CASE WHEN total < 5 THEN 2 ELSE 3 END AND count(*) * 100 >= total * CASE WHEN total < 5 THEN 40 ELSE 30 END")
+def recurring_types(spark, d):
+    """J6 (without its clustering): patterns that enough issues show."""
+    return R.recurring(read_table(spark, d, "events"), "event_type", "user_id")
+
+
 # Set operations and upserts (F, I)
 
 
