@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 def stable(df: DataFrame) -> DataFrame:
     """The rows written to the shared folder and read again: short lineage, and sizes from the files.
 
-    A checkpoint would keep the estimate of the plan it cuts, which a self-join squares in
+    Rounds over checkpoints grew slower and slower, most likely (not measured by itself) as a
+    checkpoint keeps the size estimate of the plan it cuts, which a self-join squares in
     every round until its digits alone take seconds to multiply."""
     spark = df.sparkSession
     sc = spark.sparkContext
