@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import stats
 from ..functions import text as T
-from ..operators import graph, relational as R
+from ..operators import graph, relational as R, vectors
 from ..sources.io import read_table
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -376,13 +376,30 @@ def accepted_lines(spark, d):
 
 @query("WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings), q AS (SELECT * FROM v WHERE vec_id % 50 = 0), s AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_dot_product(q.v, v.v) / (sqrt(list_dot_product(q.v, q.v)) * sqrt(list_dot_product(v.v, v.v))), 6) AS score FROM q JOIN v ON q.label = v.label AND q.vec_id <> v.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) SELECT query_id, vec_id, score FROM r WHERE rank <= 5")
 def vector_neighbours(spark, d):
-    """Cosine neighbours within a level, for the stated query set."""
+    """Cosine neighbours within the query's own level, for the stated query set; level_neighbours and vector_matches search all rows."""
     v = read_table(spark, d, "embeddings")
     q = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "label", F.col("embedding").alias("q"))
     s = q.join(v, "label").where("query_id <> vec_id").select("query_id", "vec_id", F.round(T.cosine(F.col("q"), F.col("embedding")), 6).alias("score"))
     return R.top_k(s, ["query_id"], 5, F.col("score").desc(), F.col("vec_id")).drop("rank")
 
 
+_SCORES = "WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND list_count(embedding) = len(embedding)), m AS (SELECT *, sqrt(list_dot_product(v, v)) AS norm FROM v), s AS (SELECT q.vec_id AS query_id, c.label, c.vec_id, CASE WHEN q.norm > 0 AND c.norm > 0 THEN round(list_dot_product(q.v, c.v) / (q.norm * c.norm), 9) ELSE 'NaN'::DOUBLE END AS score FROM m q JOIN m c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v)), f AS (SELECT *, NOT isnan(score) AS fine FROM s)"
+
+
+@query(_SCORES + ", r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fine DESC, score DESC, vec_id) AS rank, count(*) OVER w AS total, count(*) FILTER (fine AND score >= 0.7) OVER w AS strong, count(*) FILTER (fine AND score >= 0.4 AND score < 0.7) OVER w AS medium FROM f WINDOW w AS (PARTITION BY query_id)) SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score, total, strong, medium, total - strong - medium AS weak FROM r WHERE rank <= 5")
+def vector_matches(spark, d):
+    """The five best of all other rows for the stated query set, with the counts of strong, medium and weak matches."""
+    v = read_table(spark, d, "embeddings")
+    return vectors.neighbours(v, v.where("vec_id % 50 = 0"), "vec_id", "embedding", 5)
+
+
+@query(_SCORES + ", r AS (SELECT *, row_number() OVER (PARTITION BY query_id, label ORDER BY fine DESC, score DESC, vec_id) AS rank FROM f) SELECT query_id, label AS level, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 10")
+def level_neighbours(spark, d):
+    """The ten best of every level, not only the query's own, for the stated query set."""
+    v = read_table(spark, d, "embeddings")
+    return vectors.neighbours(v, v.where("vec_id % 50 = 0"), "vec_id", "embedding", 10, "label").drop("total", "strong", "medium", "weak")
+
+
 # Graph (H)
 
 

@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from emberline.functions import stats
 from emberline.functions import text as T
 from emberline.operators import graph
 from emberline.operators import relational as R
+from emberline.operators import vectors
 from emberline.plans import registry
 from emberline.sources import io
 from emberline.streaming import projection
@@ -120,3 +122,28 @@ def test_stream_projection_counts_once(spark, sf_dir, tmp_path):
     events.where("n >= 5").coalesce(1).write.mode("append").parquet(src)
     projection.project(projection.tail(spark, src, events.schema), str(tmp_path / "out"), str(tmp_path / "cp"), "k", "n").awaitTermination()
     assert sorted(r["n"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == list(range(10))
+
+
+@pytest.mark.parametrize("level", [None, "label"])
+def test_neighbours_search_every_level(spark, level):
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(60, 3)).round(1)
+    v[7], v[9], v[21] = v[8], 0, 0
+    labels = [None if i % 5 == 0 else i % 3 for i in range(60)]
+    table = spark.createDataFrame([(i, x, g) for i, (x, g) in enumerate(zip(v.tolist(), labels))] + [(None, [1.0, 1.0, 1.0], 1), (99, None, 1)], "vec_id long, embedding array<double>, label int")
+    got = vectors.neighbours(table, table.where("vec_id % 7 = 0"), "vec_id", "embedding", 4, level, group_size=10, query_block=3).collect()
+    want = []
+    for q in range(0, 60, 7):
+        for g in [0, 1, 2, None] if level else [None]:
+            scored = []
+            for i in range(60):
+                if i != q and (not level or labels[i] == g):
+                    norm = np.sqrt(v[q] @ v[q]) * np.sqrt(v[i] @ v[i])
+                    scored.append((-round(v[q] @ v[i] / norm, 9) if norm else 2.0, i))
+            strong, medium = sum(s <= -0.7 for s, _ in scored), sum(-0.7 < s <= -0.4 for s, _ in scored)
+            want += [(q, g, rank, i, -s, len(scored), strong, medium, len(scored) - strong - medium) for rank, (s, i) in enumerate(sorted(scored)[:4], 1)]
+    order = lambda t: str((t[0], t[1])) + f"{t[2]:03d}"
+    found = sorted(((r["query_id"], r["level"] if level else None, r["rank"], r["vec_id"], -2.0 if np.isnan(r["score"]) else r["score"], r["total"], r["strong"], r["medium"], r["weak"]) for r in got), key=order)
+    want.sort(key=order)
+    assert [t[:4] + t[5:] for t in found] == [t[:4] + t[5:] for t in want]
+    assert [t[4] for t in found] == pytest.approx([t[4] for t in want], abs=2e-9)
