@@ -11,6 +11,8 @@ from pyspark.sql.types import StringType
 
 # Stop words of the content-token set.
 STOP_WORDS = ("the", "and", "for", "with", "from", "this", "that", "are", "was", "were", "has", "have", "not", "but", "its", "into")
+# Special tokens that normalising drops, in this order.
+SPECIAL_TOKENS = ("<|endoftext|>", "<|startoftext|>", "<|end|>", "<|start|>", "<|im_start|>", "<|im_end|>")
 # Words read as true or false in outcome columns.
 TRUE_WORDS, FALSE_WORDS = ("true", "1", "yes", "y", "t", "pass", "passed", "success", "✓"), ("false", "0", "no", "n", "f", "fail", "failed", "failure", "✗")
 # Path families that diffs may leave out.
@@ -27,13 +29,17 @@ def nfc(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 
 def normalize_text(c: Column, collapse: bool = True, compose: bool = True) -> Column:
-    """Drops BOM, NUL and control characters (not tab, newline, return), composes, and collapses blank lines and inner runs of blanks."""
-    out = F.regexp_replace(F.regexp_replace(c, "\\uFEFF", ""), "\\x00", "")
+    """Drops special tokens one after another, BOMs at the start, NUL and control characters (not tab, newline, return), composes, and collapses blank lines, runs of blanks past a line's first character and newlines at the end."""
+    out = c
+    for token in SPECIAL_TOKENS:
+        out = F.replace(out, F.lit(token))
+    out = F.regexp_replace(out, r"\A\uFEFF?(?:\u00EF\u00BB\u00BF)?[\uFEFF\uFFFE\uFFFF]*", "")
+    out = F.regexp_replace(out, "\\x00", "")
     out = nfc(out) if compose else out
-    out = F.regexp_replace(out, "[\\x01-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]", "")
+    out = F.regexp_replace(out, "[\\x01-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F-\\x9F]", "")
     if collapse:
-        out = F.regexp_replace(F.regexp_replace(out, "\\n{3,}", "\n\n"), "(?<=[^\\n \\t])[ \\t]{2,}", " ")
-        out = F.when(F.length(out) > 0, F.concat(F.regexp_replace(out, "\\n+$", ""), F.lit("\n"))).otherwise(out)
+        out = F.regexp_replace(F.regexp_replace(out, "\\n{3,}", "\n\n"), "(?<=[^\\n])[ \\t]{2,}", " ")
+        out = F.regexp_replace(out, "\\n+\\z", "\n")
     return out
 
 

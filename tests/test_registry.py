@@ -1,6 +1,9 @@
 """Every query with SQL against DuckDB, and operators against small literal cases."""
 
+import hashlib
 import os
+import re
+import unicodedata
 
 import duckdb
 import numpy as np
@@ -147,3 +150,32 @@ def test_neighbours_search_every_level(spark, level):
     want.sort(key=order)
     assert [t[:4] + t[5:] for t in found] == [t[:4] + t[5:] for t in want]
     assert [t[4] for t in found] == pytest.approx([t[4] for t in want], abs=2e-9)
+
+
+def plain_normalize(text, collapse=True):
+    """Brute-force version, step by step from the reference's text_normalizer.py."""
+    if not text:
+        return text
+    for token in ("<|endoftext|>", "<|startoftext|>", "<|end|>", "<|start|>", "<|im_start|>", "<|im_end|>"):
+        text = text.replace(token, "")
+    for bom in ("\ufeff", "\u00ef\u00bb\u00bf", "\ufffe", "\uffff"):
+        text = text.removeprefix(bom)
+    text = unicodedata.normalize("NFC", text.lstrip("\ufeff\ufffe\uffff").replace("\0", ""))
+    text = "".join(x for x in text if x in "\n\t\r" or 32 <= ord(x) < 127 or ord(x) >= 160)
+    if collapse:
+        text = re.sub(r"(?<!^)[ \t]{2,}", " ", re.sub(r"\n{3,}", "\n\n", text), flags=re.MULTILINE)
+        text = text.rstrip("\n") + "\n" if text.endswith("\n") else text
+    return text
+
+
+def test_normalize_against_plain(spark, sf_dir):
+    rng = np.random.default_rng(11)
+    bits = [*"ab \t\n\r\0\x07\x7f\x85\x9f\xa0\u0301\ufeff\ufffe\uffff|", "  ", "\n\n", "\u00ef\u00bb\u00bf", "e\u0301", "\r\n", "<|end|>", "<|im_start|>", "<|im_<|start|>start|>", "<|endof<|end|>text|>", "<|im_end|>", "<|endoftext|>", "<|startoftext|>"]
+    texts = ["", "a", "a\n", "\n\n\n", "   a", "a\ufeffb", None] + ["".join(bits[i] for i in rng.integers(0, len(bits), rng.integers(1, 12))) for _ in range(3000)]
+    c = F.col("t")
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", "t", T.normalize_text(c).alias("n"), T.safe_json_string(c).alias("j")).collect()
+    assert len(got) == len(texts)
+    assert [(r["n"], r["j"]) for r in got] == [(plain_normalize(r["t"]), plain_normalize(r["t"] or "", False)) for r in got]
+    docs = {r["doc_id"]: r["text"] for r in io.read_table(spark, sf_dir, "documents").select("doc_id", "text").collect()}
+    want = {i: t if t is None else hashlib.sha1(plain_normalize(t).encode()).hexdigest() for i, t in docs.items()}
+    assert {r["doc_id"]: r["sha1"] for r in registry.queries()["normalized_documents"](spark, sf_dir).collect()} == want
