@@ -10,14 +10,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 # Stop words of the content-token set.
-STOP_WORDS = ("the", "and", "for", "with", "from", "this", "that", "are", "was", "were", "has", "have", "not", "but", "its", "into")
+STOP_WORDS = ("added", "changed", "fixed", "removed", "updated", "using", "with", "from", "that", "this", "which", "file", "code", "error", "function", "method")
 # Special tokens that normalising drops, in this order.
 SPECIAL_TOKENS = ("<|endoftext|>", "<|startoftext|>", "<|end|>", "<|start|>", "<|im_start|>", "<|im_end|>")
 # Words read as true or false in outcome columns.
 TRUE_WORDS, FALSE_WORDS = ("true", "1", "yes", "y", "t", "pass", "passed", "success", "✓"), ("false", "0", "no", "n", "f", "fail", "failed", "failure", "✗")
 # Path families that diffs may leave out.
-GENERATED_PATHS = (r"(^|/)node_modules/", r"(^|/)vendor/", r"(^|/)coverage/", r"\.lock$", r"\.min\.(js|css)$", r"(^|/)dist/")
-BINARY_PATHS = (r"\.png$", r"\.jpe?g$", r"\.gif$", r"\.pdf$", r"\.zip$", r"\.so$", r"\.exe$", r"\.pyc$")
+IGNORED_PATHS = (r"^\.git/", r"(^|/)\.DS_Store$", r"(^|/)\.vscode/")
+GENERATED_PATHS = (r"coverage.*\.json$", r"\.coverage$", r"htmlcov/", r"node_modules/", r"vendor/", r"\.lock$")
+BINARY_PATHS = (r"\.dylib$", r"\.a$", r"\.so$", r"\.dll$", r"\.exe$", r"\.bin$", r"\.o$", r"bin/grype$")
 UUID = r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"
 
 
@@ -79,9 +80,9 @@ def fallback_chunk(tokens: Column) -> Column:
     return F.greatest(F.floor(tokens / 2), F.lit(1000)).cast("long")
 
 
-def content_tokens(c: Column) -> Column:
+def content_tokens(c: Column, stop: tuple[str, ...] = STOP_WORDS) -> Column:
     found = F.transform(F.regexp_extract_all(c, F.lit("[A-Za-z_][A-Za-z0-9_.-]{2,}"), F.lit(0)), F.lower)
-    return F.array_distinct(F.filter(found, lambda t: ~t.isin(*STOP_WORDS)))
+    return F.array_distinct(F.filter(found, lambda t: ~t.isin(*stop)))
 
 
 def containment(a: Column, b: Column) -> Column:
@@ -157,11 +158,16 @@ def diff_sections(diff: Column) -> Column:
     return F.filter(F.split(diff, "(?m)(?=^diff --git )"), lambda s: F.startswith(s, F.lit("diff --git ")))
 
 
-def without_paths(diff: Column, patterns=GENERATED_PATHS + BINARY_PATHS) -> Column:
-    """The diff without sections of generated or binary files."""
+def without_paths(diff: Column, patterns=IGNORED_PATHS + GENERATED_PATHS + BINARY_PATHS) -> Column:
+    """The diff without sections of ignored, generated or binary files, by their old path; text before the first section stays, and so does a text that begins with Error."""
     any_ = "|".join(patterns)
-    path = "(?m)^diff --git a/.+ b/(.+)$"
-    return F.array_join(F.filter(diff_sections(diff), lambda s: ~F.rlike(F.regexp_extract(s, path, 1), F.lit(any_)) & ~F.contains(s, F.lit("GIT binary patch")) & ~F.contains(s, F.lit("Binary files"))), "")
+
+    def kept(s: Column) -> Column:
+        body = F.regexp_replace(s, r"\A[^\n]*", "")
+        dropped = F.rlike(F.regexp_extract(s, "^diff --git a/(.*?) b/", 1), F.lit(any_)) | F.contains(body, F.lit("GIT binary patch")) | F.contains(body, F.lit("Binary files"))
+        return ~F.startswith(s, F.lit("diff --git ")) | ~dropped
+
+    return F.when(F.startswith(diff, F.lit("Error")), diff).otherwise(F.array_join(F.filter(F.split(diff, "(?m)(?=^diff --git )"), kept), ""))
 
 
 def parse_success(c: Column) -> Column:

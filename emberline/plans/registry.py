@@ -347,10 +347,20 @@ def folded_text(spark, d):
     return read_table(spark, d, "documents").select("doc_id", T.truncate(t, 40).alias("cut"), T.alnum_fold(t).alias("folded"))
 
 
+#: The words that the SQL of content_tokens leaves out.
+SHORT_WORDS = ("the", "and", "for", "with", "from", "this", "that", "are", "was", "were", "has", "have", "not", "but", "its", "into")
+
+
 @query("SELECT conv_id, turn, len(list_distinct(list_transform(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_.-]{2,}'), lambda x: lower(x)))) - len(list_filter(list_distinct(list_transform(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_.-]{2,}'), lambda x: lower(x))), lambda x: x IN ('the','and','for','with','from','this','that','are','was','were','has','have','not','but','its','into'))) AS n_tokens FROM conversations")
 def content_tokens(spark, d):
-    """Distinct content words."""
-    return read_table(spark, d, "conversations").select("conv_id", "turn", F.size(T.content_tokens(F.col("text"))).cast("long").alias("n_tokens"))
+    """Distinct words of a message other than SHORT_WORDS, as in its SQL; explanation_tokens has the list of G19 and G20."""
+    return read_table(spark, d, "conversations").select("conv_id", "turn", F.size(T.content_tokens(F.col("text"), SHORT_WORDS)).cast("long").alias("n_tokens"))
+
+
+@query("SELECT conv_id, turn, len(list_distinct(list_transform(regexp_extract_all(coalesce(text, ''), '[A-Za-z_][A-Za-z0-9_.-]{2,}'), lambda x: lower(x)))) - len(list_filter(list_distinct(list_transform(regexp_extract_all(coalesce(text, ''), '[A-Za-z_][A-Za-z0-9_.-]{2,}'), lambda x: lower(x))), lambda x: x IN ('added','changed','fixed','removed','updated','using','with','from','that','this','which','file','code','error','function','method'))) AS n_tokens FROM conversations")
+def explanation_tokens(spark, d):
+    """Distinct content words of every message, without the reference's 16 stop words; none for a null text."""
+    return read_table(spark, d, "conversations").select("conv_id", "turn", F.size(T.content_tokens(F.coalesce("text", F.lit("")))).cast("long").alias("n_tokens"))
 
 
 @query()

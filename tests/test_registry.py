@@ -179,3 +179,16 @@ def test_normalize_against_plain(spark, sf_dir):
     docs = {r["doc_id"]: r["text"] for r in io.read_table(spark, sf_dir, "documents").select("doc_id", "text").collect()}
     want = {i: t if t is None else hashlib.sha1(plain_normalize(t).encode()).hexdigest() for i, t in docs.items()}
     assert {r["doc_id"]: r["sha1"] for r in registry.queries()["normalized_documents"](spark, sf_dir).collect()} == want
+
+
+def test_stop_words_and_paths_of_the_reference(spark):
+    stop = "added changed fixed removed updated using with from that this which file code error function method".split()
+    assert one(spark, T.content_tokens(F.col("a")), a=" ".join(stop) + " The error and not THE File.py it") == ["the", "and", "not", "file.py"]
+    kept = ["a/x.png", "dist/x.js", "x.min.js", "x.pyc", "a.zip", "coverage/x.py", ".github/w.yml", "x.json"]
+    dropped = [".git/x", "a/.DS_Store", ".vscode/s.json", "x.dylib", "lib.a", "x.so", "x.dll", "x.exe", "x.bin", "x.o", "bin/grype", "coverage-1.json", ".coverage", "htmlcov/i.html", "a/node_modules/x", "myvendor/x", "p.lock"]
+    section = "diff --git a/{0} b/{1}\n--- a/{0}\n+++ b/{1}\n+z\n".format
+    binary = "diff --git a/x b/x\nBinary files a/x and b/x differ\n"
+    whole = [section(p, p) for p in kept] + [section("new.py", "old.bin")]
+    left = [section(p, p) for p in dropped] + [section("old.bin", "new.py"), binary]
+    assert one(spark, T.without_paths(F.col("d")), d="head\n" + "".join(left[:5] + whole + left[5:])) == "head\n" + "".join(whole)
+    assert one(spark, T.without_paths(F.col("d")), d="Error\n" + left[0]) == "Error\n" + left[0]
