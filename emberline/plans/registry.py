@@ -73,7 +73,7 @@ def pass_rates(spark, d):
 
 @query("SELECT CASE WHEN grouping(source) = 1 THEN 'TOTAL' ELSE source END AS source, count(*) AS n, sum(n_chars)::BIGINT AS chars FROM documents GROUP BY ROLLUP (source)")
 def totals_by_source(spark, d):
-    """Rollup with a total row."""
+    """Rollup with a total row."""
     return R.rollup_total(read_table(spark, d, "documents"), "source", n().alias("n"), F.sum("n_chars").alias("chars"))
 
 
@@ -147,7 +147,7 @@ def paired_p_values(spark, d):
 
 @query("SELECT count(*) AS tp_fp, sum(CASE WHEN l.quality = 1 AND d.n_chars > 500 THEN 1 ELSE 0 END)::BIGINT AS tp, round(coalesce(sum(CASE WHEN l.quality = 1 AND d.n_chars > 500 THEN 1 ELSE 0 END) / nullif(sum(CASE WHEN d.n_chars > 500 THEN 1 ELSE 0 END), 0), 0), 6) AS precision, round(coalesce(sum(CASE WHEN l.quality = 1 AND d.n_chars > 500 THEN 1 ELSE 0 END) / nullif(sum(CASE WHEN l.quality = 1 THEN 1 ELSE 0 END), 0), 0), 6) AS recall FROM documents d JOIN labels l USING (doc_id)")
 def rule_accuracy(spark, d):
-    """Precision and recall with zero for an empty denominator."""
+    """Precision and recall with zero for an empty denominator."""
     j = read_table(spark, d, "documents").select("doc_id", "n_chars").join(read_table(spark, d, "labels"), "doc_id")
     said, true = F.col("n_chars") > 500, F.col("quality") == 1
     c = j.agg(n().alias("tp_fp"), F.count_if(said & true).alias("tp"), F.count_if(said & ~true).alias("fp"), F.count_if(~said & true).alias("fn"))
@@ -196,7 +196,7 @@ def key_bridge(spark, d):
 
 @query("WITH u AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'user'), a AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'assistant'), f AS (SELECT conv_id, min(turn) AS first_user FROM u GROUP BY 1), l AS (SELECT conv_id, max(turn) AS final_agent FROM a GROUP BY 1) SELECT f.conv_id, f.first_user, l.final_agent FROM f FULL JOIN l ON f.conv_id = l.conv_id WHERE f.conv_id IS NOT NULL UNION ALL SELECT l.conv_id, NULL, l.final_agent FROM l WHERE l.conv_id NOT IN (SELECT conv_id FROM f)")
 def turn_summaries(spark, d):
-    """First user and final agent turn of each thread."""
+    """First user and final agent turn of each thread."""
     c = read_table(spark, d, "conversations")
     g = c.groupBy("conv_id").agg(F.min(F.when(F.col("role") == "user", F.col("turn"))).alias("first_user"), F.max(F.when(F.col("role") == "assistant", F.col("turn"))).alias("final_agent"))
     return g.where(F.col("first_user").isNotNull() | F.col("final_agent").isNotNull())
@@ -219,13 +219,13 @@ def best_per_user(spark, d):
 
 @query("SELECT doc_id, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) AS INTEGER) AS round FROM documents")
 def diverse_rounds(spark, d):
-    """One of each group in turn."""
+    """One of each group in turn."""
     return R.round_robin(read_table(spark, d, "documents"), "source", "doc_id").select("doc_id", "round")
 
 
 @query("WITH r AS (SELECT conv_id, turn, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS used FROM conversations) SELECT conv_id, turn, CAST(used AS BIGINT) AS used FROM r WHERE used <= 2000")
 def budget_prefix(spark, d):
-    """A prefix under a budget."""
+    """A prefix under a budget."""
     c = read_table(spark, d, "conversations").withColumn("size", F.length("text").cast("long"))
     return R.budget_prefix(c, "conv_id", "size", 2000, "turn").select("conv_id", "turn", "used")
 
@@ -301,7 +301,7 @@ def frozen_turns(spark, d):
 
 @query("WITH s AS (SELECT *, sum(CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS session FROM events) SELECT user_id, CAST(session AS BIGINT) AS session, count(*) AS n, count(*) FILTER (event_type = 'error') AS errors FROM s GROUP BY 1, 2")
 def sessions(spark, d):
-    """Sessions from start events."""
+    """Sessions from start events."""
     e = R.sessions(read_table(spark, d, "events"), "user_id", F.col("event_type") == "signup", "ts", "event_id")
     return e.groupBy("user_id", "session").agg(n().alias("n"), F.count_if(F.col("event_type") == "error").alias("errors"))
 
@@ -378,7 +378,7 @@ def normalized_documents(spark, d):
 
 @query()
 def accepted_lines(spark, d):
-    """Fingerprints of every effective line."""
+    """Fingerprints of every effective line."""
     lines = read_table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     kept = lines.withColumn("line", T.effective_line(F.col("line"))).where("line is not null")
     return kept.select("doc_id", "pos", T.fingerprint("line", F.col("line")).alias("fingerprint"))
