@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from .common import WordTable, coded_words, id_crc, rows_of, sums_by_text, text_slices
 
-#: Sampled texts of each language, most languages, buckets, embedding size, n-gram sizes.
-SAMPLE, LANGUAGES, BUCKETS, DIM, GRAMS = 800, 200, 1 << 15, 16, (2, 3, 4)
+#: Sampled texts of each language; all sampled texts, where there are so many languages that each gets fewer, but LEAST at least; buckets, embedding size, n-gram sizes.
+SAMPLE, TOTAL, LEAST, BUCKETS, DIM, GRAMS = 800, 160_000, 20, 1 << 15, 16, (2, 3, 4)
 EPOCHS, RATE, REJECT_SHARE = 6, 0.5, 0.01
 MODULUS, HELD_OUT = 5, 0
 
@@ -38,20 +38,22 @@ def subwords(word: str) -> list[int]:
 @dataclass
 class Model:
     languages: list[str]
-    #: Logits of each bucket (the embedding times the softmax weights) and the bias, already divided by the temperature.
+    #: Logits of each bucket (the embedding times the softmax weights) and the bias, already divided by the temperature. With more than DIM languages the embedding itself, and the weights beside it.
     logits: np.ndarray | None = None
+    weights: np.ndarray | None = None
     bias: np.ndarray | None = None
     reject_below: float = 0.0
 
     def word_row(self, word: str) -> np.ndarray:
         at = subwords(word)
-        row = np.zeros(len(self.languages) + 1)
+        row = np.zeros(self.logits.shape[1] + 1)
         if at:
             row[:-1], row[-1] = self.logits[at].sum(axis=0), len(at)
         return row
 
     def probabilities(self, sums: np.ndarray) -> np.ndarray:
-        z = sums[:, :-1] / np.maximum(sums[:, -1:], 1) + self.bias
+        z = sums[:, :-1] / np.maximum(sums[:, -1:], 1)
+        z = (z if self.weights is None else z @ self.weights) + self.bias
         z = np.exp(z - z.max(axis=1, keepdims=True))
         return z / z.sum(axis=1, keepdims=True)
 
@@ -68,7 +70,8 @@ def fit(counts: list[tuple[np.ndarray, np.ndarray]], labels: list[str], seed: in
         return model
     rng = np.random.default_rng(seed)
     table, weights, bias = rng.normal(0, 1 / DIM, (BUCKETS, DIM)), np.zeros((DIM, len(model.languages))), np.zeros(len(model.languages))
-    y = np.array([model.languages.index(x) for x in labels])
+    number = {x: i for i, x in enumerate(model.languages)}
+    y = np.array([number[x] for x in labels])
     shares = [c / c.sum() for _, c in counts]
     order = rng.permutation(len(counts))
     held, learn = order[: len(order) // 10], order[len(order) // 10 :]
@@ -83,16 +86,17 @@ def fit(counts: list[tuple[np.ndarray, np.ndarray]], labels: list[str], seed: in
             weights -= rate * np.outer(h, error)
             bias -= 0.1 * rate * error
             table[at] -= rate * np.outer(share * min(len(at), 200), back)
-    logits = table @ weights
+    wide = len(model.languages) > DIM
+    logits = table if wide else table @ weights
     check = held if len(held) >= 20 else order
-    z = np.array([shares[i] @ logits[counts[i][0]] + bias for i in check])
+    z = np.array([(shares[i] @ logits[counts[i][0]] @ weights if wide else shares[i] @ logits[counts[i][0]]) + bias for i in check])
     losses = []
     temperatures = np.geomspace(0.05, 20, 60)
     for t in temperatures:
         e = z / t - (z / t).max(axis=1, keepdims=True)
         losses.append(float(np.mean(np.log(np.exp(e).sum(axis=1)) - e[np.arange(len(check)), y[check]])))
     t = float(temperatures[int(np.argmin(losses))])
-    model.logits, model.bias = logits / t, bias / t
+    model.logits, model.weights, model.bias = (logits, weights / t, bias / t) if wide else (logits / t, None, bias / t)
     p = np.array([_softmax(r / t) for r in z])
     right = p.max(axis=1)[p.argmax(axis=1) == y[check]]
     model.reject_below = float(np.quantile(right, REJECT_SHARE)) if len(right) else 0.0
@@ -102,15 +106,16 @@ def fit(counts: list[tuple[np.ndarray, np.ndarray]], labels: list[str], seed: in
 def train(docs: DataFrame, sample: int = SAMPLE, modulus: int = MODULUS, held_out: int = HELD_OUT) -> Model:
     """Learns from about `sample` texts of each language, drawn by a hash of the id, outside the held-out part.
 
-    Null languages and texts, and texts without letters, teach nothing. The most frequent
-    LANGUAGES languages are learned; only hashed counts reach the driver."""
+    Null languages and texts, and texts without letters, teach nothing. Every language is
+    learned, from fewer texts each if there are many; only hashed counts reach the driver."""
     rows = rows_of(docs, "doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (id_crc() % modulus != held_out))
-    known = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "lang").limit(LANGUAGES).collect()}
+    known = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not known:
         return Model([])
     range_ = 1 << 30
-    bound = F.create_map(*(F.lit(x) for lang, n in known.items() for x in (lang, int(min(1.0, sample / n) * range_))))
-    drawn = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(range_)) < F.coalesce(F.try_element_at(bound, F.col("lang")), F.lit(0)))
+    each = min(sample, max(LEAST, TOTAL // len(known)))
+    bound = docs.sparkSession.createDataFrame([(lang, int(min(1.0, each / n) * range_)) for lang, n in known.items()], "lang string, bound long")
+    drawn = rows.join(F.broadcast(bound), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(range_)) < F.col("bound"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches):
@@ -139,7 +144,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     predicted like any other; an empty table gives no rows."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordTable(model.word_row, len(model.languages) + 1) if model.languages else None
+        words = WordTable(model.word_row, model.logits.shape[1] + 1) if model.languages else None
         for rows in text_slices(batches):
             if words is None:
                 sums = np.zeros((rows.num_rows, 2))

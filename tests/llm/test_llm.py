@@ -390,6 +390,17 @@ def test_filter_lets_few_unique_rows_shuffle(spark):
     assert 101 <= marked.where("maybe").count() < 250
 
 
+def test_language_id_learns_every_language(spark):
+    letters = "abcdefghijklmnop"
+    docs = [(6 * g + k, " ".join(letters[g % 16] * 3 + letters[g // 16] * 3 for _ in range(5)), f"l{g}") for g in range(205) for k in range(6)]
+    table = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    held = set(table.where(langid.id_crc() % langid.MODULUS == langid.HELD_OUT).toPandas()["doc_id"])
+    model = langid.train(table)
+    assert model.languages == sorted({g for i, _, g in docs if i not in held}) and len(model.languages) == 205
+    got = langid.predict(table, model).collect()
+    assert len(got) == len(docs) and all(r["lang_pred"] in model.languages and 0 < r["score"] <= 1 for r in got)
+
+
 # the pipeline
 
 
