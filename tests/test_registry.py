@@ -1,6 +1,7 @@
 """Every query with SQL against DuckDB, and operators against small literal cases."""
 
 import hashlib
+import json
 import os
 import re
 import unicodedata
@@ -11,6 +12,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__
+import bench
 from emberline.functions import stats
 from emberline.functions import text as T
 from emberline.operators import graph
@@ -202,3 +205,16 @@ def test_docstrings_name_built_rows_and_readme_the_others():
     listed = re.search(r"names, by number: (.*?)\. Of these", open(f"{root}/README.md").read())[1]
     left = {f"{part[0]}{n}" for part in listed.split("; ") for a, b in re.findall(r"(\d+)(?:-(\d+))?", part[2:]) for n in range(int(a), int(b or a) + 1)}
     assert left == survey - named
+
+
+def test_bench_names_what_it_leaves_out(spark, monkeypatch, capsys):
+    own = {"phase_costs": lambda s, d: s.range(1), "descendants": lambda s, d: s.range(1)}
+    monkeypatch.setattr(__spark_entry__, "queries", lambda: own)
+    monkeypatch.delenv("BENCH_ALL", raising=False)
+    bench.main()
+    line = json.loads(capsys.readouterr().out.splitlines()[-1])
+    assert (list(line["queries"]), line["left_out"]) == (["phase_costs"], ["descendants"])
+    monkeypatch.setenv("BENCH_ALL", "1")
+    bench.main()
+    line = json.loads(capsys.readouterr().out.splitlines()[-1])
+    assert (sorted(line["queries"]), line["left_out"]) == (["descendants", "phase_costs"], [])
