@@ -176,6 +176,13 @@ def op2(spark, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_turn_order(spark, sf_dir: str) -> DataFrame:
+    """Whether the state machine accepts each conversation's roles."""
+    from .common import rows_of, table
+
+    return format_conversations(rows_of(table(spark, sf_dir, "conversations"), "conv_id", "turn", "role", "text")).select("conv_id", "valid")
+
+
 def _sql(template: Template = DEFAULT) -> str:
     def lit(s: str) -> str:
         return "'" + s.replace("'", "''") + "'"
@@ -204,3 +211,9 @@ FROM f GROUP BY conv_id
 
 
 OP2_SQL = _sql()
+
+#: The machine's moves as a pattern over the first letters of the roles.
+TURN_ORDER_SQL = """
+SELECT conv_id, regexp_full_match(string_agg(CASE role WHEN 'system' THEN 's' WHEN 'user' THEN 'u' WHEN 'assistant' THEN 'a' ELSE 'o' END, '' ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')), 's?(ua)+') AS valid
+FROM conversations GROUP BY conv_id
+"""

@@ -7,6 +7,7 @@ from . import bpe, chat, exact_dedup, langid, minhash, packing, quality, shardin
 QUERIES = {
     "op1_topk_search": topk.op1,
     "op2_chat_format": chat.op2,
+    "op2_turn_order": chat.op2_turn_order,
     "op3_packing": packing.op3,
     "op4_toxicity": toxicity.op4,
     "op5_sharding": sharding.op5,
@@ -17,4 +18,4 @@ QUERIES = {
     "op10_language_id": langid.op10,
 }
 
-ORACLES = {"op1_topk_search": topk.OP1_SQL, "op2_chat_format": chat.OP2_SQL, "op9_exact_dedup": exact_dedup.OP9_SQL}
+ORACLES = {"op1_topk_search": topk.OP1_SQL, "op2_chat_format": chat.OP2_SQL, "op2_turn_order": chat.TURN_ORDER_SQL, "op9_exact_dedup": exact_dedup.OP9_SQL}

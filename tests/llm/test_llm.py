@@ -108,6 +108,24 @@ def test_chat_round_trip(spark):
     assert chat.format_conversations(df.limit(0)).count() == 0
 
 
+def test_turn_order_query_against_sql(spark, sf_dir, tmp_path):
+    import duckdb
+
+    rng = random.Random(4)
+    good = ["user", "assistant"]
+    runs = [(["system"] if rng.random() < 0.3 else []) + good * rng.randint(1, 3) for _ in range(40)]
+    runs += [[rng.choice(["system", "user", "assistant", "tool", "User", None]) for _ in range(rng.randint(1, 4))] for _ in range(80)]
+    rows = [(c, i, r, "t") for c, rs in enumerate(runs) for i, r in enumerate(rs)]
+    made = str(tmp_path / "made")
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{made}/conversations.parquet")
+    for at, file in ((sf_dir, f"{sf_dir}/conversations.parquet"), (made, f"{made}/conversations.parquet/*.parquet")):
+        got = {r["conv_id"]: r["valid"] for r in entry.QUERIES["op2_turn_order"](spark, at).collect()}
+        con = duckdb.connect()
+        con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{file}'")
+        assert got == dict(con.sql(entry.ORACLES["op2_turn_order"]).fetchall())
+    assert {c for c, v in got.items() if v} >= set(range(40)) and not all(got.values())
+
+
 def test_chat_order_of_roles(spark):
     cases = {0: ["user", "assistant"], 1: ["system", "user", "assistant", "user", "assistant"], 2: ["assistant", "user"], 3: ["user"], 4: ["user", "tool", "assistant"], 5: ["user", "system"]}
     rows = [(c, i, r, "t") for c, rs in cases.items() for i, r in enumerate(rs)]
