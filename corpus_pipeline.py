@@ -37,7 +37,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", drop_toxic), ("quality", drop_poor), ("exact_dedup", drop_copies), ("near_dedup", drop_near_copies), ("packing", pack)]
 
-#: Trained scores and shingle links are beyond SQL; tests hold each stage against a brute-force version.
+#: Trained scores and shingle links are beyond SQL; tests carry run()'s rows through all stages, dedup and packing against brute force, toxicity and quality against their operators.
 ORACLE_SQL = None
 
 

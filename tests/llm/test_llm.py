@@ -440,6 +440,44 @@ def test_pipeline_stages(spark, sf_dir):
     assert out.count() > 0 and set(out.columns) == {"doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"}
 
 
+def test_pipeline_run_carries_kept_rows_through_all_stages(spark, sf_dir, monkeypatch):
+    import corpus_pipeline
+
+    seen = {}
+
+    def watched(name, stage):
+        def run(spark, docs, sf_dir):
+            seen[name] = {r["doc_id"]: r["text"] for r in docs.collect()}
+            return stage(spark, docs, sf_dir)
+
+        return name, run
+
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [watched(*s) for s in corpus_pipeline.STAGES])
+    out = corpus_pipeline.run(spark, sf_dir).collect()
+    ids = lambda df: sorted(r["doc_id"] for r in df.collect())
+    assert list(seen) == ["toxicity", "quality", "exact_dedup", "near_dedup", "packing"]
+    assert sorted(seen["toxicity"]) == ids(docs)
+    clean = docs.where(F.col("doc_id").isin(ids(toxicity.keep_clean(docs, toxicity.train(docs, labels)))))
+    assert sorted(seen["quality"]) == ids(clean)
+    assert sorted(seen["exact_dedup"]) == ids(quality.keep_good(clean, quality.train(clean, labels)))
+    first = {}
+    for i in sorted(seen["exact_dedup"]):
+        first.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", seen["exact_dedup"][i]), i)
+    assert sorted(seen["near_dedup"]) == sorted(first.values())
+    assert sorted(seen["packing"]) == sorted(i for i, _, _, k in brute_components(list(seen["near_dedup"].items())) if k)
+    pieces = defaultdict(list)
+    for r in out:
+        pieces[r["doc_id"]].append((r["start"], r["length"], r["doc_tokens"]))
+    assert set(pieces) <= set(seen["packing"])
+    for own in pieces.values():
+        at = 0
+        for start, length, _ in sorted(own):
+            assert start == at
+            at += length
+        assert {n for *_, n in own} == {at}
+
+
 def test_shared_counts_against_sets():
     rng = np.random.default_rng(3)
     sets = [np.unique(rng.integers(0, 60, n).astype(np.uint64)) for n in (0, 1, 5, 40, 90)]
