@@ -1,41 +1,29 @@
-"""Graph operators as iterated joins; each round's frontier is checkpointed to the shared folder."""
+"""Graph operators as iterated joins; each round is written to the shared folder, and deleted when its iteration ends."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def stable(df: DataFrame) -> DataFrame:
-    """The rows written to the shared folder and read again: short lineage, and sizes from the files.
-
-    Rounds over checkpoints grew slower and slower, most likely (not measured by itself) as a
-    checkpoint keeps the size estimate of the plan it cuts, which a self-join squares in
-    every round until its digits alone take seconds to multiply."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="emberline-checkpoint-"))
-    df.write.parquet(path := f"{sc._jsc.sc().getCheckpointDir().get()}/stable-{uuid.uuid4().hex}")
-    return spark.read.schema(df.schema).parquet(path)
+from ..shared import Rounds
 
 
-def descendants(edges: DataFrame, roots: DataFrame, max_depth: int = 64) -> DataFrame:
+def descendants(edges: DataFrame, roots: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(root, node, depth) below each root along (parent, child) edges, breadth first; a node counts once, at its least depth.
 
-    Filters belong on `edges`: an edge that is left out also cuts what lies below it."""
-    frontier = stable(roots.select(F.col("node").alias("root"), "node", F.lit(0).alias("depth")).distinct())
-    seen = frontier
-    for depth in range(1, max_depth + 1):
-        step = frontier.join(edges.select(F.col("parent").alias("node"), "child"), "node").select("root", F.col("child").alias("node"), F.lit(depth).alias("depth")).distinct()
-        frontier = stable(step.join(seen, ["root", "node"], "left_anti"))
-        if frontier.isEmpty():
-            return seen.where("depth > 0")
-        seen = stable(seen.unionByName(frontier))
-    raise ValueError(f"deeper than {max_depth}")
+    Runs until nothing new is found, or down to `max_depth`. Filters belong on `edges`: an edge
+    that is left out also cuts what lies below it."""
+    rounds = Rounds(edges.sparkSession)
+    edges = rounds.keep(edges.select(F.col("parent").alias("node"), "child").distinct())
+    seen = frontier = rounds.keep(roots.select(F.col("node").alias("root"), "node", F.lit(0).alias("depth")).distinct())
+    depth = 0
+    while (max_depth is None or depth < max_depth) and not frontier.isEmpty():
+        depth += 1
+        step = frontier.join(edges, "node").select("root", F.col("child").alias("node"), F.lit(depth).alias("depth")).distinct()
+        frontier = rounds.keep(step.join(seen, ["root", "node"], "left_anti"))
+        seen = seen.unionByName(frontier)  # each round's own files
+        seen = rounds.keep(seen) if depth % 16 == 0 else seen  # a plan of few branches, however deep the graph
+    return rounds.result(seen.where("depth > 0"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -46,6 +34,8 @@ def components(edges: DataFrame) -> DataFrame:
     the nodes that still have edges, whatever the shape. Minima are pre-aggregated and the
     joins may be split where a node has many edges."""
     low, high = F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
+    rounds = Rounds(edges.sparkSession)
+    stable = rounds.keep
     left = stable(edges.where("a <> b").select(low, high).distinct())
     labels = None
     while not left.isEmpty():
@@ -64,16 +54,17 @@ def components(edges: DataFrame) -> DataFrame:
         by_a, by_b = (parent.select(F.col("node").alias(x), F.col("top").alias(f"top_{x}")) for x in ("a", "b"))
         moved = left.join(by_a, "a").join(by_b, "b").where("top_a <> top_b").select(F.col("top_a").alias("a"), F.col("top_b").alias("b"))
         left = stable(moved.select(low, high).distinct())
-    return labels if labels is not None else left.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    return rounds.result(labels if labels is not None else left.select(F.col("a").alias("node"), F.col("b").alias("component")))
 
 
 def expand_scores(edges: DataFrame, seeds: DataFrame, decay: float = 0.9, hops: int = 3) -> DataFrame:
     """(node, score): each node's best score over walks of at most `hops` steps from (node, score) seeds, times `decay` a step."""
-    best = stable(seeds.select("node", "score"))
+    rounds = Rounds(edges.sparkSession)
+    best = rounds.keep(seeds.select("node", "score"))
     for _ in range(hops):
         reached = best.join(edges.select(F.col("parent").alias("node"), "child"), "node").select(F.col("child").alias("node"), (F.col("score") * F.lit(decay)).alias("score"))
-        best = stable(best.unionByName(reached).groupBy("node").agg(F.max("score").alias("score")))
-    return best
+        best = rounds.keep(best.unionByName(reached).groupBy("node").agg(F.max("score").alias("score")))
+    return rounds.result(best)
 
 
 def neighbourhood(edges: DataFrame, nodes: DataFrame) -> DataFrame:
