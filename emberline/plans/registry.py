@@ -14,27 +14,16 @@ from ..functions import stats
 from ..functions import text as T
 from ..operators import graph, relational as R, vectors
 from ..sources.io import read_table
+from .base import QUERIES, SQL, query
 
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f: Callable[[SparkSession, str], DataFrame]):
-        _QUERIES[f.__name__] = f
-        if sql:
-            _SQL[f.__name__] = sql
-        return f
-
-    return add
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return _QUERIES
+    return QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return _SQL
+    return SQL
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -427,3 +416,6 @@ def order_components(spark, d):
     l = read_table(spark, d, "lineitem").select(F.col("l_orderkey").alias("a"), F.concat_ws("/", F.col("l_partkey"), F.col("l_suppkey")).alias("k"))
     hub = l.groupBy("k").agg(F.min("a").alias("b"))
     return graph.components(l.join(hub, "k").where("a <> b").select("a", "b"))
+
+
+from . import diffs  # noqa: E402, F401  the other families register themselves
