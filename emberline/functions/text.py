@@ -14,7 +14,7 @@ STOP_WORDS = ("added", "changed", "fixed", "removed", "updated", "using", "with"
 # Special tokens that normalising drops, in this order.
 SPECIAL_TOKENS = ("<|endoftext|>", "<|startoftext|>", "<|end|>", "<|start|>", "<|im_start|>", "<|im_end|>")
 # Words read as true or false in outcome columns.
-TRUE_WORDS, FALSE_WORDS = ("true", "1", "yes", "y", "t", "pass", "passed", "success", "✓"), ("false", "0", "no", "n", "f", "fail", "failed", "failure", "✗")
+TRUE_WORDS, FALSE_WORDS = ("1", "true", "success", "successes", "passed", "pass", "yes", "y", "✓"), ("0", "false", "failure", "fail", "failed", "no", "n", "✗")
 # Path families that diffs may leave out.
 IGNORED_PATHS = (r"^\.git/", r"(^|/)\.DS_Store$", r"(^|/)\.vscode/")
 GENERATED_PATHS = (r"coverage.*\.json$", r"\.coverage$", r"htmlcov/", r"node_modules/", r"vendor/", r"\.lock$")
@@ -122,8 +122,8 @@ def slash_path(c: Column) -> Column:
 
 
 def bare_path(c: Column, prefixes: str = "libs/agno/|libs/|src/") -> Column:
-    """Lower case, leading dots and slashes dropped as a set, the first known prefix dropped once."""
-    return F.regexp_replace(F.regexp_replace(F.lower(c), "^[./]+", ""), f"^({prefixes})", "")
+    """Trimmed, slashes, leading dots and slashes dropped as a set, lower case, the first known prefix dropped once."""
+    return F.regexp_replace(F.lower(F.regexp_replace(F.replace(F.trim(c), F.lit("\\"), F.lit("/")), "^[./]+", "")), f"^({prefixes})", "")
 
 
 def last_two(c: Column) -> Column:
@@ -131,16 +131,17 @@ def last_two(c: Column) -> Column:
 
 
 def files_match_strict(a: Column, b: Column) -> Column:
-    """Equal, or the last two segments are equal and both have two."""
+    """Neither empty, and equal, or the last two segments are equal and both have two."""
     a, b = slash_path(a), slash_path(b)
-    return (a == b) | ((F.size(F.split(a, "/")) > 1) & (F.size(F.split(b, "/")) > 1) & (last_two(a) == last_two(b)))
+    return (a != "") & (b != "") & (a == b) | ((F.size(F.split(a, "/")) > 1) & (F.size(F.split(b, "/")) > 1) & (last_two(a) == last_two(b)))
 
 
 def files_match_loose(a: Column, b: Column) -> Column:
     """As the strict one after prefixes are dropped; a path of one segment is compared by base name."""
+    given = (a != "") & (b != "")
     a, b = bare_path(a), bare_path(b)
     one = (F.size(F.split(a, "/")) == 1) | (F.size(F.split(b, "/")) == 1)
-    return F.when(one, basename(a) == basename(b)).otherwise((a == b) | (last_two(a) == last_two(b)))
+    return given & F.when(one, F.element_at(F.split(a, "/"), -1) == F.element_at(F.split(b, "/"), -1)).otherwise((a == b) | (last_two(a) == last_two(b)))
 
 
 def diff_files(diff: Column) -> Column:
@@ -219,10 +220,10 @@ def snippet(c: Column, needle: Column, before: int = 48, after: int = 96) -> Col
 
 
 def file_kind(c: Column) -> Column:
-    p = F.lower(c)
+    """By the end of a path, tests first: test, config, docs, code or other; letters' case counts."""
     return (
-        F.when(F.rlike(p, F.lit("(^|/)tests?/|(^|/)test_|_test\\.")), "test").when(F.rlike(p, F.lit("\\.(ya?ml|toml|cfg|ini|json)$")), "config")
-        .when(F.rlike(p, F.lit("\\.(md|rst|txt)$")), "docs").when(F.rlike(p, F.lit("\\.(py|rs|go|js|ts|java|c|cpp)$")), "code").otherwise("other")
+        F.when(F.rlike(c, F.lit("_test\\.py\\z|/tests/")), "test").when(F.rlike(c, F.lit("\\.(toml|yaml|yml|json|ini|cfg)\\z")), "config")
+        .when(F.rlike(c, F.lit("\\.(rst|md)\\z")), "docs").when(F.rlike(c, F.lit("\\.py\\z")), "code").otherwise("other")
     )
 
 
