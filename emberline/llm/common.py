@@ -3,7 +3,6 @@ Arrow slices, dictionary-coded words and bounded labelled samples."""
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -12,26 +11,23 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import shared_folder
+
 #: Bytes of text that one vectorised step holds at a time. A longer single text is one step.
-SLICE_BYTES = 24 << 20
-#: Words that a worker process remembers before it starts afresh; bounds its memory only.
-CACHE_WORDS = 600_000
+SLICE_BYTES = 2 << 20
+#: Bytes about that a worker process may fill with what words became; bounds its memory only.
+CACHE_BYTES = 64 << 20
+#: What a remembered word takes beside its letters and its arrays: string, dictionary entry, bounds.
+ENTRY_BYTES = 160
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """The cluster's spark.checkpoint.dir; a temporary folder only where none is configured (tests)."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="emberline-checkpoint-"))
-
-
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage in the shared folder, so a lost executor never forces a long recomputation."""
-    ensure_checkpoint_dir(df.sparkSession)
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -49,14 +45,15 @@ def text_slices(batches: Iterable[pa.RecordBatch], column: str = "text", limit:
     """The same rows in slices of at most `limit` bytes of text (a longer text comes alone); null texts become empty."""
     for batch in batches:
         at = batch.schema.get_field_index(column)
-        text = pc.fill_null(batch.column(at).cast(pa.large_string()), "")
-        batch = batch.set_column(at, column, text)
-        ends = np.cumsum(pc.binary_length(text).to_numpy(zero_copy_only=False).astype(np.int64))
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
         start = 0
         while start < batch.num_rows:
             before = ends[start - 1] if start else 0
             stop = max(start + 1, int(np.searchsorted(ends, before + limit, side="right")))
-            yield batch.slice(start, stop - start)
+            part = batch.slice(start, stop - start)
+            # a copy from place 0 on: kernels that rewrite a slice's letters in place of the whole array misread its offsets
+            text = part.column(at).take(pa.array(np.arange(part.num_rows)))
+            yield part.set_column(at, column, pc.fill_null(text.cast(pa.large_string()), ""))
             start = stop
 
 
@@ -75,69 +72,113 @@ def coded_words(text: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     return codes, coded.dictionary, offsets
 
 
-def sums_by_text(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Sums of `values` (by word; one or more columns) over each text; zero for a text without words."""
-    out = np.zeros((len(offsets) - 1, *values.shape[1:]), dtype=np.float64)
+def sums_by_text(rows: np.ndarray, codes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Sums of the words' rows (by dictionary code) over each text, one column at a time; zero for a text without words."""
+    out = np.zeros((len(offsets) - 1, rows.shape[1]), dtype=np.float64)
     full = np.flatnonzero(offsets[1:] > offsets[:-1])
     if len(full):
-        out[full] = np.add.reduceat(values, offsets[:-1][full], axis=0, dtype=np.float64)
+        for j in range(rows.shape[1]):
+            out[full, j] = np.add.reduceat(np.ascontiguousarray(rows[:, j])[codes], offsets[:-1][full], dtype=np.float64)
     return out
 
 
-class WordTable:
-    """Rows of floats by word, computed once a worker for each distinct word and kept in one array."""
-
-    def __init__(self, compute, width: int):
-        self.compute, self.width = compute, width
-        self.clear()
-
-    def clear(self) -> None:
-        self.index: dict[str, int] = {}
-        self.rows = np.zeros((1024, self.width), dtype=np.float32)
-
-    def of(self, dictionary: pa.Array) -> np.ndarray:
-        """The rows of a dictionary's words, in its order."""
-        if len(self.index) > CACHE_WORDS:
-            self.clear()
-        index, out = self.index, np.empty(len(dictionary), dtype=np.int64)
-        for i, word in enumerate(dictionary.to_pylist()):
-            at = index.get(word)
-            if at is None:
-                at = index[word] = len(index)
-                if at >= len(self.rows):
-                    self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-                self.rows[at] = self.compute(word)
-            out[i] = at
-        return self.rows[out]
-
-
 class Pieces:
     """Growing arrays of different lengths in one flat buffer, gathered by index without a loop over words."""
 
     def __init__(self, dtype):
-        self.flat, self.used = np.zeros(1 << 16, dtype=dtype), 0
-        self.starts, self.lengths, self.count = np.zeros(1 << 12, dtype=np.int64), np.zeros(1 << 12, dtype=np.int64), 0
+        self.flat, self.used = np.zeros(1 << 12, dtype=dtype), 0
+        self.starts, self.lengths, self.count = np.zeros(1 << 10, dtype=np.int64), np.zeros(1 << 10, dtype=np.int32), 0
 
-    def add(self, piece: np.ndarray) -> int:
-        n = len(piece)
+    def extend(self, flat: np.ndarray, lengths: np.ndarray) -> None:
+        """Appends pieces that lie end to end in `flat`."""
+        n, k = len(flat), len(lengths)
         while self.used + n > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        if self.count == len(self.starts):
+        while self.count + k > len(self.starts):
             self.starts, self.lengths = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lengths))
-        self.flat[self.used : self.used + n] = piece
-        self.starts[self.count], self.lengths[self.count] = self.used, n
+        self.flat[self.used : self.used + n] = flat
+        self.starts[self.count : self.count + k] = self.used + np.cumsum(lengths) - lengths
+        self.lengths[self.count : self.count + k] = lengths
         self.used += n
-        self.count += 1
-        return self.count - 1
+        self.count += k
 
     def gather(self, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The pieces end to end, and where each ends."""
-        lengths = self.lengths[index]
+        lengths = self.lengths[index].astype(np.int64)
         ends = np.cumsum(lengths)
         total = int(ends[-1]) if len(ends) else 0
         at = np.arange(total, dtype=np.int64) + np.repeat(self.starts[index] - (ends - lengths), lengths)
         return self.flat[at], ends
 
+    @property
+    def bytes(self) -> int:
+        return self.used * self.flat.itemsize
+
+
+class Memory:
+    """What words became, one piece of each kind a word, in about CACHE_BYTES: when full, words that
+    only one slice had are forgotten first, and all of them if that is not enough."""
+
+    def __init__(self, *dtypes):
+        self.dtypes = dtypes
+        self.clear()
+
+    def clear(self) -> None:
+        self.at: dict[str, int] = {}
+        self.kinds = [Pieces(d) for d in self.dtypes]
+        self.met = np.zeros(1 << 10, dtype=bool)  # by more than one slice
+        self.letters = 0
+
+    def full(self) -> bool:
+        return self.letters + ENTRY_BYTES * len(self.at) + sum(k.bytes for k in self.kinds) > CACHE_BYTES
+
+    def trim(self) -> None:
+        """Called between slices only, as places change."""
+        if not self.full():
+            return
+        old, met = (self.at, self.kinds), self.met
+        self.clear()
+        if met[: len(old[0])].mean() < 0.5:
+            words = [w for w, i in old[0].items() if met[i]]
+            places = np.fromiter((old[0][w] for w in words), dtype=np.int64, count=len(words))
+            parts = []
+            for kind in old[1]:
+                flat, ends = kind.gather(places)
+                parts.append((flat, np.diff(ends, prepend=0)))
+            self.add(words, *parts)
+
+    def add(self, words: list[str], *parts: tuple[np.ndarray, np.ndarray]) -> None:
+        """New words, and for each kind their pieces end to end with their lengths."""
+        first = len(self.at)
+        self.at.update(zip(words, range(first, first + len(words)), strict=True))
+        self.letters += sum(map(len, words))
+        while len(self.at) > len(self.met):
+            self.met = np.concatenate([self.met, np.zeros_like(self.met)])
+        for kind, part in zip(self.kinds, parts, strict=True):
+            kind.extend(*part)
+
+    def places(self, words: list[str], before: int) -> np.ndarray:
+        """Where the words' pieces are; those that were there before this slice (the first `before`) are marked as met again."""
+        out = np.fromiter(map(self.at.__getitem__, words), dtype=np.int64, count=len(words))
+        self.met[out[out < before]] = True
+        return out
+
+
+class WordTable:
+    """Rows of floats by word, computed once a task for each distinct word that it remembers."""
+
+    def __init__(self, compute, width: int):
+        self.compute, self.width, self.memory = compute, width, Memory(np.float32)
+
+    def of(self, dictionary: pa.Array) -> np.ndarray:
+        """The rows of a dictionary's words, in its order."""
+        self.memory.trim()
+        words, before = dictionary.to_pylist(), len(self.memory.at)
+        new = [w for w in words if w not in self.memory.at]
+        rows = np.array([self.compute(w) for w in new], dtype=np.float32).reshape(-1)
+        self.memory.add(new, (rows, np.full(len(new), self.width, dtype=np.int64)))
+        return self.memory.kinds[0].flat.reshape(-1)[: len(self.memory.at) * self.width].reshape(-1, self.width)[self.memory.places(words, before)]
+
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held_out: int, limit: int) -> DataFrame:
     """About `limit` labelled rows at most (doc_id, text, label), drawn by a hash of the id, without those held out.

@@ -22,6 +22,8 @@ from pyspark.sql.types import BooleanType, StructField, StructType
 
 from .common import checkpointed, join_group_facts
 
+#: Name of the added column; documents' own columns may have any name, as they travel in a struct.
+MAYBE = "maybe"
 #: Largest filter in bits (32 MB to broadcast), bits of a row and of a segment that is merged by itself, hash functions.
 FILTER_BITS, BITS_A_ROW, SEGMENT_BITS, HASHES = 1 << 28, 16, 1 << 16, 3
 
@@ -42,23 +44,32 @@ def _positions(hashes: pa.Array, bits: int) -> np.ndarray:
     return np.stack([(data[:, 0] + np.uint64(i) * step) & np.uint64(bits - 1) for i in range(HASHES)], axis=1).astype(np.int64)
 
 
+def _set(bits: np.ndarray, at: np.ndarray) -> None:
+    np.bitwise_or.at(bits, at >> 3, (128 >> (at & 7)).astype(np.uint8))
+
+
+def _are_set(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return ((bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).astype(bool)
+
+
 def repeated_filter(hashed: DataFrame, rows: int, column: str = "sha") -> np.ndarray:
-    """The merged filter of what may be repeated, as bytes of packed bits."""
+    """The merged filter of what may be repeated, as bytes of packed bits. A task holds two such filters, 64 MB at most."""
     bits = filter_bits(rows)
 
     def insert(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once, twice = np.zeros(bits, dtype=bool), np.zeros(bits, dtype=bool)
+        once, twice = np.zeros(bits // 8, dtype=np.uint8), np.zeros(bits // 8, dtype=np.uint8)
         for batch in batches:
             at = _positions(batch.column(0), bits)
-            met = once[at].all(axis=1)  # before this batch, or earlier in it:
+            met = _are_set(once, at).all(axis=1)  # before this batch, or earlier in it:
             first = np.unique(at, axis=0, return_index=True)[1]
             met |= ~np.isin(np.arange(len(at)), first)
-            twice[at[met].ravel()] = True
-            once[at.ravel()] = True
-        for start in range(0, bits, SEGMENT_BITS):
-            a, b = (np.flatnonzero(x[start : start + SEGMENT_BITS]).astype("<u2").tobytes() for x in (once, twice))
+            _set(twice, at[met].ravel())
+            _set(once, at.ravel())
+        step = SEGMENT_BITS // 8
+        for k in range(bits // SEGMENT_BITS):
+            a, b = (np.flatnonzero(np.unpackbits(x[k * step : (k + 1) * step])).astype("<u2").tobytes() for x in (once, twice))
             if a:
-                yield pa.RecordBatch.from_arrays([pa.array([start // SEGMENT_BITS], pa.int32()), pa.array([a], pa.binary()), pa.array([b], pa.binary())], ["segment", "once", "twice"])
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([a], pa.binary()), pa.array([b], pa.binary())], ["segment", "once", "twice"])
 
     def merge(parts: pd.DataFrame) -> pd.DataFrame:
         met, twice = np.zeros(SEGMENT_BITS, dtype=np.int64), np.zeros(SEGMENT_BITS, dtype=bool)
@@ -75,17 +86,16 @@ def repeated_filter(hashed: DataFrame, rows: int, column: str = "sha") -> np.nda
 
 
 def mark_possible(hashed: DataFrame, filter_: np.ndarray, column: str = "sha") -> DataFrame:
-    """The rows with `maybe`: whether their hash may be repeated. Rows stay in their partitions."""
+    """The rows with MAYBE: whether their hash may be repeated. Rows stay in their partitions."""
     shared = hashed.sparkSession.sparkContext.broadcast(filter_)
 
     def look(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packed = shared.value
         for batch in batches:
             at = _positions(batch.column(batch.schema.get_field_index(column)), len(packed) * 8)
-            set_ = (packed[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(set_.all(axis=1))], [*batch.schema.names, "maybe"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_are_set(packed, at).all(axis=1))], [*batch.schema.names, MAYBE])
 
-    return hashed.mapInArrow(look, StructType([*hashed.schema.fields, StructField("maybe", BooleanType())]))
+    return hashed.mapInArrow(look, StructType([*hashed.schema.fields, StructField(MAYBE, BooleanType())]))
 
 
 def group_copies(docs: DataFrame) -> DataFrame:
@@ -96,8 +106,8 @@ def group_copies(docs: DataFrame) -> DataFrame:
     hashed = checkpointed(docs.select(F.col("doc_id").cast("long"), text_hash().alias("sha"), F.monotonically_increasing_id().alias("row")))
     total = hashed.count()
     marked = mark_possible(hashed, repeated_filter(hashed, total))
-    single = marked.where(~F.col("maybe")).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "sha")
-    maybe = checkpointed(marked.where("maybe").drop("maybe"))
+    single = marked.where(~F.col(MAYBE)).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "sha")
+    maybe = checkpointed(marked.where(MAYBE).drop(MAYBE))
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))
     facts = checkpointed(maybe.groupBy("sha").agg(first.alias("first"), F.count(F.lit(1)).alias("group_size")))
     grouped = join_group_facts(maybe, facts, "sha", "group_size", total).select("doc_id", F.col("first.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("first.row")).alias("kept"), "sha")
@@ -105,14 +115,15 @@ def group_copies(docs: DataFrame) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The documents with one row for each text, columns as they are: unique rows pass straight
-    through, of the others the row with the smallest doc_id (then the smallest other columns) stays."""
+    """The documents with one row for each text, columns as they are, whatever their names and types:
+    unique rows pass straight through, of the others the row with the smallest doc_id (null last)
+    stays, of repeated ids the one that is read first."""
     own = docs.columns
-    hashed = docs.withColumn("__sha", text_hash())
-    marked = mark_possible(hashed, repeated_filter(hashed, docs.count(), "__sha"), "__sha")
-    whole = F.struct(F.col("doc_id").isNull(), "doc_id", *(F.col(f"`{c}`") for c in own if c != "doc_id"))
-    kept = marked.where("maybe").groupBy("__sha").agg(F.min(whole).alias("x"))
-    return marked.where(~F.col("maybe")).select(*(F.col(f"`{c}`") for c in own)).unionByName(kept.select(*(F.col(f"x.`{c}`").alias(c) for c in own)))
+    hashed = docs.select(F.struct(*(F.col(f"`{c}`") for c in own)).alias("row"), text_hash().alias("sha"), F.col("doc_id").cast("long").alias("id"), F.monotonically_increasing_id().alias("place"))
+    marked = mark_possible(hashed, repeated_filter(hashed, docs.count()))
+    first = F.struct(F.col("id").isNull(), "id", "place")
+    kept = marked.where(MAYBE).groupBy("sha").agg(F.min_by("row", first).alias("row"))
+    return marked.where(~F.col(MAYBE)).select("row").unionByName(kept.select("row")).select("row.*")
 
 
 def op9(spark, sf_dir: str) -> DataFrame:

@@ -21,7 +21,9 @@ from pyspark.sql import functions as F
 from .common import WordTable, coded_words, id_crc, rows_of, sums_by_text, text_slices
 
 #: Sampled texts of each language; all sampled texts, where there are so many languages that each gets fewer, but LEAST at least; buckets, embedding size, n-gram sizes.
-SAMPLE, TOTAL, LEAST, BUCKETS, DIM, GRAMS = 800, 160_000, 20, 1 << 15, 16, (2, 3, 4)
+SAMPLE, TOTAL, LEAST, BUCKETS, DIM, GRAMS = 800, 20_000, 20, 1 << 15, 16, (2, 3, 4)
+#: Buckets of a sampled text that training keeps, of long texts at even distances through all of them: bounds what reaches the driver.
+KEPT = 4096
 EPOCHS, RATE, REJECT_SHARE = 6, 0.5, 0.01
 MODULUS, HELD_OUT = 5, 0
 
@@ -107,7 +109,8 @@ def train(docs: DataFrame, sample: int = SAMPLE, modulus: int = MODULUS, held_ou
     """Learns from about `sample` texts of each language, drawn by a hash of the id, outside the held-out part.
 
     Null languages and texts, and texts without letters, teach nothing. Every language is
-    learned, from fewer texts each if there are many; only hashed counts reach the driver."""
+    learned, from fewer texts each if there are many; only hashed counts reach the driver, of at
+    most TOTAL texts (or LEAST a language) and KEPT buckets each, whatever the texts' lengths."""
     rows = rows_of(docs, "doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (id_crc() % modulus != held_out))
     known = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not known:
@@ -126,6 +129,7 @@ def train(docs: DataFrame, sample: int = SAMPLE, modulus: int = MODULUS, held_ou
                 words, repeats = np.unique(codes[offsets[i] : offsets[i + 1]], return_counts=True)
                 total = np.bincount(np.concatenate([np.zeros(0, np.int64), *(of_word[w] for w in words)]), weights=np.concatenate([np.zeros(0), *(np.full(len(of_word[w]), r, float) for w, r in zip(words, repeats, strict=True))]), minlength=1)
                 full = np.flatnonzero(total)
+                full = full if len(full) <= KEPT else full[np.linspace(0, len(full) - 1, KEPT).astype(np.int64)]
                 at.append(full.astype(np.int32))
                 times.append(total[full].astype(np.float32))
             yield pa.RecordBatch.from_arrays([part.column("lang"), pa.array(at, pa.list_(pa.int32())), pa.array(times, pa.list_(pa.float32()))], ["lang", "at", "times"])
@@ -151,7 +155,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                 best, score = np.zeros(rows.num_rows, int), np.zeros(rows.num_rows)
             else:
                 codes, dictionary, offsets = coded_words(rows.column("text"))
-                sums = sums_by_text(words.of(dictionary)[codes], offsets)
+                sums = sums_by_text(words.of(dictionary), codes, offsets)
                 p = model.probabilities(sums)
                 best, score = p.argmax(axis=1), p.max(axis=1)
             none = sums[:, -1] == 0

@@ -1,10 +1,12 @@
 """Token packing: first-fit decreasing over a tournament tree of bin capacities.
 
 Texts are tokenized where they are read and cut at multiples of the sequence length; only
-piece lengths travel on. Pieces are dealt at random into groups of bounded size, and each
-group is packed on its own: pieces from long to short, each into the leftmost bin with room,
-which a tournament tree over the bins' free capacities finds in logarithmic time. A group
-leaves at most a bin or two partly empty, so padding falls with the group size.
+piece lengths travel on. A piece of full length is a sequence by itself and stays where it is,
+so each document has one shorter piece at most to pack. Documents are dealt at random into
+groups of bounded size, and each group is packed on its own: pieces from long to short, each
+into the leftmost bin with room, which a tournament tree over the bins' free capacities finds
+in logarithmic time. A group leaves at most a bin or two partly empty, so padding falls with
+the group size.
 """
 
 from __future__ import annotations
@@ -23,73 +25,61 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CACHE_WORDS, Pieces, coded_words, text_slices
+from .common import Memory, checkpointed, coded_words, text_slices
 
 SEQUENCE, END_ID, GROUP_DOCS = 4096, 2, 4096
 VOCABULARY = "word_bpe_49k.json"
 #: The vocabulary's own pre-tokenizer pattern.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: Words gathered into one id stream at a time.
-STREAM_WORDS = 1 << 20
+#: Words gathered into one id stream at a time; repeated documents that a task tells apart before it starts afresh; first sequence number of full pieces.
+STREAM_WORDS, REPEATS, FULL = 1 << 18, 100_000, 1 << 62
 
 
 class WordEncoder:
-    """Ids of texts by a tokenizers file whose words end at white space, remembered by word.
+    """Ids of texts by a tokenizers file whose words end at white space, as the library gives them
+    without added special tokens; what chunks between white space became is remembered.
 
     No word's ids depend on its neighbours, as the vocabulary splits at white space before it
-    merges; words beyond Latin letters go through the tokenizer whole, so its own
-    normalisation decides."""
+    merges. Chunks beyond Latin letters, or with the string of a special token, which the library
+    reads as that token, go through the tokenizer whole."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.model = self.tokenizer.model
         self.pattern = regex.compile(WORD_PATTERN)
+        self.special = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
+        if any(c.isspace() for s in self.special for c in s):
+            raise ValueError("a special token holds white space, at which texts are cut")
         # the byte alphabet of byte-level vocabularies: printable bytes stand for themselves, the others follow from 256 on
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = iter(range(256, 512))
         self.letters = "".join(chr(b if b in plain else next(rest)) for b in range(256))
-        self.clear()
-
-    def clear(self) -> None:
-        self.chunks: dict[str, int] = {}
-        self.words: dict[str, np.ndarray] = {}
-        self.pieces = Pieces(np.uint16)
-
-    def _word(self, word: str) -> np.ndarray:
-        ids = self.words.get(word)
-        if ids is None:
-            mapped = word.encode().decode("latin-1").translate(self.letters)
-            ids = self.words[word] = np.array([t.id for t in self.model.tokenize(mapped)], dtype=np.uint16)
-        return ids
-
-    def _chunk(self, chunk: str) -> np.ndarray:
-        if not chunk or max(chunk) < "ɐ" and chunk.isprintable():  # Latin: normalisation and lower case are the same in both libraries
+        self.dtype = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
+        self.memory = Memory(self.dtype)
+
+    def _chunk(self, chunk: str) -> list[int]:
+        if max(chunk) < "ɐ" and chunk.isprintable() and not any(s in chunk for s in self.special):  # Latin: normalisation and lower case are the same in both libraries
             found = self.pattern.findall(unicodedata.normalize("NFC", chunk).lower())
-            return self._word(found[0]) if len(found) == 1 else np.concatenate([np.zeros(0, np.uint16), *map(self._word, found)])
-        return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, dtype=np.uint16)
-
-    def index(self, dictionary: pa.Array) -> np.ndarray:
-        if len(self.chunks) > CACHE_WORDS:
-            self.clear()
-        chunks, out = self.chunks, np.empty(len(dictionary), dtype=np.int64)
-        for i, chunk in enumerate(dictionary.to_pylist()):
-            at = chunks.get(chunk)
-            if at is None:
-                at = chunks[chunk] = self.pieces.add(self._chunk(chunk))
-            out[i] = at
-        return out
+            return [t.id for w in found for t in self.model.tokenize(w.encode().decode("latin-1").translate(self.letters))]
+        return self.tokenizer.encode(chunk, add_special_tokens=False).ids
 
     def streams(self, text: pa.Array) -> Iterator[np.ndarray]:
         """The ids of each text, in order."""
+        self.memory.trim()
         codes, dictionary, offsets = coded_words(text)
-        index = self.index(dictionary)
+        chunks, before = dictionary.to_pylist(), len(self.memory.at)
+        new = [c for c in chunks if c and c not in self.memory.at]
+        lists = [self._chunk(c) for c in new]
+        counts = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
+        self.memory.add(new, (np.fromiter((i for ids in lists for i in ids), dtype=self.dtype, count=int(counts.sum())), counts))
+        index = np.zeros(len(chunks), dtype=np.int64)
+        index[[i for i, c in enumerate(chunks) if c]] = self.memory.places([c for c in chunks if c], before)
         first = 0
         while first < len(text):
             last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + STREAM_WORDS, side="right")) - 1)
-            ids, ends = self.pieces.gather(index[codes[offsets[first] : offsets[last]]])
+            ids, ends = self.memory.kinds[0].gather(index[codes[offsets[first] : offsets[last]]])
             ends = np.concatenate([[0], ends])[offsets[first : last + 1] - offsets[first]]
             for i in range(last - first):
                 yield ids[ends[i] : ends[i + 1]]
@@ -108,7 +98,7 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 
 
 def cut_pieces(docs: DataFrame, path: str, groups: int, sequence: int = SEQUENCE, end_id: int = END_ID) -> DataFrame:
-    """(doc_id, start, length, ids_crc32, doc_tokens, g): each text's ids and the end id, cut at multiples of `sequence`."""
+    """(doc_id, start, length, ids_crc32, doc_tokens, g): each text's ids and the end id, cut at multiples of `sequence`; g is the document's group."""
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,16 +107,15 @@ def cut_pieces(docs: DataFrame, path: str, groups: int, sequence: int = SEQUENCE
         for rows in text_slices(batches):
             out: list[tuple] = []
             for doc_id, ids in zip(rows.column("doc_id").to_pylist(), encode.streams(rows.column("text")), strict=True):
-                raw = ids.astype("<u4").tobytes() + end
+                raw = memoryview(ids.astype("<u4").tobytes() + end)
                 total = len(ids) + 1
+                key = (doc_id, total, zlib.crc32(raw))
+                met[key] += 1  # repeated rows are dealt apart
+                g = zlib.crc32(f"{key}{met[key]}".encode()) % groups
                 for start in range(0, total, sequence):
                     length = min(sequence, total - start)
-                    crc = zlib.crc32(memoryview(raw)[4 * start : 4 * (start + length)])
-                    key = (doc_id, start, crc)
-                    met[key] += 1  # repeated rows are dealt apart
-                    g = zlib.crc32(f"{key}{met[key]}".encode()) % groups
-                    out.append((doc_id, start, length, crc, total, g))
-            if len(met) > CACHE_WORDS:
+                    out.append((doc_id, start, length, zlib.crc32(raw[4 * start : 4 * (start + length)]), total, g))
+            if len(met) > REPEATS:
                 met.clear()
             columns = list(zip(*out, strict=True)) if out else [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "g"])
@@ -174,8 +163,12 @@ def pack(docs: DataFrame, path: str | None = None, sequence: int = SEQUENCE, end
         bins, offsets = first_fit_decreasing(pieces["length"].to_numpy(), sequence)
         return pieces.assign(sequence_id=pieces["g"] * (1 << 32) + bins, offset=offsets).drop(columns="g").astype({"doc_id": "Int64"})
 
-    pieces = cut_pieces(docs, path or vocabulary_path(), groups, sequence, end_id)
-    return pieces.groupBy("g").applyInPandas(fill, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    # written once, so that texts are tokenized once; full pieces need no group and do not shuffle
+    pieces = checkpointed(cut_pieces(docs, path or vocabulary_path(), groups, sequence, end_id))
+    full = F.col("length") == sequence
+    packed = pieces.where(~full).groupBy("g").applyInPandas(fill, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    alone = pieces.where(full).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.lit(FULL) + F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    return packed.unionByName(alone)
 
 
 def op3(spark, sf_dir: str) -> DataFrame:

@@ -36,7 +36,7 @@ def word_row(word: str) -> tuple[float, ...]:
 def statistics(text: pa.Array, words: WordTable) -> np.ndarray:
     """One row of transformed statistics a text; a text without words has a fixed row."""
     codes, dictionary, offsets = coded_words(text)
-    sums = sums_by_text(words.of(dictionary)[codes], offsets)
+    sums = sums_by_text(words.of(dictionary), codes, offsets)
     n = np.diff(offsets).astype(np.float64)
     m = np.maximum(n, 1)
     chars = np.maximum(sums[:, 0], 1)

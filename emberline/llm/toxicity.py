@@ -24,10 +24,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordTable, coded_words, fit_logistic, id_crc, labelled_sample, logistic, text_slices
+from .common import WordTable, checkpointed, coded_words, fit_logistic, id_crc, labelled_sample, logistic, text_slices
 
-#: Labelled rows in the sample, entries in the model, and word beginnings that are counted too.
-SAMPLE, TERMS, BEGINNINGS = 20_000, 20_000, (4, 5, 6, 7)
+#: Labelled rows in the sample, and word beginnings that are counted too.
+SAMPLE, BEGINNINGS = 20_000, (4, 5, 6, 7)
 MODULUS, HELD_OUT, THRESHOLD = 4, 2, 0.3
 #: Weight of the prior, smallest z-score of a term, drift per word, p-value of a significant segment.
 PRIOR, LEAST_Z, DRIFT, SIGNIFICANT = 0.05, 2.2, 0.05, 0.05
@@ -77,7 +77,7 @@ def count_terms(sample: DataFrame) -> DataFrame:
 
 
 def telling(counts: DataFrame) -> list:
-    """At most TERMS (term, log-odds), by falling z-score."""
+    """(term, log-odds) of every significant term; as many as the bounded sample has."""
     n = counts.agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other")).first()
     n1, n0 = float(n["toxic"] or 0), float(n["other"] or 0)
     if not n1 or not n0:
@@ -87,7 +87,7 @@ def telling(counts: DataFrame) -> list:
     total = (n1 + n0) * PRIOR
     odds = F.log(c1 / (n1 + total - c1)) - F.log(c0 / (n0 + total - c0))
     z = odds / F.sqrt(1 / c1 + 1 / c0)
-    return counts.where(F.col("toxic") + F.col("other") >= 2).select("term", odds.alias("odds"), z.alias("z")).where(F.abs("z") >= LEAST_Z).orderBy(F.abs("z").desc(), "term").limit(TERMS).collect()
+    return counts.where(F.col("toxic") + F.col("other") >= 2).select("term", odds.alias("odds"), z.alias("z")).where(F.abs("z") >= LEAST_Z).select("term", "odds").collect()
 
 
 def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
@@ -137,39 +137,37 @@ def _table(model: Model) -> WordTable:
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, modulus: int = MODULUS, held_out: int = HELD_OUT) -> Model:
     """Fits the model on a bounded sample of labelled rows outside the held-out part. Without both labels, a model that knows no term."""
-    rows = labelled_sample(docs, labels, "toxic", modulus, held_out, sample)
-    model = Model({r["term"]: float(r["odds"]) for r in telling(count_terms(rows))})
+    rows = checkpointed(labelled_sample(docs, labels, "toxic", modulus, held_out, sample).select("text", "label"))
+    model = Model({r["term"]: float(r["odds"]) for r in telling(checkpointed(count_terms(rows)))})
 
-    def best(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def tops(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _table(model)
         for part in text_slices(batches):
-            label = part.column("label").to_pylist()
-            lists, lengths = [], []
+            best, lengths = [], []
             for scores in _scan(part.column("text"), model, words):
-                lists.append([s for _, _, s in segments(scores)])
+                best.append(max((s for _, _, s in segments(scores)), default=0.0))
                 lengths.append(len(scores))
-            yield pa.RecordBatch.from_arrays([pa.array(label, pa.int32()), pa.array(lengths, pa.int64()), pa.array(lists, pa.list_(pa.float64()))], ["label", "n", "scores"])
+            yield pa.RecordBatch.from_arrays([part.column("label"), pa.array(lengths, pa.int64()), pa.array(best, pa.float64())], ["label", "n", "top"])
 
-    # segments of the bounded sample; few words score above zero, so these lists are short
-    seen = rows.select("text", "label").mapInArrow(best, "label int, n long, scores array<double>").collect()
-    label = np.array([r["label"] for r in seen], dtype=np.float64)
-    if not len(label) or label.min() == label.max():
-        model.prior = float(label.mean()) if len(label) else 0.0
+    def inputs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = _table(model)
+        for part in text_slices(batches):
+            x = [_inputs(*features(scores, model)[:2]) for scores in _scan(part.column("text"), model, words)]
+            yield pa.RecordBatch.from_arrays([part.column("label"), pa.array(x, pa.list_(pa.float64()))], ["label", "x"])
+
+    # a few numbers of each sampled text reach the driver
+    seen = rows.mapInArrow(tops, "label int, n long, top double").toPandas()
+    if not len(seen) or seen["label"].min() == seen["label"].max():
+        model.prior = float(seen["label"].mean()) if len(seen) else 0.0
         return model
     # chance law from clean texts: moments of the maximum give the decay, then K from its mean
-    tops = np.array([max(r["scores"], default=0.0) for r in seen])
-    sizes = np.array([max(r["n"], 1) for r in seen], dtype=np.float64)
-    clean = label == 0
-    spread = max(float(np.std(tops[clean])), 1e-3)
+    clean = seen[seen["label"] == 0]
+    spread = max(float(np.std(clean["top"])), 1e-3)
     model.decay = float(np.clip(np.pi / np.sqrt(6) / spread, 0.2, 5.0))
-    model.log_k = float(model.decay * np.mean(tops[clean]) - 0.5772156649015329 - np.mean(np.log(sizes[clean])))
-    x = []
-    for r, n in zip(seen, sizes, strict=True):
-        shift = model.log_k + np.log(n)
-        normalised = [model.decay * s - shift for s in r["scores"]]
-        great = [v for v in normalised if v >= BAR]
-        x.append(_inputs(max(normalised, default=-shift), float(sum(great))))
-    model.weights, model.prior = fit_logistic(np.array(x), label), float(label.mean())
+    model.log_k = float(model.decay * clean["top"].mean() - 0.5772156649015329 - np.log(clean["n"].clip(lower=1)).mean())
+    got = rows.mapInArrow(inputs, "label int, x array<double>").toPandas()
+    label = got["label"].to_numpy(dtype=np.float64)
+    model.weights, model.prior = fit_logistic(np.array(got["x"].tolist(), dtype=np.float64), label), float(label.mean())
     return model
 
 
