@@ -1,10 +1,16 @@
 """Byte-level BPE by recursive DuckDB queries inside each partition.
 
 A text falls into chunks at single spaces, which never cut a match of the splitting pattern;
-chunks fall into words by the pattern. Each worker merges every distinct word once: rows
-(word, position, token) join the merge table, each word's leftmost pair of minimum rank is
-contracted, and the recursion ends when no word has a pair left. An ordered aggregation turns
-ids back into bytes. Ids and bytes of whole texts are then gathered by chunk.
+chunks fall into words by the pattern. Each worker merges a distinct word once for as long as
+it remembers it: rows (word, position, token) join the merge table, each word's leftmost pair
+of minimum rank is contracted, and the recursion ends when no word has a pair left. An ordered
+aggregation turns ids back into bytes. Ids and bytes of whole texts are then gathered by chunk.
+
+There are two such queries. In that for short words a step contracts one pair of a word. In that
+for long ones it contracts the pair's further occurrences too, from left to right, where that
+is the same as one after another: where no longer token that a merged one can become part of
+has a lower rank, so nothing can come between. So a word of any length takes at most a step for
+each rank that occurs in it.
 """
 
 from __future__ import annotations
@@ -21,146 +27,142 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CACHE_WORDS, Pieces, text_slices
+from .common import Memory, Pieces, text_slices
 
 RANKS = "byte_bpe_50k.tiktoken"
-#: Distinct words in one recursive query, and the bytes up to which a word is merged there: a
-#: recursion takes a step per merge over all of a word's rows, so longer words use a heap.
-QUERY_WORDS, QUERY_BYTES = 20_000, 256
-STREAM_CHUNKS = 1 << 20
+#: Bytes of distinct words in one recursive query (a longer word comes alone), bytes of a long word, and chunks gathered at a time.
+QUERY_BYTES, LONG_BYTES, STREAM_CHUNKS = 1 << 20, 64, 1 << 18
 
-#: One step of the recursion sees only the words that changed in the step before.
+#: The live rows of a word are contracted until it has no pair left; its last rows are marked done. A pair
+#: is known by its rank and, in the lower 32 bits, its place.
 MERGE_SQL = """
-WITH RECURSIVE steps(word, pos, token, step) AS (
-    SELECT word, pos, token, 0 FROM start
+WITH RECURSIVE steps(word, pos, token, done) AS (
+    SELECT word, pos, token, false FROM start
   UNION ALL
-    SELECT word, pos, CASE WHEN pos = (least // 1024) % 1024 THEN least // 1048576 ELSE token END, step + 1
-    FROM (
-      -- rank, place and follower's place of each word's least pair in one number: words have at most QUERY_BYTES bytes
-      SELECT p.word, p.pos, p.token, p.step, min(m.merged * 1048576 + p.pos * 1024 + p.next_pos) OVER (PARTITION BY p.word) AS least
-      FROM (SELECT *, lead(token) OVER w AS follower, lead(pos) OVER w AS next_pos FROM steps WINDOW w AS (PARTITION BY word ORDER BY pos)) p
-      LEFT JOIN merges m ON m.first = p.token AND m.second = p.follower)
-    WHERE least IS NOT NULL AND pos <> least % 1024)
-SELECT word, pos, token FROM (SELECT *, max(step) OVER (PARTITION BY word) AS last FROM steps) WHERE step = last ORDER BY word, pos
+    (WITH pairs AS MATERIALIZED (
+       SELECT t.word, t.pos, t.token, t.before, (m.merged::BIGINT << 32) | t.pos AS pair
+       FROM (SELECT word, pos, token, lead((word::BIGINT << 32) | token) OVER w AS after, lag(pos) OVER w AS before FROM steps WHERE NOT done WINDOW w AS (ORDER BY pos)) t
+       LEFT JOIN merges m ON m.first = t.token AND m.second = (t.after & 4294967295)::INTEGER AND (t.after >> 32) = t.word),
+     least AS (SELECT word, min(pair) AS least FROM pairs GROUP BY word)
+     SELECT word, pos, CASE WHEN pair = least THEN (least >> 32)::INTEGER ELSE token END, least IS NULL
+     FROM pairs JOIN least USING (word)
+     WHERE least IS NULL OR before IS NULL OR before <> least & 4294967295))
+SELECT word, token FROM steps WHERE done ORDER BY pos
+"""
+
+#: The same for long words. `single` marks ranks that may be contracted only once a step. Of pairs that
+#: overlap (only inside a word, as its last token has none) every other one is taken, by places over all live rows.
+LONG_MERGE_SQL = """
+WITH RECURSIVE steps(word, pos, token, done) AS (
+    SELECT word, pos, token, false FROM start
+  UNION ALL
+    (WITH pairs AS MATERIALIZED (
+       SELECT t.word, t.pos, t.token, t.place, m.merged, m.single
+       FROM (SELECT word, pos, token, lead((word::BIGINT << 32) | token) OVER w AS after, row_number() OVER w AS place FROM steps WHERE NOT done WINDOW w AS (ORDER BY pos)) t
+       LEFT JOIN merges m ON m.first = t.token AND m.second = (t.after & 4294967295)::INTEGER AND (t.after >> 32) = t.word),
+     least AS (SELECT word, min(merged) AS rank, min((merged::BIGINT << 32) | pos) & 4294967295 AS leftmost FROM pairs GROUP BY word),
+     chosen AS (
+       SELECT word, pos, token, rank, CASE WHEN merged IS NULL OR merged <> rank THEN false WHEN single THEN pos = leftmost
+         ELSE (place - coalesce(max(CASE WHEN merged IS NULL OR merged <> rank THEN place END) OVER (ORDER BY pos), 0)) % 2 = 1 END AS joins
+       FROM pairs JOIN least USING (word))
+     SELECT word, pos, CASE WHEN joins THEN rank ELSE token END, rank IS NULL
+     FROM (SELECT *, lag(joins, 1, false) OVER (ORDER BY pos) AS joined FROM chosen) WHERE NOT joined))
+SELECT word, token FROM steps WHERE done ORDER BY pos
 """
 
 DECODE_SQL = """
-SELECT t.word, from_hex(string_agg(v.hex, '' ORDER BY t.pos)) AS bytes
+SELECT t.word, string_agg(v.hex, '' ORDER BY t.pos) AS hex
 FROM tokens t JOIN vocabulary v USING (token) GROUP BY t.word ORDER BY t.word
 """
 
 
 class Codec:
-    """Encodes and decodes with one rank file; what words became is remembered by the worker."""
+    """Encodes and decodes with one rank file; what words and chunks became is remembered by the worker."""
 
     def __init__(self, path: str, pattern: str):
         import duckdb
 
         with open(path, "rb") as lines:
-            self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
+            ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
         # white space by its Unicode property, without the control characters that Python adds
         self.pattern = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
-        self.single = np.array([self.ranks[bytes([b])] for b in range(256)], dtype=np.int64)
-        self.wide = np.uint16 if max(self.ranks.values()) < 1 << 16 else np.uint32
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "600MB", "preserve_insertion_order": "false", "temp_directory": ""})
-        pairs = [(self.ranks[w[:i]], self.ranks[w[i:]], r) for w, r in self.ranks.items() for i in range(1, len(w)) if w[:i] in self.ranks and w[i:] in self.ranks]
-        self._load("merges", **dict(zip(("first", "second", "merged"), np.array(pairs, dtype=np.int64).reshape(-1, 3).T, strict=True)))
-        vocabulary = pa.table({"token": pa.array(list(self.ranks.values()), pa.int64()), "hex": [w.hex() for w in self.ranks]})
-        self.db.register("given", vocabulary)
-        self.db.execute("CREATE TABLE vocabulary AS SELECT * FROM given")
-        self.db.unregister("given")
-        self.clear()
-
-    def _load(self, name: str, **columns: np.ndarray) -> None:
+        self.of_byte = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int32)
+        self.largest = max(ranks.values())
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "250MB", "preserve_insertion_order": "false", "temp_directory": ""})
+        pairs = np.array([(ranks[w[:i]], ranks[w[i:]], r) for w, r in ranks.items() for i in range(1, len(w)) if w[:i] in ranks and w[i:] in ranks], dtype=np.int32).reshape(-1, 3)
+        lowest = np.full(self.largest + 1, self.largest + 1, dtype=np.int32)  # rank that a token can become part of
+        for part in (0, 1):
+            np.minimum.at(lowest, pairs[:, part], pairs[:, 2])
+        self._load("merges", first=pairs[:, 0], second=pairs[:, 1], merged=pairs[:, 2], single=lowest[pairs[:, 2]] < pairs[:, 2])
+        self._load("vocabulary", token=np.array(list(ranks.values()), dtype=np.int32), hex=[w.hex() for w in ranks])
+        self.memory = Memory(np.uint16 if self.largest < 1 << 16 else np.uint32, np.uint8)
+
+    def _load(self, name: str, **columns) -> None:
         self.db.register("given", pa.table({k: pa.array(v) for k, v in columns.items()}))
         self.db.execute(f"CREATE OR REPLACE TABLE {name} AS SELECT * FROM given")
         self.db.unregister("given")
 
-    def clear(self) -> None:
-        self.chunks: dict[str, int] = {}
-        self.ids, self.decoded = Pieces(self.wide), Pieces(np.uint8)
-        self.word_at: dict[str, int] = {}
-        self.word_ids: list[np.ndarray] = []
-        self.word_bytes: list[np.ndarray] = []
-
-    def merge_words(self, words: list[bytes]) -> list[np.ndarray]:
-        """Ids of each word by the recursive query; long ones by `merge_long`."""
-        out: list[np.ndarray] = [None] * len(words)  # type: ignore[list-item]
-        short = [i for i, w in enumerate(words) if 0 < len(w) <= QUERY_BYTES]
-        for i, w in enumerate(words):
-            if len(w) > QUERY_BYTES or not w:
-                out[i] = self.merge_long(w)
-        for k in range(0, len(short), QUERY_WORDS):
-            part = short[k : k + QUERY_WORDS]
-            lengths = np.array([len(words[i]) for i in part], dtype=np.int64)
-            flat = np.frombuffer(b"".join(words[i] for i in part), dtype=np.uint8)
-            ends = np.cumsum(lengths)
-            self._load("start", word=np.repeat(np.arange(len(part)), lengths), pos=np.arange(len(flat)) - np.repeat(ends - lengths, lengths), token=self.single[flat])
-            found = self.db.execute(MERGE_SQL).fetchnumpy()
-            cuts = np.flatnonzero(np.diff(found["word"])) + 1
-            for i, ids in zip(part, np.split(found["token"], cuts), strict=True):
-                out[i] = ids
-        return out
-
-    def merge_long(self, word: bytes) -> np.ndarray:
-        """The same contraction with a heap of (rank, position) over a linked list of tokens."""
-        import heapq
-
-        tokens = [word[i : i + 1] for i in range(len(word))]
-        after, before, dead = list(range(1, len(word) + 1)), list(range(-1, len(word) - 1)), bytearray(len(word))
-        heap = [(r, i, 2) for i in range(len(word) - 1) if (r := self.ranks.get(word[i : i + 2])) is not None]
-        heapq.heapify(heap)
-        while heap:
-            rank, i, size = heapq.heappop(heap)
-            j = after[i]
-            if dead[i] or j >= len(word) or len(tokens[i]) + len(tokens[j]) != size or self.ranks.get(tokens[i] + tokens[j]) != rank:
-                continue  # one of the pair has changed since
-            tokens[i], dead[j], after[i] = tokens[i] + tokens[j], 1, after[j]
-            if after[i] < len(word):
-                before[after[i]] = i
-            for a, b in ((before[i], i), (i, after[i])):
-                if a >= 0 and b < len(word) and (r := self.ranks.get(tokens[a] + tokens[b])) is not None:
-                    heapq.heappush(heap, (r, a, len(tokens[a]) + len(tokens[b])))
-        return np.array([self.ranks[tokens[i]] for i in range(len(word)) if not dead[i]], dtype=np.int64)
-
-    def decode_many(self, lists: list[np.ndarray]) -> list[bytes]:
-        """Bytes of each list of ids by an ordered aggregation; unknown ids raise."""
-        out: list[bytes] = [b""] * len(lists)
-        full = [i for i, ids in enumerate(lists) if len(ids)]
-        for k in range(0, len(full), QUERY_WORDS):
-            part = full[k : k + QUERY_WORDS]
-            lengths = np.array([len(lists[i]) for i in part], dtype=np.int64)
-            flat = np.concatenate([lists[i] for i in part]).astype(np.int64)
-            if len(flat) and (flat.min() < 0 or flat.max() > max(self.ranks.values())):
-                raise ValueError("an id is not in the vocabulary")
-            self._load("tokens", word=np.repeat(np.arange(len(part)), lengths), pos=np.arange(len(flat)), token=flat)
-            for i, (_, data) in zip(part, self.db.execute(DECODE_SQL).fetchall(), strict=True):
-                out[i] = bytes(data)
-        return out
-
-    def _learn(self, words: Iterable[str]) -> None:
-        new = [w for w in dict.fromkeys(words) if w not in self.word_at]
-        ids = self.merge_words([w.encode() for w in new])
-        decoded = self.decode_many(ids)
-        for w, i, d in zip(new, ids, decoded, strict=True):
-            self.word_at[w] = len(self.word_ids)
-            self.word_ids.append(i.astype(self.wide))
-            self.word_bytes.append(np.frombuffer(d, dtype=np.uint8))
-
-    def _add_chunks(self, new: list[str]) -> None:
-        found = [self.pattern.findall(c) for c in new]
-        self._learn(w for ws in found for w in ws)
-        none_i, none_b = np.zeros(0, self.wide), np.zeros(0, np.uint8)
-        for c, ws in zip(new, found, strict=True):
-            at = [self.word_at[w] for w in ws]
-            ids, data = (self.word_ids[at[0]], self.word_bytes[at[0]]) if len(at) == 1 else (np.concatenate([none_i, *(self.word_ids[i] for i in at)]), np.concatenate([none_b, *(self.word_bytes[i] for i in at)]))
-            self.chunks[c] = self.ids.add(ids)
-            self.decoded.add(data)
+    @staticmethod
+    def _parts(lengths: np.ndarray, limit: int = QUERY_BYTES) -> Iterator[slice]:
+        """Consecutive items of about `limit` in all; a longer one comes alone."""
+        ends, start = np.cumsum(lengths), 0
+        while start < len(lengths):
+            stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + limit, side="right")))
+            yield slice(start, stop)
+            start = stop
+
+    def merge_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words end to end by the recursive queries, and how many each has."""
+        lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+        order = np.argsort(lengths > LONG_BYTES, kind="stable")  # short ones first
+        sizes, shorts = lengths[order], int((lengths <= LONG_BYTES).sum())
+        found, counts = Pieces(np.int32), np.zeros(len(words), dtype=np.int64)
+        for query, first, last in ((MERGE_SQL, 0, shorts), (LONG_MERGE_SQL, shorts, len(words))):
+            for part in self._parts(sizes[first:last]):
+                at = order[first + part.start : first + part.stop]
+                flat = self.of_byte[np.frombuffer(b"".join([words[i] for i in at.tolist()]), dtype=np.uint8)]
+                self._load("start", word=np.repeat(np.arange(len(at), dtype=np.int32), lengths[at]), pos=np.arange(len(flat), dtype=np.int32), token=flat)
+                rows = self.db.execute(query).fetchnumpy()
+                counts[at] = np.bincount(rows["word"], minlength=len(at))
+                found.extend(rows["token"], counts[at])
+        return found.gather(np.argsort(order))[0], counts
+
+    def decode_many(self, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes of lists of ids that lie end to end by an ordered aggregation, and how many each has; unknown ids raise."""
+        if len(ids) and (ids.min() < 0 or ids.max() > self.largest):
+            raise ValueError("an id is not in the vocabulary")
+        out, sizes, start = [np.zeros(0, np.uint8)], np.zeros(len(counts), dtype=np.int64), 0
+        for part in self._parts(counts):
+            flat = ids[start : (start := start + int(counts[part].sum()))].astype(np.int32)
+            self._load("tokens", word=np.repeat(np.arange(part.start, part.stop), counts[part]), pos=np.arange(len(flat)), token=flat)
+            found = self.db.sql(DECODE_SQL).to_arrow_table()
+            hex_ = found.column("hex").combine_chunks()
+            out.append(np.frombuffer(bytes.fromhex("".join(hex_.to_pylist())), dtype=np.uint8))
+            sizes[found.column("word").to_numpy()] = pc.binary_length(hex_).to_numpy(zero_copy_only=False) // 2
+        return np.concatenate(out), sizes
+
+    def _learn(self, chunks: Iterable[str]) -> None:
+        """Remembers the chunks and the words that they fall into; a chunk of one word is that word."""
+        at = self.memory.at
+        new = [c for c in dict.fromkeys(chunks) if c not in at]
+        found = self.pattern.findall
+        falls = {c: ws for c in new if len(ws := found(c)) != 1}
+        words = [w for w in dict.fromkeys([*(c for c in new if c not in falls), *(w for ws in falls.values() for w in ws)]) if w not in at]
+        ids, counts = self.merge_words([w.encode() for w in words])
+        self.memory.add(words, (ids, counts), self.decode_many(ids, counts))
+        falls = {c: ws for c, ws in falls.items() if c not in at}
+        places = np.fromiter((at[w] for ws in falls.values() for w in ws), dtype=np.int64)
+        firsts = np.concatenate([[0], np.cumsum([len(ws) for ws in falls.values()], dtype=np.int64)])
+        parts = []
+        for kind in self.memory.kinds:
+            flat, ends = kind.gather(places)
+            parts.append((flat, np.diff(np.concatenate([[0], ends])[firsts])))
+        self.memory.add(list(falls), *parts)
 
     def texts(self, text: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(ids, decoded bytes) of each text."""
-        if len(self.chunks) > CACHE_WORDS or len(self.word_at) > CACHE_WORDS:
-            self.clear()
+        self.memory.trim()
+        before = len(self.memory.at)
         lists = pc.split_pattern(text, " ")
         offsets = lists.offsets.to_numpy().astype(np.int64)
         offsets = offsets - offsets[0]
@@ -169,40 +171,36 @@ class Codec:
         parts = coded.dictionary.to_pylist()
         # a cut at a space is safe only between two characters that are no white space
         unsafe = np.array([not p or p[0].isspace() or p[-1].isspace() for p in parts], dtype=bool)
-        firsts = dict.fromkeys(parts[c] for c in codes[offsets[:-1]].tolist())
-        new = [c for c in (" " + p for p, bad in zip(parts, unsafe.tolist(), strict=True) if not bad) if c not in self.chunks]
-        self._add_chunks(new + [p for p in firsts if p not in self.chunks])
-        index = np.array([self.chunks.get(" " + p, -1) for p in parts], dtype=np.int64)
-        whole = np.zeros(len(text), dtype=bool)  # texts with an unsafe cut
+        whole = np.zeros(len(text), dtype=bool)  # texts with an unsafe cut are one chunk each
         bad = unsafe[codes]
         if bad.any():
             whole = np.add.reduceat(bad, offsets[:-1]) > 0
+        inner = [" " + p for p in parts]
+        firsts = [parts[c] for c in codes[offsets[:-1]].tolist()]
+        longs = {i: text[i].as_py() for i in np.flatnonzero(whole).tolist()}
+        safe = [c for c, bad in zip(inner, unsafe.tolist(), strict=True) if not bad]
+        self._learn([*safe, *(f for f, w in zip(firsts, whole.tolist(), strict=True) if not w), *longs.values()])
+        index = np.zeros(len(parts), dtype=np.int64)
+        index[~unsafe] = self.memory.places(safe, before)
         chunk = index[codes]
-        chunk[offsets[:-1]] = [self.chunks[parts[c]] for c in codes[offsets[:-1]].tolist()]
+        starts = self.memory.places([longs.get(i, f) for i, f in enumerate(firsts)], before)
+        chunk[offsets[:-1]] = starts
+        single = np.flatnonzero(whole)
+        keep = np.ones(len(chunk), dtype=bool)
+        for i in single.tolist():
+            keep[offsets[i] + 1 : offsets[i + 1]] = False
+        chunk = chunk[keep]
+        offsets = np.concatenate([[0], np.cumsum(keep)])[offsets]
         first = 0
         while first < len(text):
-            if whole[first]:
-                yield self._whole(text[first].as_py())
-                first += 1
-                continue
             stop = max(first + 1, int(np.searchsorted(offsets, offsets[first] + STREAM_CHUNKS, side="right")) - 1)
-            odd = np.flatnonzero(whole[first:stop])
-            stop = first + int(odd[0]) if len(odd) else stop
-            here = chunk[offsets[first] : offsets[stop]]
             at = offsets[first : stop + 1] - offsets[first]
-            ids, ends = self.ids.gather(here)
-            data, data_ends = self.decoded.gather(here)
+            (ids, ends), (data, data_ends) = (kind.gather(chunk[offsets[first] : offsets[stop]]) for kind in self.memory.kinds)
             ends, data_ends = np.concatenate([[0], ends])[at], np.concatenate([[0], data_ends])[at]
             for i in range(stop - first):
                 yield ids[ends[i] : ends[i + 1]], data[data_ends[i] : data_ends[i + 1]]
             first = stop
 
-    def _whole(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        words = self.pattern.findall(text)
-        self._learn(words)
-        at = [self.word_at[w] for w in words]
-        return np.concatenate([np.zeros(0, self.wide), *(self.word_ids[i] for i in at)]), np.concatenate([np.zeros(0, np.uint8), *(self.word_bytes[i] for i in at)])
-
 
 @lru_cache(maxsize=2)
 def codec(path: str, pattern: str) -> Codec:
@@ -234,7 +232,9 @@ def decode(encoded: DataFrame, path: str | None = None, pattern: str | None = No
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
             lists = [np.array(x or [], dtype=np.int64) for x in rows.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(codec(path, pattern).decode_many(lists), pa.binary())], ["doc_id", "bytes"])
+            data, sizes = codec(path, pattern).decode_many(np.concatenate([np.zeros(0, np.int64), *lists]), np.array([len(x) for x in lists], dtype=np.int64))
+            ends = np.cumsum(sizes)
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array([data[b - n : b].tobytes() for b, n in zip(ends.tolist(), sizes.tolist(), strict=True)], pa.binary())], ["doc_id", "bytes"])
 
     return encoded.select(F.col("doc_id").cast("long"), F.col("ids").cast("array<int>")).mapInArrow(run, "doc_id long, bytes binary")
 
