@@ -165,7 +165,8 @@ def op2(spark, sf_dir: str) -> DataFrame:
     )
     turns = rows_of(table(spark, sf_dir, "conversations"), "conv_id", "turn", "role", "text").unionByName(probe)
     read = read_back(format_conversations(turns))
-    loss = F.array_join(F.transform(F.filter("turns", lambda t: t["loss"]), lambda t: t["text"]), "")
+    # what the segments' own flags put under the mask
+    loss = F.array_join(F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: unescape(s["text"])), "")
     return read.select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),
@@ -173,16 +174,10 @@ def op2(spark, sf_dir: str) -> DataFrame:
         F.char_length(loss).cast("long").alias("loss_chars"),
         F.sha2(loss.cast("binary"), 256).alias("loss_sha256"),
         F.char_length("formatted").cast("long").alias("formatted_chars"),
+        "valid",
     )
 
 
-def op2_turn_order(spark, sf_dir: str) -> DataFrame:
-    """Whether the state machine accepts each conversation's roles."""
-    from .common import rows_of, table
-
-    return format_conversations(rows_of(table(spark, sf_dir, "conversations"), "conv_id", "turn", "role", "text")).select("conv_id", "valid")
-
-
 def _sql(template: Template = DEFAULT) -> str:
     def lit(s: str) -> str:
         return "'" + s.replace("'", "''") + "'"
@@ -205,15 +200,11 @@ SELECT conv_id, count(*) AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
   CAST(coalesce(sum(length(text)) FILTER (role IN ({loss})), 0) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role IN ({loss})), '')) AS loss_sha256,
-  CAST(sum(chars) AS BIGINT) AS formatted_chars
+  CAST(sum(chars) AS BIGINT) AS formatted_chars,
+  -- the machine's moves as a pattern over the first letters of the roles
+  regexp_full_match(string_agg(CASE role WHEN 'system' THEN 's' WHEN 'user' THEN 'u' WHEN 'assistant' THEN 'a' ELSE 'o' END, '' ORDER BY turn NULLS FIRST, role, text), 's?(ua)+') AS valid
 FROM f GROUP BY conv_id
 """
 
 
 OP2_SQL = _sql()
-
-#: The machine's moves as a pattern over the first letters of the roles.
-TURN_ORDER_SQL = """
-SELECT conv_id, regexp_full_match(string_agg(CASE role WHEN 'system' THEN 's' WHEN 'user' THEN 'u' WHEN 'assistant' THEN 'a' ELSE 'o' END, '' ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')), 's?(ua)+') AS valid
-FROM conversations GROUP BY conv_id
-"""
