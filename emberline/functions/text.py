@@ -228,7 +228,7 @@ def file_kind(c: Column) -> Column:
 
 
 def compact_shell(c: Column) -> Column:
-    return F.array_join(F.filter(F.transform(F.split(c, "\n"), F.trim), lambda x: x != ""), " && ")
+    return F.array_join(F.filter(F.transform(F.split(c, "\n"), lambda x: F.trim(x)), lambda x: x != ""), " && ")
 
 
 def cosine(a: Column, b: Column) -> Column:
