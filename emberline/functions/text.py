@@ -209,16 +209,184 @@ def epoch_millis(c: Column) -> Column:
     return F.when(c < F.lit(1577836800000), c * 1000).otherwise(c)
 
 
-def snippet(c: Column, needle: Column, before: int = 48, after: int = 96) -> Column:
+def snippet(c: Column, needle: Column, before: int = 49, after: int = 96) -> Column:
     """Text around the first match, ignoring case, on collapsed white space; null without a match."""
-    t = F.trim(F.regexp_replace(c, "\\s+", " "))
+    t = F.trim(F.regexp_replace(c, "(?U)\\s+", " "))
     at = F.position(F.lower(needle), F.lower(t))
     start = F.greatest(at - before, F.lit(1))
     stop = F.least(at + F.length(needle) + after, F.length(t) + 1)
-    body = F.concat(F.when(start > 1, "... ").otherwise(""), F.substr(t, start, stop - start), F.when(stop <= F.length(t), " ...").otherwise(""))
+    body = F.concat(F.when(start > 1, "... ").otherwise(""), F.trim(F.substr(t, start, stop - start)), F.when(stop <= F.length(t), " ...").otherwise(""))
     return F.when(at > 0, body)
 
 
+@F.pandas_udf("array<struct<start:long,end:long>>")
+def literal_ranges(texts: pd.Series, needles: pd.Series) -> pd.Series:
+    """Byte ranges of a needle's non-overlapping matches, ignoring case; letters whose lower case is longer keep their own place."""
+
+    def find(text: str, needle: str) -> list[dict]:
+        needle = needle.lower()
+        if text is None or not needle:
+            return []
+        low, owner = [], []  # lower-cased letters, and the place of the letter that each comes from
+        for i, letter in enumerate(text):
+            low += letter.lower()
+            owner += [i] * len(letter.lower())
+        whole, out, at = "".join(low), [], 0
+        starts = [0]
+        for letter in text:
+            starts.append(starts[-1] + len(letter.encode()))
+        while (at := whole.find(needle, at)) >= 0:
+            out.append({"start": starts[owner[at]], "end": starts[owner[at + len(needle) - 1] + 1]})
+            at += len(needle)
+        return out
+
+    return pd.Series([find(t, n) for t, n in zip(texts, needles, strict=True)])
+
+
+@F.pandas_udf("struct<places:array<int>,score:int>")
+def fuzzy_match(texts: pd.Series, needles: pd.Series) -> pd.DataFrame:
+    """Places of the letters that a needle's letters take in order, and a score: the gap between them, 100 less from the start on; null if a letter is missing."""
+
+    def match(text: str, needle: str) -> dict:
+        if text is None or needle is None:
+            return {"places": None, "score": None}
+        if not needle:
+            return {"places": [], "score": 2**31 - 1}
+        low = [(x, i) for i, letter in enumerate(text) for x in letter.lower()]
+        wanted, hits, at = needle.lower(), [], 0
+        for letter in wanted:
+            while at < len(low) and low[at][0] != letter:
+                at += 1
+            if at == len(low):
+                return {"places": None, "score": None}
+            hits.append(at)
+            at += 1
+        first = next(k for k, (_, i) in enumerate(low) if i == low[hits[0]][1])
+        return {"places": sorted({low[k][1] for k in hits}), "score": max(0, hits[-1] - first + 1 - len(wanted)) - (100 if first == 0 else 0)}
+
+    return pd.DataFrame([match(t, n) for t, n in zip(texts, needles, strict=True)], columns=["places", "score"])
+
+
+def head_bytes(c: Column, most: Column) -> Column:
+    """The longest beginning of at most so many UTF-8 bytes that ends at a letter's end."""
+    cut = F.substr(F.encode(c, "UTF-8"), F.lit(1), most.cast("int"))
+    size = F.octet_length(cut)
+    byte = lambda back: F.conv(F.hex(F.substr(cut, size - back, F.lit(1))), 16, 10).cast("int")
+    # a letter's first byte tells its length: it may be up to three places before the end
+    gone = F.lit(0)
+    for back in (3, 2, 1, 0):
+        need = F.when(byte(back) >= 240, 4).when(byte(back) >= 224, 3).when(byte(back) >= 192, 2).otherwise(1)
+        gone = F.when((size > back) & (need > back + 1), back + 1).otherwise(gone)
+    return F.when(F.octet_length(c) <= most, c).otherwise(F.decode(F.substr(cut, F.lit(1), size - gone), "UTF-8"))
+
+
+def tail_bytes(c: Column, most: Column) -> Column:
+    """The longest end of at most so many UTF-8 bytes that starts at a letter's start: letters take the same bytes in any order."""
+    return F.reverse(head_bytes(F.reverse(c), most))
+
+
+def cut_middle(c: Column, tokens: int) -> Column:
+    """Beginning and end within four bytes a token, and between them how many tokens are left out."""
+    budget = 4 * tokens
+    left, right = budget // 2, budget - budget // 2
+    gone = F.floor((F.octet_length(c) - budget + 3) / 4).cast("string")
+    marker = F.concat(F.lit("…"), gone, F.lit(" tokens truncated…"))
+    return F.when((F.octet_length(c) <= budget) | (c == ""), c).otherwise(F.concat(head_bytes(c, F.lit(left)), marker, tail_bytes(c, F.lit(right))))
+
+
+def fnv_percent(c: Column) -> Column:
+    """The text's 64-bit FNV-1a hash modulo 100, in two halves of 32 bits that never overflow."""
+    bytes_ = F.hex(F.encode(c, "UTF-8"))
+    half = 1 << 32
+    # Offset basis and prime (2^40 + 435) of the hash.
+    start = F.struct(F.lit(0xCBF29CE4).cast("long").alias("high"), F.lit(0x84222325).cast("long").alias("low"))
+
+    def step(acc: Column, i: Column) -> Column:
+        low = acc["low"].bitwiseXOR(F.conv(F.substr(bytes_, 2 * i + 1, F.lit(2)), 16, 10).cast("long"))
+        product = low * 435
+        return F.struct(((acc["high"] * 435 + F.floor(product / half).cast("long") + low * 256) % half).alias("high"), (product % half).alias("low"))
+
+    places = F.when(F.octet_length(c) > 0, F.sequence(F.lit(0), F.octet_length(c) - 1)).otherwise(F.array().cast("array<int>"))
+    h = F.aggregate(places, start, step)
+    return ((h["high"] * (half % 100) + h["low"]) % 100).cast("int")
+
+
+def unfenced(c: Column) -> Column:
+    """A text without the code fence around it: its first line, and the last if that closes the fence."""
+    t = F.trim(F.regexp_replace(c, r"\A\s+|\s+\z", ""))
+    inner = F.regexp_replace(F.regexp_replace(t, r"\A```[^\n]*\n?", ""), r"\n?[ \t]*```[^\n]*\z", "")
+    return F.when(F.startswith(t, F.lit("```")), F.regexp_replace(inner, r"\A\s+|\s+\z", "")).otherwise(t)
+
+
+def is_json(c: Column) -> Column:
+    """Whether a text is one JSON value and nothing else: the parser stops at a value's end, so the text must fit both into a list and an object."""
+    listed = F.try_parse_json(F.concat(F.lit("["), c, F.lit("]")))
+    alone = F.try_variant_get(listed, "$[0]", "variant").isNotNull() & F.try_variant_get(listed, "$[1]", "variant").isNull()
+    return F.coalesce(alone & F.try_parse_json(F.concat(F.lit('{"x":'), c, F.lit("}"))).isNotNull(), F.lit(False))
+
+
+def _json(c: Column, kind: str) -> Column:
+    """The text if it is JSON of that kind ({ or [), else null."""
+    t = F.regexp_replace(c, r"\A\s+|\s+\z", "")
+    return F.when(F.startswith(t, F.lit(kind)) & is_json(t), t)
+
+
+def lenient_object(c: Column) -> Column:
+    """The JSON object that a reply holds: the whole, else from the first brace to the last; null if neither parses."""
+    t = unfenced(c)
+    return F.coalesce(_json(t, "{"), _json(F.regexp_extract(t, r"(?s)\{.*\}", 0), "{"))
+
+
+def lenient_json(c: Column) -> Column:
+    """The JSON that a reply holds: the whole, else its widest array, or object if there is no array; null if that does not parse."""
+    t = unfenced(c)
+    array, object_ = F.regexp_extract(t, r"(?s)\[.*\]", 0), F.regexp_extract(t, r"(?s)\{.*\}", 0)
+    part = F.when(array != "", array).otherwise(object_)
+    return F.coalesce(F.when(is_json(t), t), F.when(is_json(part), part))
+
+
+def fenced_json(c: Column) -> Column:
+    """The text inside the first code fence, else from the first brace or bracket on; null for blank text."""
+    t = F.regexp_replace(c, r"\A\s+|\s+\z", "")
+    inside = F.regexp_extract(t, r"(?s)```(?:json)?\s*\n?(.*?)\n?```", 1)
+    found = F.rlike(t, F.lit(r"(?s)```(?:json)?\s*\n?(.*?)\n?```"))
+    rest = F.regexp_extract(t, r"(?s)[{\[].*", 0)
+    out = F.when(found, F.regexp_replace(inside, r"\A\s+|\s+\z", "")).when(rest != "", rest).otherwise(t)
+    return F.when((t != "") & is_json(out), out)
+
+
+def ascii_json(c: Column) -> Column:
+    """A JSON text with every letter beyond ASCII as \\uXXXX, in surrogate pairs beyond the first plane."""
+    units = F.hex(F.encode(c, "UTF-16BE"))
+    n = F.floor(F.length(units) / 4).cast("int")
+    hexes = F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substr(units, i * 4 + 1, F.lit(4)))).otherwise(F.array().cast("array<string>"))
+    letters = F.transform(hexes, lambda h: F.when(h < "0080", F.char(F.conv(h, 16, 10).cast("long"))).otherwise(F.concat(F.lit("\\u"), F.lower(h))))
+    return F.array_join(letters, "")
+
+
+# Signs of several solutions, and of solutions in code and in configuration.
+SEVERAL = ("multiple related issues", "alternative fix", "2.", "option 2", "or")
+CODE_FIXES, CONFIG_FIXES = ("change code", "modify file", "edit", "replace type", "fix annotation"), ("change config", "modify pyproject", "add plugin", "update toml")
+
+
+def has_conflict(statement: Column, fix: Column) -> Column:
+    """Several solutions, of which one changes code and another configuration."""
+    holds = lambda c, words: F.exists(F.array(*(F.lit(w) for w in words)), lambda w: F.contains(F.lower(c), w))
+    both = F.concat(statement, F.lit(" "), fix)
+    return holds(statement, SEVERAL) & holds(both, CODE_FIXES) & holds(both, CONFIG_FIXES)
+
+
+def percent(n: Column, d: Column) -> Column:
+    return F.when(d == 0, "0.00%").otherwise(F.format_string("%.2f%%", F.bround(n / d * 100, 2)))
+
+
+def folder_name(c: Column) -> Column:
+    """The last segment of a name with runs of other letters than [A-Za-z0-9_.-] as one dash; `model` if nothing is left."""
+    last = F.element_at(F.split(F.regexp_replace(c, "\\Aopenrouter/", ""), "/"), -1)
+    out = F.regexp_replace(F.regexp_replace(last, "[^A-Za-z0-9_.-]+", "-"), "\\A-+|-+\\z", "")
+    return F.when(out == "", "model").otherwise(out)
+
+
 def file_kind(c: Column) -> Column:
     """By the end of a path, tests first: test, config, docs, code or other; letters' case counts."""
     return (

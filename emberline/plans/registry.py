@@ -418,4 +418,4 @@ def order_components(spark, d):
     return graph.components(l.join(hub, "k").where("a <> b").select("a", "b"))
 
 
-from . import diffs, matching, paths  # noqa: E402, F401  the other families register themselves
+from . import diffs, matching, paths, scalars  # noqa: E402, F401  the other families register themselves

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..functions.text import is_json
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -21,7 +23,7 @@ def read_jsonl(spark: SparkSession, path: str, schema: StructType | str) -> Data
     schema = StructType.fromDDL(schema) if isinstance(schema, str) else schema
     lines = read_lines(spark, path).where(F.trim("value") != "")
     parsed = lines.withColumn("row", F.from_json("value", schema))
-    return parsed.select("file", "pos", F.try_parse_json("value").isNull().alias("bad"), "row.*")
+    return parsed.select("file", "pos", (~is_json(F.col("value"))).alias("bad"), "row.*")
 
 
 def read_json_any(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
