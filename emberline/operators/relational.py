@@ -10,6 +10,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import Rounds
+
 
 def first_by(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     """One row per key, the first in the given order; rows with a null key stay, each alone."""
@@ -175,3 +177,76 @@ def recurring(df: DataFrame, pattern: str, issue: str) -> DataFrame:
     counted = pairs.groupBy(pattern).agg(F.count(issue).alias("frequency")).join(F.broadcast(total))
     enough = (F.col("frequency") >= F.when(few, 2).otherwise(3)) & (F.col("frequency") * 100 >= F.col("total") * F.when(few, 40).otherwise(30))
     return counted.where(enough).select(pattern, "frequency")
+
+
+def global_rank(df: DataFrame, name: str, *order: str) -> DataFrame:
+    """Adds each row's place from 1 in a total order over all rows, without gathering them in one task.
+
+    Rows are dealt to partitions by ranges of the order and written once, as another run could
+    draw other ranges; a place is the row's own in its range and the sizes of the ranges before."""
+    rounds = Rounds(df.sparkSession)
+    dealt = rounds.keep(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
+    sizes = dealt.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))  # one row a range
+    before = sizes.select("__part", (F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))).alias("__before"))
+    placed = dealt.join(F.broadcast(before), "__part").withColumn(name, F.coalesce("__before", F.lit(0)) + F.row_number().over(Window.partitionBy("__part").orderBy(*order)))
+    return rounds.result(placed.drop("__part", "__before"))
+
+
+def quota_sample(df: DataFrame, group: str, order: str, first: int, more_groups: int | None, target: int) -> DataFrame:
+    """One row of each of the `first` largest groups, then up to two more of each group in the same order until `target` rows.
+
+    Groups go by size, then by their first row; `more_groups` limits those that give more."""
+    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("seen"))
+    by_size = Window.orderBy(F.col("n").desc(), "seen")  # one row a group
+    ranked = sizes.withColumn("r", F.row_number().over(by_size)).withColumn("one", (F.col("r") <= min(first, target)).cast("int"))
+    wanted = F.when(F.col("r") <= (more_groups if more_groups is not None else F.col("r")), F.least(F.lit(2), F.col("n") - F.col("one"))).otherwise(0)
+    spent = ranked.withColumn("want", wanted).withColumn("ones", F.sum("one").over(Window.partitionBy())).withColumn("before", F.coalesce(F.sum("want").over(by_size.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    quota = spent.select(group, "r", (F.col("one") + F.greatest(F.lit(0), F.least("want", F.lit(target) - F.col("ones") - F.col("before")))).alias("quota"))
+    rows = df.join(quota.where("quota > 0"), group)
+    return rows.withColumn("k", F.row_number().over(Window.partitionBy(group).orderBy(order))).where("k <= quota").drop("quota")
+
+
+def next_fit(items: Column, limit: int) -> Column:
+    """array<array<pos>> of items (tokens, pos) in their own order: the largest first into a chunk while it keeps within the limit.
+
+    One that alone is over gets its own chunk; if all fit into one, the items are halved in their own order."""
+    kind = "array<struct<tokens:bigint,open:boolean,places:array<int>>>"
+    ordered = F.array_sort(items, lambda a, b: F.when(a["tokens"] > b["tokens"], -1).when(a["tokens"] < b["tokens"], 1).when(a["pos"] < b["pos"], -1).when(a["pos"] > b["pos"], 1).otherwise(0))
+
+    def step(acc: Column, x: Column) -> Column:
+        cur, over = F.try_element_at(acc, F.lit(-1)), x["tokens"] > limit
+        new = F.array(F.struct(x["tokens"].alias("tokens"), (~over).alias("open"), F.array(x["pos"]).alias("places")))
+        grown = F.array(F.struct((cur["tokens"] + x["tokens"]).alias("tokens"), F.lit(True).alias("open"), F.concat(cur["places"], F.array(x["pos"])).alias("places")))
+        fits = F.coalesce(cur["open"] & ~over & (cur["tokens"] + x["tokens"] <= limit), F.lit(False))
+        return F.when(fits, F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), grown)).otherwise(F.concat(acc, new)).cast(kind)
+
+    chunks = F.transform(F.aggregate(ordered, F.array().cast(kind), step), lambda c: c["places"])
+    places, half = F.transform(items, lambda x: x["pos"]), F.floor(F.size(items) / 2).cast("int")
+    halves = F.array(F.slice(places, F.lit(1), half), F.slice(places, half + 1, F.size(items)))
+    return F.when((F.size(chunks) == 1) & (F.size(items) > 1), halves).otherwise(chunks)
+
+
+def tiered_budget(df: DataFrame, group: str, level: str, size: str, budget: int, enough: int, *order: str) -> DataFrame:
+    """All of level 1; of level 2 what 60 % of the rest holds, of level 3 what is left then, if that is `enough`; level 1 alone if it is over 80 % of the budget.
+
+    A level that does not fit whole is cut at its first row that does not."""
+    own = Window.partitionBy(group, level).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    whole = Window.partitionBy(group)
+    total = lambda k: F.coalesce(F.sum(F.when(F.col(level) == k, F.col(size))).over(whole), F.lit(0))
+    t = df.withColumn("__used", F.sum(size).over(own)).withColumn("__s1", total(1)).withColumn("__s2", total(2))
+    share = (F.lit(budget) - F.col("__s1")) * F.lit(0.6)
+    small = F.col("__s1") <= budget * 0.8
+    second = (F.col(level) == 2) & small & ((F.col("__s2") <= share) | (F.col("__used") <= F.floor(share)))
+    t = t.withColumn("__second", second)
+    room = F.lit(budget) - F.col("__s1") - F.coalesce(F.sum(F.when(F.col("__second"), F.col(size))).over(whole), F.lit(0))
+    third = (F.col(level) == 3) & small & (F.col("__room") >= enough) & (F.col("__used") <= F.col("__room"))
+    return t.withColumn("__room", room).where((F.col(level) == 1) | F.col("__second") | third).drop("__used", "__s1", "__s2", "__second", "__room")
+
+
+def newest_within(df: DataFrame, group: str, newest: str, size: str, rows: int, bytes_: int) -> DataFrame:
+    """Each group's newest rows within both caps, cut at the first that passes one. At most `rows` of a group leave a partition for the final cut."""
+    slim = top_k(df, [group], rows, F.col(newest).desc()).drop("rank")  # taken in every partition before the shuffle, too
+    w = Window.partitionBy(group).orderBy(F.col(newest).desc())
+    out = slim.withColumn("__k", F.row_number().over(w)).withColumn("__used", F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    return out.where((F.col("__k") <= rows) & (F.col("__used") <= bytes_)).drop("__k", "__used")
+
