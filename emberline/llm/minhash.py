@@ -7,12 +7,11 @@ Bands of coordinates name buckets.
 
 Texts with equal sets are one class from the start. In every bucket each class is checked with
 the bucket's smallest class; these stars join most of what belongs together. Only buckets that
-then still hold several components compare their members across components, by a cheap
-estimate from signatures first: each member's few most similar ones, and when those have joined
-what they can, all that are left. Every pair that shares a bucket is thus either checked on full
-sets, in one component already, or so far below the threshold by the estimate that missing a
-link would need a deviation of more than six standard errors. No bucket is capped: large ones
-are compared in blocks.
+then still hold several components compare their members across components: first each
+member's few most similar ones by signature, which joins most of the rest, and then, in what is
+still mixed, all that hang together by shared buckets, on full sets. Estimates only choose what
+is checked first; every pair that shares a bucket is in the end either checked on full sets or in
+one component. No bucket is capped: large ones are compared in blocks.
 """
 
 from __future__ import annotations
@@ -38,8 +37,8 @@ COORDINATES, ROWS, SLOTS, SEED = 128, 4, 1 << 20, 20240229
 LEAST_EQUAL = 64
 #: Most similar members of other components that each member of a mixed bucket is checked with first.
 NEAREST = 3
-#: Members of a block in a large bucket, partners that share one copy of a leader's text, buckets of the id filter.
-BLOCK, PARTNERS, ID_BUCKETS = 1024, 64, 1 << 18
+#: Members of a chunk of signatures in a large bucket, of a block of full sets, partners that share one copy of a leader's text, buckets of the id filter.
+BLOCK, SET_BLOCK, PARTNERS, ID_BUCKETS = 256, 256, 64, 1 << 18
 
 
 @lru_cache(maxsize=1)
@@ -159,29 +158,26 @@ def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
         leader = rows["a"].iloc[0]
         ids = rows["id"].to_numpy()
         sets = list(shingle_sets(pa.array(rows["text"].fillna(""), pa.large_string())))
-        own = next((s for i, s in zip(ids, sets, strict=True) if i == leader), None)
-        found = [i for i, s in zip(ids, sets, strict=True) if own is not None and i != leader and linked(own, s)]
+        own = [s for i, s in zip(ids, sets, strict=True) if i == leader]
+        found = sorted({i for i, s in zip(ids, sets, strict=True) if i != leader and any(linked(o, s) for o in own)})
         return pd.DataFrame({"a": np.full(len(found), leader, dtype=np.int64), "b": np.array(found, dtype=np.int64)})
 
     return needed_texts(docs, need).join(need, "id").groupBy("a", "part").applyInPandas(check, "a long, b long")
 
 
 def nearest_pairs(members: DataFrame, best: int = NEAREST) -> DataFrame:
-    """(a, b), a < b: each member of a mixed bucket with its `best` most similar ones of other components.
+    """(a, b), a < b: each member of a mixed bucket with the `best` most similar ones of other components that it meets.
 
-    Takes (bucket, n, id, component, sketch). Buckets over BLOCK members are compared block by
-    block: every pair meets in exactly one task."""
-    rows = members.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "component", "sketch")
+    Takes (bucket, n, id, component, sketch). A bucket over BLOCK members is dealt at random into
+    chunks, in every bucket anew, and members meet inside their chunk only: rows grow with the
+    members, and what does not meet here is left to `settle`."""
+    rows = members.withColumn("chunk", F.pmod(F.xxhash64("id", "bucket"), F.ceil(F.col("n") / BLOCK).cast("long")))
 
     def compare(block: pd.DataFrame) -> pd.DataFrame:
-        left, right = _sides(block)
-        a, b = _sketches(left), _sketches(right)
-        ids, comps = right["id"].to_numpy(), right["component"].to_numpy()
+        a, ids, comps = _sketches(block), block["id"].to_numpy(), block["component"].to_numpy()
         out = [np.zeros((0, 2), np.int64)]
-        for row, one, comp in zip(a, left["id"], left["component"], strict=True):
-            equal = np.where(comps != comp, (b == row).sum(axis=1), 0)
+        for row, one, comp in zip(a, ids, comps, strict=True):
+            equal = np.where(comps != comp, (a == row).sum(axis=1), 0)
             fit = np.flatnonzero(equal >= LEAST_EQUAL)
             if len(fit) > best:
                 fit = fit[np.lexsort((ids[fit], -equal[fit]))[:best]]
@@ -189,7 +185,7 @@ def nearest_pairs(members: DataFrame, best: int = NEAREST) -> DataFrame:
         pairs = np.concatenate(out)
         return pd.DataFrame({"a": pairs.min(axis=1), "b": pairs.max(axis=1)}).drop_duplicates()
 
-    return rows.groupBy("bucket", "i", "j").applyInPandas(compare, "a long, b long").distinct()
+    return rows.groupBy("bucket", "chunk").applyInPandas(compare, "a long, b long").distinct()
 
 
 def _sides(block: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
@@ -204,28 +200,34 @@ def _sketches(rows: pd.DataFrame) -> np.ndarray:
 def settle(members: DataFrame, docs: DataFrame) -> DataFrame:
     """(a, b): links between what shares buckets and is still in different components.
 
-    Texts that hang together by shared buckets form a cluster. Its blocks' texts travel once a
-    pair of blocks, and all pairs are checked on full sets where they meet, so no pair of texts
-    is ever a row and no estimate decides."""
+    Texts that hang together by shared buckets form a cluster. Their sets are made once and travel
+    once for every block of their cluster, and all pairs of two blocks are checked where they
+    meet, so no pair of texts is ever a row and no estimate decides."""
     hubs = members.groupBy("bucket").agg(F.min("id").alias("hub"), F.first("n").alias("n"))
     total = members.count()
     edges = join_group_facts(members.select("bucket", "id"), checkpointed(hubs), "bucket", "n", total).select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
     clusters = components(edges).select(F.col("node").alias("id"), F.col("component").alias("cluster"))
     one = checkpointed(members.groupBy("id").agg(F.first("component").alias("component")).join(clusters, "id"))
     sizes = checkpointed(one.groupBy("cluster").agg(F.count(F.lit(1)).alias("size")))
-    rows = join_group_facts(one, sizes, "cluster", "size", total).withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).join(needed_texts(docs, one), "id")
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "component", "text")
+    placed = join_group_facts(one, sizes, "cluster", "size", total).withColumn("blocks", F.ceil(F.col("size") / SET_BLOCK).cast("int"))
+
+    def to_sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in text_slices(batches):
+            sets = [s.tobytes() for s in shingle_sets(rows.column("text"))]
+            yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in ("id", "component", "cluster", "blocks")), pa.array(sets, pa.binary())], ["id", "component", "cluster", "blocks", "shingles"])
+
+    sets = placed.join(needed_texts(docs, one), "id").select("id", "component", "cluster", "blocks", "text").mapInArrow(to_sets, "id long, component long, cluster long, blocks int, shingles binary")
+    rows = checkpointed(sets).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "component", "shingles")
 
     def check(block: pd.DataFrame) -> pd.DataFrame:
-        left, right = _sides(block.reset_index(drop=True))
-        sets = list(shingle_sets(pa.array(block["text"].fillna(""), pa.large_string())))
+        left, right = _sides(block)
+        a, b = ([np.frombuffer(x, dtype=np.uint64) for x in side["shingles"]] for side in (left, right))
         ids, comps = right["id"].to_numpy(), right["component"].to_numpy()
-        sizes = np.array([len(sets[k]) for k in right.index])
+        sizes = np.array([len(x) for x in b])
         found, joined = [], set()  # one link for two components is enough
-        for k, one, comp, common in zip(left.index, left["id"], left["component"], shared_counts([sets[k] for k in left.index], [sets[k] for k in right.index]), strict=True):
-            for m in np.flatnonzero((comps != comp) & (100 * common >= PERCENT * (sizes + len(sets[k]) - common))).tolist():
+        for own, one, comp, common in zip(a, left["id"], left["component"], shared_counts(a, b), strict=True):
+            for m in np.flatnonzero((comps != comp) & (100 * common >= PERCENT * (sizes + len(own) - common))).tolist():
                 if (pair := (min(comp, comps[m]), max(comp, comps[m]))) not in joined:
                     joined.add(pair)
                     found.append((one, ids[m]))
@@ -246,8 +248,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
     Null and empty texts have an empty set and are linked with nothing; rows that repeat an id
-    share its component; a document without an id is linked with nothing and kept, its
-    component null. An id names one text. An empty table gives no rows."""
+    share its component, and where an id comes with several texts, all of them count as its
+    own; a document without an id is linked with nothing and kept, its component null. An empty
+    table gives no rows."""
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     all_ = checkpointed(sketches(docs))
     linked = F.col("set_hash").isNotNull() & F.col("doc_id").isNotNull()
