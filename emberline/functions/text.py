@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 # Stop words of the content-token set.
 STOP_WORDS = ("added", "changed", "fixed", "removed", "updated", "using", "with", "from", "that", "this", "which", "file", "code", "error", "function", "method")
@@ -219,7 +219,7 @@ def snippet(c: Column, needle: Column, before: int = 49, after: int = 96) -> Col
     return F.when(at > 0, body)
 
 
-@F.pandas_udf("array<struct<start:long,end:long>>")
+@F.pandas_udf(ArrayType(StructType([StructField("start", LongType()), StructField("end", LongType())])))
 def literal_ranges(texts: pd.Series, needles: pd.Series) -> pd.Series:
     """Byte ranges of a needle's non-overlapping matches, ignoring case; letters whose lower case is longer keep their own place."""
 
@@ -243,7 +243,7 @@ def literal_ranges(texts: pd.Series, needles: pd.Series) -> pd.Series:
     return pd.Series([find(t, n) for t, n in zip(texts, needles, strict=True)])
 
 
-@F.pandas_udf("struct<places:array<int>,score:int>")
+@F.pandas_udf(StructType([StructField("places", ArrayType(IntegerType())), StructField("score", IntegerType())]))
 def fuzzy_match(texts: pd.Series, needles: pd.Series) -> pd.DataFrame:
     """Places of the letters that a needle's letters take in order, and a score: the gap between them, 100 less from the start on; null if a letter is missing."""
 
