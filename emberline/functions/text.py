@@ -407,3 +407,23 @@ def cosine(a: Column, b: Column) -> Column:
 
     norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
     return F.when(norm > 0, dot(a, b) / norm).otherwise(F.lit(float("nan")))
+
+
+def named_repo(name: Column, full: Column) -> Column:
+    """A record's repository in lower case: its name, else the end of its full name; without either it raises."""
+    own = F.nullif(F.trim(F.coalesce(name, F.lit(""))), F.lit(""))
+    end = F.nullif(F.element_at(F.split(F.trim(F.coalesce(full, F.lit(""))), "/"), -1), F.lit(""))
+    return F.lower(F.coalesce(own, end, F.raise_error(F.lit("no repository")).cast("string")))
+
+
+def usage_cost(given: Column, cached: Column, out: Column, reasoning: Column, price_in: float, price_cached: float, price_out: float) -> Column:
+    return (given - cached) * F.lit(price_in) + cached * F.lit(price_cached) + (out + reasoning) * F.lit(price_out)
+
+
+def patch_error(message: Column) -> Column:
+    """The first kind of error that a patch tool's message fits."""
+    m = F.lower(message)
+    return (
+        F.when(F.rlike(m, F.lit("no such file|does not exist")), "missing_file").when(F.rlike(m, F.lit("corrupt patch")), "corrupt_patch")
+        .when(F.rlike(m, F.lit("patch failed|does not apply")), "context_mismatch").otherwise("unknown")
+    )

@@ -250,3 +250,25 @@ def newest_within(df: DataFrame, group: str, newest: str, size: str, rows: int,
     out = slim.withColumn("__k", F.row_number().over(w)).withColumn("__used", F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     return out.where((F.col("__k") <= rows) & (F.col("__used") <= bytes_)).drop("__k", "__used")
 
+
+
+def three_sides(sides: dict[str, DataFrame], key: str, group: str, outcome: str) -> DataFrame:
+    """One row an id of any of three sides: each side's outcome or `not_run`, how many succeeded, the category, and for partial success who solved it and who failed.
+
+    Sides are unique by key; they are joined in full, outer."""
+    out = None
+    for name, side in sides.items():
+        own = side.select(key, F.col(group).alias(f"__g_{name}"), F.col(outcome).alias(f"{name}_status"))
+        out = own if out is None else out.join(own, key, "full")
+    a, b, c = (F.coalesce(F.col(f"{n}_status") == "success", F.lit(False)) for n in sides)
+    n = a.cast("int") + b.cast("int") + c.cast("int")
+    category = (
+        F.when(a & b & c, "All 3 Solved").when(a & b, "Fwd+Back Only (Bidir MISSED)").when(a & c, "Fwd+Bidir Only (Back MISSED)").when(b & c, "Back+Bidir Only (Fwd MISSED)")
+        .when(a, "ONLY Forward").when(b, "ONLY Backward").when(c, "ONLY Bidirectional").otherwise("All Failed")
+    )
+    listed = lambda yes: F.array_join(F.array_compact(F.array(*(F.when(x == F.lit(yes), F.lit(name.capitalize())) for x, name in zip((a, b, c), sides, strict=True)))), " + ")
+    partial = (n > 0) & (n < 3)
+    return out.select(
+        key, F.coalesce(*(F.col(f"__g_{x}") for x in sides), F.lit("")).alias(group), *(F.coalesce(f"{x}_status", F.lit("not_run")).alias(f"{x}_status") for x in sides), n.alias("success_count"), category.alias("category"),
+        F.when(partial, listed(True)).alias("solved_by"), F.when(partial, listed(False)).alias("failed_in"),
+    )

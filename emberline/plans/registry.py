@@ -418,4 +418,4 @@ def order_components(spark, d):
     return graph.components(l.join(hub, "k").where("a <> b").select("a", "b"))
 
 
-from . import diffs, history, matching, paths, retrieval, scalars, selection  # noqa: E402, F401  the other families register themselves
+from . import diffs, history, matching, paths, records, retrieval, scalars, selection  # noqa: E402, F401  the other families register themselves
