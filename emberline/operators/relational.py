@@ -272,3 +272,37 @@ def three_sides(sides: dict[str, DataFrame], key: str, group: str, outcome: str)
         key, F.coalesce(*(F.col(f"__g_{x}") for x in sides), F.lit("")).alias(group), *(F.coalesce(f"{x}_status", F.lit("not_run")).alias(f"{x}_status") for x in sides), n.alias("success_count"), category.alias("category"),
         F.when(partial, listed(True)).alias("solved_by"), F.when(partial, listed(False)).alias("failed_in"),
     )
+
+
+def prefix_lookup(asked: DataFrame, entries: DataFrame, key: str, entry_key: str, order: str, least: int) -> DataFrame:
+    """Adds the columns of the entry with the asked key, else of the first entry (by `order`) where one key is a beginning of the other; nulls on a miss.
+
+    Keys of `least` letters or more meet by these letters, so no key is compared with all entries;
+    shorter ones are not looked up by their beginning. Blank keys miss."""
+    columns = [c for c in entries.columns if c not in (entry_key, order)]
+    start = lambda c: F.substring(c, 1, least)
+    q = asked.withColumn("__start", start(key)).withColumn("__row", F.monotonically_increasing_id())
+    e = entries.withColumn("__start", start(entry_key))
+    near = q.select("__row", "__start", key).where(F.length(key) >= least).join(e, "__start").where(F.startswith(entry_key, F.col(key)) | F.startswith(key, F.col(entry_key)))
+    best = near.groupBy("__row").agg(F.min_by(F.struct(*columns), F.struct(F.col(entry_key) != F.col(key), F.col(order))).alias("__e"))
+    return q.join(best, "__row", "left").select(*asked.columns, *(F.col(f"__e.{c}").alias(c) for c in columns))
+
+
+def suffix_within(df: DataFrame, order: str, size: str, most: int, target: int) -> DataFrame:
+    """All rows if they keep within `most` in all; else the newest ones within `target`, the very newest always."""
+    total = df.agg(F.sum(size).alias("__total"))  # one row
+    ranked = global_rank(df, "__k", order)
+    last = ranked.agg(F.max("__k").alias("__last"))
+    # sizes of a thousand rows at a time, so that running sums need no single task over all rows
+    block = F.floor(F.col("__k") / 1000)
+    blocks = ranked.groupBy(block.alias("__b")).agg(F.sum(size).alias("__sum"))
+    later = blocks.select("__b", F.coalesce(F.sum("__sum").over(Window.orderBy(F.col("__b").desc()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__later"))
+    within = F.sum(size).over(Window.partitionBy("__b").orderBy(F.col("__k").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    used = ranked.withColumn("__b", block).join(later, "__b").withColumn("__used", F.col("__later") + within).join(F.broadcast(total)).join(F.broadcast(last))
+    return used.where((F.col("__total") <= most) | (F.col("__used") <= target) | (F.col("__k") == F.col("__last"))).select(*df.columns)
+
+
+def fill_by(df: DataFrame, column: str, source: str, compute, kind) -> DataFrame:
+    """Fills a column where it is null by a function over batches of another column; the other rows do not reach Python."""
+    filled = df.where(F.col(column).isNull()).withColumn(column, F.pandas_udf(compute, kind)(F.col(source)))
+    return df.where(F.col(column).isNotNull()).unionByName(filled)

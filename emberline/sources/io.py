@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -61,3 +63,79 @@ def write_jsonl(df: DataFrame, path: str, required: tuple[str, ...] = ()) -> lis
     """Writes JSON lines; returns required columns that are missing, which only warns."""
     df.write.mode("overwrite").json(path)
     return [c for c in required if c not in df.columns]
+
+
+def files_exist(spark: SparkSession, path: str) -> bool:
+    """Whether anything is at a path or matches a pattern, in whatever store it is."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(at)
+    return found is not None and len(found) > 0
+
+
+def read_or_none(spark: SparkSession, path: str, schema: StructType | str, read=None) -> DataFrame:
+    """A file's rows, or none of that schema if it is not there."""
+    return (read or read_json_any)(spark, path, schema) if files_exist(spark, path) else spark.createDataFrame([], schema)
+
+
+def read_list(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
+    """Rows of JSON files that hold a list; a missing, corrupt or other file counts as an empty list."""
+    if not files_exist(spark, path):
+        return spark.createDataFrame([], schema)
+    kind = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    whole = spark.read.text(path, wholetext=True).where(is_json(F.col("value")) & F.startswith(F.ltrim("value"), F.lit("[")))
+    return whole.select(F.inline(F.from_json("value", f"array<{kind.simpleString()}>")))
+
+
+def read_outcomes(spark: SparkSession, path: str) -> DataFrame:
+    """(id, won): 1 where the last row of an id concludes in success or else passed verification, from a JSON list or lines."""
+    schema = "id string, conclusion string, verification_passed boolean"
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.regexp_replace("value", "\\A\\s+", "").alias("value"))
+    # a list is cut into its rows where it lies; positions keep the order of both shapes
+    rows = F.when(F.startswith("value", F.lit("[")), F.from_json("value", f"array<struct<{schema.replace(' ', ':').replace(',:', ',')}>>")).otherwise(
+        F.transform(F.filter(F.split("value", "\n"), lambda x: F.trim(x) != ""), lambda x: F.from_json(x, schema))
+    )
+    each = whole.select("file", F.posexplode(rows).alias("pos", "r")).select("file", "pos", "r.*").where("id IS NOT NULL")
+    won = F.when((F.col("conclusion") == "success") | F.coalesce("verification_passed", F.lit(False)), 1).otherwise(0)
+    return each.groupBy("id").agg(F.max_by(won, F.struct("file", "pos")).alias("won"))
+
+
+def read_predictions(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """(key, row) of a JSON object by key, or of a list whose rows are known by id, instance_id or sha_fail; rows without any are left out."""
+    whole = spark.read.text(path, wholetext=True).select(F.regexp_replace("value", "\\A\\s+", "").alias("value"))
+    keyed = whole.where(F.startswith("value", F.lit("{"))).select(F.explode(F.from_json("value", f"map<string,{schema}>")).alias("key", "row"))
+    listed = whole.where(F.startswith("value", F.lit("["))).select(F.explode(F.from_json("value", f"array<{schema}>")).alias("row"))
+    named = listed.select(F.coalesce(*(F.nullif(F.col(f"row.{n}"), F.lit("")) for n in ("id", "instance_id", "sha_fail"))).alias("key"), "row")
+    return keyed.unionByName(named.where("key IS NOT NULL"))
+
+
+def read_reversed(spark: SparkSession, path: str, schema: str, before: int | None = None) -> DataFrame:
+    """(file, line, back, rejected, row): JSON lines with their number from 0 and their place from the end, blank ones skipped, malformed ones rejected in place; `before` freezes the end."""
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split(F.regexp_replace("value", "\\n\\z", ""), "\n")).alias("line", "value"))
+    kept = whole.where(F.trim("value") != "")
+    kept = kept if before is None else kept.where(F.col("line") < before)
+    back = F.row_number().over(Window.partitionBy("file").orderBy(F.col("line").desc()))
+    return kept.select("file", "line", back.alias("back"), (~is_json(F.col("value"))).alias("rejected"), F.when(is_json(F.col("value")), F.from_json("value", schema)).alias("row"))
+
+
+def folder_of(depth: int = 0) -> F.Column:
+    """The name of the folder that a row's file lies in, or of one further up."""
+    return F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2 - depth)
+
+
+def replace_whole(df: DataFrame, path: str, fmt: str = "json") -> None:
+    """Writes beside the path and then renames, so a reader finds the old or the new rows, never a part."""
+    spark = df.sparkSession
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    staging, old = f"{path}.staging-{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
+    df.write.format(fmt).save(staging)
+    at = hadoop.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(at):
+        fs.rename(at, hadoop.Path(old))
+    fs.rename(hadoop.Path(staging), at)
+    fs.delete(hadoop.Path(old), True)
+
+
+def write_id_lists(df: DataFrame, path: str, by: str, key: str) -> None:
+    """One sorted text list of ids for each value of a column."""
+    df.select(F.col(by), F.col(key).cast("string").alias("value")).repartition(F.col(by)).sortWithinPartitions(by, "value").write.partitionBy(by).text(path)
