@@ -158,3 +158,46 @@ def is_persisted(variant: Column, mode: Column, plan: Column) -> Column:
 def is_for_memories(variant: Column, role: Column) -> Column:
     """Messages of all roles but developer, agent messages, tool calls and their outputs, and web searches."""
     return F.when(variant == "message", role != "developer").otherwise(variant.isin(*MEMORY))
+
+
+def commands_after(lines: Column, step: Column, window: int = 160, most: int = 8) -> Column:
+    """Commands of a log as one line: from the first line that names the step (or the first of all) on, lines of `Run ` or in the mark of a shown command."""
+    from ..functions.text import alnum_fold
+
+    wanted = alnum_fold(step)
+    at = F.when(wanted == "", 0).otherwise(F.array_position(F.transform(lines, lambda x: F.contains(alnum_fold(x), wanted)), True))
+    part = F.slice(lines, F.greatest(at, F.lit(1)).cast("int"), window)
+
+    def command(x: Column) -> Column:
+        clean = F.trim(F.regexp_replace(x, "\x1b\\[[0-9;]*[A-Za-z]", ""))
+        return F.when(F.startswith(clean, F.lit("Run ")), F.trim(F.substring(clean, 5, 1 << 30))).when((clean != "") & F.contains(x, F.lit("\x1b[36;1m")), clean)
+
+    return F.array_join(F.slice(F.array_compact(F.transform(part, command)), 1, most), " && ")
+
+
+def prompt_size(tokens: Column, problems: Column, most_files: Column, limit: int = 150_000, target: int = 80_000, sample: int = 30_000) -> Column:
+    """struct<tokens, needs_sampling, needs_chunking, chunk_size>: chunks of 5 problems, or of what fits the target (1 to 10) if the record is too large."""
+    cut = (tokens > limit) & (problems > 1)
+    size = F.when(cut, F.least(F.lit(10), F.greatest(F.lit(1), F.floor(F.lit(target) / F.floor(tokens / problems))))).otherwise(5)
+    return F.struct(tokens.cast("long").alias("tokens"), ((tokens > sample) | (most_files > 10)).alias("needs_sampling"), cut.alias("needs_chunking"), size.cast("long").alias("chunk_size"))
+
+
+def sampled_files(files: Column, most: int = 10, shown: int = 5) -> Column:
+    """struct<files, pattern>: all files, or of many the first few and a pattern for the first one's folder."""
+    many = F.size(files) > most
+    first = F.try_element_at(files, F.lit(1))
+    folder = F.regexp_extract(first, r"\A(.*)/[^/]*\z", 1)
+    return F.struct(F.when(many, F.slice(files, 1, shown)).otherwise(files).alias("files"), F.when(many, F.when(folder != "", F.concat(folder, F.lit("/**/*"))).otherwise("*")).alias("pattern"))
+
+
+def replay_start(df: DataFrame) -> DataFrame:
+    """(thread, start): the line from which a replay can begin, -1 for the whole log.
+
+    Takes (thread, line, kind). Read from the end, a replay may stop at the first turn context
+    after it has met a compaction, unless it meets a rollback before that."""
+    last = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("line")))
+    marks = df.groupBy("thread").agg(last("compaction").alias("compacted"), last("rollback").alias("rolled"))
+    cut = df.where("kind = 'turn_context'").join(marks.select("thread", "compacted"), "thread").where("line < compacted").groupBy("thread").agg(F.max("line").alias("cut"))
+    j = marks.join(cut, "thread", "left")
+    fine = F.col("cut").isNotNull() & (F.col("rolled").isNull() | (F.col("rolled") < F.col("cut")))
+    return j.select("thread", F.when(fine, F.col("cut")).otherwise(-1).alias("start"))
