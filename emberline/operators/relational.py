@@ -92,11 +92,6 @@ def top_k(df: DataFrame, keys: list[str], k: int, *order: Column) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= k)
 
 
-def round_robin(df: DataFrame, group: str, *order: str) -> DataFrame:
-    """Adds round: the row's place in its group, so that ordering by (round, group) takes one of each in turn."""
-    return df.withColumn("round", F.row_number().over(Window.partitionBy(group).orderBy(*order)))
-
-
 def budget_prefix(df: DataFrame, group: str, size: str, budget: int, *order: str) -> DataFrame:
     """Rows of each group as long as their running size keeps within the budget; stops at the first overflow."""
     w = Window.partitionBy(group).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -131,10 +126,12 @@ def keyset_page(df: DataFrame, key: str, anchor, size: int, ascending: bool = Tr
 
 
 def upper_median(df: DataFrame, group: str, value: str) -> DataFrame:
-    """The upper of two middles for an even count: element n / 2 of the sorted values."""
+    """The upper of two middles for an even count: element n / 2 of the sorted values. Equal values are counted first, so a group's rows are not sorted one by one."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count(F.lit(1)).alias("__c"))
     w = Window.partitionBy(group)
-    mid = df.where(F.col(value).isNotNull()).withColumn("__n", F.count(F.lit(1)).over(w)).withColumn("__rn", F.row_number().over(w.orderBy(value)))
-    return mid.where(F.col("__rn") == F.floor(F.col("__n") / 2) + 1).select(group, F.col(value).alias("upper_median"))
+    upto = F.sum("__c").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    mid = counts.withColumn("__upto", upto).withColumn("__at", F.floor(F.sum("__c").over(w) / 2) + 1)
+    return mid.where((F.col("__upto") >= F.col("__at")) & (F.col("__upto") - F.col("__c") < F.col("__at"))).select(group, F.col(value).alias("upper_median"))
 
 
 def sessions(df: DataFrame, group: str, start: Column, *order: str) -> DataFrame:

@@ -54,7 +54,7 @@ def cost_totals(spark, d):
 
 @query("SELECT coalesce(d.source, 'unknown') AS source, count(*) AS total, count(*) FILTER (l.quality = 1) AS passed, count(*) FILTER (l.quality = 0) AS failed, count(*) FILTER (l.doc_id IS NULL) AS missing, round(100.0 * count(*) FILTER (l.quality = 1) / count(*), 4) AS pass_pct FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY 1")
 def pass_rates(spark, d):
-    """Outcomes by group; missing ones stay in the denominator."""
+    """Outcomes by group; missing ones stay in the denominator."""
     docs = read_table(spark, d, "documents").select("doc_id", "source").join(read_table(spark, d, "labels"), "doc_id", "left")
     passed = F.count_if(F.col("quality") == 1)
     return docs.groupBy(F.coalesce("source", F.lit("unknown")).alias("source")).agg(n().alias("total"), passed.alias("passed"), F.count_if(F.col("quality") == 0).alias("failed"), F.count_if(F.col("quality").isNull()).alias("missing"), F.round(100.0 * passed / n(), 4).alias("pass_pct"))
@@ -73,22 +73,18 @@ def repo_spread(spark, d):
     return g.where((F.col("n") >= 3) & (F.abs(F.col("f") - F.col("o")) / F.col("n") > 0.3)).select("repo", (F.col("f") / F.col("n")).alias("fail_rate"), "n")
 
 
-@query("SELECT source, count(*) FILTER (lang = 'en') AS en, count(*) FILTER (lang = 'fr') AS fr, count(*) FILTER (lang = 'de') AS de, count(*) FILTER (lang = 'es') AS es FROM documents GROUP BY 1 HAVING count(*) >= 2")
-def category_matrix(spark, d):
-    """Pivot with a group filter; categories are named, so no extra pass finds them."""
-    docs = read_table(spark, d, "documents")
-    return docs.groupBy("source").agg(*(F.count_if(F.col("lang") == x).alias(x) for x in ("en", "fr", "de", "es")), n().alias("n")).where("n >= 2").drop("n")
-
-
-@query("WITH r AS (SELECT source, n_chars, row_number() OVER (PARTITION BY source ORDER BY n_chars) AS rn, count(*) OVER (PARTITION BY source) AS n FROM documents) SELECT source, n_chars AS upper_median FROM r WHERE rn = n // 2 + 1")
+@query("WITH r AS (SELECT source, n_chars, row_number() OVER (PARTITION BY source ORDER BY n_chars) AS rn, count(*) OVER (PARTITION BY source) AS n FROM documents), m AS (SELECT source, n_chars AS upper_median FROM r WHERE rn = n // 2 + 1), l AS (SELECT source, lang, count(*) AS c FROM documents WHERE lang IS NOT NULL GROUP BY ALL), k AS (SELECT source, string_agg(lang || ':' || c, ',' ORDER BY c DESC, lang) AS modes FROM l GROUP BY 1), a AS (SELECT source, round(avg(n_chars), 6) AS mean, min(n_chars) AS least, max(n_chars) AS most FROM documents GROUP BY 1) SELECT * FROM a JOIN m USING (source) LEFT JOIN k USING (source)")
 def upper_medians(spark, d):
-    """The upper middle, not the interpolated median."""
-    return R.upper_median(read_table(spark, d, "documents"), "source", "n_chars")
+    """Mean, least, most and the upper middle (not the interpolated median), and values by frequency."""
+    t = read_table(spark, d, "documents")
+    a = t.groupBy("source").agg(F.round(F.avg("n_chars"), 6).alias("mean"), F.min("n_chars").alias("least"), F.max("n_chars").alias("most"))
+    modes = t.where("lang IS NOT NULL").groupBy("source", "lang").agg(n().alias("c")).groupBy("source").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct((-F.col("c")).alias("o"), "lang"))), lambda x: F.concat(x["lang"], F.lit(":"), (-x["o"]).cast("string"))), ",").alias("modes"))
+    return a.join(R.upper_median(t, "source", "n_chars"), "source").join(modes, "source", "left").select("source", "mean", "least", "most", "upper_median", "modes")
 
 
 @query("SELECT o_orderpriority, round(avg(o_totalprice), 3) AS mean, round(median(o_totalprice), 3) AS middle, round(stddev_samp(o_totalprice), 3) AS spread, round(stddev_pop(o_totalprice), 3) AS spread_pop FROM orders GROUP BY 1")
 def price_spread(spark, d):
-    """Interpolated median, sample and population deviation."""
+    """Interpolated median, sample and population deviation."""
     p = F.col("o_totalprice")
     return read_table(spark, d, "orders").groupBy("o_orderpriority").agg(F.round(F.avg(p), 3).alias("mean"), F.round(F.median(p), 3).alias("middle"), F.round(F.stddev_samp(p), 3).alias("spread"), F.round(F.stddev_pop(p), 3).alias("spread_pop"))
 
@@ -101,7 +97,7 @@ def log_maxima(spark, d):
 
 @query("WITH c AS (SELECT event_type, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events) SELECT event_type, count(*) AS n, sum(strlen(props))::BIGINT AS bytes, min(k) AS low, max(k) AS high FROM (SELECT e.event_type, e.props, CAST(json_extract(e.props, '$.k') AS BIGINT) AS k FROM events e) GROUP BY 1")
 def event_bytes(spark, d):
-    """Byte sums and values from JSON."""
+    """Byte sums and values from JSON."""
     e = read_table(spark, d, "events").withColumn("k", F.get_json_object("props", "$.k").cast("long"))
     return e.groupBy("event_type").agg(n().alias("n"), F.sum(F.octet_length(F.coalesce("props", F.lit("")))).alias("bytes"), F.min("k").alias("low"), F.max("k").alias("high"))
 
@@ -128,25 +124,25 @@ def paired_outcomes(spark, d):
 
 @query()
 def paired_p_values(spark, d):
-    """Chi-square and exact two-sided p over pairs with both outcomes."""
+    """Chi-square and exact two-sided p over pairs with both outcomes; a test holds both against plain sums."""
     l = read_table(spark, d, "labels").where(F.col("quality").isNotNull() & F.col("toxic").isNotNull())
     c = l.agg(F.count_if((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("only_a"), F.count_if((F.col("quality") == 0) & (F.col("toxic") == 1)).alias("only_b"))
     return c.select("only_a", "only_b", stats.chi2_p(stats.mcnemar_chi2(F.col("only_a"), F.col("only_b"))).alias("p_chi2"), stats.exact_two_sided(F.col("only_a"), F.col("only_b")).alias("p_exact"))
 
 
-@query("SELECT count(*) AS tp_fp, sum(CASE WHEN l.quality = 1 AND d.n_chars > 500 THEN 1 ELSE 0 END)::BIGINT AS tp, round(coalesce(sum(CASE WHEN l.quality = 1 AND d.n_chars > 500 THEN 1 ELSE 0 END) / nullif(sum(CASE WHEN d.n_chars > 500 THEN 1 ELSE 0 END), 0), 0), 6) AS precision, round(coalesce(sum(CASE WHEN l.quality = 1 AND d.n_chars > 500 THEN 1 ELSE 0 END) / nullif(sum(CASE WHEN l.quality = 1 THEN 1 ELSE 0 END), 0), 0), 6) AS recall FROM documents d JOIN labels l USING (doc_id)")
+@query("WITH c AS (SELECT count(*) FILTER (n_chars > 500 AND quality = 1) AS tp, count(*) FILTER (n_chars > 500 AND quality = 0) AS fp, count(*) FILTER (n_chars <= 500 AND quality = 1) AS fn, count(*) FILTER (n_chars <= 500 AND quality = 0) AS tn FROM documents JOIN labels USING (doc_id)), p AS (SELECT *, coalesce(tp / nullif(tp + fp, 0), 0) AS p, coalesce(tp / nullif(tp + fn, 0), 0) AS r FROM c) SELECT tp, fp, fn, tn, round(p, 6) AS precision, round(r, 6) AS recall, round(coalesce(2 * p * r / nullif(p + r, 0), 0), 6) AS f1, round(coalesce((tp + tn) / nullif(tp + fp + fn + tn, 0), 0), 6) AS accuracy FROM p")
 def rule_accuracy(spark, d):
-    """Precision and recall with zero for an empty denominator."""
+    """Precision, recall, F1 and accuracy, zero for an empty denominator."""
     j = read_table(spark, d, "documents").select("doc_id", "n_chars").join(read_table(spark, d, "labels"), "doc_id")
-    said, true = F.col("n_chars") > 500, F.col("quality") == 1
-    c = j.agg(n().alias("tp_fp"), F.count_if(said & true).alias("tp"), F.count_if(said & ~true).alias("fp"), F.count_if(~said & true).alias("fn"))
-    p, r, _ = stats.precision_recall(F.col("tp"), F.col("fp"), F.col("fn"))
-    return c.select("tp_fp", "tp", F.round(p, 6).alias("precision"), F.round(r, 6).alias("recall"))
+    said, good, bad = F.col("n_chars") > 500, F.col("quality") == 1, F.col("quality") == 0
+    c = j.agg(F.count_if(said & good).alias("tp"), F.count_if(said & bad).alias("fp"), F.count_if((F.col("n_chars") <= 500) & good).alias("fn"), F.count_if((F.col("n_chars") <= 500) & bad).alias("tn"))
+    measures = stats.precision_recall(F.col("tp"), F.col("fp"), F.col("fn"), F.col("tn"))
+    return c.select("tp", "fp", "fn", "tn", *measures).select("tp", "fp", "fn", "tn", *(F.round(m, 6).alias(m) for m in ("precision", "recall", "f1", "accuracy")))
 
 
 @query("WITH a AS (SELECT doc_id FROM labels WHERE quality = 1), b AS (SELECT doc_id FROM labels WHERE toxic = 1), c AS (SELECT doc_id FROM documents WHERE lang = 'en'), m AS (SELECT d.doc_id, concat_ws('+', CASE WHEN a.doc_id IS NOT NULL THEN 'good' END, CASE WHEN b.doc_id IS NOT NULL THEN 'toxic' END, CASE WHEN c.doc_id IS NOT NULL THEN 'en' END) AS r FROM documents d LEFT JOIN a USING (doc_id) LEFT JOIN b USING (doc_id) LEFT JOIN c USING (doc_id)) SELECT CASE WHEN r = '' THEN 'none' ELSE r END AS region, count(*) AS n FROM m GROUP BY 1")
 def outcome_regions(spark, d):
-    """Regions of three sets."""
+    """regions of three sets."""
     docs, labels = read_table(spark, d, "documents"), read_table(spark, d, "labels")
     return R.venn_regions({"good": labels.where("quality = 1"), "toxic": labels.where("toxic = 1"), "en": docs.where("lang = 'en'")}, docs.select("doc_id"), "doc_id")
 
@@ -161,7 +157,7 @@ def temporal_leaks(spark, d):
 
 @query("SELECT c.c_custkey, coalesce(n.n_name, r.r_name, '') AS place FROM customer c LEFT JOIN nation n ON n.n_nationkey = c.c_nationkey AND c.c_acctbal > 0 LEFT JOIN region r ON r.r_regionkey = c.c_nationkey % 5")
 def first_known_place(spark, d):
-    """The first side that knows a key."""
+    """The first side that knows a key."""
     c = read_table(spark, d, "customer")
     # nation and region have 25 and 5 rows by definition
     nation, region = F.broadcast(read_table(spark, d, "nation")), F.broadcast(read_table(spark, d, "region"))
@@ -171,21 +167,21 @@ def first_known_place(spark, d):
 
 @query("SELECT o_orderkey AS id FROM orders o WHERE EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o.o_orderkey AND l.l_returnflag = 'R') AND NOT EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o.o_orderkey AND l.l_returnflag = 'A')")
 def candidates_only_in_b(spark, d):
-    """Semi and anti join."""
+    """Semi and anti join."""
     o, l = read_table(spark, d, "orders"), read_table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_returnflag")
     return o.join(l.where("l_returnflag = 'R'"), "o_orderkey", "left_semi").join(l.where("l_returnflag = 'A'"), "o_orderkey", "left_anti").select(F.col("o_orderkey").alias("id"))
 
 
 @query("WITH k AS (SELECT 'C' || c_custkey AS key, c_custkey AS id FROM customer UNION SELECT c_name, c_custkey FROM customer) SELECT key, id FROM k WHERE key <> ''")
 def key_bridge(spark, d):
-    """Every key of a row leads to it."""
+    """A5, C11: every key of a row leads to it."""
     c = read_table(spark, d, "customer").select(F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("a"), "c_name", F.col("c_custkey").alias("id"))
     return R.key_bridge(c, "id", "a", "c_name")
 
 
 @query("WITH u AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'user'), a AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'assistant'), f AS (SELECT conv_id, min(turn) AS first_user FROM u GROUP BY 1), l AS (SELECT conv_id, max(turn) AS final_agent FROM a GROUP BY 1) SELECT f.conv_id, f.first_user, l.final_agent FROM f FULL JOIN l ON f.conv_id = l.conv_id WHERE f.conv_id IS NOT NULL UNION ALL SELECT l.conv_id, NULL, l.final_agent FROM l WHERE l.conv_id NOT IN (SELECT conv_id FROM f)")
 def turn_summaries(spark, d):
-    """First user and final agent turn of each thread."""
+    """First user and last agent turn of each thread, by number."""
     c = read_table(spark, d, "conversations")
     g = c.groupBy("conv_id").agg(F.min(F.when(F.col("role") == "user", F.col("turn"))).alias("first_user"), F.max(F.when(F.col("role") == "assistant", F.col("turn"))).alias("final_agent"))
     return g.where(F.col("first_user").isNotNull() | F.col("final_agent").isNotNull())
@@ -206,12 +202,6 @@ def best_per_user(spark, d):
     return R.top_k(read_table(spark, d, "events"), ["user_id"], 3, F.col("value").desc(), F.col("event_id")).select("user_id", "rank", "event_id")
 
 
-@query("SELECT doc_id, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) AS INTEGER) AS round FROM documents")
-def diverse_rounds(spark, d):
-    """One of each group in turn."""
-    return R.round_robin(read_table(spark, d, "documents"), "source", "doc_id").select("doc_id", "round")
-
-
 @query("WITH r AS (SELECT conv_id, turn, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS used FROM conversations) SELECT conv_id, turn, CAST(used AS BIGINT) AS used FROM r WHERE used <= 2000")
 def budget_prefix(spark, d):
     """A prefix under a budget."""
@@ -221,27 +211,27 @@ def budget_prefix(spark, d):
 
 @query("WITH r AS (SELECT conv_id, turn, row_number() OVER w AS rn, sum(strlen(text)) OVER (w ROWS UNBOUNDED PRECEDING) AS used FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn DESC)) SELECT conv_id, turn FROM r WHERE rn = 1 OR (rn <= 3 AND used <= 1500)")
 def newest_under_caps(spark, d):
-    """Newest rows under caps, the newest always."""
+    """Newest rows under caps, the newest always."""
     c = read_table(spark, d, "conversations").withColumn("bytes", F.octet_length("text").cast("long"))
     return R.newest_suffix(c, "conv_id", "bytes", 3, 1500, F.col("turn").desc()).select("conv_id", "turn")
 
 
 @query("WITH t AS (SELECT event_id, user_id, epoch_us(ts) // 1000000 AS t FROM events), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) AS rn FROM t) SELECT event_id, CAST(rn + max(t - rn) OVER (PARTITION BY user_id ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS monotone FROM r")
 def monotone_times(spark, d):
-    """Strictly rising times without recursion."""
+    """Strictly rising times without recursion."""
     e = read_table(spark, d, "events").withColumn("t", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000000))
     return R.monotone(e, "user_id", "t", "event_id").select("event_id", F.col("monotone").cast("long").alias("monotone"))
 
 
 @query("WITH p AS (SELECT event_id FROM events WHERE event_id > 500 ORDER BY event_id LIMIT 26) SELECT event_id, (SELECT count(*) FROM p) > 25 AS has_more FROM p ORDER BY event_id LIMIT 25")
 def keyset_page(spark, d):
-    """A page beyond an anchor with look-ahead."""
+    """A page beyond an anchor with look-ahead."""
     return R.keyset_page(read_table(spark, d, "events").select("event_id"), "event_id", 500, 25)
 
 
 @query("SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value FROM events GROUP BY 1")
 def latest_event(spark, d):
-    """Last value of each key."""
+    """Last value of each key."""
     return R.latest_by(read_table(spark, d, "events"), "user_id", "event_id", "event_id", "event_type", "value")
 
 
@@ -253,7 +243,7 @@ def turn_batches(spark, d):
 
 @query("WITH p AS (SELECT DISTINCT event_type, user_id FROM events), t AS (SELECT count(DISTINCT user_id) AS total FROM events) SELECT event_type, count(*) AS frequency FROM p, t GROUP BY event_type, total HAVING count(*) >= CASE WHEN total < 5 THEN 2 ELSE 3 END AND count(*) * 100 >= total * CASE WHEN total < 5 THEN 40 ELSE 30 END")
 def recurring_types(spark, d):
-    """J6 (without its clustering): patterns that enough issues show."""
+    """Patterns that enough issues show."""
     return R.recurring(read_table(spark, d, "events"), "event_type", "user_id")
 
 
@@ -262,25 +252,17 @@ def recurring_types(spark, d):
 
 @query("WITH o AS (SELECT doc_id, n_chars FROM documents), n AS (SELECT doc_id, -1::BIGINT AS n_chars FROM labels WHERE quality = 0) SELECT * FROM o WHERE doc_id NOT IN (SELECT doc_id FROM n) UNION ALL SELECT * FROM n")
 def replace_rows(spark, d):
-    """Delete by key, then insert."""
+    """Delete by key, then insert."""
     return R.upsert(read_table(spark, d, "documents").select("doc_id", "n_chars"), read_table(spark, d, "labels").where("quality = 0").select("doc_id", F.lit(-1).cast("long").alias("n_chars")), ["doc_id"])
 
 
 @query("WITH u AS (SELECT doc_id, text, 0 AS src FROM documents UNION ALL SELECT doc_id, '' AS text, 1 AS src FROM labels), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY src) AS rn FROM u) SELECT doc_id, src FROM r WHERE rn = 1 AND length(trim(text)) > 0")
 def merge_first_wins(spark, d):
-    """Dedupe before the filter of empty ones."""
+    """Dedupe before the filter of empty ones."""
     u = read_table(spark, d, "documents").select("doc_id", "text", F.lit(0).alias("src")).unionByName(read_table(spark, d, "labels").select("doc_id", F.lit("").alias("text"), F.lit(1).alias("src")))
     return R.first_by(u, ["doc_id"], F.col("src")).where(F.length(F.trim("text")) > 0).select("doc_id", "src")
 
 
-@query("WITH old AS (SELECT c_custkey AS id, c_name AS sha FROM customer), new AS (SELECT o_custkey AS id, CAST(NULL AS VARCHAR) AS sha FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1) SELECT id, sha FROM old WHERE id NOT IN (SELECT id FROM new) UNION ALL SELECT id, sha FROM new")
-def upsert_either_key(spark, d):
-    """rows that match by one key or the other give way."""
-    old = read_table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("id"), F.col("c_name").alias("sha"))
-    new = read_table(spark, d, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").cast("string").alias("id"), F.lit(None).cast("string").alias("sha")).distinct()
-    return R.upsert_either(old, new, "id", "sha").select(F.col("id").cast("long").alias("id"), "sha")
-
-
 @query("SELECT l_orderkey AS key, min(l_linenumber) AS first_seq, coalesce(arg_min(l_returnflag, l_linenumber) FILTER (l_returnflag IN ('R', 'A')), arg_max(l_returnflag, l_linenumber)) AS l_returnflag, coalesce(min(l_linenumber) FILTER (l_returnflag IN ('R', 'A')), max(l_linenumber)) AS last_seq FROM (SELECT l_orderkey, l_linenumber, min(l_returnflag) AS l_returnflag FROM lineitem GROUP BY 1, 2) GROUP BY 1")
 def frozen_turns(spark, d):
     """A terminal state is never overwritten."""
@@ -307,14 +289,14 @@ def log_filter(spark, d):
 
 @query("WITH r AS (SELECT doc_id, list_filter([CASE WHEN n_chars < 200 THEN 'short' END, CASE WHEN contains(text, '%%%') THEN 'marks' END, CASE WHEN contains(text, ' | ') THEN 'menu' END], lambda x: x IS NOT NULL) AS reasons FROM documents) SELECT doc_id, array_to_string(reasons, ',') AS reasons FROM r WHERE len(reasons) > 0")
 def quality_rules(spark, d):
-    """Named rules that a row breaks."""
+    """Named rules that a row breaks."""
     q = R.quality_flags(read_table(spark, d, "documents"), short=F.col("n_chars") < 200, marks=F.contains("text", F.lit("%%%")), menu=F.contains("text", F.lit(" | ")))
     return q.where(F.size("reasons") > 0).select("doc_id", F.array_join("reasons", ",").alias("reasons"))
 
 
 @query("SELECT page_id, lower(list_extract(string_split(trim(url), '/'), -1)) AS base, CASE WHEN contains(url, '/en/') THEN 'match' ELSE 'other' END AS matched FROM pages")
 def page_names(spark, d):
-    """Base names and substring matches."""
+    """Base names and substring matches."""
     p = read_table(spark, d, "pages")
     return p.select("page_id", T.basename(F.col("url")).alias("base"), F.when(F.contains("url", F.lit("/en/")), "match").otherwise("other").alias("matched"))
 
@@ -324,48 +306,42 @@ def page_names(spark, d):
 
 @query("SELECT doc_id, CAST(length(text) // 4 AS BIGINT) AS by_chars, CAST((strlen(text) + 3) // 4 AS BIGINT) AS by_bytes, CASE WHEN length(text) // 4 < 1000 THEN 'full' WHEN length(text) // 4 < 5000 THEN 'chunked' ELSE 'summarized' END AS band FROM documents")
 def token_estimates(spark, d):
-    """Token estimates and bands."""
+    """Token estimates and bands."""
     t = F.col("text")
     return read_table(spark, d, "documents").select("doc_id", T.estimate_tokens(t).alias("by_chars"), T.approx_tokens_bytes(t).alias("by_bytes"), T.chunk_band(T.estimate_tokens(t), 1000, 5000).alias("band"))
 
 
 @query("SELECT doc_id, CASE WHEN length(text) > 40 THEN substring(text, 1, 37) || '...' ELSE text END AS cut, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) AS folded FROM documents")
 def folded_text(spark, d):
-    """Truncation and folding."""
+    """Truncation and folding."""
     t = F.col("text")
     return read_table(spark, d, "documents").select("doc_id", T.truncate(t, 40).alias("cut"), T.alnum_fold(t).alias("folded"))
 
 
-#: The words that the SQL of content_tokens leaves out.
-SHORT_WORDS = ("the", "and", "for", "with", "from", "this", "that", "are", "was", "were", "has", "have", "not", "but", "its", "into")
-
-
-@query("SELECT conv_id, turn, len(list_distinct(list_transform(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_.-]{2,}'), lambda x: lower(x)))) - len(list_filter(list_distinct(list_transform(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_.-]{2,}'), lambda x: lower(x))), lambda x: x IN ('the','and','for','with','from','this','that','are','was','were','has','have','not','but','its','into'))) AS n_tokens FROM conversations")
-def content_tokens(spark, d):
-    """Distinct words of a message other than SHORT_WORDS, as in its SQL; explanation_tokens has the list of G19 and G20."""
-    return read_table(spark, d, "conversations").select("conv_id", "turn", F.size(T.content_tokens(F.col("text"), SHORT_WORDS)).cast("long").alias("n_tokens"))
-
-
 @query("SELECT conv_id, turn, len(list_distinct(list_transform(regexp_extract_all(coalesce(text, ''), '[A-Za-z_][A-Za-z0-9_.-]{2,}'), lambda x: lower(x)))) - len(list_filter(list_distinct(list_transform(regexp_extract_all(coalesce(text, ''), '[A-Za-z_][A-Za-z0-9_.-]{2,}'), lambda x: lower(x))), lambda x: x IN ('added','changed','fixed','removed','updated','using','with','from','that','this','which','file','code','error','function','method'))) AS n_tokens FROM conversations")
 def explanation_tokens(spark, d):
     """Distinct content words of every message, without the reference's 16 stop words; none for a null text."""
     return read_table(spark, d, "conversations").select("conv_id", "turn", F.size(T.content_tokens(F.coalesce("text", F.lit("")))).cast("long").alias("n_tokens"))
 
 
-@query()
+@query("WITH c AS (SELECT conv_id, turn, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM conversations WHERE role IN ('user', 'assistant')), m AS (SELECT *, strpos(lower(t), 'que') AS at FROM c WHERE strpos(lower(t), 'que') > 0) SELECT conv_id, turn, CASE WHEN m.at > 50 THEN '... ' ELSE '' END || trim(t[greatest(m.at - 49, 1):least(m.at + 98, length(t))]) || CASE WHEN m.at + 98 < length(t) THEN ' ...' ELSE '' END AS snippet FROM m")
 def search_snippets(spark, d):
-    """Text around a search word in every message."""
+    """Text around the first match of a search word in every message, on collapsed white space."""
     c = read_table(spark, d, "conversations").where(F.col("role").isin("user", "assistant"))
     return c.select("conv_id", "turn", T.snippet(F.col("text"), F.lit("que")).alias("snippet")).where("snippet is not null")
 
 
-@query()
+_CLEAN = "regexp_replace(nfc_normalize(replace(regexp_replace(replace(replace(replace(replace(replace(replace({0}, '<|endoftext|>', ''), '<|startoftext|>', ''), '<|end|>', ''), '<|start|>', ''), '<|im_start|>', ''), '<|im_end|>', ''), '^\\x{{FEFF}}?(?:\\x{{EF}}\\x{{BB}}\\x{{BF}})?[\\x{{FEFF}}\\x{{FFFE}}\\x{{FFFF}}]*', ''), chr(0), '')), '[\\x01-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F-\\x{{9F}}]', '', 'g')"
+
+
+@query(f"WITH d AS (SELECT doc_id, {_CLEAN.format('text')} AS t, {_CLEAN.format(chr(39) + chr(39) + ' || coalesce(text, ' + chr(39) + chr(39) + ')')} AS j FROM documents) SELECT doc_id, sha1(regexp_replace(regexp_replace(regexp_replace(t, '\\n{{3,}}', chr(10) || chr(10), 'g'), '([^\\n])[ \\t]{{2,}}', '\\1 ', 'g'), '\\n+$', chr(10))) AS sha1, sha1(j) AS json_sha1 FROM d")
 def normalized_documents(spark, d):
-    """Normalised text of every document."""
-    return read_table(spark, d, "documents").select("doc_id", F.sha1(T.normalize_text(F.col("text"))).alias("sha1"))
+    """Every document's text normalised, and as a JSON-safe text that keeps its white space."""
+    t = F.col("text")
+    return read_table(spark, d, "documents").select("doc_id", F.sha1(T.normalize_text(t)).alias("sha1"), F.sha1(T.safe_json_string(t)).alias("json_sha1"))
 
 
-@query()
+@query("WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS pos FROM documents), e AS (SELECT doc_id, pos, trim(regexp_replace(line, '\\s+', ' ', 'g')) AS line FROM l) SELECT doc_id, CAST(pos AS INTEGER) AS pos, sha1(encode('file-line-v1') || '\\x00'::BLOB || encode('line') || '\\x00'::BLOB || encode(line)) AS fingerprint FROM e WHERE strlen(line) > 3 AND regexp_matches(line, '[\\p{L}\\p{N}_]')")
 def accepted_lines(spark, d):
     """Fingerprints of every effective line."""
     lines = read_table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
@@ -373,15 +349,6 @@ def accepted_lines(spark, d):
     return kept.select("doc_id", "pos", T.fingerprint("line", F.col("line")).alias("fingerprint"))
 
 
-@query("WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings), q AS (SELECT * FROM v WHERE vec_id % 50 = 0), s AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_dot_product(q.v, v.v) / (sqrt(list_dot_product(q.v, q.v)) * sqrt(list_dot_product(v.v, v.v))), 6) AS score FROM q JOIN v ON q.label = v.label AND q.vec_id <> v.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) SELECT query_id, vec_id, score FROM r WHERE rank <= 5")
-def vector_neighbours(spark, d):
-    """Cosine neighbours within the query's own level, for the stated query set; level_neighbours and vector_matches search all rows."""
-    v = read_table(spark, d, "embeddings")
-    q = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "label", F.col("embedding").alias("q"))
-    s = q.join(v, "label").where("query_id <> vec_id").select("query_id", "vec_id", F.round(T.cosine(F.col("q"), F.col("embedding")), 6).alias("score"))
-    return R.top_k(s, ["query_id"], 5, F.col("score").desc(), F.col("vec_id")).drop("rank")
-
-
 _SCORES = "WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND list_count(embedding) = len(embedding)), m AS (SELECT *, sqrt(list_dot_product(v, v)) AS norm FROM v), s AS (SELECT q.vec_id AS query_id, c.label, c.vec_id, CASE WHEN q.norm > 0 AND c.norm > 0 THEN round(list_dot_product(q.v, c.v) / (q.norm * c.norm), 9) ELSE 'NaN'::DOUBLE END AS score FROM m q JOIN m c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v)), f AS (SELECT *, NOT isnan(score) AS fine FROM s)"
 
 
@@ -404,7 +371,7 @@ def level_neighbours(spark, d):
 
 @query("WITH RECURSIVE t(node, depth) AS (SELECT CAST(1 AS BIGINT), 0 UNION ALL SELECT p.p_partkey, t.depth + 1 FROM part p JOIN t ON p.p_partkey // 2 = t.node WHERE p.p_size <> 7) SELECT node, depth FROM t WHERE depth > 0")
 def descendants(spark, d):
-    """Breadth-first descendants; the filter cuts the edges themselves."""
+    """Breadth-first descendants; the filter cuts the edges themselves."""
     edges = read_table(spark, d, "part").where("p_size <> 7").select(F.floor(F.col("p_partkey") / 2).alias("parent"), F.col("p_partkey").alias("child"))
     roots = spark.range(1).select(F.lit(1).cast("long").alias("node"))
     return graph.descendants(edges, roots).select("node", "depth")
@@ -412,7 +379,7 @@ def descendants(spark, d):
 
 @query()
 def order_components(spark, d):
-    """H2, H3: components of orders that share a part and supplier in one shipment day."""
+    """H2: components of orders that share a part and supplier."""
     l = read_table(spark, d, "lineitem").select(F.col("l_orderkey").alias("a"), F.concat_ws("/", F.col("l_partkey"), F.col("l_suppkey")).alias("k"))
     hub = l.groupBy("k").agg(F.min("a").alias("b"))
     return graph.components(l.join(hub, "k").where("a <> b").select("a", "b"))
