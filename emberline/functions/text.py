@@ -424,6 +424,24 @@ def patch_error(message: Column) -> Column:
     """The first kind of error that a patch tool's message fits."""
     m = F.lower(message)
     return (
-        F.when(F.rlike(m, F.lit("no such file|does not exist")), "missing_file").when(F.rlike(m, F.lit("corrupt patch")), "corrupt_patch")
-        .when(F.rlike(m, F.lit("patch failed|does not apply")), "context_mismatch").otherwise("unknown")
+        F.when(F.contains(m, F.lit("does not exist in index")), "missing_file").when(F.rlike(m, F.lit("patch does not apply|patch failed:")), "context_mismatch")
+        .when(F.rlike(m, F.lit("corrupt patch|patch fragment without header")), "corrupt_patch").when(F.contains(m, F.lit("lacks the necessary blob")), "missing_blob")
+        .when(F.contains(m, F.lit("does not match index")), "index_mismatch").otherwise("unknown")
     )
+
+
+def patch_error_files(kind: Column, message: Column, patch_files: Column) -> Column:
+    """The files that a message of that kind names; of a corrupt patch the patch's own."""
+    named = lambda pattern: F.regexp_extract_all(message, F.lit(pattern), F.lit(1))
+    return (
+        F.when(kind == "missing_file", named(r"error: ([^\s:]+): does not exist in index")).when(kind == "context_mismatch", named(r"error: patch failed: ([^\s:]+):\d+"))
+        .when(kind == "corrupt_patch", patch_files).when(kind == "index_mismatch", named(r"error: ([^\s:]+): does not match index")).otherwise(F.array().cast("array<string>"))
+    )
+
+
+def item_text(kind: Column, role: Column, message: Column, parts: Column) -> Column:
+    """What a search reads of a log item: user and agent messages without white space at their ends, and text parts of users and assistants; null for others."""
+    strip = lambda c: F.nullif(F.regexp_replace(c, r"\A\s+|\s+\z", ""), F.lit(""))
+    texts = F.transform(F.filter(parts, lambda p: p["type"].isin("input_text", "output_text")), lambda p: p["text"])
+    joined = F.array_join(texts, " ")
+    return F.when(kind.isin("user_message", "agent_message"), strip(message)).when((kind == "message") & role.isin("user", "assistant") & strip(joined).isNotNull(), joined)

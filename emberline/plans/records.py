@@ -298,14 +298,18 @@ def pass_gain(spark, d):
     return R.rollup_total(j, "grp", n.alias("n"), pct(F.count_if(a)).alias("base"), pct(F.count_if(b)).alias("recap"), pct(F.count_if(b) - F.count_if(a)).alias("gain"), label="overall")
 
 
-@query("WITH f AS (SELECT event_id, CASE WHEN event_type = 'error' THEN 'corrupt_patch' WHEN value < 3 THEN 'missing_file' WHEN event_type = 'view' THEN 'context_mismatch' ELSE 'unknown' END AS kind FROM events) SELECT kind, count(*) AS n, CAST(row_number() OVER (ORDER BY count(*) DESC, kind) AS INTEGER) AS place, CASE kind WHEN 'missing_file' THEN 'check paths' WHEN 'corrupt_patch' THEN 'rebuild the patch' WHEN 'context_mismatch' THEN 'refresh the context' ELSE 'look by hand' END AS advice FROM f GROUP BY 1")
+_MESSAGES = ("error: new.py: does not exist in index", "error: patch failed: a/b.py:7\nerror: a/b.py: patch does not apply", "error: corrupt patch at line 3", "error: repository lacks the necessary blob", "error: c.py: does not match index", "odd")
+
+
+@query("WITH f AS (SELECT event_id, event_id % 6 AS k FROM events WHERE event_type <> 'view'), d AS (SELECT *, CASE k WHEN 0 THEN 'missing_file' WHEN 1 THEN 'context_mismatch' WHEN 2 THEN 'corrupt_patch' WHEN 3 THEN 'missing_blob' WHEN 4 THEN 'index_mismatch' ELSE 'unknown' END AS kind, CASE k WHEN 0 THEN 'new.py' WHEN 1 THEN 'a/b.py' WHEN 2 THEN 'own.py' WHEN 4 THEN 'c.py' ELSE '' END AS files FROM f) SELECT kind, any_value(files) AS files, count(*) AS n, md5(string_agg(event_id, ',' ORDER BY event_id)) AS ids, CAST(row_number() OVER (ORDER BY count(*) DESC, kind) AS INTEGER) AS place FROM d GROUP BY kind")
 def patch_failures(spark, d):
-    """Failed patches by the first kind of error that fits, most frequent first, with advice."""
-    message = F.when(F.col("event_type") == "error", "error: corrupt patch at line 3").when(F.col("value") < 3, "error: a.py: No such file or directory").when(F.col("event_type") == "view", "error: patch failed: b.py:7").otherwise("odd")
-    f = read_table(spark, d, "events").select(T.patch_error(message).alias("kind"))
-    g = f.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))  # a handful of kinds
-    advice = F.create_map(*(F.lit(x) for pair in {"missing_file": "check paths", "corrupt_patch": "rebuild the patch", "context_mismatch": "refresh the context"}.items() for x in pair))
-    return g.select("kind", "n", F.row_number().over(Window.orderBy(F.col("n").desc(), "kind")).alias("place"), F.coalesce(F.try_element_at(advice, F.col("kind")), F.lit("look by hand")).alias("advice"))
+    """Failed patches by the first kind of error that their message fits, with the files that it names, most frequent first."""
+    message = F.element_at(F.array(*(F.lit(m) for m in _MESSAGES)), (F.col("event_id") % 6 + 1).cast("int"))
+    f = read_table(spark, d, "events").where("event_type <> 'view'").select("event_id", message.alias("m")).withColumn("kind", T.patch_error(F.col("m")))
+    files = F.array_join(T.patch_error_files(F.col("kind"), F.col("m"), F.array(F.lit("own.py"))), ",")
+    ids = F.md5(F.array_join(F.transform(F.sort_array(F.collect_list("event_id")), lambda x: x.cast("string")), ","))
+    g = f.groupBy("kind").agg(F.max(files).alias("files"), F.count(F.lit(1)).alias("n"), ids.alias("ids"))  # a handful of kinds
+    return g.select("kind", "files", "n", "ids", F.row_number().over(Window.orderBy(F.col("n").desc(), "kind")).alias("place"))
 
 
 @query("WITH old AS (SELECT c_custkey AS id, 's' || (c_custkey % 700) AS sha, 'old' AS v FROM customer), new AS (SELECT CAST(CASE WHEN o_custkey % 5 > 0 THEN o_custkey END AS BIGINT) AS id, CASE WHEN o_custkey % 4 = 0 THEN '' ELSE 's' || (o_custkey % 900) END AS sha, 'new' AS v FROM orders WHERE o_orderkey % 37 = 0 GROUP BY ALL) SELECT coalesce(id, -1) AS id, sha, v FROM old WHERE id NOT IN (SELECT id FROM new WHERE id IS NOT NULL) AND sha NOT IN (SELECT sha FROM new WHERE sha <> '') UNION ALL SELECT coalesce(id, -1), sha, v FROM new")

@@ -385,4 +385,4 @@ def order_components(spark, d):
     return graph.components(l.join(hub, "k").where("a <> b").select("a", "b"))
 
 
-from . import diffs, files, history, matching, paths, records, retrieval, scalars, selection, threads  # noqa: E402, F401  the other families register themselves
+from . import checks, diffs, files, history, matching, paths, records, retrieval, scalars, selection, threads  # noqa: E402, F401  the other families register themselves
