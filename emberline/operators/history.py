@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import heapq
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..shared import Rounds
+from .relational import map_groups
 
 
 def isolated_batches(df: DataFrame, group: str, alone: Column, *order: str) -> DataFrame:
@@ -74,16 +74,16 @@ def topological_order(nodes: DataFrame, edges: DataFrame, group: str) -> DataFra
 
     Takes nodes (group, node, rank) and edges (group, origin, target); what lies on a cycle comes
     last by rank. A queue per group: one group must fit a task."""
-    rows = nodes.select(group, "node", "rank", F.lit(None).cast(dict(nodes.dtypes)["node"]).alias("target"))
-    links = edges.where(F.col("origin") != F.col("target")).select(group, F.col("origin").alias("node"), F.lit(None).cast(dict(nodes.dtypes)["rank"]).alias("rank"), "target").distinct()
+    t = dict(nodes.dtypes)
+    rows = nodes.select(group, "node", "rank", F.lit(None).cast(t["node"]).alias("target"))
+    links = edges.where(F.col("origin") != F.col("target")).select(group, F.col("origin").alias("node"), F.lit(None).cast(t["rank"]).alias("rank"), "target").distinct()
 
-    def sort(part: pd.DataFrame) -> pd.DataFrame:
-        own = part[part["target"].isna()]
-        rank = dict(zip(own["node"], own["rank"], strict=True))
+    def sort(part: list[tuple]) -> list[tuple]:
+        rank = {n: r for _, n, r, target in part if target is None}
         out: dict = {n: [] for n in rank}
         waits = dict.fromkeys(rank, 0)
-        for a, b in part.loc[part["target"].notna(), ["node", "target"]].itertuples(index=False):
-            if a in rank and b in rank:
+        for _, a, _, b in part:
+            if b is not None and a in rank and b in rank:
                 out[a].append(b)
                 waits[b] += 1
         ready = [(rank[n], n) for n, w in waits.items() if not w]
@@ -92,15 +92,15 @@ def topological_order(nodes: DataFrame, edges: DataFrame, group: str) -> DataFra
         while ready:
             _, n = heapq.heappop(ready)
             order.append(n)
-            for t in out[n]:
-                waits[t] -= 1
-                if not waits[t]:
-                    heapq.heappush(ready, (rank[t], t))
+            for x in out[n]:
+                waits[x] -= 1
+                if not waits[x]:
+                    heapq.heappush(ready, (rank[x], x))
         done = set(order)
         order += sorted((n for n in rank if n not in done), key=lambda n: (rank[n], n))
-        return pd.DataFrame({group: part[group].iloc[0], "node": order, "place": range(1, len(order) + 1)})
+        return [(part[0][0], n, k) for k, n in enumerate(order, 1)]
 
-    return rows.unionByName(links).groupBy(group).applyInPandas(sort, f"{group} {dict(nodes.dtypes)[group]}, node {dict(nodes.dtypes)['node']}, place int")
+    return map_groups(rows.unionByName(links), group, [], sort, f"{group} {t[group]}, node {t['node']}, place int")
 
 
 def claim(now: Column, lease: int) -> Column:
@@ -122,23 +122,24 @@ def first_uses(df: DataFrame, client: str, keys: list[str], limit: int, *order:
     """Rows whose key a client has not sent yet, and all rows with a null key. The client's memory is emptied when it holds `limit` keys.
 
     The memory is a sequence of its own, so each client's rows go through one task in order, in batches."""
-    schema = df.schema
+    places = [df.columns.index(k) for k in keys]
 
-    def keep(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(list(order), kind="stable")
+    def keep(part: list[tuple]) -> list[tuple]:
         seen: set = set()
         wanted = []
-        for key in part[keys].itertuples(index=False, name=None):
-            if any(pd.isna(k) for k in key):
-                wanted.append(True)
+        for row in part:
+            key = tuple(row[i] for i in places)
+            if any(k is None for k in key):
+                wanted.append(row)
                 continue
             if len(seen) >= limit:
                 seen.clear()
-            wanted.append(key not in seen)
-            seen.add(key)
-        return part[wanted]
+            if key not in seen:
+                wanted.append(row)
+                seen.add(key)
+        return wanted
 
-    return df.groupBy(client).applyInPandas(keep, schema)
+    return map_groups(df, client, list(order), keep, ", ".join(f"{n} {t}" for n, t in df.dtypes))
 
 
 # Kinds of log items that are kept always, and in one history mode only.

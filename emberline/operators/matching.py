@@ -4,14 +4,13 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import match as M
 from ..functions import stats
 from ..functions import text as T
+from .relational import map_groups
 
 
 def greedy_pairs(gold: DataFrame, predicted: DataFrame, instance: str, file: str, order: str) -> DataFrame:
@@ -25,21 +24,21 @@ def greedy_pairs(gold: DataFrame, predicted: DataFrame, instance: str, file: str
     columns = [F.col(instance).alias("instance"), F.element_at(parts, -1).alias("base"), F.when(F.size(parts) > 1, F.array_join(T.last_two(path), "/")).otherwise("").alias("two"), F.col(order).alias("at")]
     both = gold.where(F.col(file) != "").select(*columns, F.lit(True).alias("gold")).unionByName(predicted.where(F.col(file) != "").select(*columns, F.lit(False).alias("gold")))
 
-    def match(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("at", kind="stable")
-        g, p = rows.loc[rows["gold"], "two"].to_numpy(), rows.loc[~rows["gold"], "two"].to_numpy()
-        free, tp = np.ones(len(g), dtype=bool), 0
-        for two in p:
-            fits = free if two == "" else free & ((g == two) | (g == ""))
-            if fits.any():
-                free[int(fits.argmax())] = False
-                tp += 1
-        return pd.DataFrame({"instance": [rows["instance"].iloc[0]], "tp": [tp]})
+    def match(rows: list[tuple]) -> list[tuple]:
+        free, tp = [two for *_, two, _, is_gold, _ in rows if is_gold], 0
+        for *_, two, _, is_gold, _ in rows:
+            if not is_gold:
+                hit = next((i for i, g in enumerate(free) if two in ("", g) or g == ""), None)
+                if hit is not None:
+                    del free[hit]
+                    tp += 1
+        return [(rows[0][0], tp)]
 
     # groups with one side only have no match and need no task in Python
     sides = both.groupBy("instance", "base").agg(F.count_if("gold").alias("g"), F.count_if(~F.col("gold")).alias("p"))
     mixed = both.join(sides.where("g > 0 AND p > 0").select("instance", "base"), ["instance", "base"], "left_semi")
-    found = mixed.groupBy("instance", "base").applyInPandas(match, f"instance {dict(gold.dtypes)[instance]}, tp long").groupBy("instance").agg(F.sum("tp").alias("tp"))
+    keyed = mixed.select("instance", "base", "two", "at", "gold", F.struct("instance", "base").alias("own"))
+    found = map_groups(keyed, "own", ["at"], match, f"instance {dict(gold.dtypes)[instance]}, tp long").groupBy("instance").agg(F.sum("tp").alias("tp"))
     counts = gold.select(F.col(instance).alias("instance"), F.lit(1).alias("g"), F.lit(0).alias("p")).unionByName(predicted.select(F.col(instance).alias("instance"), F.lit(0).alias("g"), F.lit(1).alias("p")))
     counts = counts.groupBy("instance").agg(F.sum("g").alias("n_gold"), F.sum("p").alias("n_predicted"))
     return counts.join(found, "instance", "left").select("instance", "n_gold", "n_predicted", F.coalesce("tp", F.lit(0)).alias("tp"))

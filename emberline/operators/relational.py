@@ -9,6 +9,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..shared import Rounds
 
@@ -303,3 +304,40 @@ def fill_by(df: DataFrame, column: str, source: str, compute, kind) -> DataFrame
     """Fills a column where it is null by a function over batches of another column; the other rows do not reach Python."""
     filled = df.where(F.col(column).isNull()).withColumn(column, F.pandas_udf(compute, kind)(F.col(source)))
     return df.where(F.col(column).isNotNull()).unionByName(filled)
+
+
+def map_groups(df: DataFrame, group: str, order: list[str], rows_of, schema: str) -> DataFrame:
+    """Rows that `rows_of` makes of each group's rows (a list of tuples in the frame's columns, in order), group by group.
+
+    Groups lie one after another in sorted partitions and are cut from Arrow batches, so many small
+    groups cost no batch each. One group must fit a task. Arrays are lists, nulls None."""
+    names = [f.split()[0] for f in schema.split(", ")]
+    at = df.columns.index(group)
+
+    def run(batches):
+        held: list[tuple] = []
+        for batch in batches:
+            columns = [batch.column(i).to_pylist() for i in range(batch.num_columns)]
+            for row in zip(*columns, strict=True):
+                if held and row[at] != held[-1][at]:
+                    yield from rows_of(held)
+                    held = []
+                held.append(row)
+        if held:
+            yield from rows_of(held)
+
+    def arrow(batches):
+        import pyarrow as pa
+
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        kind, part = to_arrow_schema(out), []
+        for row in run(batches):
+            part.append(dict(zip(names, row, strict=True)))
+            if len(part) == 10_000:
+                yield pa.RecordBatch.from_pylist(part, schema=kind)
+                part = []
+        yield pa.RecordBatch.from_pylist(part, schema=kind)
+
+    out = StructType.fromDDL(schema)
+    return df.repartition(F.col(group)).sortWithinPartitions(group, *order).mapInArrow(arrow, out)

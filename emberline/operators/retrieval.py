@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .relational import map_groups
+
 #: Words of two letters at least.
 WORD = r"[\p{L}\p{N}_]{2,}"
 
@@ -92,25 +94,23 @@ def expand_depth_first(memory: DataFrame, hits: DataFrame, group: str, decay: fl
         hits.select(group, "problem", F.lit(None).cast("array<bigint>").alias("enables"), F.lit(None).cast("array<bigint>").alias("enabled_by"), F.col("score").cast("double"), F.col("place").cast("int"))
     )
 
-    def walk(rows: pd.DataFrame) -> pd.DataFrame:
-        known = rows[rows["place"].isna()].drop_duplicates("problem", keep="last").set_index("problem")
-        links = {p: [*((x, "dependency_enabled") for x in e), *((x, "dependency_enabler") for x in b)] for p, e, b in zip(known.index, known["enables"], known["enabled_by"], strict=True)}
+    def walk(rows: list[tuple]) -> list[tuple]:
+        links = {p: [*((x, "dependency_enabled") for x in e), *((x, "dependency_enabler") for x in b)] for _, p, e, b, _, place in rows if place is None}
+        hits = sorted((place, p, s) for _, p, _, _, s, place in rows if place is not None)
         seen, out = set(), []
-        for p, score in rows[rows["place"].notna()].sort_values("place")[["problem", "score"]].itertuples(index=False):
+        for _, p, score in hits:
             stack = [(p, score, "direct")]
             while stack:
                 at, s, source = stack.pop()
                 if at in seen or at not in links:
                     continue
                 seen.add(at)
-                out.append((at, s, source))
+                out.append((rows[0][0], at, s, source, len(out) + 1))
                 stack += [(x, s * decay, why) for x, why in reversed(links[at])]
-        if not out:
-            return pd.DataFrame()
-        return pd.DataFrame({group: rows[group].iloc[0], "problem": [o[0] for o in out], "score": [o[1] for o in out], "source": [o[2] for o in out], "place": range(1, len(out) + 1)})
+        return out
 
     t = dict(memory.dtypes)
-    return both.groupBy(group).applyInPandas(walk, f"{group} {t[group]}, problem {t['problem']}, score double, source string, place int")
+    return map_groups(both, group, [], walk, f"{group} {t[group]}, problem {t['problem']}, score double, source string, place int")
 
 
 def similar_pairs(vectors: DataFrame, id_column: str, vector_column: str, least: float, block: int = 1024) -> DataFrame:
@@ -147,16 +147,14 @@ def merge_similar(problems: DataFrame, group: str, least_text: float = 0.8, leas
     Takes (group, problem, fix, files, place). Order decides, so a group must fit a task; texts
     that cannot reach the ratio by their lengths or letters are not compared."""
 
-    def merge(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("place", kind="stable")
-        items = [(p, (f or "").lower(), set(x)) for p, f, x in rows[["problem", "fix", "files"]].itertuples(index=False)]
+    def merge(rows: list[tuple]) -> list[tuple]:
+        items = [(p, (f or "").lower(), set(x)) for _, p, f, x, _ in rows]
         used: set[int] = set()
         out = []
         for i, (p, fix, files) in enumerate(items):
             if i in used:
                 continue
             like, every = [p], set(files)
-            m = SequenceMatcher(None, "", fix)
             for j in range(i + 1, len(items)):
                 if j in used:
                     continue
@@ -169,11 +167,30 @@ def merge_similar(problems: DataFrame, group: str, least_text: float = 0.8, leas
                     used.add(j)
                     like.append(q)
                     every |= theirs
-            out.append((p, like, sorted(every)))
-        return pd.DataFrame({group: rows[group].iloc[0], "problem": [o[0] for o in out], "merged_from": [o[1] for o in out], "files": [o[2] for o in out]})
+            out.append((rows[0][0], p, like, sorted(every)))
+        return out
 
     t = dict(problems.dtypes)
-    return problems.select(group, "problem", "fix", "files", "place").groupBy(group).applyInPandas(merge, f"{group} {t[group]}, problem {t['problem']}, merged_from array<{t['problem']}>, files array<string>")
+    return map_groups(problems.select(group, "problem", "fix", "files", "place"), group, ["place"], merge, f"{group} {t[group]}, problem {t['problem']}, merged_from array<{t['problem']}>, files array<string>")
+
+
+def alike(texts: DataFrame, column: str, least: float = 0.68) -> DataFrame:
+    """(a, b), a < b: different texts whose trigrams of letters have a Jaccard similarity of at least `least`.
+
+    A text's rarest trigrams, as many as any text that similar must share one of, name its
+    candidates, so frequent ones join nothing; candidates are checked on all trigrams."""
+    t = F.col(column)
+    names = texts.select(t.alias("t")).where("t IS NOT NULL").distinct().select("t", F.array_distinct(F.transform(F.when(F.length("t") >= 3, F.sequence(F.lit(1), F.length("t") - 2)).otherwise(F.array(F.lit(1))), lambda i: F.substr(F.col("t"), i, F.lit(3)))).alias("grams"))
+    each = names.select("t", F.size("grams").alias("n"), F.explode("grams").alias("g"))
+    known = each.groupBy("g").agg(F.count(F.lit(1)).alias("df"))
+    rarest = Window.partitionBy("t").orderBy("df", "g")
+    prefix = each.join(known, "g").withColumn("k", F.row_number().over(rarest)).where(F.col("k") <= F.col("n") - F.ceil(F.col("n") * F.lit(least)) + 1)
+    a, b = (prefix.select(F.col("t").alias(x), "g", F.col("n").alias(f"n_{x}")) for x in ("a", "b"))
+    near = a.join(b, "g").where((F.col("a") < F.col("b")) & (F.col("n_a") >= least * F.col("n_b")) & (F.col("n_b") >= least * F.col("n_a"))).select("a", "b").distinct()
+    sets = [names.select(F.col("t").alias(x), F.col("grams").alias(f"g_{x}")) for x in ("a", "b")]
+    j = near.join(sets[0], "a").join(sets[1], "b")
+    common = F.size(F.array_intersect("g_a", "g_b"))
+    return j.where(common >= F.lit(least) * (F.size("g_a") + F.size("g_b") - common)).select("a", "b")
 
 
 #: Stages of retrieval in their order, and what each named ablation takes out.

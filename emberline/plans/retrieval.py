@@ -109,17 +109,10 @@ def merged_problems(spark, d):
 
 @query()
 def recurring_problems(spark, d):
-    """Problems clustered by similar texts within their type (files whose names differ are one cluster), and the clusters that enough issues show."""
+    """Problems clustered by similar texts, and the clusters that enough issues show."""
     lines = read_table(spark, d, "lineitem")
-    texts = spark.sql(f"SELECT l_orderkey % 40 AS issue, {_PATH} || ' ' || l_returnflag || l_linestatus || (l_partkey % 50) AS problem FROM {{lineitem}}", lineitem=lines)
-    # one row a text: the number of different texts, not of problems, is what is compared
-    names = texts.select("problem").distinct()
-    grams = names.select("problem", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("problem") - 2), lambda i: F.substr(F.col("problem"), i, F.lit(3))))).alias("g"))
-    sizes = grams.groupBy("problem").agg(F.count(F.lit(1)).alias("n"))
-    a, b = (grams.select(F.col("problem").alias(x), "g") for x in ("a", "b"))
-    shared = a.join(b, "g").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"))
-    near = shared.join(sizes.select(F.col("problem").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("problem").alias("b"), F.col("n").alias("nb")), "b").where("c >= 0.68 * (na + nb - c)").select("a", "b")
-    labels = graph.components(near)
+    texts = spark.sql(f"SELECT l_orderkey % 40 AS issue, {_PATH} || ' ' || l_returnflag || l_linestatus AS problem FROM {{lineitem}}", lineitem=lines)
+    labels = graph.components(V.alike(texts, "problem"))
     placed = texts.join(labels.withColumnRenamed("node", "problem"), "problem", "left").select("issue", F.coalesce("component", "problem").alias("cluster"))
     return R.recurring(placed, "cluster", "issue")
 

@@ -52,7 +52,7 @@ def text_cuts(spark, d):
     return read_table(spark, d, "conversations").select("conv_id", "turn", T.head_bytes(t, F.lit(25)).alias("head"), T.cut_middle(t, 20).alias("middle"), F.when(F.endswith(t, F.lit("\n")), t).otherwise(F.concat(t, F.lit("\n"))).alias("closed"))
 
 
-@query("WITH c AS (SELECT conv_id, turn, coalesce(text, '') AS t FROM conversations) SELECT conv_id, turn, (length(t) - length(replace(lower(t), 'que', ''))) // 3 AS n, CASE WHEN strpos(lower(t), 'que') > 0 THEN strlen(t[1:strpos(lower(t), 'que') - 1]) END AS first, CASE WHEN strpos(lower(t), 'que') > 0 THEN least(strpos(lower(t), 'que') - 1, CASE WHEN strpos(lower(t), 'que') > 50 THEN 53 ELSE 49 END) END AS place FROM c WHERE strpos(lower(t), 'que') > 0")
+@query("WITH c AS (SELECT conv_id, turn, coalesce(text, '') AS t FROM conversations) SELECT conv_id, turn, (length(t) - length(replace(lower(t), 'que', ''))) // 3 AS n, CASE WHEN strpos(lower(t), 'que') > 0 THEN strlen(t[1:strpos(lower(t), 'que') - 1]) END AS first, CASE WHEN strpos(lower(t), 'que') > 0 THEN CASE WHEN strpos(lower(t), 'que') > 50 THEN 53 ELSE strpos(lower(t), 'que') - 1 END END AS place FROM c WHERE strpos(lower(t), 'que') > 0")
 def literal_matches(spark, d):
     """How often a word occurs, ignoring case, the first match's byte, and its place in UTF-16 units within its snippet."""
     c = read_table(spark, d, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("t"))

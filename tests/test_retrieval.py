@@ -107,6 +107,12 @@ def test_stages_and_levels(spark):
     assert V.run_stages(spark.range(1), stages, "no_hidden_problems").columns == ["id", "retrieve", "filter", "order"]
 
 
-def test_recurring_problems_are_clusters(spark, sf_dir):
+def test_alike_against_all_pairs(spark, sf_dir):
+    rng = random.Random(9)
+    texts = sorted({"".join(rng.choice("abc ") for _ in range(rng.randint(0, 14))) for _ in range(300)} | {"aaaa", "aaaaa", "x", "x y"})
+    grams = {t: {t[i : i + 3] for i in range(max(len(t) - 2, 1))} for t in texts}
+    want = {(a, b) for a in texts for b in texts if a < b and len(grams[a] & grams[b]) >= 0.68 * len(grams[a] | grams[b])}
+    got = V.alike(spark.createDataFrame([(t,) for t in [*texts, *texts[:5], None]], "t string"), "t").collect()
+    assert len(got) == len(want) and {(r["a"], r["b"]) for r in got} == want
     rows = Q.recurring_problems(spark, sf_dir).collect()
     assert rows and all(12 <= r["frequency"] <= 40 for r in rows)
