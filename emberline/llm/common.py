@@ -116,11 +116,11 @@ class Pieces:
 
 
 class Memory:
-    """What words became, one piece of each kind a word, in about CACHE_BYTES: when full, words that
+    """What words became, one piece of each kind a word, in about `limit` or CACHE_BYTES: when full, words that
     only one slice had are forgotten first, and all of them if that is not enough."""
 
-    def __init__(self, *dtypes):
-        self.dtypes = dtypes
+    def __init__(self, *dtypes, limit: int | None = None):
+        self.dtypes, self.limit = dtypes, limit
         self.clear()
 
     def clear(self) -> None:
@@ -130,7 +130,7 @@ class Memory:
         self.letters = 0
 
     def full(self) -> bool:
-        return self.letters + ENTRY_BYTES * len(self.at) + sum(k.bytes for k in self.kinds) > CACHE_BYTES
+        return self.letters + ENTRY_BYTES * len(self.at) + sum(k.bytes for k in self.kinds) > (self.limit or CACHE_BYTES)
 
     def trim(self) -> None:
         """Called between slices only, as places change."""

@@ -17,6 +17,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -33,6 +34,8 @@ VOCABULARY = "word_bpe_49k.json"
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Words gathered into one id stream at a time; repeated documents that a task tells apart before it starts afresh; first sequence number of full pieces.
 STREAM_WORDS, REPEATS, FULL = 1 << 18, 100_000, 1 << 62
+#: Words without their punctuation that a worker remembers beside the chunks, bytes that chunks may take, bytes of text in a slice.
+WORDS, MEMORY_BYTES, TEXT_BYTES = 50_000, 96 << 20, 6 << 20
 
 
 class WordEncoder:
@@ -50,30 +53,45 @@ class WordEncoder:
         self.model = self.tokenizer.model
         self.pattern = regex.compile(WORD_PATTERN)
         self.special = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
-        if any(c.isspace() for s in self.special for c in s):
-            raise ValueError("a special token holds white space, at which texts are cut")
+        if any(c.isspace() for s in self.special for c in s) or not all("<" in s for s in self.special):
+            raise ValueError("a special token holds white space, at which texts are cut, or no <, by which it is looked for")
         # the byte alphabet of byte-level vocabularies: printable bytes stand for themselves, the others follow from 256 on
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = iter(range(256, 512))
         self.letters = "".join(chr(b if b in plain else next(rest)) for b in range(256))
         self.dtype = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
-        self.memory = Memory(self.dtype)
+        self.memory, self.words = Memory(self.dtype, limit=MEMORY_BYTES), {}
+
+    def _word(self, word: str) -> list[int]:
+        ids = self.words.get(word)
+        if ids is None:
+            mapped = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)  # visible ASCII stands for itself
+            ids = self.words[word] = [t.id for t in self.model.tokenize(mapped)]
+        return ids
 
     def _chunk(self, chunk: str) -> list[int]:
-        if max(chunk) < "ɐ" and chunk.isprintable() and not any(s in chunk for s in self.special):  # Latin: normalisation and lower case are the same in both libraries
-            found = self.pattern.findall(unicodedata.normalize("NFC", chunk).lower())
-            return [t.id for w in found for t in self.model.tokenize(w.encode().decode("latin-1").translate(self.letters))]
-        return self.tokenizer.encode(chunk, add_special_tokens=False).ids
+        # Latin: normalisation and lower case are the same in both libraries
+        latin = chunk.isascii() or max(chunk) < "ɐ"
+        if not latin or not chunk.isprintable() or ("<" in chunk and any(s in chunk for s in self.special)):
+            return self.tokenizer.encode(chunk, add_special_tokens=False).ids
+        low = chunk.lower() if chunk.isascii() else unicodedata.normalize("NFC", chunk).lower()
+        if low.isalpha():  # a run of letters is one match of the pattern
+            return self._word(low)
+        if low[-1] in ".," and low[:-1].isalpha():  # so are these marks
+            return self._word(low[:-1]) + self._word(low[-1])
+        return [i for w in self.pattern.findall(low) for i in self._word(w)]
 
     def streams(self, text: pa.Array) -> Iterator[np.ndarray]:
         """The ids of each text, in order."""
         self.memory.trim()
+        if len(self.words) > WORDS:
+            self.words.clear()
         codes, dictionary, offsets = coded_words(text)
         chunks, before = dictionary.to_pylist(), len(self.memory.at)
         new = [c for c in chunks if c and c not in self.memory.at]
-        lists = [self._chunk(c) for c in new]
+        lists = [self._word(c.lower()) if c.isascii() and c.isalpha() else self._chunk(c) for c in new]
         counts = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
-        self.memory.add(new, (np.fromiter((i for ids in lists for i in ids), dtype=self.dtype, count=int(counts.sum())), counts))
+        self.memory.add(new, (np.fromiter(chain.from_iterable(lists), dtype=self.dtype, count=int(counts.sum())), counts))
         index = np.zeros(len(chunks), dtype=np.int64)
         index[[i for i, c in enumerate(chunks) if c]] = self.memory.places([c for c in chunks if c], before)
         first = 0
@@ -104,7 +122,7 @@ def cut_pieces(docs: DataFrame, path: str, groups: int, sequence: int = SEQUENCE
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path)
         met: Counter = Counter()
-        for rows in text_slices(batches):
+        for rows in text_slices(batches, limit=TEXT_BYTES):
             out: list[tuple] = []
             for doc_id, ids in zip(rows.column("doc_id").to_pylist(), encode.streams(rows.column("text")), strict=True):
                 raw = memoryview(ids.astype("<u4").tobytes() + end)
