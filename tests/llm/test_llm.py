@@ -241,6 +241,66 @@ def test_language_held_out(spark):
     assert np.mean([a == b for a, b in rows]) > 0.95
 
 
+def plain_words(text):
+    return [w for w in re.split(r"[\x20\x09-\x0D]+", text or "") if w]
+
+
+def test_toxicity_scores_against_plain(spark, sf_dir):
+    """The query's scores from word odds, all maximal segments by their definition and the two laws, text by text."""
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    model = toxicity.train(rows, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    got = {r["doc_id"]: r for r in toxicity.score(rows, model).collect()}
+    assert model.weights is not None and model.odds
+    for r in rows.where("length(text) < 700").collect():
+        scores = []
+        for w in plain_words(r["text"]):
+            w = w.lower().strip("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
+            known = [t for t in [w, *(w[:n] + "*" for n in (7, 6, 5, 4) if len(w) > n)] if w and t in model.odds]
+            scores.append(float(np.float32((model.odds[known[0]] if known else 0.0) - toxicity.DRIFT)))
+        shift = model.log_k + np.log(max(len(scores), 1))
+        best = sorted((model.decay * s - shift for _, _, s in brute_segments(scores)), reverse=True)
+        top, total = best[0] if best else -shift, sum(x for x in best if x >= toxicity.BAR)
+        chance = 1 - np.exp(-np.exp(-np.clip(top, -30, 30)))
+        z = np.dot(model.weights, [np.clip(top, -10, 20), -np.log10(max(chance, 1e-12)), np.log1p(max(total, 0)), 1.0])
+        assert got[r["doc_id"]]["score"] == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-4)
+
+
+def test_quality_scores_against_densities(spark, sf_dir):
+    rng = np.random.default_rng(2)
+    x, y = rng.normal(size=(400, len(quality.NAMES))) @ rng.normal(size=(len(quality.NAMES),) * 2), rng.integers(0, 2, 400)
+    x[y == 1] = x[y == 1] * 1.7 + 0.5
+    model = quality.fit(x, y)
+    z = x / x.std(axis=0)
+    own = [np.cov(z[y == k].T, bias=True) for k in (0, 1)]
+    pooled = sum((y == k).mean() * own[k] for k in (0, 1))
+    density = []
+    for k in (0, 1):
+        c = 0.85 * own[k] + 0.15 * pooled
+        c = 0.98 * c + (0.02 * np.trace(c) / len(c) + 1e-9) * np.eye(len(c))
+        d = z - z[y == k].mean(axis=0)
+        density.append(-0.5 * np.einsum("ij,ij->i", d, np.linalg.solve(c, d.T).T) - 0.5 * np.linalg.slogdet(c)[1])
+    assert model.log_ratio(x) == pytest.approx(density[1] - density[0], rel=1e-6, abs=1e-6)
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    model = quality.train(rows, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    import pyarrow as pa
+
+    texts = {r["doc_id"]: r["text"] for r in rows.collect()}
+    words = common.WordTable(quality.word_row, 9)
+    one = {i: float(model.score(quality.statistics(pa.array([t], pa.large_string()), words))[0]) for i, t in texts.items()}  # each text by itself
+    assert {r["doc_id"]: r["score"] for r in quality.score(rows, model).collect()} == pytest.approx(one, abs=1e-6)
+
+
+def test_language_scores_against_plain(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    model = langid.train(rows)
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.predict(rows, model).collect()}
+    for r in rows.limit(60).collect():
+        grams = [g for w in plain_words(r["text"]) if (letters := "".join(c for c in w.lower() if c.isalpha())) for n in (2, 3, 4) for i in range(len(letters) + 3 - n) for g in [f"<{letters}>"[i : i + n]]]
+        z = model.logits[[zlib.crc32(g.encode()) % langid.BUCKETS for g in grams]].mean(axis=0) + model.bias
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        assert got[r["doc_id"]] == (model.languages[int(p.argmax())], pytest.approx(float(p.max()), abs=1e-5))
+
+
 def test_classifiers_take_odd_rows(spark, odd):
     labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(1, 12)] + [(None, 1, 1), (3, None, None)], "doc_id long, quality int, toxic int")
     n = odd.count()
