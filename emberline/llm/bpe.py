@@ -27,11 +27,15 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memory, Pieces, text_slices
+from .common import Memory, Pieces, bounded_batches, text_slices
 
 RANKS = "byte_bpe_50k.tiktoken"
+#: The part of a pattern that takes a run of letters, with a space before it, as one match, if the parts before it all start with an apostrophe.
+LETTERS = r" ?\p{L}+"
 #: Bytes of distinct words in one recursive query (a longer word comes alone), bytes of a long word, and chunks gathered at a time.
 QUERY_BYTES, LONG_BYTES, STREAM_CHUNKS = 1 << 20, 64, 1 << 18
+#: Bytes that a worker's memory of words and chunks may take, and bytes of text in a slice.
+MEMORY_BYTES, TEXT_BYTES = 160 << 20, 6 << 20
 
 #: The live rows of a word are contracted until it has no pair left; its last rows are marked done. A pair
 #: is known by its rank and, in the lower 32 bits, its place.
@@ -86,6 +90,8 @@ class Codec:
             ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
         # white space by its Unicode property, without the control characters that Python adds
         self.pattern = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
+        parts = pattern.split("|")
+        self.takes_letters = LETTERS in parts and all(p.startswith("'") for p in parts[: parts.index(LETTERS)])
         self.of_byte = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int32)
         self.largest = max(ranks.values())
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "250MB", "preserve_insertion_order": "false", "temp_directory": ""})
@@ -95,7 +101,7 @@ class Codec:
             np.minimum.at(lowest, pairs[:, part], pairs[:, 2])
         self._load("merges", first=pairs[:, 0], second=pairs[:, 1], merged=pairs[:, 2], single=lowest[pairs[:, 2]] < pairs[:, 2])
         self._load("vocabulary", token=np.array(list(ranks.values()), dtype=np.int32), hex=[w.hex() for w in ranks])
-        self.memory = Memory(np.uint16 if self.largest < 1 << 16 else np.uint32, np.uint8)
+        self.memory = Memory(np.uint16 if self.largest < 1 << 16 else np.uint32, np.uint8, limit=MEMORY_BYTES)
 
     def _load(self, name: str, **columns) -> None:
         self.db.register("given", pa.table({k: pa.array(v) for k, v in columns.items()}))
@@ -146,7 +152,8 @@ class Codec:
         at = self.memory.at
         new = [c for c in dict.fromkeys(chunks) if c not in at]
         found = self.pattern.findall
-        falls = {c: ws for c in new if len(ws := found(c)) != 1}
+        rest = [c for c in new if not c.removeprefix(" ").isalpha()] if self.takes_letters else new  # the others are one match
+        falls = {c: ws for c in rest if len(ws := found(c)) != 1}
         words = [w for w in dict.fromkeys([*(c for c in new if c not in falls), *(w for ws in falls.values() for w in ws)]) if w not in at]
         ids, counts = self.merge_words([w.encode() for w in words])
         self.memory.add(words, (ids, counts), self.decode_many(ids, counts))
@@ -218,11 +225,11 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None)
     path, pattern = path or paths()[0], pattern or paths()[1]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in text_slices(batches):
+        for rows in text_slices(batches, limit=TEXT_BYTES):
             ids = [i.astype(np.int32) for i, _ in codec(path, pattern).texts(rows.column("text"))]
             yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, ids array<int>")
+    return bounded_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))).mapInArrow(run, "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
@@ -247,7 +254,7 @@ def digests(docs: DataFrame, path: str | None = None, pattern: str | None = None
     path, pattern = path or paths()[0], pattern or paths()[1]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in text_slices(batches):
+        for rows in text_slices(batches, limit=TEXT_BYTES):
             n, ids_sha, data_sha = [], [], []
             for ids, data in codec(path, pattern).texts(rows.column("text")):
                 n.append(len(ids))
@@ -255,7 +262,7 @@ def digests(docs: DataFrame, path: str | None = None, pattern: str | None = None
                 data_sha.append(hashlib.sha256(data.tobytes()).hexdigest())
             yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(data_sha, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return bounded_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op6(spark, sf_dir: str) -> DataFrame:

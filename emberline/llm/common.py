@@ -16,7 +16,9 @@ from ..shared import shared_folder
 #: Bytes of text that one vectorised step holds at a time. A longer single text is one step.
 SLICE_BYTES = 2 << 20
 #: Bytes about that a worker process may fill with what words became; bounds its memory only.
-CACHE_BYTES = 64 << 20
+CACHE_BYTES = 40 << 20
+#: Bytes of rows in one batch between the JVM and a worker; both hold a few of them at a time.
+BATCH_BYTES = 8 << 20
 #: What a remembered word takes beside its letters and its arrays: string, dictionary entry, bounds.
 ENTRY_BYTES = 160
 
@@ -31,6 +33,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """The same rows; from now on the session's Arrow batches keep to BATCH_BYTES, unless its settings say otherwise.
+
+    The default is eight times that, which the JVM holds outside its heap and seldom gives back."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(name, None) is None:
+        conf.set(name, str(BATCH_BYTES))
+    return df
+
+
 def id_crc(column: str = "doc_id") -> Column:
     """crc32 of an id as text; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary"))
@@ -55,6 +67,8 @@ def text_slices(batches: Iterable[pa.RecordBatch], column: str = "text", limit:
             text = part.column(at).take(pa.array(np.arange(part.num_rows)))
             yield part.set_column(at, column, pc.fill_null(text.cast(pa.large_string()), ""))
             start = stop
+        del batch
+        pa.default_memory_pool().release_unused()  # a worker lives on after its task; what it has freed goes back
 
 
 def coded_words(text: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
@@ -193,7 +207,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int
     )
     share = min(1.0, limit / max(1, ids.count()))
     ids = ids.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    return rows_of(docs, "doc_id", "text").join(F.broadcast(ids), "doc_id")
+    return bounded_batches(rows_of(docs, "doc_id", "text")).join(F.broadcast(ids), "doc_id")
 
 
 def logistic(z: np.ndarray) -> np.ndarray:

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
-from .common import checkpointed, join_group_facts
+from .common import bounded_batches, checkpointed, join_group_facts
 
 #: Name of the added column; documents' own columns may have any name, as they travel in a struct.
 MAYBE = "maybe"
@@ -79,7 +79,7 @@ def repeated_filter(hashed: DataFrame, rows: int, column: str = "sha") -> np.nda
         return pd.DataFrame({"segment": parts["segment"].iloc[:1], "bits": [np.packbits(twice | (met > 1)).tobytes()]})
 
     out = np.zeros(bits // 8, dtype=np.uint8)
-    parts = hashed.select(column).mapInArrow(insert, "segment int, once binary, twice binary")
+    parts = bounded_batches(hashed.select(column)).mapInArrow(insert, "segment int, once binary, twice binary")
     for row in parts.groupBy("segment").applyInPandas(merge, "segment int, bits binary").collect():
         out[row["segment"] * SEGMENT_BITS // 8 : (row["segment"] + 1) * SEGMENT_BITS // 8] = np.frombuffer(row["bits"], dtype=np.uint8)
     return out
@@ -95,7 +95,7 @@ def mark_possible(hashed: DataFrame, filter_: np.ndarray, column: str = "sha") -
             at = _positions(batch.column(batch.schema.get_field_index(column)), len(packed) * 8)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_are_set(packed, at).all(axis=1))], [*batch.schema.names, MAYBE])
 
-    return hashed.mapInArrow(look, StructType([*hashed.schema.fields, StructField(MAYBE, BooleanType())]))
+    return bounded_batches(hashed).mapInArrow(look, StructType([*hashed.schema.fields, StructField(MAYBE, BooleanType())]))
 
 
 def group_copies(docs: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordTable, coded_words, id_crc, rows_of, sums_by_text, text_slices
+from .common import WordTable, bounded_batches, coded_words, id_crc, rows_of, sums_by_text, text_slices
 
 #: Sampled texts of each language; all sampled texts, where there are so many languages that each gets fewer, but LEAST at least; buckets, embedding size, n-gram sizes.
 SAMPLE, TOTAL, LEAST, BUCKETS, DIM, GRAMS = 800, 20_000, 20, 1 << 15, 16, (2, 3, 4)
@@ -163,7 +163,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             score = np.where(none, 0.0, score)
             yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(none | (score < model.reject_below), pa.bool_())], ["doc_id", "lang_pred", "score", "rejected"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, lang_pred string, score double, rejected boolean")
+    return bounded_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))).mapInArrow(run, "doc_id long, lang_pred string, score double, rejected boolean")
 
 
 def op10(spark, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
-from .common import checkpointed, coded_words, join_group_facts, text_slices
+from .common import bounded_batches, checkpointed, coded_words, join_group_facts, text_slices
 
 WORDS, PERCENT = 5, 75
 #: Coordinates, rows in a band, slots of the ring, seed of the permutations.
@@ -109,7 +109,7 @@ def sketches(docs: DataFrame) -> DataFrame:
                 ["doc_id", "n_shingles", "set_hash", "bands", "sketch"],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_shingles long, set_hash binary, bands array<long>, sketch binary")
+    return bounded_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))).mapInArrow(run, "doc_id long, n_shingles long, set_hash binary, bands array<long>, sketch binary")
 
 
 def linked(a: np.ndarray, b: np.ndarray) -> bool:

@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memory, checkpointed, coded_words, text_slices
+from .common import Memory, bounded_batches, checkpointed, coded_words, text_slices
 
 SEQUENCE, END_ID, GROUP_DOCS = 4096, 2, 4096
 VOCABULARY = "word_bpe_49k.json"
@@ -138,7 +138,7 @@ def cut_pieces(docs: DataFrame, path: str, groups: int, sequence: int = SEQUENCE
             columns = list(zip(*out, strict=True)) if out else [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "g"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, g long")
+    return bounded_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))).mapInArrow(cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, g long")
 
 
 def first_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:

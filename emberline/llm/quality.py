@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordTable, coded_words, fit_logistic, id_crc, labelled_sample, logistic, sums_by_text, text_slices
+from .common import WordTable, bounded_batches, coded_words, fit_logistic, id_crc, labelled_sample, logistic, sums_by_text, text_slices
 
 SAMPLE, MODULUS, HELD_OUT, THRESHOLD = 20_000, 5, 0, 0.3
 #: Shrinkage of a class covariance towards the pooled one, and of that towards a multiple of the identity.
@@ -126,7 +126,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for rows in text_slices(batches):
             yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(model.score(statistics(rows.column("text"), words)), pa.float64())], ["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double")
+    return bounded_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))).mapInArrow(run, "doc_id long, score double")
 
 
 def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
@@ -141,7 +141,7 @@ def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> Da
                 yield batch.slice(at, rows.num_rows).filter(pa.array(keep, pa.bool_()))
                 at += rows.num_rows
 
-    return docs.mapInArrow(run, docs.schema)
+    return bounded_batches(docs).mapInArrow(run, docs.schema)
 
 
 def op7(spark, sf_dir: str) -> DataFrame:

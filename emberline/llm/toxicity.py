@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordTable, checkpointed, coded_words, fit_logistic, id_crc, labelled_sample, logistic, text_slices
+from .common import WordTable, bounded_batches, checkpointed, coded_words, fit_logistic, id_crc, labelled_sample, logistic, text_slices
 
 #: Labelled rows in the sample, and word beginnings that are counted too.
 SAMPLE, BEGINNINGS = 20_000, (4, 5, 6, 7)
@@ -188,7 +188,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 passages.append([{"start": a, "end": b, "score": s} for a, b, s in found])
             yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(probabilities, pa.float64()), pa.array(passages, pa.list_(passage))], ["doc_id", "score", "passages"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double, passages array<struct<start:long,end:long,score:double>>")
+    return bounded_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))).mapInArrow(run, "doc_id long, score double, passages array<struct<start:long,end:long,score:double>>")
 
 
 def probability(best: float, total: float, model: Model) -> float:
@@ -209,7 +209,7 @@ def keep_clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> D
                 yield batch.slice(at, rows.num_rows).filter(pa.array(keep, pa.bool_()))
                 at += rows.num_rows
 
-    return docs.mapInArrow(run, docs.schema)
+    return bounded_batches(docs).mapInArrow(run, docs.schema)
 
 
 def op4(spark, sf_dir: str) -> DataFrame:
