@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, exact_dedup, langid, minhash, packing, quality, reassembly, sharding, topk, toxicity
+from . import bpe, chat, clustering, decontamination, exact_dedup, langid, minhash, packing, quality, reassembly, sharding, topk, toxicity
 
 QUERIES = {
     "op1_topk_search": topk.op1,
@@ -16,6 +16,8 @@ QUERIES = {
     "op9_exact_dedup": exact_dedup.op9,
     "op10_language_id": langid.op10,
     "op11_reassembly": reassembly.op11,
+    "op12_centroids": clustering.op12,
+    "op13_decontamination": decontamination.op13,
 }
 
-ORACLES = {"op1_topk_search": topk.OP1_SQL, "op2_chat_format": chat.OP2_SQL, "op9_exact_dedup": exact_dedup.OP9_SQL, "op11_reassembly": reassembly.OP11_SQL}
+ORACLES = {"op1_topk_search": topk.OP1_SQL, "op2_chat_format": chat.OP2_SQL, "op9_exact_dedup": exact_dedup.OP9_SQL, "op11_reassembly": reassembly.OP11_SQL, "op12_centroids": clustering.OP12_SQL, "op13_decontamination": decontamination.OP13_SQL}

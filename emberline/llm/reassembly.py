@@ -18,14 +18,14 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
 from ..shared import delete_folder, shared_folder
+from ..streaming.state import settings
 
 #: Batches of the contract's cut, and batches without arrivals that close a conversation.
 BATCHES, IDLE = 12, 3
@@ -35,15 +35,6 @@ FILE_ROWS = 500_000
 HOUR = 3_600_000
 FEED = "conv string, turn long, role string, text string, first long, n int, at timestamp, tick boolean"
 EVENTS = "event string, conv string, turn long, batch int, role string, text string, unreleased array<struct<first:long,last:long>>, n_missing long, n_breaks long"
-#: Keyed maps and timers need this store; its change logs keep a commit small, and a task's store goes with its task.
-STORE = {
-    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
-    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
-    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "128",
-    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
-    "spark.sql.streaming.noDataMicroBatches.enabled": "false",
-}
 
 
 @dataclass
@@ -152,19 +143,6 @@ class Reassembly(StatefulProcessor):
         return Row(event=event, conv=conv, turn=turn, batch=batch, role=role, text=text, unreleased=None, n_missing=None, n_breaks=None)
 
 
-@contextmanager
-def settings(spark: SparkSession, wanted: dict[str, str]):
-    """These settings inside the block, and those from before after it."""
-    before = {k: spark.conf.get(k, None) for k in wanted}
-    try:
-        for k, v in wanted.items():
-            spark.conf.set(k, v)
-        yield
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-
-
 def cut(conversations: DataFrame, batches: int = BATCHES) -> DataFrame:
     """(conv, turn, role, text, n): the arrivals of each batch n, by the first 8 hex digits of sha256(`conv_id:turn`).
 
@@ -216,7 +194,7 @@ def reassemble(arrivals: DataFrame, batches: int = BATCHES, idle: int = IDLE) ->
     fs_path = spark._jvm.org.apache.hadoop.fs.Path
     fs = fs_path(base).getFileSystem(spark._jsc.hadoopConfiguration())
     fs.mkdirs(fs_path(f"{base}/feed"))
-    with settings(spark, STORE):
+    with settings(spark):
         for n in range(batches + 1):
             if not fs.rename(fs_path(f"{base}/cut/batch={n}"), fs_path(f"{base}/feed/batch={n}")):
                 raise OSError(f"batch {n} could not be moved")
