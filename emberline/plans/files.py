@@ -9,9 +9,11 @@ from pyspark.sql.types import ArrayType, DoubleType
 
 from ..functions import text as T
 from ..operators import relational as R
+from ..operators import retrieval as V
 from ..shared import Rounds
-from ..sources import io
+from ..sources import io, listing, ranges
 from ..sources.io import read_table
+from ..sources.versioned import VersionedTable
 from .base import query
 from .records import direction_table
 
@@ -62,22 +64,25 @@ def prediction_files(spark, d):
     return files.result(p.select("key", "row.name", F.coalesce("row.fixed", F.lit(False)).alias("fixed")))
 
 
-@query("WITH s AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'memory' ELSE 'evaluation' END AS role, CASE WHEN doc_id % 4 = 0 THEN 'split lang' END AS lang FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT 1000000000 + n_nationkey, 'memory', 'x' FROM nation) SELECT s.doc_id, s.role, coalesce(d.lang, s.lang, '') AS lang, md5(CASE WHEN s.role = 'memory' THEN coalesce(d.text, '') ELSE '' END) AS diff, d.doc_id IS NULL AS missing FROM s LEFT JOIN documents d USING (doc_id)")
+@query("WITH s AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'memory' ELSE 'evaluation' END AS role, CASE WHEN doc_id % 4 = 0 THEN 'split lang' END AS lang FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT 1000000000 + n_nationkey, 'memory', 'x' FROM nation) SELECT s.doc_id, s.role, coalesce(d.lang, s.lang, '') AS lang, md5(CASE WHEN s.role = 'memory' THEN coalesce(d.text, '') ELSE '' END) AS diff, d.doc_id IS NULL AS missing, 'diff' AS unsaved FROM s LEFT JOIN (SELECT * FROM documents WHERE contains(lower(coalesce(source, '')), 'c1') OR contains('c1', lower(coalesce(source, ''))) OR contains(lower(coalesce(source, '')), 'src2') OR contains('src2', lower(coalesce(source, '')))) d USING (doc_id)")
 def enriched_split(spark, d):
-    """Rows of two split files joined to the dataset: its fields first, then the split's, the diff for memory only, and which keys the dataset misses; a third split is not there."""
+    """Rows of two split files joined to those of the dataset whose repositories are wanted: its fields first, then the split's, the
+    diff for memory only, and which keys the dataset misses; a third split is not there, and the sink names the required fields that its rows lack."""
     files = Rounds(spark)
+    source = F.col("source")
     docs = read_table(spark, d, "documents")
+    dataset = docs.where(V.names_repo(source, F.lit(""), source, (" C1", "src2")))
     far = read_table(spark, d, "nation").select((F.lit(1000000000) + F.col("n_nationkey")).cast("long").alias("doc_id"), F.lit("memory").alias("role"), F.lit("x").alias("lang"))
     rows = docs.where("doc_id % 2 = 0").select("doc_id", F.when(F.col("doc_id") % 3 == 0, "memory").otherwise("evaluation").alias("role"), F.when(F.col("doc_id") % 4 == 0, "split lang").alias("lang")).unionByName(far)
     for role in ("memory", "evaluation"):
-        rows.where(F.col("role") == role).write.json(f"{files.base}/{role}_set")
+        lacking = io.write_jsonl(rows.where(F.col("role") == role), f"{files.base}/{role}_set", ("doc_id", "role", "diff"))
     split = None
     for role in ("memory", "evaluation", "absent"):
         part = io.read_or_none(spark, f"{files.base}/{role}_set", "doc_id long, role string, lang string", lambda s, p, schema: s.read.schema(schema).json(p))
         split = part if split is None else split.unionByName(part)
-    wanted = docs.join(split.select("doc_id"), "doc_id", "left_semi").select("doc_id", F.col("lang").alias("known"), "text", F.lit(True).alias("there"))
+    wanted = dataset.join(split.select("doc_id"), "doc_id", "left_semi").select("doc_id", F.col("lang").alias("known"), "text", F.lit(True).alias("there"))
     j = split.join(wanted, "doc_id", "left")
-    return files.result(j.select("doc_id", "role", F.coalesce("known", "lang", F.lit("")).alias("lang"), F.md5(F.when(F.col("role") == "memory", F.coalesce("text", F.lit(""))).otherwise("")).alias("diff"), F.col("there").isNull().alias("missing")))
+    return files.result(j.select("doc_id", "role", F.coalesce("known", "lang", F.lit("")).alias("lang"), F.md5(F.when(F.col("role") == "memory", F.coalesce("text", F.lit(""))).otherwise("")).alias("diff"), F.col("there").isNull().alias("missing"), F.lit(",".join(lacking)).alias("unsaved")))
 
 
 @query("WITH n AS (SELECT user_id AS run, event_id AS id, round(value, 4) AS cost FROM events WHERE user_id % 3 = 0), l AS (SELECT user_id AS run, event_id AS id, coalesce(CASE WHEN event_id % 2 = 0 THEN round(value, 4) END, 0.0) AS cost, CASE WHEN event_id % 4 = 0 THEN 'done' ELSE 'exit' END AS status FROM events WHERE user_id % 6 <> 0) SELECT CAST(run AS BIGINT) AS run, id, cost, 'new' AS format, 'run ' || run AS status FROM n UNION ALL SELECT CAST(run AS BIGINT), id, cost, 'legacy', status FROM l WHERE run % 3 <> 0")
@@ -86,12 +91,17 @@ def cost_reports(spark, d):
     files = Rounds(spark)
     e = read_table(spark, d, "events").select(F.col("user_id").alias("run"), F.col("event_id").alias("id"), F.round("value", 4).alias("cost"))
     report = e.where("run % 3 = 0").groupBy("run").agg(F.collect_list(F.struct("id", "cost")).alias("instances")).select("run", F.concat(F.lit("run "), F.col("run").cast("string")).alias("name"), "instances")
-    report.write.partitionBy("run").json(f"{files.base}/new")
+    report.repartition("run").write.partitionBy("run").json(f"{files.base}/new")
     info = F.struct(F.struct(F.when(F.col("id") % 2 == 0, F.col("cost")).alias("total")).alias("cost_tracking"), F.when(F.col("id") % 4 == 0, "done").alias("attempt_status"), F.lit("exit").alias("exit_status"))
-    e.where("run % 6 <> 0").select("run", "id", info.alias("info")).write.partitionBy("run").json(f"{files.base}/legacy")
-    run = F.regexp_extract(io.folder_of(), "run=(.*)", 1).cast("long").alias("run")
-    new = spark.read.schema("name string, instances array<struct<id:long,cost:double>>").option("recursiveFileLookup", True).json(f"{files.base}/new").select(run, "name", F.explode("instances").alias("i")).select("run", "i.id", "i.cost", F.lit("new").alias("format"), F.col("name").alias("status"))
-    old = spark.read.schema("id long, info struct<cost_tracking:struct<total:double>,attempt_status:string,exit_status:string>").option("recursiveFileLookup", True).json(f"{files.base}/legacy").select(run, "id", F.coalesce("info.cost_tracking.total", F.lit(0.0)).alias("cost"), F.lit("legacy").alias("format"), F.coalesce("info.attempt_status", "info.exit_status").alias("status"))
+    e.where("run % 6 <> 0").select("run", "id", info.alias("info")).repartition("run").write.partitionBy("run").json(f"{files.base}/legacy")
+    run = F.regexp_extract("path", "run=([^/]*)", 1).cast("long").alias("run")
+
+    def rows(part: str, schema: str) -> DataFrame:
+        lines = listing.read_files(listing.list_files(spark, f"{files.base}/{part}"))
+        return lines.select(run, F.from_json("value", schema).alias("r")).select("run", "r.*")
+
+    new = rows("new", "name string, instances array<struct<id:long,cost:double>>").select("run", "name", F.explode("instances").alias("i")).select("run", "i.id", "i.cost", F.lit("new").alias("format"), F.col("name").alias("status"))
+    old = rows("legacy", "id long, info struct<cost_tracking:struct<total:double>,attempt_status:string,exit_status:string>").select("run", "id", F.coalesce("info.cost_tracking.total", F.lit(0.0)).alias("cost"), F.lit("legacy").alias("format"), F.coalesce("info.attempt_status", "info.exit_status").alias("status"))
     return files.result(new.unionByName(old.join(new.select("run").distinct(), "run", "left_anti")))
 
 
@@ -100,11 +110,11 @@ def consolidated_patches(spark, d):
     """Results and patch texts of several directories joined by folder; a result without a patch has an empty one."""
     files = Rounds(spark)
     e = read_table(spark, d, "events")
-    e.where("user_id % 4 <> 2").groupBy(F.col("user_id").alias("folder")).agg(F.max("event_id").alias("last"), F.count(F.lit(1)).alias("n")).write.partitionBy("folder").json(f"{files.base}/result")
-    e.where("user_id % 3 <> 1").groupBy(F.col("user_id").alias("folder")).agg(F.max("props").alias("value")).write.partitionBy("folder").text(f"{files.base}/patch")
-    name = F.regexp_extract(io.folder_of(), "folder=(.*)", 1).alias("folder")
-    results = spark.read.schema("last long, n long").option("recursiveFileLookup", True).json(f"{files.base}/result").select(name, "last", "n")
-    patches = spark.read.option("recursiveFileLookup", True).option("wholetext", True).text(f"{files.base}/patch").select(name, F.regexp_replace("value", "\\n\\z", "").alias("patch"))
+    e.where("user_id % 4 <> 2").groupBy(F.col("user_id").alias("folder")).agg(F.max("event_id").alias("last"), F.count(F.lit(1)).alias("n")).repartition("folder").write.partitionBy("folder").json(f"{files.base}/result")
+    e.where("user_id % 3 <> 1").groupBy(F.col("user_id").alias("folder")).agg(F.max("props").alias("value")).repartition("folder").write.partitionBy("folder").text(f"{files.base}/patch")
+    name = F.regexp_extract("path", "folder=([^/]*)", 1).alias("folder")
+    results = listing.read_files(listing.list_files(spark, f"{files.base}/result")).select(name, F.from_json("value", "last long, n long").alias("r")).select("folder", "r.*")
+    patches = listing.read_files(listing.list_files(spark, f"{files.base}/patch"), whole=True).select(name, F.col("value").alias("patch"))
     j = results.join(patches, "folder", "left")
     return files.result(j.select("folder", "last", "n", F.coalesce("patch", F.lit("")).alias("patch"), F.col("patch").isNotNull().alias("has_patch")))
 
@@ -127,14 +137,17 @@ _CACHE = "c AS (SELECT p_partkey AS pos, md5(CAST(p_partkey AS VARCHAR)) AS sha,
 
 @query(f"WITH {_CACHE}, x AS (SELECT q.id, arg_min(c.v, c.pos) AS v FROM q JOIN c ON c.sha = q.asked GROUP BY 1), y AS (SELECT q.id, arg_min(c.v, c.pos) AS v FROM q JOIN c ON q.asked <> '' AND c.sha[1:9] = q.asked[1:9] AND (starts_with(c.sha, q.asked) OR starts_with(q.asked, c.sha)) GROUP BY 1) SELECT q.id, coalesce(x.v, y.v) AS found, x.v IS NULL AND y.v IS NULL AS miss FROM q LEFT JOIN x ON x.id = q.id LEFT JOIN y ON y.id = q.id")
 def cache_lookups(spark, d):
-    """Lookups in a cache that was replaced as a whole: by the full key, else by the first entry where one is a beginning of the other; misses are marked."""
+    """Lookups in a cache of versions that two writers upserted at once: by the full key, else by the first entry where one is a beginning of the other; misses are marked."""
     files = Rounds(spark)
     p = read_table(spark, d, "part")
     sha = F.md5(F.col("p_partkey").cast("string"))
     entries = p.where("p_partkey % 2 = 0").select(F.col("p_partkey").alias("pos"), sha.alias("sha"), F.col("p_name").alias("v"))
-    io.replace_whole(entries.where("pos < 100").withColumn("v", F.lit("stale")), f"{files.base}/cache")
-    io.replace_whole(R.upsert(spark.read.schema("pos long, sha string, v string").json(f"{files.base}/cache"), entries, ["sha"]), f"{files.base}/cache")
-    cache = spark.read.schema("pos long, sha string, v string").json(f"{files.base}/cache")
+    table = VersionedTable(spark, f"{files.base}/cache", "pos long, sha string, v string", "sha", 8)
+    table.upsert(entries.where("pos < 100").withColumn("v", F.lit("stale")))
+    # another writer commits while this one is between reading and committing; it reads again and loses nothing
+    other = lambda attempt: attempt or VersionedTable(spark, table.path, table.schema, "sha", 8).upsert(entries.where("pos < 50"))
+    table.upsert(entries.where("pos >= 50"), other)
+    cache = table.read()
     k = F.col("p_partkey")
     asked = F.when(k % 4 == 0, sha).when(k % 4 == 1, F.substring(F.md5((k - 1).cast("string")), 1, 9)).when(k % 4 == 2, F.concat(sha, F.lit("ff"))).otherwise("")
     return files.result(R.prefix_lookup(p.select(k.alias("id"), asked.alias("asked")), cache, "asked", "sha", "pos", 9).select("id", F.col("v").alias("found"), F.col("v").isNull().alias("miss")))
@@ -142,26 +155,39 @@ def cache_lookups(spark, d):
 
 @query("WITH n AS (SELECT user_id AS id, event_type AS phase, count(*) AS calls, round(sum(value), 4) AS cost FROM events WHERE event_id % 2 = 0 GROUP BY ALL), o AS (SELECT user_id AS id, event_type AS phase, count(*) AS calls, round(sum(value), 4) AS cost FROM events WHERE event_id % 3 = 0 GROUP BY ALL) SELECT * FROM o WHERE id NOT IN (SELECT id FROM n WHERE id % 2 = 0) UNION ALL SELECT * FROM n WHERE id % 2 = 0")
 def usage_reports(spark, d):
-    """Usage by phase saved into a report: an instance's rows replace its old ones, the report is sorted by instance and read by its columns."""
+    """Usage by phase saved into a report: an instance's rows replace its old ones in one new version of the report."""
     files = Rounds(spark)
     e = read_table(spark, d, "events")
     by = lambda df: df.groupBy(F.col("user_id").alias("id"), F.col("event_type").alias("phase")).agg(F.count(F.lit(1)).alias("calls"), F.round(F.sum("value"), 4).alias("cost"))
-    by(e.where("event_id % 3 = 0")).write.parquet(f"{files.base}/report")
+    table = VersionedTable(spark, f"{files.base}/report", "id long, phase string, calls long, cost double", "id", 8)
+    table.replace(by(e.where("event_id % 3 = 0")))
     new = by(e.where("event_id % 2 = 0 AND user_id % 2 = 0"))
-    old = spark.read.parquet(f"{files.base}/report")
-    io.replace_whole(old.join(new.select("id").distinct(), "id", "left_anti").unionByName(new).repartitionByRange("id").sortWithinPartitions("id", "phase"), f"{files.base}/report", "parquet")
-    return files.result(spark.read.parquet(f"{files.base}/report").select("id", "phase", "calls", "cost"))
-
-
-@query("WITH l AS (SELECT event_id AS line, event_id % 11 = 3 AS bad, CASE WHEN event_id % 11 <> 3 THEN event_type ELSE '' END AS kind FROM events WHERE event_id < 900 AND event_id % 7 <> 5) SELECT line, CAST(row_number() OVER (ORDER BY line DESC) AS INTEGER) AS back, bad AS rejected, kind FROM l")
+    old = table.read()
+    table.replace(old.join(new.select("id").distinct(), "id", "left_anti").unionByName(new))
+    return files.result(table.read().select("id", "phase", "calls", "cost"))
+
+
+@query("""
+WITH l AS (
+  SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, event_id, CASE WHEN event_id % 7 = 5 THEN ' ' WHEN event_id % 11 = 3 THEN '{"kind":' ELSE '{"kind":"' || event_type || '"}' END AS line, event_type, event_id % 11 = 3 AS bad FROM events),
+b AS (
+  SELECT *, sum(strlen(line) + 1) OVER (PARTITION BY day ORDER BY event_id) - strlen(line) - 1 AS first, sum(strlen(line) + 1) OVER (PARTITION BY day) // 2 AS frozen, count(*) OVER (PARTITION BY day) AS newlines FROM l),
+r AS (SELECT *, least(first + strlen(line), frozen) AS last FROM b WHERE first < frozen AND line <> ' ')
+SELECT day, CAST(first AS BIGINT) AS first, CAST(last AS BIGINT) AS last, row_number() OVER (PARTITION BY day ORDER BY first DESC) AS back, bad OR last < first + strlen(line) AS rejected,
+  CASE WHEN bad OR last < first + strlen(line) THEN '' ELSE event_type END AS kind, newlines
+FROM r
+""")
 def reversed_log(spark, d):
-    """A log of JSON lines read from its end, which is frozen at line 900: blank lines skipped, malformed ones rejected in place."""
+    """Logs of JSON lines, a file a day, read from their ends by byte ranges: blank lines skipped, malformed ones rejected in
+    place, as is the one that is cut where the log is frozen, at half of its bytes; and the newlines of each file."""
     files = Rounds(spark)
     k = F.col("event_id")
     value = F.when(k % 7 == 5, " ").when(k % 11 == 3, '{"kind":').otherwise(F.to_json(F.struct(F.col("event_type").alias("kind"))))
-    _lines(read_table(spark, d, "events").select("event_id", value.alias("value")), "event_id").write.text(f"{files.base}/log")
-    r = io.read_reversed(spark, f"{files.base}/log", "kind string", 900)
-    return files.result(r.select(F.col("line").cast("long").alias("line"), "back", "rejected", F.coalesce("row.kind", F.lit("")).alias("kind")))
+    rows = read_table(spark, d, "events").select(F.to_date("ts").cast("string").alias("day"), "event_id", value.alias("value"))
+    rows.repartition("day").sortWithinPartitions("day", "event_id").select("day", "value").write.partitionBy("day").text(f"{files.base}/log")
+    day = F.regexp_extract("file", "day=([^/]*)", 1).alias("day")
+    r = ranges.read_backward(spark, f"{files.base}/log", "kind string", {"*": 0.5}).select(day, "first", "last", F.col("back").cast("long").alias("back"), "rejected", F.coalesce("row.kind", F.lit("")).alias("kind"))
+    return files.result(r.join(ranges.newline_counts(spark, f"{files.base}/log").select(day, "newlines"), "day"))
 
 
 @query("WITH i AS (SELECT user_id AS thread, event_id, event_type AS kind, event_id % 13 = 4 AS bad, CASE WHEN event_type = 'signup' THEN 'mode' || (event_id % 3) END AS mode, props FROM events WHERE user_id % 9 <> 4) SELECT CAST(thread AS BIGINT) AS thread, count(*) FILTER (NOT bad) AS items, count(*) FILTER (bad) AS parse_errors, min(event_id) FILTER (NOT bad) AS first_item, coalesce(arg_max(mode, event_id) FILTER (NOT bad AND mode IS NOT NULL), '') AS memory_mode FROM i GROUP BY 1 HAVING count(*) FILTER (NOT bad) > 0")
@@ -172,7 +198,8 @@ def rollout_metadata(spark, d):
     item = F.to_json(F.struct("event_id", F.col("event_type").alias("kind"), F.when(F.col("event_type") == "signup", F.concat(F.lit("mode"), (k % 3).cast("string"))).alias("mode")))
     e = read_table(spark, d, "events").where("user_id % 9 <> 4").select(F.col("user_id").alias("thread"), "event_id", F.when(k % 13 == 4, "{").otherwise(item).alias("value"))
     e.repartition("thread").sortWithinPartitions("thread", "event_id").select("thread", "value").write.partitionBy("thread").text(f"{files.base}/sessions")
-    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "part-*").text(f"{files.base}/sessions").select(F.regexp_extract(io.folder_of(), "thread=(.*)", 1).cast("long").alias("thread"), "value", T.is_json(F.col("value")).alias("fine"))
+    found = listing.list_files(spark, f"{files.base}/sessions").where(F.rlike("path", F.lit("/part-[^/]*$")))
+    lines = listing.read_files(found).select(F.regexp_extract("path", "thread=([^/]*)", 1).cast("long").alias("thread"), "value", T.is_json(F.col("value")).alias("fine"))
     rows = lines.withColumn("r", F.from_json("value", "event_id long, kind string, mode string"))
     fine = F.col("fine")
     folded = rows.groupBy("thread").agg(F.count_if(fine).alias("items"), F.count_if(~fine).alias("parse_errors"), F.min(F.when(fine, F.col("r.event_id"))).alias("first_item"), F.coalesce(F.max_by("r.mode", F.when(F.col("r.mode").isNotNull(), F.col("r.event_id"))), F.lit("")).alias("memory_mode"))
@@ -181,7 +208,7 @@ def rollout_metadata(spark, d):
 
 @query("WITH a AS (SELECT event_id, strlen('{\"id\":' || event_id || '}') + 1 AS bytes FROM events WHERE event_id % 2 = 0 OR event_id > 500), r AS (SELECT *, sum(bytes) OVER (ORDER BY event_id DESC ROWS UNBOUNDED PRECEDING) AS used, row_number() OVER (ORDER BY event_id DESC) AS k FROM a), t AS (SELECT sum(bytes) AS total FROM a) SELECT event_id FROM r, t WHERE total <= 4000 OR k = 1 OR used <= 3200")
 def appended_history(spark, d):
-    """Payloads appended one a line in two runs, then cut from the oldest on to four fifths of 4000 bytes if there are more; the newest line always stays."""
+    """Payloads appended one a line in two runs, then cut from the oldest on to four fifths of 4000 bytes if there are more; the newest line always stays."""
     files = Rounds(spark)
     e = read_table(spark, d, "events").select(F.col("event_id").alias("id"))
     for part in ("id % 2 = 0 AND id <= 500", "id > 500"):

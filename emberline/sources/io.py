@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -108,34 +106,11 @@ def read_predictions(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return keyed.unionByName(named.where("key IS NOT NULL"))
 
 
-def read_reversed(spark: SparkSession, path: str, schema: str, before: int | None = None) -> DataFrame:
-    """(file, line, back, rejected, row): JSON lines with their number from 0 and their place from the end, blank ones skipped, malformed ones rejected in place; `before` freezes the end."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split(F.regexp_replace("value", "\\n\\z", ""), "\n")).alias("line", "value"))
-    kept = whole.where(F.trim("value") != "")
-    kept = kept if before is None else kept.where(F.col("line") < before)
-    back = F.row_number().over(Window.partitionBy("file").orderBy(F.col("line").desc()))
-    return kept.select("file", "line", back.alias("back"), (~is_json(F.col("value"))).alias("rejected"), F.when(is_json(F.col("value")), F.from_json("value", schema)).alias("row"))
-
-
 def folder_of(depth: int = 0) -> F.Column:
     """The name of the folder that a row's file lies in, or of one further up."""
     return F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2 - depth)
 
 
-def replace_whole(df: DataFrame, path: str, fmt: str = "json") -> None:
-    """Writes beside the path and then renames, so a reader finds the old or the new rows, never a part."""
-    spark = df.sparkSession
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    staging, old = f"{path}.staging-{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
-    df.write.format(fmt).save(staging)
-    at = hadoop.Path(path)
-    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
-    if fs.exists(at):
-        fs.rename(at, hadoop.Path(old))
-    fs.rename(hadoop.Path(staging), at)
-    fs.delete(hadoop.Path(old), True)
-
-
 def write_id_lists(df: DataFrame, path: str, by: str, key: str) -> None:
     """One sorted text list of ids for each value of a column."""
     df.select(F.col(by), F.col(key).cast("string").alias("value")).repartition(F.col(by)).sortWithinPartitions(by, "value").write.partitionBy(by).text(path)
