@@ -124,14 +124,26 @@ def repaired_threads(spark, d):
     return j.select("id", F.coalesce("new_path", "path").alias("path"), F.replace("cwd", F.lit("\\"), F.lit("/")).alias("cwd"), F.coalesce("new_archived", "archived").alias("archived"), F.when(there, F.greatest("updated", F.lit(5000))).otherwise(F.col("updated")).cast("long").alias("updated"), F.when(~there, "missing").when(changed, "repaired").otherwise("same").alias("what"))
 
 
-@query("SELECT event_id, user_id, event_type FROM events WHERE event_id > 100")
+@query("""
+WITH e AS (
+  SELECT user_id AS thread, event_id, event_type AS kind, strlen(props) + 1 AS bytes FROM events WHERE event_id > 100)
+SELECT thread, CAST(row_number() OVER w - 1 AS BIGINT) AS ordinal, event_id, kind, CAST(sum(bytes) OVER w - bytes AS BIGINT) AS first, CAST(sum(bytes) OVER w AS BIGINT) AS next
+FROM e WINDOW w AS (PARTITION BY thread ORDER BY event_id)
+""")
 def streamed_log(spark, d):
-    """A log table followed as a stream from an id on and projected exactly once, in batches whose ordinals have no gap."""
+    """Each thread's log followed from an id on, in two polls, and projected exactly once: keyed state holds a thread's next
+    byte and ordinal, and every chunk must start where the last one ended; a third poll finds nothing new."""
     files = Rounds(spark)
-    rows = read_table(spark, d, "events").where("event_id > 100").select("event_id", "user_id", "event_type")
-    rows.repartition(1).sortWithinPartitions("event_id").write.parquet(f"{files.base}/log")
-    log = projection.tail(spark, f"{files.base}/log", rows.schema).withColumn("log", F.lit("log"))
-    projection.project(log, f"{files.base}/out", f"{files.base}/offsets", "log", "event_id").awaitTermination()
-    # a second run finds nothing new and adds nothing
-    projection.project(log, f"{files.base}/out", f"{files.base}/offsets", "log", "event_id").awaitTermination()
-    return files.result(spark.read.parquet(f"{files.base}/out").select("event_id", "user_id", "event_type"))
+    thread = Window.partitionBy("thread").orderBy("event_id")
+    e = read_table(spark, d, "events").where("event_id > 100").select(F.col("user_id").alias("thread"), "event_id", F.col("event_type").alias("kind"), (F.octet_length("props") + 1).cast("long").alias("bytes"))
+    e = e.select("thread", (F.row_number().over(thread) - 1).cast("long").alias("ordinal"), "event_id", "kind", "bytes", F.sum("bytes").over(thread).alias("next"))
+    line = F.struct("ordinal", "event_id", "kind", (F.col("next") - F.col("bytes")).alias("first"), "next")
+    chunks = e.groupBy("thread", F.floor(F.col("ordinal") / 8).alias("chunk")).agg(F.sort_array(F.collect_list(line)).alias("lines"))  # eight lines at most
+    chunks = chunks.select((F.col("chunk") > 0).cast("int").alias("poll"), "thread", F.col("lines")[0]["first"].alias("start_offset"), F.element_at("lines", -1)["next"].alias("next_offset"), "lines")
+    chunks = files.keep(chunks)
+    for poll in (0, 1, None):
+        if poll is not None:
+            chunks.where(F.col("poll") == poll).drop("poll").write.mode("append").parquet(f"{files.base}/log")
+        log = projection.tail(spark, f"{files.base}/log", chunks.drop("poll").schema)
+        projection.project(log, f"{files.base}/out", f"{files.base}/offsets").awaitTermination()
+    return files.result(spark.read.parquet(f"{files.base}/out").select("thread", "ordinal", "event_id", "kind", "first", "next"))

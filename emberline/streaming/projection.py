@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections.abc import Iterator
+
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
+from pyspark.sql.types import StructField, StructType
+
+from .state import settings
 
 
 def tail(spark: SparkSession, path: str, schema, files_per_trigger: int = 200) -> DataFrame:
@@ -19,18 +25,36 @@ def first_events(events: DataFrame, keys: list[str], late: str = "1 hour") -> Da
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
 
 
-def contiguous(batch: DataFrame, key: str, ordinal: str) -> DataFrame:
-    """Keys of a batch whose ordinals have a gap."""
-    step = F.col(ordinal) - F.lag(ordinal).over(Window.partitionBy(key).orderBy(ordinal))
-    return batch.withColumn("__s", step).where(F.col("__s") != 1).select(key).distinct()
-
-
-def project(events: DataFrame, out: str, checkpoint: str, key: str, ordinal: str):
-    """Appends each micro-batch under its epoch, so a replayed epoch overwrites its own rows and counts once."""
-
-    def write(batch: DataFrame, epoch: int) -> None:
-        if not contiguous(batch, key, ordinal).isEmpty():
-            raise ValueError("ordinals are not contiguous")
-        batch.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
-
-    return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+class Projection(StatefulProcessor):
+    """Next byte offset and next ordinal of each thread. A chunk that does not start at the stored offset, or a line that has
+    not the next ordinal, raises: the batch is not committed, and state and rows stay behind the log."""
+
+    def init(self, handle) -> None:
+        self.next = handle.getValueState("next", "offset long, ordinal long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        offset, ordinal = self.next.get() or (0, 0)
+        # chunks of one thread in one batch, which the trigger bounds
+        for chunk in sorted(rows, key=lambda r: (r.start_offset, r.next_offset)):
+            if chunk.start_offset != offset:
+                raise ValueError(f"{key[0]}: projection stands at byte {offset}, the chunk starts at {chunk.start_offset}")
+            for line in chunk.lines:
+                if line["ordinal"] != ordinal:  # structs in a list come as dictionaries
+                    raise ValueError(f"{key[0]}: expected ordinal {ordinal}, got {line['ordinal']}")
+                ordinal += 1
+                yield Row(thread=key[0], line=Row(**line))
+            offset = chunk.next_offset
+        self.next.update((offset, ordinal))
+
+
+def project(chunks: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+    """Appends the lines of (thread, start_offset, next_offset, lines) chunks to a table, each exactly once, and stops at the log's present end.
+
+    A thread's chunks come in any order within a batch and in order between batches; its state is keyed, so threads run in
+    parallel. `lines` are structs with an `ordinal`. State, offsets and the sink's log are committed by
+    batch: one that runs again replaces its own rows."""
+    thread, lines = (chunks.schema[c].dataType for c in ("thread", "lines"))
+    schema = StructType([StructField("thread", thread), StructField("line", lines.elementType)])
+    with settings(chunks.sparkSession):
+        rows = chunks.select("thread", "start_offset", "next_offset", "lines").groupBy("thread").transformWithState(Projection(), schema, "Append", "None")
+        return rows.select("thread", "line.*").writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
