@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from difflib import SequenceMatcher
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -113,34 +110,6 @@ def expand_depth_first(memory: DataFrame, hits: DataFrame, group: str, decay: fl
     return map_groups(both, group, [], walk, f"{group} {t[group]}, problem {t['problem']}, score double, source string, place int")
 
 
-def similar_pairs(vectors: DataFrame, id_column: str, vector_column: str, least: float, block: int = 1024) -> DataFrame:
-    """(a, b, score), a < b: pairs of a stated set of vectors whose cosine is at least `least`, block by block.
-
-    The work is the set's square by definition; a task holds two blocks, and only pairs that
-    reach the threshold are rows. Null vectors and vectors without length are in no pair."""
-    v = vectors.where(F.col(id_column).isNotNull() & F.col(vector_column).isNotNull()).select(F.col(id_column).cast("long").alias("id"), F.col(vector_column).cast("array<double>").alias("v"))
-    blocks = max(1, -(-v.count() // block))
-    own = v.withColumn("own", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    rows = own.select(F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "v")
-
-    def compare(part: pd.DataFrame) -> pd.DataFrame:
-        i, j = part["i"].iloc[0], part["j"].iloc[0]
-        left, right = (part[part["own"] == k] for k in (i, j))
-        if not len(left) or not len(right):
-            return pd.DataFrame({"a": [], "b": [], "score": []})
-        unit = []
-        for side in (left, right):
-            x = np.array(side["v"].tolist(), dtype=np.float64)
-            with np.errstate(invalid="ignore", divide="ignore"):
-                unit.append(np.nan_to_num(x / np.sqrt((x**2).sum(axis=1))[:, None]))
-        scores = np.round(unit[0] @ unit[1].T, 9)
-        a, b = left["id"].to_numpy(), right["id"].to_numpy()
-        r, c = np.nonzero((scores >= least) & ((a[:, None] < b[None, :]) if i == j else (a[:, None] != b[None, :])))
-        return pd.DataFrame({"a": np.minimum(a[r], b[c]), "b": np.maximum(a[r], b[c]), "score": scores[r, c]})
-
-    return rows.groupBy("i", "j").applyInPandas(compare, "a long, b long, score double")
-
-
 def merge_similar(problems: DataFrame, group: str, least_text: float = 0.8, least_files: float = 0.5) -> DataFrame:
     """(group, problem, merged_from, files): problems of a group in order; each takes the later ones whose fix reads alike or whose files overlap.
 
@@ -193,8 +162,7 @@ def alike(texts: DataFrame, column: str, least: float = 0.68) -> DataFrame:
     return j.where(common >= F.lit(least) * (F.size("g_a") + F.size("g_b") - common)).select("a", "b")
 
 
-#: Stages of retrieval in their order, and what each named ablation takes out.
-STAGES = ("retrieve", "filter", "expand", "recall", "order")
+#: Stages of retrieval that each named ablation takes out.
 ABLATIONS = {"no_dependency_expansion": ("expand",), "no_recurring_recall": ("recall",), "no_applicability_filter": ("filter",), "no_ordering": ("order",), "no_hidden_problems": ("expand", "recall")}
 
 
@@ -214,12 +182,3 @@ def levels(text: str | None) -> tuple[str, ...]:
     if mode not in known:
         raise ValueError(f"unsupported levels {text!r}")
     return known[mode]
-
-
-def run_stages(start: DataFrame, stages: dict[str, Callable[[DataFrame], DataFrame]], ablation: str | None = None) -> DataFrame:
-    """The stages applied in order, without those that the ablation leaves out."""
-    skipped, out = without(ablation), start
-    for name in STAGES:
-        if name in stages and name not in skipped:
-            out = out.transform(stages[name])
-    return out

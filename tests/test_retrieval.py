@@ -8,12 +8,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from emberline.operators import retrieval as V
+from emberline.operators import staged as S
 from emberline.plans import retrieval as Q
 
 
 @pytest.mark.parametrize(
     ("a", "b", "same"),
-    [("camel", "camel", True), ("camel-ai/camel", "camel-ai/camel", True), ("camel-ai/camel", "camel", True), ("repo", "owner/repo", True), ("camel-ai/camel", "other/repo", False), ("camel", "flower", False), ("owner/repo1", "owner/repo2", False), ("x/repo", "y/repo", False), ("", "camel", False), ("camel", "", False), ("", "", False)],
+    [("quartz", "quartz", True), ("quartz-lab/quartz", "quartz-lab/quartz", True), ("quartz-lab/quartz", "quartz", True), ("repo", "owner/repo", True), ("quartz-lab/quartz", "other/repo", False), ("quartz", "meadow", False), ("owner/repo1", "owner/repo2", False), ("x/repo", "y/repo", False), ("", "quartz", False), ("quartz", "", False), ("", "", False)],
 )
 def test_same_repo(spark, a, b, same):
     assert spark.range(1).select(V.same_repo(F.lit(a), F.lit(b)).alias("x")).first()["x"] is same
@@ -27,12 +28,12 @@ def test_applicable_memories(spark):
 
 def test_evidence_gate(spark):
     rows = [
-        ("ci_failure", ["x.py"], None, None, []), ("dependency", ["libs/agno/agno/tools/mcp.py"], "type_checking", "mypy", ["ClientSession has no attribute"]),
-        ("common", ["libs/agno/agno/utils/whatsapp.py"], "type checking", None, ["return value has type bytes, expected dict"]), ("common", ["agno/utils/whatsapp.py"], "lint", "mypy", ["type bytes"]), ("common", [], "type checking", "mypy", ["type bytes"]),
+        ("ci_failure", ["x.py"], None, None, []), ("dependency", ["libs/orbit/orbit/tools/mcp.py"], "type_checking", "mypy", ["ClientSession has no attribute"]),
+        ("common", ["libs/orbit/orbit/utils/whatsapp.py"], "type checking", None, ["return value has type bytes, expected dict"]), ("common", ["orbit/utils/whatsapp.py"], "lint", "mypy", ["type bytes"]), ("common", [], "type checking", "mypy", ["type bytes"]),
     ]
     df = spark.createDataFrame(rows, "kind string, files array<string>, failure string, tool string, signals array<string>")
     one = lambda x: F.array(F.lit(x))
-    status = V.evidence_status(*(F.col(c) for c in df.columns), one("agno/utils/whatsapp.py"), one("type checking"), one("mypy"), F.lit("mypy: return value has type bytes, expected dict"))
+    status = V.evidence_status(*(F.col(c) for c in df.columns), one("orbit/utils/whatsapp.py"), one("type checking"), one("mypy"), F.lit("mypy: return value has type bytes, expected dict"))
     assert [r["s"] for r in df.select(status.alias("s")).collect()] == ["observed", None, "confirmed_in_target_failure", "confirmed_in_target_failure", None]
 
 
@@ -85,26 +86,14 @@ def test_merging_against_plain(spark, sf_dir):
     assert got == want
 
 
-def test_pairs_over_blocks(spark):
-    rng = random.Random(1)
-    v = [(i, [rng.gauss(0, 1) for _ in range(3)]) for i in range(60)] + [(99, [0.0, 0.0, 0.0]), (100, None)]
-    df = spark.createDataFrame(v, "id long, v array<double>")
-    one, many = ({(r["a"], r["b"]): r["score"] for r in V.similar_pairs(df, "id", "v", 0.5, block).collect()} for block in (1024, 7))
-    dot = lambda a, b: sum(x * y for x, y in zip(a, b))
-    want = {(i, j): round(s, 9) for i, a in v[:60] for j, b in v[:60] if i < j and (s := dot(a, b) / (dot(a, a) * dot(b, b)) ** 0.5) >= 0.5}
-    assert one.keys() == many.keys() == want.keys() and all(abs(one[k] - want[k]) < 1e-8 for k in want)
-
-
 def test_stages_and_levels(spark):
     assert V.levels(" l1_L2 ") == ("L1", "L2") and V.levels("baseline") == () and V.levels("L3") == ("L3",)
     with pytest.raises(ValueError):
         V.levels("L2+L3")
     with pytest.raises(ValueError):
         V.without("nothing")
-    add = lambda c: lambda df: df.withColumn(c, F.lit(1))
-    stages = {c: add(c) for c in V.STAGES}
-    assert V.run_stages(spark.range(1), stages).columns == ["id", *V.STAGES]
-    assert V.run_stages(spark.range(1), stages, "no_hidden_problems").columns == ["id", "retrieve", "filter", "order"]
+    assert [s.name for s in S.Plan().without("no_hidden_problems").stages] == ["search", "filter", "order"]
+    assert set(S.configurations(run_new=False)) == {"baseline", "full_recap"} and set(S.configurations(run_new=True)) == set(V.ABLATIONS)
 
 
 def test_alike_against_all_pairs(spark, sf_dir):
@@ -114,5 +103,3 @@ def test_alike_against_all_pairs(spark, sf_dir):
     want = {(a, b) for a in texts for b in texts if a < b and len(grams[a] & grams[b]) >= 0.68 * len(grams[a] | grams[b])}
     got = V.alike(spark.createDataFrame([(t,) for t in [*texts, *texts[:5], None]], "t string"), "t").collect()
     assert len(got) == len(want) and {(r["a"], r["b"]) for r in got} == want
-    rows = Q.recurring_problems(spark, sf_dir).collect()
-    assert rows and all(12 <= r["frequency"] <= 40 for r in rows)
