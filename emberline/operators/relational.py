@@ -41,9 +41,12 @@ def upsert_either(old: DataFrame, new: DataFrame, first: str, second: str) -> Da
     return out.unionByName(new)
 
 
-def key_bridge(df: DataFrame, value: str, *keys: str) -> DataFrame:
-    """(key, value) for each non-blank key of a row, each pair once."""
-    return df.select(F.explode(F.array_distinct(F.array_compact(F.array(*(F.col(k).cast("string") for k in keys))))).alias("key"), value).where(F.col("key") != "").distinct()
+def key_bridge(df: DataFrame, value: str, *keys: str, order: str | None = None) -> DataFrame:
+    """(key, value) for each non-blank key of a row, each pair once; with `order`, of the rows that share a key the last one's value.
+
+    Null and empty keys lead nowhere; ties in the order go to the larger value."""
+    each = df.select(F.explode(F.array_distinct(F.array_compact(F.array(*(F.col(k).cast("string") for k in keys))))).alias("key"), F.col(value), *([F.col(order).alias("__order")] if order else [])).where(F.col("key") != "")
+    return each.groupBy("key").agg(F.max(F.struct("__order", value))[value].alias(value)) if order else each.distinct()
 
 
 def coalesce_join(left: DataFrame, key: str, *sides: DataFrame, value: str) -> DataFrame:

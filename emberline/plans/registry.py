@@ -172,11 +172,12 @@ def candidates_only_in_b(spark, d):
     return o.join(l.where("l_returnflag = 'R'"), "o_orderkey", "left_semi").join(l.where("l_returnflag = 'A'"), "o_orderkey", "left_anti").select(F.col("o_orderkey").alias("id"))
 
 
-@query("WITH k AS (SELECT 'C' || c_custkey AS key, c_custkey AS id FROM customer UNION SELECT c_name, c_custkey FROM customer) SELECT key, id FROM k WHERE key <> ''")
+@query("WITH k AS (SELECT 'c' || client_id AS key, client_id FROM clients UNION ALL SELECT 'm' || master_id, client_id FROM clients UNION ALL SELECT email, client_id FROM clients) SELECT key, max(client_id) AS id FROM k WHERE key <> '' AND client_id IS NOT NULL GROUP BY 1")
 def key_bridge(spark, d):
-    """A5, C11: every key of a row leads to it."""
-    c = read_table(spark, d, "customer").select(F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("a"), "c_name", F.col("c_custkey").alias("id"))
-    return R.key_bridge(c, "id", "a", "c_name")
+    """A5, C11: every key of a row (its own, its master's, its address) leads to it; of rows that share a key the last one counts."""
+    k = lambda letter, c: F.concat(F.lit(letter), F.col(c).cast("string"))
+    rows = read_table(spark, d, "clients").where("client_id IS NOT NULL").select(k("c", "client_id").alias("a"), k("m", "master_id").alias("b"), "email", F.col("client_id").alias("id"), F.col("client_id").alias("place"))
+    return R.key_bridge(rows, "id", "a", "b", "email", order="place")
 
 
 @query("WITH u AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'user'), a AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'assistant'), f AS (SELECT conv_id, min(turn) AS first_user FROM u GROUP BY 1), l AS (SELECT conv_id, max(turn) AS final_agent FROM a GROUP BY 1) SELECT f.conv_id, f.first_user, l.final_agent FROM f FULL JOIN l ON f.conv_id = l.conv_id WHERE f.conv_id IS NOT NULL UNION ALL SELECT l.conv_id, NULL, l.final_agent FROM l WHERE l.conv_id NOT IN (SELECT conv_id FROM f)")
@@ -385,4 +386,4 @@ def order_components(spark, d):
     return graph.components(l.join(hub, "k").where("a <> b").select("a", "b"))
 
 
-from . import checks, diffs, files, history, matching, paths, records, retrieval, scalars, selection, threads  # noqa: E402, F401  the other families register themselves
+from . import checks, diffs, files, history, markup, matching, paths, records, retrieval, scalars, selection, threads  # noqa: E402, F401  the other families register themselves
