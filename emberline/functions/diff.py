@@ -182,16 +182,20 @@ def repair(c: Column) -> Column:
     """struct<deficit, repaired, problem>: blank context lines that the last hunk has lost are put back.
 
     Problem names why a diff cannot be repaired; then the other two are null."""
-    gaps = hunk_gaps(c)
-    last = F.try_element_at(gaps, F.lit(-1))
-    before = F.when(F.size(gaps) > 1, F.slice(gaps, F.lit(1), F.size(gaps) - 1)).otherwise(F.slice(gaps, 1, 0))
-    problem = (
-        F.when(c.isNull() | (c == ""), "empty").when(F.exists(before, lambda g: (g["old"] != 0) | (g["new"] != 0)), "an earlier hunk")
-        .when((F.size(gaps) > 0) & ((last["old"] < 0) | (last["new"] < 0) | (last["old"] != last["new"])), "the last hunk")
-    )
-    deficit = F.when(F.size(gaps) > 0, last["old"]).otherwise(0)
-    whole = F.concat(c, F.when(F.endswith(c, F.lit("\n")), "").otherwise("\n"), F.repeat(F.lit(" \n"), deficit))
-    return F.struct(F.when(problem.isNull(), deficit).alias("deficit"), F.when(problem.isNull(), whole).alias("repaired"), problem.alias("problem"))
+
+    def judge(gaps: Column) -> Column:
+        last = F.try_element_at(gaps, F.lit(-1))
+        before = F.when(F.size(gaps) > 1, F.slice(gaps, F.lit(1), F.size(gaps) - 1)).otherwise(F.slice(gaps, 1, 0))
+        problem = (
+            F.when(c.isNull() | (c == ""), "empty").when(F.exists(before, lambda g: (g["old"] != 0) | (g["new"] != 0)), "an earlier hunk")
+            .when((F.size(gaps) > 0) & ((last["old"] < 0) | (last["new"] < 0) | (last["old"] != last["new"])), "the last hunk")
+        )
+        deficit = F.when(F.size(gaps) > 0, last["old"]).otherwise(0)
+        whole = F.concat(c, F.when(F.endswith(c, F.lit("\n")), "").otherwise("\n"), F.repeat(F.lit(" \n"), deficit))
+        return F.struct(F.when(problem.isNull(), deficit).alias("deficit"), F.when(problem.isNull(), whole).alias("repaired"), problem.alias("problem"))
+
+    # a list of one binds the gaps, which would else be counted anew wherever they stand
+    return F.element_at(F.transform(F.array(hunk_gaps(c)), judge), 1)
 
 
 def _fold(items: Column, limit: int, start: Column, joined) -> Column:

@@ -113,6 +113,17 @@ def claim(now: Column, lease: int) -> Column:
     )
 
 
+def startup_claims(jobs: DataFrame, now: int, lease: int, scan_limit: int, max_claimed: int, max_age: int, min_idle: int, sources: tuple[str, ...]) -> DataFrame:
+    """(id, outcome) of the jobs that a start looks at: of allowed sources, whose source changed at most `max_age` and at least
+    `min_idle` ago, the `scan_limit` newest. The first `max_claimed` that may be claimed are; those after them are left.
+
+    Takes what `claim` takes, with id and source; null sources and times fit nothing. Both limits are the feature."""
+    fits = F.col("source").isin(*sources) & (F.col("source_at") >= now - max_age) & (F.col("source_at") <= now - min_idle)
+    scanned = jobs.where(fits).orderBy(F.col("source_at").desc(), "id").limit(scan_limit).withColumn("outcome", claim(F.lit(now), lease))
+    rank = F.row_number().over(Window.partitionBy("outcome").orderBy(F.col("source_at").desc(), "id"))  # over scan_limit rows
+    return scanned.select("id", F.when((F.col("outcome") == "claimed") & (rank > max_claimed), "left").otherwise(F.col("outcome")).alias("outcome"))
+
+
 def leases(now: Column, seconds: int) -> Column:
     """Whether a run may be claimed: not complete, and not running under a lease that still holds."""
     return (F.col("status") != "complete") & ((F.col("status") != "running") | (F.col("updated_at") <= now - seconds))

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -93,28 +96,40 @@ def retrieval_accuracy(predictions: DataFrame, gold: DataFrame) -> DataFrame:
 PRIME, STEPS = 2147483647, (48271, 69621, 16807)
 
 
-def draw(rep: Column, place: Column, seed: int) -> Column:
-    """A number below PRIME for each resample and place, in plain integer arithmetic that any engine repeats."""
-    x = (rep * 1000003 + place * 7919 + seed) % PRIME
-    for m in STEPS:
-        x = (x * (x % 65521 + m)) % PRIME
-    return x
+#: Of x < PRIME, at least how much makes one more copy: e^-1 times the sums of 1 / k!, so a number of copies is Poisson with mean 1.
+COPIES = tuple(int(PRIME * math.exp(-1) * sum(1 / math.factorial(i) for i in range(k + 1))) for k in range(9))
+#: Clusters that are weighted at once.
+WEIGHED = 128
 
 
-def cluster_bootstrap(rows: DataFrame, order: str, seed: int = 20261111, resamples: int = 10_000) -> DataFrame:
+def cluster_bootstrap(rows: DataFrame, cluster: str, seed: int = 20261111, resamples: int = 10_000) -> DataFrame:
     """(measure, low, high): percentile intervals of precision, recall, F1 and accuracy over resampled clusters.
 
-    Takes (tp, fp, fn, tn) a cluster. Each resample draws as many clusters as there are, with
-    replacement; counts are summed in one aggregation and the 2.5 and 97.5 % places taken."""
-    n = rows.count()
-    if not n:
-        return rows.sparkSession.createDataFrame([], "measure string, low double, high double")
-    spark = rows.sparkSession
-    # clusters are numbered in one sorted run; `resamples` times as many draws follow it
-    numbered = rows.select("tp", "fp", "fn", "tn", (F.row_number().over(Window.orderBy(order)) - 1).alias("i"))
-    draws = spark.range(resamples).withColumnRenamed("id", "rep").select("rep", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("k"))
-    drawn = draws.select("rep", (draw(F.col("rep"), F.col("k"), seed) % n).cast("int").alias("i")).groupBy("rep", "i").agg(F.count(F.lit(1)).alias("times"))
-    sums = drawn.join(numbered, "i").groupBy("rep").agg(*(F.sum(F.col(c) * F.col("times")).alias(c) for c in ("tp", "fp", "fn", "tn")))
+    Takes (tp, fp, fn, tn) a cluster, clusters named by unique texts. A resample takes each cluster a number of times that
+    is Poisson with mean 1, drawn from its name, so a task weighs its own clusters and hands on `resamples` rows of
+    sums, however many clusters there are. Of each measure's sorted values the 2.5 and 97.5 % places are
+    taken. No clusters give no rows."""
+    names = ["tp", "fp", "fn", "tn"]
+    place = F.conv(F.substring(F.md5(F.coalesce(F.col(cluster), F.lit(""))), 1, 8), 16, 10).cast("long")
+    keyed = rows.select(place.alias("place"), *(F.col(c).cast("long") for c in names))
+
+    def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        start = np.arange(resamples, dtype=np.int64)[:, None] * 1000003 + seed
+        sums, any_ = np.zeros((resamples, len(names)), dtype=np.int64), False
+        for batch in batches:
+            for i in range(0, len(batch), WEIGHED):
+                part = batch.iloc[i : i + WEIGHED]
+                x = (start + part["place"].to_numpy()[None, :] * 7919) % PRIME
+                for m in STEPS:
+                    x = x * (x % 65521 + m) % PRIME
+                times = np.searchsorted(np.array(COPIES), x.ravel(), side="right").reshape(x.shape)
+                sums += times @ part[names].to_numpy()
+                any_ = True
+        if any_:
+            yield pd.DataFrame(sums, columns=names).assign(rep=np.arange(resamples))[["rep", *names]]
+
+    drawn = keyed.mapInPandas(weigh, "rep long, tp long, fp long, fn long, tn long")
+    sums = drawn.groupBy("rep").agg(*(F.sum(c).alias(c) for c in names))
     measures = sums.select(*stats.precision_recall(F.col("tp"), F.col("fp"), F.col("fn"), F.col("tn")))
     long = measures.select(F.explode(F.array(*(F.struct(F.lit(m).alias("measure"), F.col(m).alias("value")) for m in ("precision", "recall", "f1", "accuracy")))).alias("x")).select("x.*")
     # a few measures of `resamples` rows each

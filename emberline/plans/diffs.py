@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import diff as D
 from ..functions import text as T
+from ..shared import Rounds
 from ..sources.io import read_table
+from ..sources.predictions import repair_in_place
+from ..sources.versioned import VersionedTable
 from .base import query
 
 PATHS = ("src/app.py", "tests/test_app.py", "docs/readme.md", "setup.cfg", "lib/core.so", "package.lock", "web/node_modules/x.js", ".vscode/settings.json", "pkg/requirements.txt", "src/core/util.py", "data/model.bin", "htmlcov/index.html", "src/types.py")
@@ -168,3 +171,20 @@ def diff_repairs(spark, d):
     """Blank context lines that the last hunk has lost are put back; hunks that differ otherwise are named."""
     m = spark.sql("SELECT key, diff FROM (" + _CUT.removeprefix("m AS (").removesuffix(")").replace("FROM lineitem", "FROM {lineitem}") + ")", lineitem=read_table(spark, d, "lineitem"))
     return m.select("key", D.repair(F.col("diff")).alias("r")).select("key", "r.deficit", F.md5("r.repaired").alias("repaired"), "r.problem")
+
+
+@query(f"""
+WITH {_CUT},
+p AS (
+  SELECT 'k' || key AS id, CASE WHEN wrong <> 3 AND gone > 0 THEN diff || chr(10) || repeat(' ' || chr(10), CAST(gone AS INT)) ELSE diff END AS after, wrong <> 3 AND gone > 0 AS fixed, gone > 0 OR wrong = 3 AS broken, gone, key FROM m),
+r AS (SELECT count(*) FILTER (broken) AS selected, count(*) FILTER (fixed) AS repaired, count(*) FILTER (fixed AND gone = 1) AS one_lost FROM p)
+SELECT id, md5(after) AS diff, CASE WHEN key % 2 = 0 THEN CAST(strlen(after) AS BIGINT) END AS patch_bytes, selected, repaired, one_lost FROM p, r
+""")
+def repaired_predictions(spark, d):
+    """Predictions whose diffs are repaired where they lie, with the size of those that carry one, and the report of the repair."""
+    files = Rounds(spark)
+    m = spark.sql("SELECT key, diff FROM (" + _CUT.removeprefix("m AS (").removesuffix(")").replace("FROM lineitem", "FROM {lineitem}") + ")", lineitem=read_table(spark, d, "lineitem"))
+    table = VersionedTable(spark, f"{files.base}/predictions", "id string, diff string, patch_bytes long", "id", 8)
+    table.replace(m.select(F.concat(F.lit("k"), F.col("key").cast("string")).alias("id"), "diff", F.when(F.col("key") % 2 == 0, F.octet_length("diff").cast("long")).alias("patch_bytes")))
+    report = repair_in_place(table).select("selected", "repaired", F.coalesce(F.try_element_at("deficits", F.lit(1)), F.lit(0)).cast("long").alias("one_lost"))
+    return files.result(table.read().select("id", F.md5("diff").alias("diff"), "patch_bytes").join(F.broadcast(report)))

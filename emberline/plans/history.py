@@ -143,6 +143,18 @@ def job_claims(spark, d):
     return jobs.select("id", H.claim(F.lit(1000), 300).alias("outcome"))
 
 
+@query(f"""
+WITH j AS (SELECT *, (id % 3) AS kind FROM ({_JOBS})),
+s AS (SELECT * FROM j WHERE kind IN (0, 2) AND source_at >= 4000 - 3800 AND source_at <= 4000 - 50 ORDER BY source_at DESC, id LIMIT 500),
+o AS (SELECT id, source_at, CASE WHEN output_at >= source_at THEN 'up_to_date' WHEN status = 'running' AND leased_at > 4000 - 3300 THEN 'running' WHEN retries <= 0 THEN 'retry_exhausted' WHEN retry_at > 4000 THEN 'retry_backoff' ELSE 'claimed' END AS outcome FROM s)
+SELECT id, CASE WHEN outcome = 'claimed' AND row_number() OVER (PARTITION BY outcome ORDER BY source_at DESC, id) > 100 THEN 'left' ELSE outcome END AS outcome FROM o
+""")
+def startup_claims(spark, d):
+    """Jobs that a start looks at, by allowed sources, age, idle time and a limit on what is scanned, and the first of them that it claims."""
+    jobs = spark.sql(_JOBS.replace("FROM customer", "FROM {customer}"), customer=read_table(spark, d, "customer"))
+    return H.startup_claims(jobs.withColumn("source", (F.col("id") % 3).cast("string")), 4000, 3300, 500, 100, 3800, 50, ("0", "2"))
+
+
 @query("WITH s AS (SELECT s_suppkey AS id, CASE s_suppkey % 3 WHEN 0 THEN 'running' WHEN 1 THEN 'complete' ELSE 'idle' END AS status, s_suppkey * 10 AS updated_at, CASE WHEN s_suppkey % 2 = 0 THEN 'w' || s_suppkey END AS given, 'old' AS kept FROM supplier) SELECT id, status <> 'complete' AND (status <> 'running' OR updated_at <= 1000 - 600) AS claimed, CASE WHEN status <> 'complete' AND (status <> 'running' OR updated_at <= 1000 - 600) THEN coalesce(given, kept) ELSE kept END AS watermark FROM s")
 def backfill_claims(spark, d):
     """Whether a backfill may be claimed, and its watermark after: the given one, else the old one."""

@@ -114,10 +114,26 @@ def retrieval_hits(spark, d):
 
 
 _EPISODES = "SELECT source, count(*) FILTER (n_chars > 500 AND quality = 1) AS tp, count(*) FILTER (n_chars > 500 AND quality = 0) AS fp, count(*) FILTER (n_chars <= 500 AND quality = 1) AS fn, count(*) FILTER (n_chars <= 500 AND quality = 0) AS tn FROM documents JOIN labels USING (doc_id) GROUP BY 1"
-_X = "((i.range * 1000003 + k.range * 7919 + 20261111) % 2147483647)"
-
-
-@query(f"WITH e AS (SELECT *, row_number() OVER (ORDER BY source) - 1 AS i, count(*) OVER () AS n FROM ({_EPISODES})), x0 AS (SELECT i.range AS rep, {_X} AS x FROM range(10000) i, range((SELECT count(*) FROM e)) k), x1 AS (SELECT rep, x * (x % 65521 + 48271) % 2147483647 AS x FROM x0), x2 AS (SELECT rep, x * (x % 65521 + 69621) % 2147483647 AS x FROM x1), x3 AS (SELECT rep, x * (x % 65521 + 16807) % 2147483647 AS x FROM x2), s AS (SELECT rep, sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn, sum(tn) AS tn FROM x3 JOIN e ON e.i = x3.x % e.n GROUP BY 1), m AS (SELECT CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END AS p, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END AS r, (tp + tn) / (tp + fp + fn + tn) AS a FROM s), f AS (SELECT *, CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END AS f FROM m) SELECT 'precision' AS measure, list_sort(list(p))[250] AS low, list_sort(list(p))[9750] AS high FROM f UNION ALL SELECT 'recall', list_sort(list(r))[250], list_sort(list(r))[9750] FROM f UNION ALL SELECT 'f1', list_sort(list(f))[250], list_sort(list(f))[9750] FROM f UNION ALL SELECT 'accuracy', list_sort(list(a))[250], list_sort(list(a))[9750] FROM f")
+_COPIES = " + ".join(f"CASE WHEN x >= {c} THEN 1 ELSE 0 END" for c in O.COPIES)
+
+
+@query(f"""
+WITH e AS (SELECT *, CAST('0x' || md5(coalesce(source, ''))[1:8] AS BIGINT) AS place FROM ({_EPISODES})),
+x0 AS (SELECT i.range AS rep, tp, fp, fn, tn, (i.range * 1000003 + place * 7919 + 20261111) % 2147483647 AS x FROM range(10000) i, e),
+x1 AS (SELECT * REPLACE (x * (x % 65521 + 48271) % 2147483647 AS x) FROM x0),
+x2 AS (SELECT * REPLACE (x * (x % 65521 + 69621) % 2147483647 AS x) FROM x1),
+x3 AS (SELECT * REPLACE (x * (x % 65521 + 16807) % 2147483647 AS x) FROM x2),
+w AS (SELECT *, {_COPIES} AS times FROM x3),
+s AS (SELECT rep, sum(tp * times) AS tp, sum(fp * times) AS fp, sum(fn * times) AS fn, sum(tn * times) AS tn FROM w GROUP BY 1),
+m AS (
+  SELECT CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END AS p, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END AS r,
+    CASE WHEN tp + fp + fn + tn > 0 THEN (tp + tn) / (tp + fp + fn + tn) ELSE 0 END AS a FROM s),
+f AS (SELECT *, CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END AS f FROM m)
+SELECT 'precision' AS measure, list_sort(list(p))[250] AS low, list_sort(list(p))[9750] AS high FROM f
+UNION ALL SELECT 'recall', list_sort(list(r))[250], list_sort(list(r))[9750] FROM f
+UNION ALL SELECT 'f1', list_sort(list(f))[250], list_sort(list(f))[9750] FROM f
+UNION ALL SELECT 'accuracy', list_sort(list(a))[250], list_sort(list(a))[9750] FROM f
+""")
 def bootstrap_intervals(spark, d):
     """95 % intervals of a rule's precision, recall, F1 and accuracy over 10,000 seeded resamples of the sources."""
     j = read_table(spark, d, "documents").select("doc_id", "source", "n_chars").join(read_table(spark, d, "labels"), "doc_id")
@@ -166,8 +182,8 @@ def explanation_support(spark, d):
 
 _STEPS = ("Run unit tests", "Lint", "", "run-unit", "Type check mypy", "Build docs")
 _JOBS = ("test (3.10)", "lint", "", "Test")
-_RECORDS = f"SELECT p_partkey AS id, p_size % 25 AS g, {_pick(_STEPS, 'p_partkey % 7')} AS step, {_pick(_JOBS, 'p_size % 4')} AS job, {_pick(_STEPS, 'p_size % 6')} || ' on main branch' AS record, CASE WHEN p_partkey % 9 = 0 THEN 'make all' END AS own FROM part"
-_CANDIDATES = f"SELECT s_suppkey AS place, s_suppkey % 25 AS g, {_pick(_STEPS, 's_suppkey % 6')} AS cstep, {_pick(_JOBS, '(s_suppkey // 5) % 4')} AS cjob, 'main branch of ' || {_pick(_STEPS, '(s_suppkey // 3) % 6')} AS ctext, ' pytest -k ' || s_suppkey || ' ' || chr(10) || chr(10) || 'echo done ' AS command FROM supplier"
+_RECORDS = f"SELECT p_partkey AS id, p_partkey // 80 AS g, {_pick(_STEPS, 'p_partkey % 7')} AS step, {_pick(_JOBS, 'p_size % 4')} AS job, {_pick(_STEPS, 'p_size % 6')} || ' on main branch' AS record, CASE WHEN p_partkey % 9 = 0 THEN 'make all' END AS own FROM part"
+_CANDIDATES = f"SELECT s_suppkey AS place, s_suppkey // 4 AS g, {_pick(_STEPS, 's_suppkey % 6')} AS cstep, {_pick(_JOBS, '(s_suppkey // 5) % 4')} AS cjob, 'main branch of ' || {_pick(_STEPS, '(s_suppkey // 3) % 6')} AS ctext, ' pytest -k ' || s_suppkey || ' ' || chr(10) || chr(10) || 'echo done ' AS command FROM supplier"
 _FOLD = "trim(regexp_replace(lower(coalesce({0}, '')), '[^a-z0-9]+', ' ', 'g'))"
 _LONG = "list_distinct(list_filter(string_split({0}, ' '), lambda x: length(x) > 2))"
 
@@ -175,7 +191,7 @@ _LONG = "list_distinct(list_filter(string_split({0}, ' '), lambda x: length(x) >
 @query(f"WITH r AS (SELECT *, {_FOLD.format('step')} AS s, {_FOLD.format('job')} AS j, {_FOLD.format('record')} AS t FROM ({_RECORDS})), c AS (SELECT *, {_FOLD.format('cstep')} AS cs, {_FOLD.format('cjob')} AS cj, {_FOLD.format('ctext')} AS ct FROM ({_CANDIDATES})), m AS (SELECT r.id, c.place, CASE WHEN s <> '' AND cs <> '' AND s = cs THEN 100 WHEN s <> '' AND cs <> '' AND (contains(s, cs) OR contains(cs, s)) THEN 70 ELSE 0 END + CASE WHEN j <> '' AND cj <> '' AND (contains(j, cj) OR contains(cj, j)) THEN 20 ELSE 0 END + least(40, 4 * len(list_intersect({_LONG.format('t')}, {_LONG.format('ct')}))) AS score FROM r JOIN c USING (g)), b AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, place) AS k FROM m) SELECT r.id, CASE WHEN own IS NOT NULL THEN own WHEN score >= 12 THEN 'pytest -k ' || place || ' && echo done' ELSE '' END AS command, CASE WHEN own IS NULL AND score >= 12 THEN CAST(least(score, 100) AS INTEGER) WHEN own IS NULL THEN 0 END AS confidence FROM r LEFT JOIN b ON b.id = r.id AND k = 1")
 def resolved_commands(spark, d):
     """A failure's own command, else that of the best candidate of its group (a score of 12 at least), as one line, with the confidence."""
-    records = spark.sql(_RECORDS.replace("FROM part", "FROM {part}"), part=read_table(spark, d, "part"))
+    records = spark.sql(_RECORDS.replace("//", "div").replace("FROM part", "FROM {part}"), part=read_table(spark, d, "part"))
     candidates = spark.sql(_CANDIDATES.replace("//", "div").replace("FROM supplier", "FROM {supplier}"), supplier=read_table(spark, d, "supplier"))
     score = M.step_score(F.col("step"), F.col("job"), F.col("record"), F.col("cstep"), F.col("cjob"), F.col("ctext"))
     best = O.best_candidate(records.join(candidates, "g"), ["id"], score, "place", 12).select("id", T.compact_shell(F.col("command")).alias("found"), F.least("score", F.lit(100)).cast("int").alias("sure"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import paths as P
 from ..functions import text as T
 from ..operators import graph
+from ..shared import Rounds
 from ..sources.io import read_table
 from .base import query
 
@@ -119,7 +120,8 @@ def related_changes(spark, d):
 def dependency_clusters(spark, d):
     """Clusters of an issue's files along resolved edges, known by their first file, and each cluster's edges as text."""
     nodes, raw = dependency_tables(spark, d)
-    edges = resolved_edges(nodes, raw)
+    kept = Rounds(spark)
+    edges = kept.keep(resolved_edges(nodes, raw))  # read twice
     # an issue and a file make one node, so that components are found for all issues at once
     node = lambda file: F.concat(F.col("key").cast("string"), F.lit("/"), F.col(file))
     labels = graph.components(edges.select(node("origin").alias("a"), node("target").alias("b")))
@@ -127,14 +129,15 @@ def dependency_clusters(spark, d):
     told = F.concat(F.col("origin"), F.lit(" "), F.upper("kind"), F.lit(" "), F.col("target"), F.lit(" via "), F.col("via"))
     texts = edges.join(placed.withColumnRenamed("file", "origin"), ["key", "origin"]).groupBy("key", "cluster").agg(F.array_join(F.sort_array(F.collect_list(told)), "\n").alias("text"))
     files = placed.groupBy("key", "cluster").agg(F.array_join(F.sort_array(F.collect_list("file")), ",").alias("files"))
-    return files.join(texts, ["key", "cluster"], "left").select("key", "cluster", "files", F.coalesce("text", F.lit("No dependencies within cluster")).alias("text"))
+    return kept.result(files.join(texts, ["key", "cluster"], "left").select("key", "cluster", "files", F.coalesce("text", F.lit("No dependencies within cluster")).alias("text")))
 
 
 @query(f"WITH {_RESOLVED}, q AS (SELECT key, file FROM n WHERE n = 1), t AS (SELECT DISTINCT r.key, unnest([r.origin, r.target]) AS file FROM r JOIN q ON q.key = r.key AND (q.file = r.origin OR q.file = r.target)), a AS (SELECT * FROM t UNION SELECT * FROM q) SELECT DISTINCT r.key, r.origin, r.target, r.via FROM r JOIN a x ON x.key = r.key AND x.file = r.origin JOIN a y ON y.key = r.key AND y.file = r.target")
 def relevant_edges(spark, d):
     """H5: edges whose both ends are an issue's problem files or touch one of them."""
     nodes, raw = dependency_tables(spark, d)
-    edges = resolved_edges(nodes, raw)
+    rounds = Rounds(spark)
+    edges = rounds.keep(resolved_edges(nodes, raw))  # read three times
     problem = nodes.where("n = 1").select("key", "file")
     both = edges.select("key", "origin", "target", F.explode(F.array("origin", "target")).alias("file"))
     touched = both.join(problem, ["key", "file"], "left_semi").select("key", F.explode(F.array("origin", "target")).alias("file"))
@@ -142,4 +145,4 @@ def relevant_edges(spark, d):
     kept = edges
     for end in ("origin", "target"):
         kept = kept.join(near.withColumnRenamed("file", end), ["key", end], "left_semi")
-    return kept.select("key", "origin", "target", "via").distinct()
+    return rounds.result(kept.select("key", "origin", "target", "via").distinct())

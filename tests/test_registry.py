@@ -24,7 +24,6 @@ from emberline.operators import relational as R
 from emberline.operators import vectors
 from emberline.plans import registry
 from emberline.sources import io
-from emberline.streaming import projection
 
 
 @pytest.fixture(scope="module")
@@ -118,17 +117,6 @@ def test_sources(spark, tmp_path):
     assert sorted(r["id"] for r in io.read_ids(spark, str(tmp_path / "ids")).collect()) == ["a", "b"]
 
 
-def test_stream_projection_counts_once(spark, sf_dir, tmp_path):
-    src = str(tmp_path / "src")
-    events = spark.range(10).select(F.lit("t").alias("k"), F.col("id").alias("n"))
-    events.where("n < 5").coalesce(1).write.parquet(src)
-    for _ in range(2):
-        projection.project(projection.tail(spark, src, events.schema), str(tmp_path / "out"), str(tmp_path / "cp"), "k", "n").awaitTermination()
-    events.where("n >= 5").coalesce(1).write.mode("append").parquet(src)
-    projection.project(projection.tail(spark, src, events.schema), str(tmp_path / "out"), str(tmp_path / "cp"), "k", "n").awaitTermination()
-    assert sorted(r["n"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == list(range(10))
-
-
 @pytest.mark.parametrize("level", [None, "label"])
 def test_neighbours_search_every_level(spark, level):
     rng = np.random.default_rng(5)
@@ -266,11 +254,6 @@ def test_shared_files(spark, tmp_path):
     assert io.read_list(spark, str(tmp_path / "none*.json"), "id int").count() == 0
     (tmp_path / "trail.jsonl").write_text('{"id": 1} x\n{"id": 2}\n')
     assert [r["bad"] for r in io.read_jsonl(spark, str(tmp_path / "trail.jsonl"), "id int").orderBy("pos").collect()] == [True, False]
-    path = str(tmp_path / "whole")
-    for n in (3, 5):
-        io.replace_whole(spark.range(n), path, "parquet")
-        assert spark.read.parquet(path).count() == n
-    assert sorted(p.name for p in tmp_path.iterdir() if p.name.startswith("whole")) == ["whole"]
     rounds = shared.Rounds(spark)
     kept = rounds.keep(spark.range(2))
     assert rounds.result(kept.selectExpr("id + 1 AS id")).count() == 2 and not os.path.exists(rounds.base.removeprefix("file:"))
