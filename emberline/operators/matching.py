@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections import defaultdict, deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,27 +22,39 @@ def greedy_pairs(gold: DataFrame, predicted: DataFrame, instance: str, file: str
 
     Rows can only match rows of their instance and base name, so each such group is matched by
     itself; files of one group are told apart by their last two segments, and a bare base name
-    goes with any. Rows of one instance and base name must fit a task."""
+    goes with any. Where a group has no bare names, order cannot change how many match: they are counted by
+    their segments, in any number. A group with bare names goes through one task, in order, a queue of gold rows for each of its
+    names."""
     path = T.bare_path(F.col(file))
     parts = F.split(path, "/")
     columns = [F.col(instance).alias("instance"), F.element_at(parts, -1).alias("base"), F.when(F.size(parts) > 1, F.array_join(T.last_two(path), "/")).otherwise("").alias("two"), F.col(order).alias("at")]
     both = gold.where(F.col(file) != "").select(*columns, F.lit(True).alias("gold")).unionByName(predicted.where(F.col(file) != "").select(*columns, F.lit(False).alias("gold")))
 
     def match(rows: list[tuple]) -> list[tuple]:
-        free, tp = [two for *_, two, _, is_gold, _ in rows if is_gold], 0
+        free = [two for *_, two, _, is_gold, _ in rows if is_gold]
+        taken, queues = bytearray(len(free)), defaultdict(deque)
+        for i, two in enumerate(free):
+            queues[two].append(i)
+
+        def head(queue: deque) -> int:
+            while queue and taken[queue[0]]:
+                queue.popleft()
+            return queue[0] if queue else len(free)
+
+        every = deque(range(len(free)))
         for *_, two, _, is_gold, _ in rows:
-            if not is_gold:
-                hit = next((i for i, g in enumerate(free) if two in ("", g) or g == ""), None)
-                if hit is not None:
-                    del free[hit]
-                    tp += 1
-        return [(rows[0][0], tp)]
-
-    # groups with one side only have no match and need no task in Python
-    sides = both.groupBy("instance", "base").agg(F.count_if("gold").alias("g"), F.count_if(~F.col("gold")).alias("p"))
-    mixed = both.join(sides.where("g > 0 AND p > 0").select("instance", "base"), ["instance", "base"], "left_semi")
+            if not is_gold and (hit := head(every) if two == "" else min(head(queues[two]), head(queues[""]))) < len(free):
+                taken[hit] = 1
+        return [(rows[0][0], sum(taken))]
+
+    # groups with one side only have no match
+    sides = both.groupBy("instance", "base").agg(F.count_if("gold").alias("g"), F.count_if(~F.col("gold")).alias("p"), F.bool_or(F.col("two") == "").alias("bare"))
+    told = both.groupBy("instance", "base", "two").agg(F.count_if("gold").alias("g"), F.count_if(~F.col("gold")).alias("p"))
+    plain = told.join(sides.where("g > 0 AND p > 0 AND NOT bare").select("instance", "base"), ["instance", "base"], "left_semi").select("instance", F.least("g", "p").alias("tp"))
+    mixed = both.join(sides.where("g > 0 AND p > 0 AND bare").select("instance", "base"), ["instance", "base"], "left_semi")
     keyed = mixed.select("instance", "base", "two", "at", "gold", F.struct("instance", "base").alias("own"))
-    found = map_groups(keyed, "own", ["at"], match, f"instance {dict(gold.dtypes)[instance]}, tp long").groupBy("instance").agg(F.sum("tp").alias("tp"))
+    ordered = map_groups(keyed, "own", ["at"], match, f"instance {dict(gold.dtypes)[instance]}, tp long")
+    found = plain.unionByName(ordered).groupBy("instance").agg(F.sum("tp").alias("tp"))
     counts = gold.select(F.col(instance).alias("instance"), F.lit(1).alias("g"), F.lit(0).alias("p")).unionByName(predicted.select(F.col(instance).alias("instance"), F.lit(0).alias("g"), F.lit(1).alias("p")))
     counts = counts.groupBy("instance").agg(F.sum("g").alias("n_gold"), F.sum("p").alias("n_predicted"))
     return counts.join(found, "instance", "left").select("instance", "n_gold", "n_predicted", F.coalesce("tp", F.lit(0)).alias("tp"))

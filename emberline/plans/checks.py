@@ -103,19 +103,23 @@ def bounded_graph(spark, d):
     return kept.result(j.select("key", "total_nodes", n.alias("total_edges"), F.coalesce("edges", F.lit("")).alias("edges"), (n > 3).alias("truncated")))
 
 
-@query("WITH n AS (SELECT n_nationkey AS k FROM nation) SELECT 'sha' || k AS sha, CASE WHEN k % 4 = 1 THEN 'kept' ELSE 'wf' || (k % 2) END AS l1_name, CASE WHEN k % 4 = 1 THEN '' WHEN k % 3 = 0 THEN 'own.yml' ELSE 'path' || k END AS l1_path, CASE WHEN k % 4 = 1 THEN '' ELSE 'path' || k END AS l2_path FROM n WHERE k % 4 <> 2")
+@query("WITH n AS (SELECT c_custkey AS k FROM customer) SELECT 'sha' || k AS sha, CASE WHEN k % 4 = 1 THEN 'kept' ELSE 'wf' || (k % 2) END AS l1_name, CASE WHEN k % 4 = 1 THEN '' WHEN k % 3 = 0 THEN 'own.yml' ELSE 'path' || k END AS l1_path, CASE WHEN k % 4 = 1 THEN '' ELSE 'path' || k END AS l2_path FROM n WHERE k % 4 <> 2")
 def converted_cache(spark, d):
     """A cache of two shapes in one: lists stay, old entries give their problems with the workflow filled in (name and path for level 1, the path alone for level 2, the copied sequence dropped), others are skipped; a corrupt file counts as none."""
     files = Rounds(spark)
-    k = F.col("n_nationkey")
+    k = F.col("c_custkey")
     key = k.cast("string")
     query_ = F.struct(F.struct(F.when(k % 3 == 0, "own.yml").otherwise("").alias("workflow_path")).alias("l1"), F.struct(F.lit("x").alias("workflow_name")).alias("l2"))
     old = F.struct(F.array(F.struct(F.lit("seq").alias("validation_sequence"), query_.alias("query"))).alias("problems"), F.struct(F.concat(F.lit("wf"), (k % 2).cast("string")).alias("workflow_name"), F.concat(F.lit("path"), key).alias("workflow_path")).alias("query"))
     entry = F.when(k % 4 == 1, F.lit('[{"query":{"l1":{"workflow_name":"kept"}}}]')).when(k % 4 == 2, F.lit('{"odd":1}')).otherwise(F.to_json(old))
-    rows = read_table(spark, d, "nation").select(F.to_json(F.struct(F.concat(F.lit("sha"), key).alias("sha"), entry.alias("entry"))).alias("v")).agg(F.concat(F.lit("["), F.array_join(F.collect_list("v"), ","), F.lit("]")).alias("value"))  # 25 rows by definition
-    rows.write.text(f"{files.base}/cache/good")
-    spark.createDataFrame([('[{"sha": "lost"',)], "value string").write.text(f"{files.base}/cache/bad")
-    cache = io.read_list(spark, f"{files.base}/cache/*", "sha string, entry string")
+    # one list a hundred customers, an element a line
+    own = read_table(spark, d, "customer").select(F.floor(k / 100).alias("part"), k.alias("at"), F.concat(F.when(k % 100 != 0, ",").otherwise("["), F.to_json(F.struct(F.concat(F.lit("sha"), key).alias("sha"), entry.alias("entry")))).alias("value"))
+    first = own.groupBy("part").agg(F.min("at").alias("at"), F.min_by("value", "at").alias("value"))
+    opened = own.join(first.select("part", "at", F.lit(True).alias("leads")), ["part", "at"], "left").withColumn("value", F.when(F.col("leads"), F.regexp_replace("value", "\\A[,\\[]", "[")).otherwise(F.regexp_replace("value", "\\A\\[", ","))).drop("leads")
+    rows = opened.unionByName(first.select("part", F.lit(1 << 60).alias("at"), F.lit("]").alias("value")))
+    rows.repartition("part").sortWithinPartitions("part", "at").select("part", "value").write.partitionBy("part").text(f"{files.base}/cache")
+    spark.createDataFrame([('[{"sha": "lost"',)], "value string").write.mode("append").text(f"{files.base}/cache/part=bad")
+    cache = io.read_list(spark, f"{files.base}/cache", "sha string, entry string")
     problem = "array<struct<query:struct<l1:struct<workflow_name:string,workflow_path:string>,l2:struct<workflow_name:string,workflow_path:string>>>>"
     listed = cache.where(F.startswith("entry", F.lit("["))).select("sha", F.explode(F.from_json("entry", problem)).alias("p"))
     shaped = cache.where(F.startswith("entry", F.lit("{"))).select("sha", F.from_json("entry", f"struct<problems:{problem},query:struct<workflow_name:string,workflow_path:string>>").alias("e")).where("e.problems IS NOT NULL")

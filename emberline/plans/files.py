@@ -18,21 +18,20 @@ from .base import query
 from .records import direction_table
 
 
-def _lines(df: DataFrame, *order: str) -> DataFrame:
-    """One file of text lines in order; these files play single files of the reference."""
-    return df.repartition(1).sortWithinPartitions(*order).select("value")
-
-
 @query("WITH e AS (SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'l' ELSE 'a' END || user_id AS id, CASE WHEN event_type = 'purchase' THEN 1 WHEN event_id % 7 = 0 THEN 1 ELSE 0 END AS won FROM events) SELECT id, CAST(arg_max(won, event_id) AS INTEGER) AS won FROM e GROUP BY 1")
 def file_outcomes(spark, d):
-    """Outcomes by id from a file of JSON lines (with blank ones) and one with a JSON list; the last row of an id counts."""
+    """Outcomes by id from files of JSON lines (with blank ones) and files with a JSON list each; the last row of an id counts."""
     files = Rounds(spark)
     e = read_table(spark, d, "events").select("event_id", "user_id", F.when(F.col("event_type") == "purchase", "success").otherwise("failure").alias("conclusion"), (F.col("event_id") % 7 == 0).alias("verification_passed"))
     row = lambda letter: F.to_json(F.struct(F.concat(F.lit(letter), F.col("user_id").cast("string")).alias("id"), "conclusion", "verification_passed"))
-    _lines(e.where("event_id % 2 = 0").select("event_id", F.concat(row("l"), F.when(F.col("event_id") % 10 == 0, "\n  ").otherwise("")).alias("value")), "event_id").write.text(f"{files.base}/lines")
-    marked = e.where("event_id % 2 = 1").select("event_id", F.concat(F.lit(","), row("a")).alias("value"))
-    ends = spark.createDataFrame([(-1, '[{"id": null}'), (1 << 60, "]")], "event_id long, value string")
-    _lines(marked.unionByName(ends), "event_id").write.text(f"{files.base}/list")
+    # files in the order of their events, by name, so that a file's later rows come after
+    part = F.lpad(F.floor(F.col("event_id") / 5000).cast("string"), 12, "0").alias("part")
+    lines = e.where("event_id % 2 = 0").select(part, "event_id", F.concat(row("l"), F.when(F.col("event_id") % 10 == 0, "\n  ").otherwise("")).alias("value"))
+    marked = e.where("event_id % 2 = 1").select(part, "event_id", F.concat(F.lit(","), row("a")).alias("value"))
+    parts = marked.select("part").distinct()
+    ends = parts.select("part", F.lit(-1).cast("long").alias("event_id"), F.lit('[{"id": null}').alias("value")).unionByName(parts.select("part", F.lit(1 << 60).alias("event_id"), F.lit("]").alias("value")))
+    for name, rows in (("lines", lines), ("list", marked.unionByName(ends))):
+        rows.repartition("part").sortWithinPartitions("part", "event_id").select("part", "value").write.partitionBy("part").text(f"{files.base}/{name}")
     return files.result(io.read_outcomes(spark, f"{files.base}/*"))
 
 
@@ -51,17 +50,34 @@ def csv_selection(spark, d):
     return files.result(io.read_csv(spark, f"{files.base}/out").select(F.col("id").cast("long"), "name", "balance"))
 
 
-@query("SELECT 'n' || n_nationkey AS key, n_name AS name, n_regionkey % 2 = 0 AS fixed FROM nation UNION ALL SELECT CASE WHEN r_regionkey % 2 = 0 THEN 'r' || r_regionkey ELSE 's' || r_regionkey END, r_name, false FROM region WHERE r_regionkey <> 4")
+_PREDICTED = "'{{\"at\":\"' || strftime({0}, '%Y-%m-%d') || '\",\"sums\":[' || CAST(CAST({1} AS DOUBLE) AS VARCHAR) || ',0.5],\"of\":{{\"k\":' || {2} || '}}}}'"
+
+
+@query(f"""
+SELECT 'o' || o_orderkey AS key, o_orderstatus AS name, {_PREDICTED.format('o_orderdate', 'o_orderkey % 7', 'o_custkey')} AS extra FROM orders
+UNION ALL
+SELECT CASE WHEN s_suppkey % 3 = 0 THEN 'i' || s_suppkey WHEN s_suppkey % 3 = 1 THEN 'n' || s_suppkey ELSE 's' || s_suppkey END, s_name, NULL FROM supplier WHERE s_suppkey % 5 <> 4
+""")
 def prediction_files(spark, d):
-    """Predictions from a JSON object by key and from a list whose rows are known by one of three names (one row has none), with those that a repair would change."""
+    """Predictions from JSON objects by key, with dates, decimals and nested values as JSON has them, and from lists whose rows are known by one of three names (some have none)."""
     files = Rounds(spark)
-    n = read_table(spark, d, "nation").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")), F.struct(F.col("n_name").alias("name"), (F.col("n_regionkey") % 2 == 0).alias("fixed")))))).alias("value"))  # 25 rows by definition
-    k = F.col("r_regionkey")
-    names = F.struct(F.when(k % 2 == 0, "").otherwise(None).alias("id"), F.when((k % 2 == 0) & (k != 4), F.concat(F.lit("r"), k.cast("string"))).alias("instance_id"), F.when(k % 2 == 1, F.concat(F.lit("s"), k.cast("string"))).alias("sha_fail"), F.col("r_name").alias("name"))
-    n.write.text(f"{files.base}/object")
-    read_table(spark, d, "region").agg(F.to_json(F.collect_list(names)).alias("value")).write.text(f"{files.base}/list")
-    p = io.read_predictions(spark, f"{files.base}/*", "struct<id:string,instance_id:string,sha_fail:string,name:string,fixed:boolean>")
-    return files.result(p.select("key", "row.name", F.coalesce("row.fixed", F.lit(False)).alias("fixed")))
+    o, k = read_table(spark, d, "orders"), F.col("s_suppkey")
+    extra = F.struct(F.col("o_orderdate").cast("date").alias("at"), F.array((F.col("o_orderkey") % 7).cast("decimal(9,2)"), F.lit(0.5).cast("decimal(9,2)")).alias("sums"), F.struct(F.col("o_custkey").alias("k")).alias("of"))
+    entry = F.to_json(F.create_map(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")), F.struct(F.col("o_orderstatus").alias("name"), extra.alias("extra"))))
+    keyed = o.select(F.floor(F.col("o_orderkey") / 2000).cast("string").alias("part"), F.col("o_orderkey").alias("at"), F.concat(F.lit(","), F.substring(entry, F.lit(2), F.length(entry) - 2)).alias("value"))
+    names = F.struct(F.when(k % 3 == 0, F.concat(F.lit("i"), k.cast("string"))).when(k % 3 == 1, "").alias("id"), F.when((k % 3 == 1) & (k % 5 != 4), F.concat(F.lit("n"), k.cast("string"))).alias("instance_id"), F.when((k % 3 == 2) & (k % 5 != 4), F.concat(F.lit("s"), k.cast("string"))).alias("sha_fail"), F.col("s_name").alias("name"))
+    listed = read_table(spark, d, "supplier").where("s_suppkey % 5 <> 4 OR s_suppkey % 3 <> 0").select(F.floor(k / 50).cast("string").alias("part"), k.alias("at"), F.concat(F.lit(","), F.to_json(names)).alias("value"))
+
+    def framed(rows: DataFrame, opening: str, closing: str, name: str) -> None:
+        """Files of one value each: an opening line with an entry that is nothing, the rows, and a closing line."""
+        parts = rows.select("part").distinct()
+        ends = [parts.select("part", F.lit(at).cast("long").alias("at"), F.lit(text).alias("value")) for at, text in ((-1, opening), (1 << 60, closing))]
+        rows.unionByName(ends[0]).unionByName(ends[1]).repartition("part").sortWithinPartitions("part", "at").select("part", "value").write.partitionBy("part").text(f"{files.base}/{name}")
+
+    framed(keyed, '{"none": null', "}", "object")
+    framed(listed, "[null", "]", "list")
+    p = io.read_predictions(spark, f"{files.base}/*", "struct<id:string,instance_id:string,sha_fail:string,name:string,extra:string>")
+    return files.result(p.select("key", "row.name", "row.extra"))
 
 
 @query("WITH s AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'memory' ELSE 'evaluation' END AS role, CASE WHEN doc_id % 4 = 0 THEN 'split lang' END AS lang FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT 1000000000 + n_nationkey, 'memory', 'x' FROM nation) SELECT s.doc_id, s.role, coalesce(d.lang, s.lang, '') AS lang, md5(CASE WHEN s.role = 'memory' THEN coalesce(d.text, '') ELSE '' END) AS diff, d.doc_id IS NULL AS missing, 'diff' AS unsaved FROM s LEFT JOIN (SELECT * FROM documents WHERE contains(lower(coalesce(source, '')), 'c1') OR contains('c1', lower(coalesce(source, ''))) OR contains(lower(coalesce(source, '')), 'src2') OR contains('src2', lower(coalesce(source, '')))) d USING (doc_id)")
@@ -222,10 +238,19 @@ def toy_embedding(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: [float(len(t)), float(len(t.split(" ")))])
 
 
-@query("SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN CAST(turn AS DOUBLE) ELSE CAST(length(coalesce(text, '')) AS DOUBLE) END AS first, CASE WHEN turn % 2 = 0 THEN 1.0::DOUBLE ELSE CAST(len(string_split(coalesce(text, ''), ' ')) AS DOUBLE) END AS second FROM conversations WHERE conv_id IS NOT NULL")
+@query("SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN CAST(turn AS DOUBLE) ELSE CAST(length(coalesce(text, '')) AS DOUBLE) END AS first, CASE WHEN turn % 2 = 0 THEN 1.0::DOUBLE ELSE CAST(len(string_split(coalesce(text, ''), ' ')) AS DOUBLE) END AS second, CAST(0 AS BIGINT) AS computed_again FROM conversations WHERE conv_id IS NOT NULL")
 def materialized_vectors(spark, d):
-    """Rows without a vector get one from a callable that is handed in (a model plays no part here); those that have one are not computed again."""
-    have = F.when(F.col("turn") % 2 == 0, F.array(F.col("turn").cast("double"), F.lit(1.0)))
-    rows = read_table(spark, d, "conversations").where("conv_id IS NOT NULL").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"), have.alias("vector"))
-    v = R.fill_by(rows, "vector", "text", toy_embedding, ArrayType(DoubleType()))
-    return v.select("conv_id", "turn", F.col("vector")[0].alias("first"), F.col("vector")[1].alias("second"))
+    """Stored vectors are scanned, rows without one get theirs from a callable that is handed in (a model plays no part here) and
+    are stored beside them; a second run computes none again."""
+    files = Rounds(spark)
+    rows = read_table(spark, d, "conversations").where("conv_id IS NOT NULL").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"))
+    stored = f"{files.base}/vectors"
+    rows.where("turn % 2 = 0").select("conv_id", "turn", F.array(F.col("turn").cast("double"), F.lit(1.0)).alias("vector")).write.parquet(stored)
+    counted = 0
+    for _ in range(2):
+        known = spark.read.parquet(stored)
+        missing = files.keep(rows.join(known.select("conv_id", "turn"), ["conv_id", "turn"], "left_anti").withColumn("vector", F.lit(None).cast(ArrayType(DoubleType()))))
+        counted = missing.count()
+        R.fill_by(missing, "vector", "text", toy_embedding, ArrayType(DoubleType())).select("conv_id", "turn", "vector").write.mode("append").parquet(stored)
+    v = rows.join(spark.read.parquet(stored), ["conv_id", "turn"])
+    return files.result(v.select("conv_id", "turn", F.col("vector")[0].alias("first"), F.col("vector")[1].alias("second"), F.lit(counted).cast("long").alias("computed_again")))

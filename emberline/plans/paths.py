@@ -64,12 +64,12 @@ def path_matches(spark, d):
     return named_paths(spark, d).select("id", T.files_match_strict(a, b).alias("strict"), T.files_match_loose(a, b).alias("loose"), P.same_name(a, b).alias("named"))
 
 
-_CODE = f"CASE p_size % 6 WHEN 0 THEN 'from pkg.core import x' || chr(10) || 'import os.path' WHEN 1 THEN 'open(\"data/in.json\") and glob(\"*.rst\")' WHEN 2 THEN 'Path(\"out\") / \"docs/ref.md\" + \"plain\"' WHEN 3 THEN '[tool.ruff]' || chr(10) || 'sphinx = 1' WHEN 4 THEN 'import sys; import os.path' ELSE 'mdformat' END"
+_CODE = f"CASE p_size % 6 WHEN 0 THEN 'from pkg.core import x' || chr(10) || 'import os.path' WHEN 1 THEN 'open(\"data/in' || p_partkey || '.json\") and glob(\"*.rst\")' WHEN 2 THEN 'Path(\"out' || p_size || '\") and import p' || p_partkey || '.core' WHEN 3 THEN '[tool.ruff]' || chr(10) || 'sphinx = 1' WHEN 4 THEN 'import sys; import os.path' ELSE 'mdformat' END"
 _TEXTS = f"SELECT p_partkey AS id, {_CODE} AS code, {_pick(('pyproject.toml', '.github/ci.yml', 'src/a.py'), 'p_partkey % 3')} AS path FROM part"
 _LOW = "lower(code)"
 
 
-@query(f"WITH c AS ({_TEXTS}) SELECT id, array_to_string(list_sort(list_distinct(list_concat(regexp_extract_all(code, 'from\\s+([\\w.]+)\\s+import', 1), regexp_extract_all(code, 'import\\s+([\\w.]+)', 1)))), ',') AS imports, CASE WHEN contains(code, 'open(') THEN '*.rst,data/in.json' WHEN contains(code, 'Path(') THEN ') / ,out' ELSE '' END AS reads, CASE path WHEN 'pyproject.toml' THEN CASE WHEN contains({_LOW}, 'sphinx') THEN '*.md,*.rst,*.py' WHEN contains({_LOW}, 'mdformat') THEN '*.md,*.rst' ELSE '*.py' END WHEN 'src/a.py' THEN '' ELSE '*' END AS reach FROM c")
+@query(f"WITH c AS ({_TEXTS}) SELECT id, array_to_string(list_sort(list_distinct(list_concat(regexp_extract_all(code, 'from\\s+([\\w.]+)\\s+import', 1), regexp_extract_all(code, 'import\\s+([\\w.]+)', 1)))), ',') AS imports, array_to_string(list_sort(list_distinct(regexp_extract_all(code, '(?:open|glob|Path)\\(\\x22([^\\x22]+)\\x22\\)', 1))), ',') AS reads, CASE path WHEN 'pyproject.toml' THEN CASE WHEN contains({_LOW}, 'sphinx') THEN '*.md,*.rst,*.py' WHEN contains({_LOW}, 'mdformat') THEN '*.md,*.rst' ELSE '*.py' END WHEN 'src/a.py' THEN '' ELSE '*' END AS reach FROM c")
 def source_references(spark, d):
     """Modules and files that source text names, and globs that a configuration file bears on."""
     c = spark.sql(_TEXTS.replace("FROM part", "FROM {part}"), part=read_table(spark, d, "part"))
@@ -105,10 +105,18 @@ def dependency_edges(spark, d):
     return resolved_edges(*dependency_tables(spark, d))
 
 
-@query(f"WITH n AS ({_NODE}) SELECT a.key, a.file AS origin, b.file AS target, 'exit' AS shared FROM n a JOIN n b ON a.key = b.key AND a.file = 'tests/exit_test.py' AND b.file IN ('docs/source/exit/000.rst', 'data/exit.json') WHERE b.file <> 'data/exit.json'")
+_CHANGED = """SELECT DISTINCT l_orderkey AS key, CASE l_partkey % 4 WHEN 0 THEN 'tests/word' || (l_partkey % 7) || '_word' || (l_suppkey % 5) || '_test.py' WHEN 1 THEN 'docs/source/word' || (l_suppkey % 7) || 's/word' || (l_partkey % 5) || '.rst'
+  WHEN 2 THEN 'data/word' || (l_suppkey % 5) || '.txt' ELSE 'src/word' || (l_partkey % 7) || '.py' END AS file FROM lineitem"""
+
+
+@query(f"""
+WITH n AS ({_CHANGED}), w AS (SELECT *, regexp_extract_all(file, 'word[0-9]+') AS w FROM n),
+j AS (SELECT a.key, a.file AS origin, b.file AS target, list_sort(list_distinct(list_intersect(a.w, b.w))) AS shared FROM w a JOIN w b ON a.key = b.key AND starts_with(a.file, 'tests/') AND (starts_with(b.file, 'docs/') OR starts_with(b.file, 'data/')))
+SELECT key, origin, target, array_to_string(shared[1:5], ', ') AS shared FROM j WHERE len(shared) > 0
+""")
 def related_changes(spark, d):
-    """Test files with those documents and other files of the same issue that share words with them, and these words."""
-    nodes, _ = dependency_tables(spark, d)
+    """Test files with those documents and other files of the same issue that share words with them, and these words; plurals count as their singulars."""
+    nodes = spark.sql(_CHANGED.replace("FROM lineitem", "FROM {lineitem}"), lineitem=read_table(spark, d, "lineitem"))
     words = nodes.select("key", "file", T.file_kind(F.col("file")).alias("kind"), F.explode(P.words(F.col("file"))).alias("word"))
     tests = words.where("kind = 'test'").select("key", F.col("file").alias("origin"), "word")
     others = words.where("kind IN ('docs', 'other')").select("key", F.col("file").alias("target"), "word")

@@ -298,18 +298,25 @@ def pass_gain(spark, d):
     return R.rollup_total(j, "grp", n.alias("n"), pct(F.count_if(a)).alias("base"), pct(F.count_if(b)).alias("recap"), pct(F.count_if(b) - F.count_if(a)).alias("gain"), label="overall")
 
 
-_MESSAGES = ("error: new.py: does not exist in index", "error: patch failed: a/b.py:7\nerror: a/b.py: patch does not apply", "error: corrupt patch at line 3", "error: repository lacks the necessary blob", "error: c.py: does not match index", "odd")
+_MESSAGES = """SELECT event_id, CAST(event_id % 6 AS INT) AS k, CASE event_id % 6 WHEN 0 THEN 'error: src/n' || user_id || '.py: does not exist in index' WHEN 1 THEN 'error: patch failed: a/b' || user_id || '.py:7' || chr(10) || 'error: a/b' || user_id || '.py: patch does not apply'
+  WHEN 2 THEN 'error: corrupt patch at line ' || event_id WHEN 3 THEN 'error: repository lacks the necessary blob' WHEN 4 THEN 'error: c' || user_id || '.py: does not match index' ELSE coalesce(props, '') END AS m, 'own' || (user_id % 9) || '.py' AS own, user_id FROM events WHERE event_type <> 'view'"""
 
 
-@query("WITH f AS (SELECT event_id, event_id % 6 AS k FROM events WHERE event_type <> 'view'), d AS (SELECT *, CASE k WHEN 0 THEN 'missing_file' WHEN 1 THEN 'context_mismatch' WHEN 2 THEN 'corrupt_patch' WHEN 3 THEN 'missing_blob' WHEN 4 THEN 'index_mismatch' ELSE 'unknown' END AS kind, CASE k WHEN 0 THEN 'new.py' WHEN 1 THEN 'a/b.py' WHEN 2 THEN 'own.py' WHEN 4 THEN 'c.py' ELSE '' END AS files FROM f) SELECT kind, any_value(files) AS files, count(*) AS n, md5(string_agg(event_id, ',' ORDER BY event_id)) AS ids, CAST(row_number() OVER (ORDER BY count(*) DESC, kind) AS INTEGER) AS place FROM d GROUP BY kind")
+@query(f"""
+WITH f AS ({_MESSAGES}),
+d AS (
+  SELECT *, ['missing_file', 'context_mismatch', 'corrupt_patch', 'missing_blob', 'index_mismatch', 'unknown'][k + 1] AS kind,
+    CASE k WHEN 0 THEN 'src/n' || user_id || '.py' WHEN 1 THEN 'a/b' || user_id || '.py' WHEN 2 THEN own WHEN 4 THEN 'c' || user_id || '.py' END AS file FROM f)
+SELECT kind, count(DISTINCT file) AS n_files, md5(coalesce(string_agg(DISTINCT file, ',' ORDER BY file), '')) AS files, count(*) AS n, md5(string_agg(event_id, ',' ORDER BY event_id)) AS ids, CAST(row_number() OVER (ORDER BY count(*) DESC, kind) AS INTEGER) AS place FROM d GROUP BY kind
+""")
 def patch_failures(spark, d):
-    """Failed patches by the first kind of error that their message fits, with the files that it names, most frequent first."""
-    message = F.element_at(F.array(*(F.lit(m) for m in _MESSAGES)), (F.col("event_id") % 6 + 1).cast("int"))
-    f = read_table(spark, d, "events").where("event_type <> 'view'").select("event_id", message.alias("m")).withColumn("kind", T.patch_error(F.col("m")))
-    files = F.array_join(T.patch_error_files(F.col("kind"), F.col("m"), F.array(F.lit("own.py"))), ",")
+    """Failed patches by the first kind of error that their message fits, with the files that the messages name, most frequent first."""
+    f = spark.sql(_MESSAGES.replace("FROM events", "FROM {events}"), events=read_table(spark, d, "events")).withColumn("kind", T.patch_error(F.col("m")))
+    named = f.select("kind", F.explode(T.patch_error_files(F.col("kind"), F.col("m"), F.array("own"))).alias("file")).distinct().groupBy("kind").agg(F.count(F.lit(1)).alias("n_files"), F.md5(F.array_join(F.sort_array(F.collect_list("file")), ",")).alias("files"))
     ids = F.md5(F.array_join(F.transform(F.sort_array(F.collect_list("event_id")), lambda x: x.cast("string")), ","))
-    g = f.groupBy("kind").agg(F.max(files).alias("files"), F.count(F.lit(1)).alias("n"), ids.alias("ids"))  # a handful of kinds
-    return g.select("kind", "files", "n", "ids", F.row_number().over(Window.orderBy(F.col("n").desc(), "kind")).alias("place"))
+    g = f.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), ids.alias("ids"))  # a handful of kinds
+    j = g.join(named, "kind", "left")
+    return j.select("kind", F.coalesce("n_files", F.lit(0)).alias("n_files"), F.coalesce("files", F.md5(F.lit("").cast("binary"))).alias("files"), "n", "ids", F.row_number().over(Window.orderBy(F.col("n").desc(), "kind")).alias("place"))
 
 
 @query("WITH old AS (SELECT c_custkey AS id, 's' || (c_custkey % 700) AS sha, 'old' AS v FROM customer), new AS (SELECT CAST(CASE WHEN o_custkey % 5 > 0 THEN o_custkey END AS BIGINT) AS id, CASE WHEN o_custkey % 4 = 0 THEN '' ELSE 's' || (o_custkey % 900) END AS sha, 'new' AS v FROM orders WHERE o_orderkey % 37 = 0 GROUP BY ALL) SELECT coalesce(id, -1) AS id, sha, v FROM old WHERE id NOT IN (SELECT id FROM new WHERE id IS NOT NULL) AND sha NOT IN (SELECT sha FROM new WHERE sha <> '') UNION ALL SELECT coalesce(id, -1), sha, v FROM new")

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import graph
 from ..operators import relational as R
 from ..operators import retrieval as V
 from ..operators import similarity as Y
 from ..operators import staged as S
+from ..operators.textindex import TextIndex
 from ..shared import Rounds
 from ..sources.io import read_table
 from .base import query
@@ -44,6 +44,26 @@ def memory_search(spark, d):
     return V.tfidf_search(corpus(spark, d), _QUESTION, 10, 1000, _STOP)
 
 
+@query(f"""
+WITH {_CORPUS},
+t AS (SELECT level, id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}')) AS term FROM c),
+n AS (SELECT level, id, term, count(*) AS tf FROM t WHERE term NOT IN ({_STOPPED}) GROUP BY ALL),
+v AS (SELECT term, ln((1.0 + (SELECT count(*) FROM c)) / (1 + count(*))) + 1 AS idf, sum(tf) AS total FROM n GROUP BY 1 ORDER BY total DESC, term LIMIT 1000),
+w AS (SELECT level, id, term, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY level, id)) AS w FROM n JOIN v USING (term)),
+asked AS (SELECT term, count(*) AS tf FROM (SELECT unnest(regexp_extract_all(lower('{_QUESTION}'), '[\\p{{L}}\\p{{N}}_]{{2,}}')) AS term) WHERE term NOT IN ({_STOPPED}) GROUP BY 1),
+q AS (SELECT term, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER ()) AS w FROM asked JOIN v USING (term)),
+s AS (SELECT level, id, sum(w.w * q.w) AS score FROM w JOIN q USING (term) GROUP BY ALL),
+e AS (SELECT c.level, c.id, round(coalesce(s.score, 0), 9) AS score FROM c LEFT JOIN s ON s.level = c.level AND s.id = c.id),
+r AS (SELECT *, row_number() OVER (PARTITION BY level ORDER BY score DESC, id) AS rank FROM e)
+SELECT level, CAST(rank AS INTEGER) AS rank, id, score FROM r WHERE rank <= 10
+""")
+def indexed_search(spark, d):
+    """The same by an inverted index over the corpus alone, of which a search reads the postings that can reach the tenth score."""
+    files = Rounds(spark)
+    index = TextIndex.build(files.keep(corpus(spark, d)), f"{files.base}/index", 1000, _STOP)
+    return files.result(index.search(_QUESTION, 10))
+
+
 _REPOS = ("quartz-lab/quartz", "quartz", "other/quartz", "meadow", "fern/meadow", "", "Owner/Repo", "repo")
 _FLOWS = ("ci.yml", "test.yml", "")
 _MEM = f"SELECT p_partkey AS id, {_pick(_REPOS, 'p_partkey % 8')} AS a, {_pick(_REPOS, 'p_size % 8')} AS b, {_pick(_FLOWS, 'p_partkey % 4')} AS flow, p_brand AS owner FROM part"

@@ -76,25 +76,32 @@ def fuzzy_names(spark, d):
     return m.orderBy("m.score", "path", "p_partkey").limit(64).select("p_partkey", "path", "m.score", F.array_join(F.transform("m.places", lambda x: x.cast("string")), ",").alias("places"))
 
 
-_REPLIES = ("{\"a\": 1, \"b\": [2, 3]}", "```json" + "\n" + "{\"a\": 2}" + "\n" + "```", "Sure: {\"a\": 3} done", "[{\"a\": 4}]", "text [1, 2] and {\"a\": 5}", "{broken", "", "```" + "\n" + "[5]" + "\n" + "``` ", "no json", "{\"é\": \"日\"}")
-_REPLY_SQL = _pick([r.replace("'", "''") for r in _REPLIES], "event_id % 10")
-_WANT = {
-    "object": ('{"a": 1, "b": [2, 3]}', '{"a": 2}', '{"a": 3}', '{"a": 4}', '{"a": 5}', None, None, None, None, '{"é": "日"}'),
-    "any": ('{"a": 1, "b": [2, 3]}', '{"a": 2}', '{"a": 3}', '[{"a": 4}]', "[1, 2]", None, None, "[5]", None, '{"é": "日"}'),
-    "fenced": ('{"a": 1, "b": [2, 3]}', '{"a": 2}', None, '[{"a": 4}]', None, None, None, "[5]", None, '{"é": "日"}'),
-}
-
-
-def _wanted(name: str) -> str:
-    return "CASE event_id % 10 " + " ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(_WANT[name]) if v is not None) + " END"
-
-
-@query(f"SELECT event_id, {_wanted('object')} AS object, {_wanted('any')} AS whole, {_wanted('fenced')} AS fenced, CASE event_id % 10 WHEN 9 THEN '{{\"\\u00e9\": \"\\u65e5\"}}' ELSE {_REPLY_SQL} END AS ascii FROM events")
+_REPLIES = """c AS (
+  SELECT click_id, props AS p, CAST(click_id % 6 AS INT) AS k, CASE click_id % 6 WHEN 1 THEN '```json' || chr(10) || props || chr(10) || '```' WHEN 2 THEN 'Sure: ' || props || ' done' WHEN 3 THEN '[' || props || ']'
+    WHEN 4 THEN left(props, length(props) - 1) WHEN 5 THEN 'text [1, 2] and ' || props ELSE props END AS t
+  FROM clicks WHERE {0})"""
+
+
+@query(f"""
+WITH {_REPLIES.format("props IS NOT NULL AND json_valid(props) AND starts_with(props, '{')")},
+x AS (SELECT *, regexp_extract(p, '\\[.*\\]', 0, 's') AS inner_list, regexp_extract(t, '\\[.*\\]', 0, 's') AS widest FROM c)
+SELECT click_id, CASE WHEN k <> 4 THEN p END AS object,
+  CASE WHEN k IN (0, 1) THEN p WHEN k = 3 THEN t WHEN widest <> '' THEN CASE WHEN json_valid(widest) THEN widest END WHEN k = 2 THEN p END AS whole,
+  CASE WHEN k IN (0, 1) THEN p WHEN k = 3 THEN t END AS fenced
+FROM x
+""")
 def json_replies(spark, d):
-    """The JSON object, any JSON, and the fenced JSON that a reply holds, and the reply with letters beyond ASCII escaped."""
-    e = read_table(spark, d, "events").select("event_id", F.element_at(F.array(*(F.lit(r) for r in _REPLIES)), (F.col("event_id") % 10 + 1).cast("int")).alias("t"))
+    """The JSON object, any JSON, and the fenced JSON that a reply holds: the clicks' properties bare, fenced, in prose, in a list, cut off, or after another list."""
+    c = read_table(spark, d, "clicks").where(T.is_json(F.col("props")) & F.startswith("props", F.lit("{")))
     t = F.col("t")
-    return e.select("event_id", T.lenient_object(t).alias("object"), T.lenient_json(t).alias("whole"), T.fenced_json(t).alias("fenced"), T.ascii_json(t).alias("ascii"))
+    rows = spark.sql("SELECT * FROM (" + _REPLIES.removeprefix("c AS (").removesuffix(")").format("true").replace("FROM clicks", "FROM {clicks}") + ")", clicks=c)
+    return rows.select("click_id", T.lenient_object(t).alias("object"), T.lenient_json(t).alias("whole"), T.fenced_json(t).alias("fenced"))
+
+
+@query("SELECT item_id, md5(list_aggregate(list_transform(string_split(text, ''), lambda x: CASE WHEN unicode(x) < 128 THEN x ELSE '\\u' || lower(lpad(hex(unicode(x)), 4, '0')) END), 'string_agg', '')) AS ascii FROM benchmark WHERE text <> ''")
+def ascii_items(spark, d):
+    """Texts with every letter beyond ASCII escaped."""
+    return read_table(spark, d, "benchmark").where("text <> ''").select("item_id", F.md5(T.ascii_json(F.col("text"))).alias("ascii"))
 
 
 _TIMES = "CASE event_id % 5 WHEN 0 THEN CAST(epoch_us(ts) // 1000000 AS VARCHAR) WHEN 1 THEN strftime(ts, '%Y-%m-%dT%H:%M:%SZ') WHEN 2 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S+00:00') WHEN 3 THEN 'never' END"
@@ -117,15 +124,21 @@ def plain_values(spark, d):
     )
 
 
-_MODELS = ("openrouter/minimax/m 2", "z-ai/GLM 5", "plain", "a/b//c d!", "---", "openrouter/x")
+_MODELS = """SELECT item_id AS id, name, brand, CASE item_id % 5 WHEN 0 THEN 'openrouter/' || coalesce(brand, '') || '/' || coalesce(name, '') || ' v2' WHEN 1 THEN ' ' || coalesce(kind, '') || '//' || coalesce(name, '') || '!' WHEN 2 THEN upper(coalesce(brand, '')) WHEN 3 THEN '-' || coalesce(name, '') || '-' ELSE '---' END AS m FROM items"""
 
 
-@query(f"WITH p AS (SELECT p_partkey AS id, {_pick(_MODELS, 'p_partkey % 6')} AS m, p_name, p_brand FROM part) SELECT id, CASE lower(trim(m)) WHEN 'plain' THEN 'vendor/plain-1' ELSE trim(m) END AS resolved, CASE m WHEN 'openrouter/minimax/m 2' THEN 'm-2' WHEN 'z-ai/GLM 5' THEN 'GLM-5' WHEN 'plain' THEN 'plain' WHEN 'a/b//c d!' THEN 'c-d' WHEN '---' THEN 'model' ELSE 'x' END AS folder, p_name || ' ' || p_brand AS query_text FROM p")
+@query(f"""
+WITH p AS ({_MODELS}), a AS (SELECT min(lower(brand)) AS known FROM items), l AS (SELECT *, string_split(regexp_replace(m, '^openrouter/', ''), '/')[-1] AS last FROM p),
+f AS (SELECT *, regexp_replace(regexp_replace(last, '[^A-Za-z0-9_.-]+', '-', 'g'), '^-+|-+$', '', 'g') AS folder FROM l)
+SELECT id, CASE WHEN lower(trim(m)) = known THEN 'vendor/' || known ELSE trim(m) END AS resolved, CASE WHEN folder = '' THEN 'model' ELSE folder END AS folder, coalesce(name, '') || ' ' || coalesce(brand, '') AS query_text FROM f, a
+""")
 def model_names(spark, d):
-    """A model's name by an alias map, a folder name for it, and a query's text from two fields."""
-    p = read_table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.expr(_pick(_MODELS, "p_partkey % 6")).alias("m"), "p_name", "p_brand")
-    aliases = F.create_map(F.lit("plain"), F.lit("vendor/plain-1"))
-    return p.select("id", F.coalesce(F.try_element_at(aliases, F.lower(F.trim("m"))), F.trim("m")).alias("resolved"), T.folder_name(F.col("m")).alias("folder"), F.concat(F.coalesce("p_name", F.lit("")), F.lit(" "), F.coalesce("p_brand", F.lit(""))).alias("query_text"))
+    """A model's name by an alias table, a folder name for it, and a query's text from two fields. Models are items by kind, brand and name."""
+    items = read_table(spark, d, "items")
+    p = spark.sql(_MODELS.replace("FROM items", "FROM {items}"), items=items)
+    known = F.broadcast(items.agg(F.min(F.lower("brand")).alias("known")))  # one row
+    resolved = F.when(F.lower(F.trim("m")) == F.col("known"), F.concat(F.lit("vendor/"), "known")).otherwise(F.trim("m"))
+    return p.join(known).select("id", resolved.alias("resolved"), T.folder_name(F.col("m")).alias("folder"), F.concat(F.coalesce("name", F.lit("")), F.lit(" "), F.coalesce("brand", F.lit(""))).alias("query_text"))
 
 
 _FLAGS = ("Yes", "success", "✓", "1", " passed ", "no", "✗", "FAILED", "", "successes", "0")

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions.text import is_json
+from . import ranges
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,13 +27,18 @@ def read_jsonl(spark: SparkSession, path: str, schema: StructType | str) -> Data
     return parsed.select("file", "pos", (~is_json(F.col("value"))).alias("bad"), "row.*")
 
 
+def _whole(rows: DataFrame, faulty: F.Column) -> DataFrame:
+    """The rows of files without a faulty one."""
+    return rows.join(rows.where(faulty).select("file").distinct(), "file", "left_anti")
+
+
 def read_json_any(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
-    """A JSON array or JSON lines, told apart by the first character of each file."""
+    """A JSON array or JSON lines, told apart by the first character of each file; an array that is broken has no rows.
+
+    Lines of one file are read by many tasks; an array streams through one, an element at a time."""
     schema = StructType.fromDDL(schema) if isinstance(schema, str) else schema
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    arrays = whole.where(F.startswith(F.ltrim("value"), F.lit("["))).select("file", F.inline(F.from_json("value", f"array<{schema.simpleString()}>")))
-    lines = whole.where(~F.startswith(F.ltrim("value"), F.lit("["))).select("file", F.explode(F.split("value", "\n")).alias("line")).where(F.trim("line") != "")
-    return arrays.unionByName(lines.select("file", F.from_json("line", schema).alias("row")).select("file", "row.*"))
+    rows = _whole(ranges.json_rows(spark, path), F.col("value").isNull() & (F.col("first") < 0))
+    return rows.select("file", F.from_json("value", schema).alias("row")).select("file", "row.*")
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
@@ -79,31 +85,28 @@ def read_list(spark: SparkSession, path: str, schema: StructType | str) -> DataF
     """Rows of JSON files that hold a list; a missing, corrupt or other file counts as an empty list."""
     if not files_exist(spark, path):
         return spark.createDataFrame([], schema)
-    kind = StructType.fromDDL(schema) if isinstance(schema, str) else schema
-    whole = spark.read.text(path, wholetext=True).where(is_json(F.col("value")) & F.startswith(F.ltrim("value"), F.lit("[")))
-    return whole.select(F.inline(F.from_json("value", f"array<{kind.simpleString()}>")))
+    schema = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    lists = ranges.json_rows(spark, path, rows="lists")
+    return _whole(lists, F.col("value").isNull() | ~is_json(F.col("value"))).select(F.from_json("value", schema).alias("row")).select("row.*")
 
 
 def read_outcomes(spark: SparkSession, path: str) -> DataFrame:
     """(id, won): 1 where the last row of an id concludes in success or else passed verification, from a JSON list or lines."""
     schema = "id string, conclusion string, verification_passed boolean"
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.regexp_replace("value", "\\A\\s+", "").alias("value"))
-    # a list is cut into its rows where it lies; positions keep the order of both shapes
-    rows = F.when(F.startswith("value", F.lit("[")), F.from_json("value", f"array<struct<{schema.replace(' ', ':').replace(',:', ',')}>>")).otherwise(
-        F.transform(F.filter(F.split("value", "\n"), lambda x: F.trim(x) != ""), lambda x: F.from_json(x, schema))
-    )
-    each = whole.select("file", F.posexplode(rows).alias("pos", "r")).select("file", "pos", "r.*").where("id IS NOT NULL")
+    each = ranges.json_rows(spark, path).select("file", F.col("first").alias("pos"), F.from_json("value", schema).alias("r")).select("file", "pos", "r.*").where("id IS NOT NULL")
     won = F.when((F.col("conclusion") == "success") | F.coalesce("verification_passed", F.lit(False)), 1).otherwise(0)
     return each.groupBy("id").agg(F.max_by(won, F.struct("file", "pos")).alias("won"))
 
 
 def read_predictions(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """(key, row) of a JSON object by key, or of a list whose rows are known by id, instance_id or sha_fail; rows without any are left out."""
-    whole = spark.read.text(path, wholetext=True).select(F.regexp_replace("value", "\\A\\s+", "").alias("value"))
-    keyed = whole.where(F.startswith("value", F.lit("{"))).select(F.explode(F.from_json("value", f"map<string,{schema}>")).alias("key", "row"))
-    listed = whole.where(F.startswith("value", F.lit("["))).select(F.explode(F.from_json("value", f"array<{schema}>")).alias("row"))
-    named = listed.select(F.coalesce(*(F.nullif(F.col(f"row.{n}"), F.lit("")) for n in ("id", "instance_id", "sha_fail"))).alias("key"), "row")
-    return keyed.unionByName(named.where("key IS NOT NULL"))
+    """(key, row) of JSON objects by key, and of lists whose rows are known by id, instance_id or sha_fail; rows without any, values that
+    are no objects and files that are broken are left out. A file streams through a task, a row at a time."""
+    rows = _whole(ranges.json_rows(spark, path, rows="entries"), F.col("value").isNull() & (F.col("first") < 0))
+    entry = F.startswith("value", F.lit('"'))
+    keyed = rows.where(entry).select(F.explode(F.from_json(F.concat(F.lit("{"), "value", F.lit("}")), f"map<string,{schema}>")).alias("key", "row"))
+    named = rows.where(~entry).select(F.from_json("value", schema).alias("row"))
+    named = named.select(F.coalesce(*(F.nullif(F.col(f"row.{n}"), F.lit("")) for n in ("id", "instance_id", "sha_fail"))).alias("key"), "row")
+    return keyed.unionByName(named).where("key IS NOT NULL AND row IS NOT NULL")
 
 
 def folder_of(depth: int = 0) -> F.Column:

@@ -9,6 +9,7 @@ Stores are opened through pyarrow (local files, HDFS, S3, GCS and whatever else
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -79,6 +80,71 @@ def records_backward(read_at: Callable[[int, int], bytes], start: int, stop: int
         yield record(0, b"")
 
 
+_MARK, _QUOTE = re.compile(rb'["\[\]{},]'), re.compile(rb'["\\]')
+
+
+def first_byte(read_at: Callable[[int, int], bytes], limit: int) -> bytes:
+    """The first byte of a file that is not blank; empty if there is none."""
+    for at in range(0, limit, CHUNK):
+        if piece := read_at(min(CHUNK, limit - at), at).lstrip(BLANK):
+            return piece[:1]
+    return b""
+
+
+def list_elements(read_at: Callable[[int, int], bytes], limit: int, chunk: int = 1 << 16, opening: bytes = b"[") -> Iterator[tuple[int, int, bytes]]:
+    """(first byte, end, bytes) of the elements of a JSON list, or with a brace of the entries of a JSON object, that is the whole file,
+    read in chunks: memory holds one element. Anything else raises where it is found; elements are only cut, not parsed."""
+    closing = {b"[": b"]", b"{": b"}"}[opening]
+    buffer, base, at, depth, quoted, opened, closed, commas = b"", 0, 0, 0, False, False, False, 0
+    start = 0  # of the element at hand, in the buffer
+
+    def element(stop: int) -> tuple[int, int, bytes]:
+        body = buffer[start:stop]
+        left = len(body) - len(body.lstrip(BLANK))
+        return base + start + left, base + start + len(body.rstrip(BLANK)), body.strip(BLANK)
+
+    for offset in range(0, limit, chunk):
+        buffer += read_at(min(chunk, limit - offset), offset)
+        while True:
+            m = (_QUOTE if quoted else _MARK).search(buffer, at)
+            if closed or not m:
+                at = len(buffer)
+                break
+            mark, place = m[0], m.start()
+            if quoted:
+                if mark == b"\\" and place + 2 > len(buffer):
+                    at = place  # what it escapes is in the next chunk
+                    break
+                at, quoted = (place + 2, True) if mark == b"\\" else (place + 1, False)
+                continue
+            at = place + 1
+            if not opened:
+                if mark != opening or buffer[:place].strip(BLANK):
+                    raise ValueError("no list")
+                opened, start = True, at
+            elif mark == b'"':
+                quoted = True
+            elif mark in b"[{":
+                depth += 1
+            elif depth and mark in b"]}":
+                depth -= 1
+            elif not depth:
+                if mark not in (b",", closing):
+                    raise ValueError("an unopened bracket")
+                found = element(place)
+                if found[2]:
+                    yield found
+                elif mark == b"," or commas:
+                    raise ValueError("an element is missing")
+                commas, closed, start = commas + (mark == b","), mark == closing, at
+        if closed and buffer[start:].strip(BLANK):
+            raise ValueError("more after the list")
+        if opened:
+            buffer, base, at, start = buffer[start:], base + start, at - start, 0
+    if not closed:
+        raise ValueError("the list does not end")
+
+
 @dataclass
 class Ranges(InputPartition):
     #: (file, first byte, byte after the last, frozen end)
@@ -100,8 +166,10 @@ def deal(files: list[tuple[str, int]], size: int) -> list[Ranges]:
 
 
 class LineRanges(DataSource):
-    """Options: path; ends, a JSON object of frozen ends by file, or of a share of each file's bytes at "*"; rangeBytes and
-    slots (a range is cut smaller where there are more slots than ranges); rows: records (default) or newlines."""
+    """Options: path (several apart by newlines); ends, a JSON object of frozen ends by file, or of a share of each file's bytes at "*"; rangeBytes and
+    slots (a range is cut smaller where there are more slots than ranges); rows: records (default), newlines, or json: the elements of files that
+    begin with a bracket and the lines of others, in any order, and a row without a value for a list that is broken; or lists: of such files alone; or entries: those
+    and the entries of files that are one object."""
 
     @classmethod
     def name(cls) -> str:
@@ -124,7 +192,7 @@ class _Reader(DataSourceReader):
 
     def partitions(self) -> list[InputPartition]:
         files = []
-        for file, size in files_of(self.path):
+        for file, size in (f for path in self.path.split("\n") if path for f in files_of(path)):
             end = self.ends.get(file, int(size * self.ends["*"]) if "*" in self.ends else size)
             if end > size:
                 raise ValueError(f"the end of {file} is past the file")
@@ -143,7 +211,7 @@ class _Reader(DataSourceReader):
                     yield pa.RecordBatch.from_pydict({"file": [file], "start": [start], "newlines": [n]})
                     continue
                 batch: dict[str, list] = {"first": [], "last": [], "value": []}
-                for first, last, body in records_backward(f.read_at, start, stop, limit):
+                for first, last, body in self._records(f.read_at, start, stop, limit):
                     if not body.strip(BLANK):
                         continue
                     for name, value in (("first", first), ("last", last), ("value", body)):
@@ -154,6 +222,17 @@ class _Reader(DataSourceReader):
                 if batch["first"]:
                     yield self._batch(pa, file, start, batch)
 
+    def _records(self, read_at, start: int, stop: int, limit: int) -> Iterator[tuple[int, int, bytes]]:
+        opening = b"" if self.rows == "records" else first_byte(read_at, limit)
+        if opening != b"[" and (self.rows != "entries" or opening != b"{"):
+            if self.rows not in ("lists", "entries"):
+                yield from records_backward(read_at, start, stop, limit)
+        elif start == 0:  # one task streams through a list, wherever its ranges end
+            try:
+                yield from list_elements(read_at, limit, opening=opening)
+            except ValueError:
+                yield -1, -1, b"\xff"
+
     @staticmethod
     def _batch(pa, file: str, start: int, batch: dict[str, list]):
         texts = []
@@ -168,11 +247,15 @@ class _Reader(DataSourceReader):
 
 def _load(spark: SparkSession, path: str, **options) -> DataFrame:
     spark.dataSource.register(LineRanges)
+    if any(c in path for c in "*?[{"):
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        found = at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(at)
+        path = "\n".join(f.getPath().toString() for f in found or [])
     return spark.read.format("line_ranges").options(path=path, slots=spark.sparkContext.defaultParallelism, **options).load()
 
 
 def read_backward(spark: SparkSession, path: str, schema: str, ends: dict[str, int | float] | None = None, range_bytes: int = RANGE) -> DataFrame:
-    """(file, first, last, back, rejected, row): JSON lines with their bytes and their place from the file's end, blank ones skipped, bad ones rejected in place.
+    """(file, first, last, back, rejected, row) of a path, or of all that a pattern names: JSON lines with their bytes and their place from the file's end, blank ones skipped, bad ones rejected in place.
 
     `ends` freezes files at a byte, or all at a share of their bytes under "*"; a record that the end
     cuts is read as far as it goes. An end past its file raises, a missing path gives no rows."""
@@ -190,3 +273,11 @@ def read_backward(spark: SparkSession, path: str, schema: str, ends: dict[str, i
 def newline_counts(spark: SparkSession, path: str, range_bytes: int = RANGE) -> DataFrame:
     """(file, newlines): newline bytes of each file; files without bytes, and what is not there, have no row."""
     return _load(spark, path, rows="newlines", rangeBytes=range_bytes).groupBy("file").agg(F.sum("newlines").alias("newlines"))
+
+
+def json_rows(spark: SparkSession, path: str, range_bytes: int = RANGE, rows: str = "json") -> DataFrame:
+    """(file, first, value): elements of JSON lists and lines of JSON lines, with the byte that they begin at, told apart by each file's
+    first byte. Lines are read by ranges, a list by one task, an element at a time; a broken list gives what was
+    read before the fault, and a row with a null value at -1. Blank lines are left out, nothing is parsed. With rows `lists` only files with a list have
+    rows, with `entries` also those with one object: its entries, key and value."""
+    return _load(spark, path, rows=rows, rangeBytes=range_bytes).select("file", "first", "value")

@@ -110,21 +110,25 @@ class VersionedTable:
         out.write(bytearray(text.encode()))
         out.close()
         try:
-            if self._fs.getUri().getScheme() == "file":
-                os.link(draft.toUri().getPath(), target.toUri().getPath())
-                return True
-            context = self._hadoop.FileContext.getFileContext(self._at.toUri(), self.spark._jsc.hadoopConfiguration())
-            none = self.spark._jvm.java.lang.reflect.Array.newInstance(self._hadoop.Options.Rename.NONE.getClass(), 0)
-            context.rename(draft, target, none)
+            (self._link if self._fs.getUri().getScheme() == "file" else self._rename)(draft, target)
             return True
         except FileExistsError:
             return False
+        finally:
+            self._fs.delete(draft, False)
+
+    @staticmethod
+    def _link(draft, target) -> None:
+        os.link(draft.toUri().getPath(), target.toUri().getPath())
+
+    def _rename(self, draft, target) -> None:
+        context = self._hadoop.FileContext.getFileContext(self._fs.getUri(), self.spark._jsc.hadoopConfiguration())
+        try:
+            context.rename(draft, target, self.spark.sparkContext._gateway.new_array(self._hadoop.Options.Rename, 0))
         except Exception as e:
             if "FileAlreadyExists" in str(e):
-                return False
+                raise FileExistsError(str(target)) from e
             raise
-        finally:
-            self._fs.delete(draft, False)
 
     def vacuum(self, keep: int = 2) -> None:
         """Deletes the folders that only versions before the last `keep` name, and those versions. Their readers end first."""

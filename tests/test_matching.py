@@ -82,3 +82,20 @@ def test_bootstrap_of_few(spark):
 def test_types_and_steps(spark):
     r = spark.range(1).select(M.canonical_type(F.lit(None).cast("string")).alias("a"), M.types_agree(F.lit("lint"), F.lit("")).alias("b"), M.types_agree(F.lit("pip install"), F.lit("ci_config")).alias("c"), M.step_score(F.lit("Run A"), F.lit("x"), F.lit(None), F.lit("run-a"), F.lit("job x"), F.lit(None)).alias("d")).first()
     assert (r["a"], r["b"], r["c"], r["d"]) == ("Unknown", False, True, 120)
+
+
+def test_greedy_matching_of_one_large_group(spark):
+    """One instance and base name, with and without bare names, against the rule taken literally."""
+    rng = random.Random(2)
+    for names in (["a/x.py", "b/x.py", "c/d/x.py"], ["a/x.py", "b/x.py", "x.py"]):
+        sides = [[rng.choice(names) for _ in range(n)] for n in (900, 700)]
+        gold, guess = (spark.createDataFrame([("i", f, k) for k, f in enumerate(side)], "key string, file string, spot long") for side in sides)
+        free, tp = ["/".join(f.split("/")[-2:]) for f in sides[0]], 0
+        for f in sides[1]:
+            two = "/".join(f.split("/")[-2:])
+            if (hit := next((k for k, g in enumerate(free) if g == two or "/" not in g or "/" not in two), None)) is not None:
+                del free[hit]
+                tp += 1
+        assert tuple(O.greedy_pairs(gold, guess, "key", "file", "spot").first()) == ("i", 900, 700, tp)
+    many = spark.range(400_000).select(F.lit("i").alias("key"), F.concat((F.col("id") % 1000).cast("string"), F.lit("/x.py")).alias("file"), F.col("id").alias("spot"))
+    assert O.greedy_pairs(many, many.where("spot % 3 > 0"), "key", "file", "spot").first()["tp"] == 266_666

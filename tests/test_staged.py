@@ -3,6 +3,7 @@
 import json
 import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -14,7 +15,8 @@ from emberline.operators import history as H
 from emberline.operators import relational as R
 from emberline.operators import similarity as Y
 from emberline.operators import staged as S
-from emberline.sources import listing, ranges
+from emberline.operators.textindex import TextIndex
+from emberline.sources import io, listing, ranges
 from emberline.sources.predictions import repair_in_place
 from emberline.sources.versioned import Conflict, VersionedTable
 from emberline.streaming import projection
@@ -94,7 +96,9 @@ def test_projection_goes_on(spark, tmp_path):
     assert polled(spark, tmp_path, [("a", 10, 20, [(1, "y")]), ("c", 7, 9, [(0, "v")])]) == [("a", 0, "x"), ("a", 1, "y"), ("c", 0, "v")]
 
 
-def test_versions_of_a_table(spark, tmp_path):
+@pytest.mark.parametrize("claim", ["_link", "_rename"])
+def test_versions_of_a_table(spark, tmp_path, monkeypatch, claim):
+    monkeypatch.setattr(VersionedTable, "_link", getattr(VersionedTable, claim) if claim == "_rename" else VersionedTable.__dict__["_link"])
     table = VersionedTable(spark, str(tmp_path / "t"), "k string, v int", "k", 4)
     own = lambda rows: spark.createDataFrame(rows, "k string, v int")
     read = lambda version=None: sorted(map(tuple, table.read(version).collect()))
@@ -319,3 +323,71 @@ def test_startup_claims(spark):
 def test_last_row_of_a_key_counts(spark):
     df = spark.createDataFrame([(1, "x", "y", 1), (2, "y", None, 2), (3, "", "x", 0)], "v int, a string, b string, n int")
     assert {r["key"]: r["v"] for r in R.key_bridge(df, "v", "a", "b", order="n").collect()} == {"x": 1, "y": 2}
+
+
+def test_list_elements_in_any_cut():
+    rng = random.Random(3)
+
+    def some(depth=0):
+        k = rng.randrange(6 if depth < 3 else 4)
+        if k < 4:
+            return (rng.randrange(100), rng.choice(["a,b", "[x", '}"\\', 'é"', ""]), None, 1.5)[k]
+        return [some(depth + 1) for _ in range(rng.randrange(4))] if k == 4 else {rng.choice(["a", "b]", '"']): some(depth + 1) for _ in range(rng.randrange(3))}
+
+    def cut(data, chunk):
+        return list(ranges.list_elements(lambda n, i: data[i : i + n], len(data), chunk))
+
+    for _ in range(400):
+        x = [some() for _ in range(rng.randrange(6))]
+        data = (rng.choice(["", " \n"]) + json.dumps(x, indent=rng.choice([None, 1]), ensure_ascii=False) + rng.choice(["", " \n"])).encode()
+        got = cut(data, rng.choice([1, 2, 3, 7, 1000]))
+        assert [json.loads(b) for *_, b in got] == x and all(data[a:b] == v for a, b, v in got)
+        with pytest.raises(ValueError, match=""):
+            cut(data.rstrip()[: rng.randrange(len(data.rstrip()))], 3)
+    for bad in (b"[1,]", b"[,1]", b"[1] x", b"{}", b"", b"x[1]", b"[1}"):
+        with pytest.raises(ValueError, match=""):
+            cut(bad, 3)
+
+
+def test_lists_and_lines_by_ranges(spark, tmp_path):
+    lines = [json.dumps({"id": str(i % 700), "conclusion": "success" if i % 3 else "x"}) for i in range(5000)]
+    (tmp_path / "a.json").write_text("\n\n".join(lines))
+    (tmp_path / "b.json").write_text("\n [" + ",\n".join(lines[:900]) + "]")
+    (tmp_path / "c.json").write_text("[" + ",".join(lines[:5]))
+    rows = ranges.json_rows(spark, str(tmp_path / "*.json"), range_bytes=16 << 10)
+    counts = {r["file"].split("/")[-1]: r["count"] for r in rows.groupBy("file").count().collect()}
+    assert counts == {"a.json": 5000, "b.json": 900, "c.json": 5} and rows.select(F.spark_partition_id()).distinct().count() > 3
+    assert io.read_json_any(spark, str(tmp_path / "*.json"), "id string").count() == 5900 and io.read_list(spark, str(tmp_path / "*.json"), "id string").count() == 900
+    won = {r["id"]: r["won"] for r in io.read_outcomes(spark, str(tmp_path / "a.json")).collect()}
+    assert won == {str(i % 700): int(bool(i % 3)) for i in range(5000)}
+
+
+def test_index_ranks_as_a_full_scan(spark, tmp_path):
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(60)]
+    rows = [(rng.choice(["a", "b"]), i, " ".join(rng.choices(words, weights=[1 / (j + 1) for j in range(60)], k=rng.randrange(1, 30)))) for i in range(800)]
+    rows += [("c", 900, "w1 w1"), ("c", 901, None), ("c", 902, "stop"), ("a", 903, rows[0][2])]
+    df = spark.createDataFrame(rows, "level string, id long, text string")
+    index = TextIndex.build(df, str(tmp_path / "i"), features=50, stop_words=("stop",))
+    tf = [dict(Counter(w for w in (t or "").split() if w != "stop")) for _, _, t in rows]
+    df_, total = Counter(w for c in tf for w in c), Counter()
+    for c in tf:
+        total.update(c)
+    idf = {w: math.log((1 + len(rows)) / (1 + df_[w])) + 1 for w in sorted(total, key=lambda w: (-total[w], w))[:50]}
+
+    def unit(c):
+        x = {w: n * idf[w] for w, n in c.items() if w in idf}
+        length = math.sqrt(sum(v * v for v in x.values()))
+        return {w: v / length for w, v in x.items()}
+
+    for text in ("w40 w0 w45", "w59 w58 w0 w0 w1", "w1", "stop none", "w30 w31 w32 w33 w0"):
+        q = unit(Counter(w for w in text.split() if w in idf))
+        want = []
+        for level in ("a", "b", "c"):
+            scored = sorted((-round(sum(q.get(w, 0) * v for w, v in unit(c).items()), 9), i) for (lv, i, _), c in zip(rows, tf) if lv == level)
+            want += [(level, k + 1, i, -s) for k, (s, i) in enumerate(scored[:5])]
+        got = [(r["level"], r["rank"], r["id"], r["score"]) for r in index.search(text, 5).orderBy("level", "rank").collect()]
+        assert [g[:3] for g in got] == [w[:3] for w in want] and all(abs(g[3] - w[3]) < 2e-9 for g, w in zip(got, want))
+        assert index.read <= index.total
+    index.search("w40 w0 w45", 5)
+    assert index.read < index.total * 0.8
