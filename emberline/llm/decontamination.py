@@ -10,7 +10,6 @@ benchmark beyond that makes several automata, and documents go through one after
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 

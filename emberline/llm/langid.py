@@ -21,9 +21,7 @@ from pyspark.sql import functions as F
 from .common import WordTable, bounded_batches, coded_words, id_crc, rows_of, sums_by_text, text_slices
 
 #: Sampled texts of each language; all sampled texts, where there are so many languages that each gets fewer, but LEAST at least; buckets, embedding size, n-gram sizes.
-SAMPLE, TOTAL, LEAST, BUCKETS, DIM, GRAMS = 800, 20_000, 20, 1 << 15, 16, (2, 3, 4)
-#: Buckets of a sampled text that training keeps, of long texts at even distances through all of them: bounds what reaches the driver.
-KEPT = 4096
+SAMPLE, TOTAL, LEAST, BUCKETS, DIM, GRAMS = 800, 6_000, 20, 1 << 15, 16, (2, 3, 4)
 EPOCHS, RATE, REJECT_SHARE = 6, 0.5, 0.01
 MODULUS, HELD_OUT = 5, 0
 
@@ -110,7 +108,8 @@ def train(docs: DataFrame, sample: int = SAMPLE, modulus: int = MODULUS, held_ou
 
     Null languages and texts, and texts without letters, teach nothing. Every language is
     learned, from fewer texts each if there are many; only hashed counts reach the driver, of at
-    most TOTAL texts (or LEAST a language) and KEPT buckets each, whatever the texts' lengths."""
+    most TOTAL texts (or LEAST a language), six bytes for each of their buckets: all n-grams of a whole text count, and
+    BUCKETS bounds them whatever its length."""
     rows = rows_of(docs, "doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (id_crc() % modulus != held_out))
     known = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not known:
@@ -129,12 +128,11 @@ def train(docs: DataFrame, sample: int = SAMPLE, modulus: int = MODULUS, held_ou
                 words, repeats = np.unique(codes[offsets[i] : offsets[i + 1]], return_counts=True)
                 total = np.bincount(np.concatenate([np.zeros(0, np.int64), *(of_word[w] for w in words)]), weights=np.concatenate([np.zeros(0), *(np.full(len(of_word[w]), r, float) for w, r in zip(words, repeats, strict=True))]), minlength=1)
                 full = np.flatnonzero(total)
-                full = full if len(full) <= KEPT else full[np.linspace(0, len(full) - 1, KEPT).astype(np.int64)]
-                at.append(full.astype(np.int32))
+                at.append(full.astype(np.int16))  # BUCKETS fit
                 times.append(total[full].astype(np.float32))
-            yield pa.RecordBatch.from_arrays([part.column("lang"), pa.array(at, pa.list_(pa.int32())), pa.array(times, pa.list_(pa.float32()))], ["lang", "at", "times"])
+            yield pa.RecordBatch.from_arrays([part.column("lang"), pa.array(at, pa.list_(pa.int16())), pa.array(times, pa.list_(pa.float32()))], ["lang", "at", "times"])
 
-    got = drawn.select("lang", "text").mapInArrow(run, "lang string, at array<int>, times array<float>").where(F.size("at") > 0).toArrow()
+    got = drawn.select("lang", "text").mapInArrow(run, "lang string, at array<smallint>, times array<float>").where(F.size("at") > 0).toArrow()
     langs, at, times = (got.column(c).combine_chunks() for c in ("lang", "at", "times"))
     order = sorted(range(len(langs)), key=lambda i: (langs[i].as_py(), len(at[i]), at[i].values[:4].to_pylist()))
     return fit([(at[i].values.to_numpy(), times[i].values.to_numpy().astype(np.float64)) for i in order], [langs[i].as_py() for i in order])

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from emberline.llm import clustering, decontamination, entry, reassembly
+from emberline.llm import clustering, decontamination, entry, langid, reassembly
 from emberline.streaming.state import STORE
 
 # 11
@@ -172,8 +172,11 @@ def test_clusters_of_odd_vectors(spark):
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
+def lower(text):
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+
+
 def plain_hits(docs, items, size=10):
-    lower = lambda t: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
     cut = set()
     for i, t in items:
         w = WORD.findall(lower(t))
@@ -220,15 +223,13 @@ def test_decontamination_equals_plain_search(spark, leaks, monkeypatch, part):
     got = decontamination.scan(df, spark.createDataFrame(items, "item_id long, text string"))
     rows = []
     for r in got.collect():
-        text = r["text"] or ""
-        found = list(WORD.finditer(text))
+        found = list(WORD.finditer(lower(r["text"])))
         hit = [k for s in r["spans"] for k in range(s["first_word"], s["last_word"] + 1)]
         assert len(hit) == len(set(hit))
         for s in r["spans"]:
             assert (found[s["first_word"]].start(), found[s["last_word"]].end()) == (s["start"], s["end"])
         rows.append((r["doc_id"], r["n_words"], tuple((found[k].start(), found[k].end()) for k in hit), tuple(r["items"])))
-    lower = [(i, t) for i, t in docs]
-    assert sorted(rows, key=repr) == plain_hits(lower, items)
+    assert sorted(rows, key=repr) == plain_hits(docs, items)
 
 
 def test_passages_are_dropped_or_cut(spark, leaks):
@@ -242,3 +243,17 @@ def test_passages_are_dropped_or_cut(spark, leaks):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontamination.keep_clean(cut, none).count() == 3
     assert decontamination.scan(cut.limit(0), bench).count() == 0
+
+
+def test_language_id_learns_all_ngrams_of_a_long_text(spark, monkeypatch):
+    rng = random.Random(6)
+    text = " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyzäöü", k=rng.randrange(3, 9))) for _ in range(60_000))
+    seen = []
+    monkeypatch.setattr(langid, "fit", lambda counts, labels, seed=7: seen.extend(counts) or langid.Model([]))
+    langid.train(spark.createDataFrame([(1, text, "x")], "doc_id long, text string, lang string"), modulus=7, held_out=9)
+    want = defaultdict(int)
+    for word in text.split():
+        for at in langid.subwords(word):
+            want[at] += 1
+    (at, times), = seen
+    assert len(want) > 20_000 and dict(zip(at.tolist(), times.tolist())) == want
