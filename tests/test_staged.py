@@ -342,10 +342,10 @@ def test_list_elements_in_any_cut():
         data = (rng.choice(["", " \n"]) + json.dumps(x, indent=rng.choice([None, 1]), ensure_ascii=False) + rng.choice(["", " \n"])).encode()
         got = cut(data, rng.choice([1, 2, 3, 7, 1000]))
         assert [json.loads(b) for *_, b in got] == x and all(data[a:b] == v for a, b, v in got)
-        with pytest.raises(ValueError, match=""):
+        with pytest.raises(ValueError):  # noqa: PT011
             cut(data.rstrip()[: rng.randrange(len(data.rstrip()))], 3)
     for bad in (b"[1,]", b"[,1]", b"[1] x", b"{}", b"", b"x[1]", b"[1}"):
-        with pytest.raises(ValueError, match=""):
+        with pytest.raises(ValueError):  # noqa: PT011
             cut(bad, 3)
 
 
