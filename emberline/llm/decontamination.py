@@ -162,12 +162,12 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def cut_passages(docs: DataFrame, benchmark: DataFrame, mark: str = "") -> DataFrame:
-    """The documents with `mark` in place of each benchmark passage of their original texts."""
+    """The documents with `mark` in place of each benchmark passage of their original texts; texts without one, null ones too, stay."""
     found = scan(docs, benchmark)
     ends = F.concat(F.array(F.lit(0).cast("long")), F.transform("spans", lambda s: s["end"]))
     starts = F.concat(F.transform("spans", lambda s: s["start"]), F.array(F.char_length("text").cast("long")))
     between = F.zip_with(ends, starts, lambda a, b: F.substring(F.col("text"), (a + 1).cast("int"), (b - a).cast("int")))
-    return found.withColumn("text", F.array_join(between, mark)).select(*docs.columns)
+    return found.withColumn("text", F.when(F.size("spans") > 0, F.array_join(between, mark)).otherwise(F.col("text"))).select(*docs.columns)
 
 
 def op13(spark, sf_dir: str) -> DataFrame:
