@@ -99,3 +99,29 @@ def test_greedy_matching_of_one_large_group(spark):
         assert tuple(O.greedy_pairs(gold, guess, "key", "file", "spot").first()) == ("i", 900, 700, tp)
     many = spark.range(400_000).select(F.lit("i").alias("key"), F.concat((F.col("id") % 1000).cast("string"), F.lit("/x.py")).alias("file"), F.col("id").alias("spot"))
     assert O.greedy_pairs(many, many.where("spot % 3 > 0"), "key", "file", "spot").first()["tp"] == 266_666
+
+
+def test_best_candidates_of_whole_groups_against_plain(spark):
+    def fold(x):
+        return re.sub("[^a-z0-9]+", " ", (x or "").lower()).strip()
+
+    def long(x):
+        return {w for w in fold(x).split(" ") if len(w) > 2}
+
+    def points(step, job, text, cstep, cjob, ctext):
+        s, cs, j, cj = map(fold, (step, cstep, job, cjob))
+        names = 100 if s and s == cs else 70 if s and cs and (s in cs or cs in s) else 0
+        return names + (20 if j and cj and (j in cj or cj in j) else 0) + min(40, 4 * len(long(text) & long(ctext)))
+
+    def pick(texts, k):
+        return texts[k] if k < len(texts) else None
+
+    d = "/root/testdata/sf0.01"
+    places = [r[0] for r in spark.read.parquet(f"{d}/supplier.parquet").select("s_suppkey").collect()]
+    want = {}
+    for id, size in spark.read.parquet(f"{d}/part.parquet").select("p_partkey", "p_size").collect():
+        # a group is all suppliers that leave the same rest by 25 as the part's size
+        scored = [(points(pick(Q._STEPS, id % 7), pick(Q._JOBS, size % 4), pick(Q._STEPS, size % 6) + " on main branch", pick(Q._STEPS, p % 6), pick(Q._JOBS, p // 5 % 4), "main branch of " + pick(Q._STEPS, p // 3 % 6)), -p) for p in places if p % 25 == size % 25]
+        top, place = max(scored, default=(0, 0))
+        want[id] = ("make all", None) if id % 9 == 0 else (f"pytest -k {-place} && echo done", min(top, 100)) if top >= 12 else ("", 0)
+    assert {r[0]: (r[1], r[2]) for r in Q.resolved_commands(spark, d).collect()} == want
