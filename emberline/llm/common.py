@@ -179,17 +179,18 @@ class Memory:
 
 
 class WordTable:
-    """Rows of floats by word, computed once a task for each distinct word that it remembers."""
+    """Rows of floats by word, computed once a task for each distinct word that it remembers: one by one, or for a list of words `at_once`."""
 
-    def __init__(self, compute, width: int):
-        self.compute, self.width, self.memory = compute, width, Memory(np.float32)
+    def __init__(self, compute, width: int, at_once: bool = False):
+        self.compute = compute if at_once else lambda words: [compute(w) for w in words]
+        self.width, self.memory = width, Memory(np.float32)
 
     def of(self, dictionary: pa.Array) -> np.ndarray:
         """The rows of a dictionary's words, in its order."""
         self.memory.trim()
         words, before = dictionary.to_pylist(), len(self.memory.at)
         new = [w for w in words if w not in self.memory.at]
-        rows = np.array([self.compute(w) for w in new], dtype=np.float32).reshape(-1)
+        rows = np.asarray(self.compute(new), dtype=np.float32).reshape(-1)
         self.memory.add(new, (rows, np.full(len(new), self.width, dtype=np.int64)))
         return self.memory.kinds[0].flat.reshape(-1)[: len(self.memory.at) * self.width].reshape(-1, self.width)[self.memory.places(words, before)]
 

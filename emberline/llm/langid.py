@@ -35,6 +35,61 @@ def subwords(word: str) -> list[int]:
     return [zlib.crc32(marked[i : i + n].encode()) % BUCKETS for n in GRAMS for i in range(len(marked) - n + 1)]
 
 
+#: By byte, the step of crc32; by code point, whether it is a letter (1), is none (2) or was not asked yet (0).
+_CRC = np.array([zlib.crc32(bytes([255 ^ i])) ^ 0xFF000000 for i in range(256)], dtype=np.uint32)
+_LETTER = np.zeros(0x110000, dtype=np.int8)
+#: Letters of the words that are hashed at a time; a longer word comes alone.
+CHUNK = 1 << 16
+
+
+def _crc_step(state: np.ndarray, byte: np.ndarray) -> np.ndarray:
+    return _CRC[(state ^ byte) & 255] ^ (state >> 8)
+
+
+def _marked(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of the words' letters between boundary marks, end to end, and each word's number of them (0 without letters)."""
+    low = [w.lower() for w in words]
+    points = np.frombuffer("".join(low).encode("utf-32-le"), dtype=np.uint32)
+    word = np.repeat(np.arange(len(low)), np.fromiter(map(len, low), dtype=np.int64, count=len(low)))
+    for c in np.unique(points[_LETTER[points] == 0]).tolist():
+        _LETTER[c] = 1 if chr(c).isalpha() else 2
+    real = _LETTER[points] == 1
+    points, word = points[real], word[real]
+    letters = np.bincount(word, minlength=len(low))
+    size = np.where(letters > 0, letters + 2, 0)
+    marked = np.full(int(size.sum()), ord("<"), dtype=np.uint32)
+    marked[np.cumsum(size)[letters > 0] - 1] = ord(">")
+    marked[np.arange(len(points)) + 2 * np.cumsum(letters > 0)[word] - 1] = points
+    return marked, size
+
+
+def _sums_by_word(words: list[str], columns: list[np.ndarray]) -> np.ndarray:
+    """For each word the sums of the columns (by bucket, and 0 after the last) over its subwords, and their number; the same subwords as `subwords` has, hashed for all words at once."""
+    out = np.zeros((len(words), len(columns) + 1))
+    marked, size = _marked(words)
+    full = np.flatnonzero(size)
+    if not len(full):
+        return out
+    ends = np.cumsum(size)
+    left = np.repeat(ends, size) - np.arange(len(marked))
+    first = np.select([marked < 0x80, marked < 0x800, marked < 0x10000], [marked, 0xC0 | marked >> 6, 0xE0 | marked >> 12], 0xF0 | marked >> 18)
+    further = [(at, 0x80 | marked[at] >> shift & 0x3F) for shift, least in ((12, 0x10000), (6, 0x800), (0, 0x80)) if len(at := np.flatnonzero(marked >= least))]
+    state, buckets = np.full(len(marked), 0xFFFFFFFF, dtype=np.uint32), []
+    for k in range(min(max(GRAMS), len(marked))):  # the n-grams from each place on grow by a letter, a byte at a time
+        state = _crc_step(state[: len(marked) - k], first[k:])
+        for at, byte in further:
+            skip = int(np.searchsorted(at, k))
+            state[at[skip:] - k] = _crc_step(state[at[skip:] - k], byte[skip:])
+        if k + 1 in GRAMS:
+            bucket = np.full(len(marked), BUCKETS, dtype=np.int32)
+            np.copyto(bucket[: len(state)], ~state % BUCKETS, where=left[: len(state)] > k, casting="unsafe")
+            buckets.append(bucket)
+            out[:, -1] += np.maximum(size - k, 0)
+    for j, column in enumerate(columns):
+        out[full, j] = np.add.reduceat(sum(column[b] for b in buckets), (ends - size)[full])
+    return out
+
+
 @dataclass
 class Model:
     languages: list[str]
@@ -44,12 +99,16 @@ class Model:
     bias: np.ndarray | None = None
     reject_below: float = 0.0
 
-    def word_row(self, word: str) -> np.ndarray:
-        at = subwords(word)
-        row = np.zeros(self.logits.shape[1] + 1)
-        if at:
-            row[:-1], row[-1] = self.logits[at].sum(axis=0), len(at)
-        return row
+    def word_rows(self, words: list[str]) -> np.ndarray:
+        """Each word's sums of logits over its subwords, and the number of these."""
+        columns = [np.append(c, 0.0) for c in self.logits.T]
+        ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)))
+        rows, start = [np.zeros((0, len(columns) + 1))], 0
+        while start < len(words):
+            stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + CHUNK, side="right")))
+            rows.append(_sums_by_word(words[start:stop], columns))
+            start = stop
+        return np.concatenate(rows)
 
     def probabilities(self, sums: np.ndarray) -> np.ndarray:
         z = sums[:, :-1] / np.maximum(sums[:, -1:], 1)
@@ -146,7 +205,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     predicted like any other; an empty table gives no rows."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordTable(model.word_row, model.logits.shape[1] + 1) if model.languages else None
+        words = WordTable(model.word_rows, model.logits.shape[1] + 1, at_once=True) if model.languages else None
         for rows in text_slices(batches):
             if words is None:
                 sums = np.zeros((rows.num_rows, 2))

@@ -623,3 +623,31 @@ def test_shared_counts_against_sets():
         got = list(minhash.shared_counts(sets, sets[1:], step))
         assert [g.tolist() for g in got] == [[len(set(a.tolist()) & set(b.tolist())) for b in sets[1:]] for a in sets]
     assert [g.tolist() for g in minhash.shared_counts(sets, [])] == [[]] * len(sets)
+
+
+def test_words_hashed_at_once_as_one_by_one():
+    rng = np.random.default_rng(5)
+    points = [*range(33, 127), *range(160, 1400), *range(0x3040, 0x3100), *range(0x1D400, 0x1D500)]
+    words = ["", "-", "a", "İ", "ΟΔΟΣ", "aΣ.", "½a²", "<>", "𝒜", "x" * 3 * langid.CHUNK, *("".join(map(chr, rng.choice(points, n))) for n in rng.integers(1, 12, 3000))]
+    logits = rng.integers(-1000, 1000, (langid.BUCKETS, 3)).astype(float)  # whole numbers: sums are exact in any order
+    rows = langid.Model(["a", "b", "c"], logits=logits, bias=np.zeros(3)).word_rows(words)
+    for word, row in zip(words, rows.tolist(), strict=True):
+        at = langid.subwords(word)
+        assert row == [*logits[at].sum(axis=0).tolist(), len(at)] if at else row == [0.0] * 4
+
+
+def test_language_of_new_words_takes_little_time():
+    import time
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(6)
+    words = sorted({"".join(w) for w in rng.choice(list("abcdefghijklmnopqrstuvwxyz"), (30_000, 8)).tolist()})
+    model = langid.Model(["a", "b"], logits=rng.normal(size=(langid.BUCKETS, 2)), bias=np.zeros(2))
+    table = common.WordTable(model.word_rows, 3, at_once=True)
+    began = time.process_time()
+    plain = [langid.subwords(w) for w in words]
+    middle = time.process_time()
+    rows = table.of(pa.array(words, pa.large_string()))
+    assert time.process_time() - middle < (middle - began) / 2  # hashing word by word alone takes longer
+    assert rows[:, -1].tolist() == [len(at) for at in plain]
