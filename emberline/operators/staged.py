@@ -16,8 +16,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import Rounds
 from . import relational as R
 from . import retrieval as V
+from .termsearch import top_by_terms
 
 #: What every stage takes and returns.
 MATCHES = "query bigint, level string, memory bigint, score double, source string, place int"
@@ -49,25 +51,9 @@ def tfidf_top(memory: DataFrame, queries: DataFrame, k: int, features: int = 100
 
     Takes (level, memory, text) and (query, text). Idf is ln((1 + n) / (1 + df)) + 1 over the memories, the vocabulary their
     `features` most frequent terms (ties by the term), scores are rounded to 9 digits and memories without a shared term
-    are no match. Only postings of the queries' terms are joined."""
+    are no match."""
     words = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(V.WORD), F.lit(0))
-    n = memory.count()
-
-    def counted(df: DataFrame, *keys: str) -> DataFrame:
-        return df.select(*keys, F.explode(words).alias("term")).where(~F.col("term").isin(*stop_words)).groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("tf"))
-
-    counts = counted(memory, "level", "memory")
-    vocabulary = counts.groupBy("term").agg(F.sum("tf").alias("total"), F.count(F.lit(1)).alias("df")).orderBy(F.col("total").desc(), "term").limit(features)
-    idf = F.broadcast(vocabulary.select("term", (F.log(F.lit(1.0 + n) / (1 + F.col("df"))) + 1).alias("idf")))  # `features` rows at most
-
-    def weighted(counts: DataFrame, *keys: str) -> DataFrame:
-        w = counts.join(idf, "term").withColumn("w", F.col("tf") * F.col("idf"))
-        return w.join(w.groupBy(*keys).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm")), list(keys)).select(*keys, "term", (F.col("w") / F.col("norm")).alias("w"))
-
-    mine = weighted(counted(queries, "query"), "query").withColumnRenamed("w", "q")
-    scores = weighted(counts, "level", "memory").join(mine, "term").groupBy("query", "level", "memory").agg(F.round(F.sum(F.col("w") * F.col("q")), 9).alias("score"))
-    best = Window.partitionBy("query", "level").orderBy(F.col("score").desc(), "memory")
-    return scores.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).drop("rank")
+    return top_by_terms(memory, queries, words, k, features, stop_words)
 
 
 def search(_: DataFrame, a: Asked) -> DataFrame:
@@ -86,25 +72,50 @@ def applicable(matches: DataFrame, a: Asked) -> DataFrame:
     return asked.where(fits).select(*matches.columns)
 
 
-def expand(matches: DataFrame, a: Asked) -> DataFrame:
-    """Adds what the matches' own issues link to them. A query's matches and their issues' problems are one group."""
-    issues = matches.join(a.memory.select("memory", "issue"), "memory").select("query", "issue").distinct()
-    near = issues.join(a.memory, "issue").select("query", F.col("memory").alias("problem"), "enables", "enabled_by")
+def linked(memory: DataFrame) -> DataFrame:
+    """(memory, to, issue): what each memory enables or is enabled by, where that is there, and its issue."""
+    ends = memory.where("issue IS NOT NULL").select("memory", F.explode(F.concat("enables", "enabled_by")).alias("to")).distinct()
+    return ends.join(memory.where("issue IS NOT NULL").select(F.col("memory").alias("to"), "issue"), "to").select("memory", "to", "issue")
+
+
+def expand(matches: DataFrame, a: Asked, links: DataFrame | None = None) -> DataFrame:
+    """Adds what the matches' own issues link to them. What a query's matches reach along links inside these issues is one group.
+
+    Links are followed round by round first, so that a walk reads no problem that it does not visit, however large the issues are.
+    `links` are those of the memory, where they are known."""
+    rounds = Rounds(matches.sparkSession)
+    links = rounds.keep(linked(a.memory)) if links is None else links
+    start = rounds.keep(matches.select("query", "memory").distinct().join(a.memory.where("issue IS NOT NULL").select("memory", "issue"), "memory"))
+    issues = start.select("query", "issue").distinct()
+    seen = frontier = start.select("query", "memory")
+    depth = 0
+    while not frontier.isEmpty():
+        depth += 1
+        step = frontier.join(links, "memory").join(issues, ["query", "issue"], "left_semi").select("query", F.col("to").alias("memory")).distinct()
+        frontier = rounds.keep(step.join(seen, ["query", "memory"], "left_anti"))
+        seen = seen.unionByName(frontier)
+        seen = rounds.keep(seen) if depth % 16 == 0 else seen
+    near = seen.join(a.memory, "memory").select("query", F.col("memory").alias("problem"), "enables", "enabled_by")
     place = F.row_number().over(Window.partitionBy("query").orderBy("level", F.col("score").desc(), "memory"))
     hits = matches.select("query", F.col("memory").alias("problem"), "score", place.alias("place"))
     walked = V.expand_depth_first(near, hits, "query").select("query", F.col("problem").alias("memory"), F.round("score", 9).alias("score"), "source")
-    return walked.join(a.memory.select("memory", "level"), "memory").select("query", "level", "memory", "score", "source", F.lit(None).cast("int").alias("place"))
+    return rounds.result(walked.join(a.memory.select("memory", "level"), "memory").select("query", "level", "memory", "score", "source", F.lit(None).cast("int").alias("place")))
 
 
-def recall(matches: DataFrame, a: Asked) -> DataFrame:
-    """Adds the first problem of each signal that enough issues show, if the query's failure confirms it by place, kind and signal."""
+def confirmed(a: Asked) -> DataFrame:
+    """The first problem of each signal that enough issues show, where a query's failure confirms it by place, kind and signal."""
     frequent = R.recurring(a.memory.where("signal <> ''"), "signal", "issue")
     first = a.memory.join(frequent, "signal").groupBy("signal", "repo", "kind").agg(F.min(F.struct("memory", "level")).alias("m"))
     # a confirmed problem has the query's kind and repository, so these are the join's keys
     asked = a.queries.select("query", F.col("repo"), "kind", F.coalesce("text", F.lit("")).alias("seen"))
     none = F.array().cast("array<string>")
     status = V.evidence_status(F.lit("common"), F.array("repo"), F.col("kind"), F.lit(None).cast("string"), F.array("signal"), F.array("repo"), F.array(F.lower("kind")), none, F.col("seen"))
-    found = asked.join(first, ["repo", "kind"]).where(status == "confirmed_in_target_failure").select("query", "m.level", "m.memory", F.lit(0.0).alias("score"), F.lit("recurring").alias("source"), F.lit(None).cast("int").alias("place"))
+    return asked.join(first, ["repo", "kind"]).where(status == "confirmed_in_target_failure").select("query", "m.level", "m.memory", F.lit(0.0).alias("score"), F.lit("recurring").alias("source"), F.lit(None).cast("int").alias("place"))
+
+
+def recall(matches: DataFrame, a: Asked, found: DataFrame | None = None) -> DataFrame:
+    """Adds the problems that are confirmed, or those of them that are given as found."""
+    found = confirmed(a) if found is None else found
     return matches.unionByName(found.join(matches.select("query", "memory"), ["query", "memory"], "left_anti"))
 
 

@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of rows in one batch between the JVM and a worker; both hold a few of them at a time, the JVM outside its heap.
+BATCH_BYTES = 8 << 20
+
 
 def shared_folder(spark: SparkSession) -> str:
     """spark.checkpoint.dir of the session; a temporary folder only where it is unset and Spark runs in one process."""
@@ -19,6 +22,14 @@ def shared_folder(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """The same rows; from now on the session's Arrow batches keep to BATCH_BYTES, unless its settings say otherwise."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(name, None) is None:
+        conf.set(name, str(BATCH_BYTES))
+    return df
+
+
 def delete_folder(spark: SparkSession, path: str) -> None:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
