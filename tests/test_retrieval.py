@@ -26,6 +26,22 @@ def test_applicable_memories(spark):
     assert sorted(r["memory"] for r in V.applicable(query, memory).collect()) == ["sha1", "sha4"]
 
 
+def test_applicable_in_blocks(spark, monkeypatch):
+    """One repository has most rows: no task makes more than a share of the pairs, null ids stay, and all pairs are there once."""
+    for name, n in (("QUERY_BLOCK", 40), ("MEMORY_BLOCK", 100), ("PAIRS", 500)):
+        monkeypatch.setattr(V, name, n, raising=False)
+    rng = random.Random(5)
+    repo = lambda: rng.choice(["o/hot"] * 6 + ["hot", "p/hot", "", None, "x/y"])
+    queries = [(i, repo(), rng.choice(["ci", "cd", None])) for i in range(300)] + [(None, "o/hot", "ci")]
+    memory = [(i, repo(), rng.choice(["ci", "", None])) for i in range(1000)] + [(None, "hot", "")]
+    same = lambda a, b: bool(a and b) and (a == b or (("/" not in a or "/" not in b) and a.split("/")[-1] == b.split("/")[-1]))
+    want = sorted((str(q), str(m)) for q, a, f in queries for m, b, g in memory if same(a, b) and (not g or g == f))
+    found = V.applicable(spark.createDataFrame(queries, "query long, repo string, workflow string"), spark.createDataFrame(memory, "memory long, repo string, workflow string"))
+    assert sorted((str(r["query"]), str(r["memory"])) for r in found.collect()) == want
+    shares = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
+    assert max(shares) < sum(shares) / 4
+
+
 def test_evidence_gate(spark):
     rows = [
         ("ci_failure", ["x.py"], None, None, []), ("dependency", ["libs/orbit/orbit/tools/mcp.py"], "type_checking", "mypy", ["ClientSession has no attribute"]),
