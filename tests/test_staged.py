@@ -153,6 +153,30 @@ def test_threshold_join_equals_all_pairs(spark, monkeypatch, threshold, block):
     assert all(links[i] == int((s[i] >= threshold).sum()) - 1 for i in range(600))
 
 
+def test_counts_and_clusters_over_many_blocks(spark, monkeypatch):
+    """Small blocks, dealt a few rows at a time: counts for two thresholds and all clusters are those of all pairs."""
+    for name, n in (("BLOCK", 40), ("DEALT", 30), ("STEP", 16), ("EXACT", 25)):
+        monkeypatch.setattr(Y, name, n)
+    rng = np.random.default_rng(11)
+    centres = rng.normal(size=(40, 16))
+    v = centres[rng.integers(0, 40, 400)] + rng.normal(size=(400, 16)) * rng.choice([0.02, 0.3], 400)[:, None]
+    v[300:320], v[320:330] = v[0], -v[1]
+    df = spark.createDataFrame([(i, [float(x) for x in p]) for i, p in enumerate(v)] + [(900, None), (903, [1.0, 2.0]), (904, [2.0, 4.1])], "id long, v array<double>")
+    s = brute(v)
+    np.fill_diagonal(s, -2)
+    got = {r["id"]: r for r in Y.link_counts(df, (0.9, 0.5), "id", "v").collect()}
+    assert set(got) == {*range(400), 903, 904} and got[903]["links"] == [1, 1]
+    for i in range(400):
+        assert got[i]["links"] == [int((s[i] >= 0.9).sum()), int((s[i] >= 0.5).sum())]
+        assert (got[i]["best"] is None) == (s[i].max() < 0.5) and (got[i]["best"] is None or abs(got[i]["best"] - s[i].max()) < 2e-9)
+    clusters = {r["id"]: r["clusters"] for r in Y.exact_clusters(df, (0.97, 0.7), "id", "v").collect()}
+    for k, t in enumerate((0.97, 0.7)):
+        label = np.arange(400)
+        while (new := np.minimum(label, np.where(s >= t, label[None, :], 400).min(axis=1))).tolist() != label.tolist():
+            label = new
+        assert [clusters[i][k] for i in range(400)] == label.tolist() and clusters[904][k] == 903
+
+
 @pytest.mark.parametrize("block", [4096, 50])
 def test_similar_clusters_recall(spark, monkeypatch, block):
     """Share of all pairs over the threshold that end in one cluster, and no cluster that all pairs would not make."""
