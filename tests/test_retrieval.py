@@ -7,6 +7,7 @@ from difflib import SequenceMatcher
 import pytest
 from pyspark.sql import functions as F
 
+from emberline import shared
 from emberline.operators import retrieval as V
 from emberline.operators import staged as S
 from emberline.plans import retrieval as Q
@@ -119,3 +120,11 @@ def test_alike_against_all_pairs(spark, sf_dir):
     want = {(a, b) for a in texts for b in texts if a < b and len(grams[a] & grams[b]) >= 0.68 * len(grams[a] | grams[b])}
     got = V.alike(spark.createDataFrame([(t,) for t in [*texts, *texts[:5], None]], "t string"), "t").collect()
     assert len(got) == len(want) and {(r["a"], r["b"]) for r in got} == want
+
+
+def test_recurring_problems_keep_no_copies(spark, sf_dir, monkeypatch):
+    """No table that is written on the way has more rows than two forests over the vectors, whatever the number of bands that buckets would need."""
+    kept, write = [], shared.Rounds._write
+    monkeypatch.setattr(shared.Rounds, "_write", lambda self, df, path: kept.append(write(self, df, path).count()) or write(self, df, f"{path}-again"))
+    n = spark.read.parquet(f"{sf_dir}/embeddings.parquet").count()
+    assert Q.recurring_problems(spark, sf_dir).count() == n and max(kept) <= 2 * n
