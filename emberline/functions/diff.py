@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -149,18 +151,32 @@ def records(c: Column) -> Column:
     return F.when(lead, F.raise_error(F.lit("text before the diff")).cast(kind)).otherwise(F.transform(T.diff_sections(c), of))
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """What `use` makes of a value that is computed once; inside lambdas an expression is computed wherever it stands."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def added_lines(section: Column) -> Column:
     """struct<added, deleted, path, texts>: counted inside hunks and, but for file headers, before them."""
-    all_ = line_list(section)
-    at = F.array_position(F.transform(all_, lambda x: F.startswith(x, F.lit("@@ "))), True).cast("int")
-    head = F.when(at > 0, F.slice(all_, F.lit(1), at - 1)).otherwise(all_)
-    body = F.when(at > 0, F.filter(F.slice(all_, at, F.size(all_)), lambda x: ~F.startswith(x, F.lit("@@ ")))).otherwise(F.array().cast("array<string>"))
     starts = lambda mark: lambda x: F.startswith(x, F.lit(mark))
-    plus = F.concat(F.filter(head, lambda x: starts("+")(x) & ~starts("+++ ")(x)), F.filter(body, starts("+")))
-    minus = F.size(F.filter(head, lambda x: starts("-")(x) & ~starts("--- ")(x))) + F.size(F.filter(body, starts("-")))
-    given = F.trim(F.substring(F.try_element_at(F.filter(head, starts("+++ ")), F.lit(-1)), 5, 1 << 30))
-    path = F.when(given != "/dev/null", F.regexp_replace(given, "\\A[ab]/", ""))
-    return F.struct(F.size(plus).alias("added"), minus.alias("deleted"), path.alias("path"), F.transform(plus, lambda x: F.substring(x, 2, 1 << 30)).alias("texts"))
+
+    def halves(all_: Column) -> Column:
+        def cut(at: Column) -> Column:
+            head = F.when(at > 0, F.slice(all_, F.lit(1), at - 1)).otherwise(all_)
+            body = F.when(at > 0, F.filter(F.slice(all_, at, F.size(all_)), lambda x: ~F.startswith(x, F.lit("@@ ")))).otherwise(F.array().cast("array<string>"))
+            return F.struct(head.alias("head"), body.alias("body"))
+
+        return bound(F.array_position(F.transform(all_, starts("@@ ")), True).cast("int"), cut)
+
+    def counted(h: Column) -> Column:
+        head, body = h["head"], h["body"]
+        plus = F.concat(F.filter(head, lambda x: starts("+")(x) & ~starts("+++ ")(x)), F.filter(body, starts("+")))
+        minus = F.size(F.filter(head, lambda x: starts("-")(x) & ~starts("--- ")(x))) + F.size(F.filter(body, starts("-")))
+        given = F.trim(F.substring(F.try_element_at(F.filter(head, starts("+++ ")), F.lit(-1)), 5, 1 << 30))
+        path = bound(given, lambda g: F.when(g != "/dev/null", F.regexp_replace(g, "\\A[ab]/", "")))
+        return bound(plus, lambda p: F.struct(F.size(p).alias("added"), minus.alias("deleted"), path.alias("path"), F.transform(p, lambda x: F.substring(x, 2, 1 << 30)).alias("texts")))
+
+    return bound(bound(line_list(section), halves), counted)
 
 
 def hunk_gaps(c: Column) -> Column:

@@ -149,8 +149,9 @@ def accepted_diff_lines(spark, d):
     parts = F.transform(T.diff_sections(F.col("diff")), D.added_lines)
 
     def prints(p):
-        kept = F.array_compact(F.transform(p["texts"], T.effective_line))
-        return F.when(p["path"].isNotNull(), F.array_join(F.transform(kept, lambda x: F.concat(T.fingerprint("path", p["path"]), T.fingerprint("line", x))), "")).otherwise("")
+        kept = F.filter(F.transform(p["texts"], T.squeezed), T.is_effective)
+        own = D.bound(T.fingerprint("path", p["path"]), lambda path: F.array_join(F.transform(kept, lambda x: F.concat(path, T.fingerprint("line", x))), ""))
+        return F.when(p["path"].isNotNull(), own).otherwise("")
 
     total = lambda name: F.aggregate("p", F.lit(0).cast("long"), lambda a, x: a + x[name])
     return diffs(spark, d).select("key", parts.alias("p")).select("key", total("added").alias("added"), total("deleted").alias("deleted"), F.md5(F.array_join(F.transform("p", prints), "")).alias("prints"))

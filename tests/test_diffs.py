@@ -81,3 +81,22 @@ def test_records_and_sizes(spark):
     assert [one(D.two_digits(F.lit(v)), "") for v in (0.125, 0.375, 2.0, 0.0049)] == ["0.12", "0.38", "2.00", "0.00"]
     assert one(D.binary_summary(F.col("t")), "a\nliteral 1048576\nindex 1") == "[BINARY FILE: 1.00MB]" and one(D.binary_summary(F.col("t")), "a") == "[BINARY FILE CHANGE]"
     assert one(D.header_summary(F.col("t")), "\n".join(["x"] * 20 + ["@@ late"])) == "[LARGE DIFF REMOVED: 0.05KB]"
+
+
+def test_added_lines_cut_a_section_once(spark):
+    """The lines of a section stand once in the expression, and parts are those of a plain reading."""
+    assert D.added_lines(F.col("t"))._jc.toString().count("split(") == 1
+    texts = ["", "+a\n-b\n", "--- a/x\n+++ b/x y \n+early\n@@ -1 +1 @@\n c\n+++ z\n-- q\n@@ x\n+n\n\\ No\n", "+++ /dev/null\n@@ -1 +0,0 @@\n-gone", "no sign\n+++ a/b\n+++ plain\n@@ @@"]
+
+    def plain(t):
+        lines = t.removesuffix("\n").split("\n")
+        at = next((i for i, x in enumerate(lines) if x.startswith("@@ ")), len(lines))
+        head, body = lines[:at], [x for x in lines[at:] if not x.startswith("@@ ")]
+        plus = [x for x in head if x[:1] == "+" and not x.startswith("+++ ")] + [x for x in body if x[:1] == "+"]
+        minus = [x for x in head if x[:1] == "-" and not x.startswith("--- ")] + [x for x in body if x[:1] == "-"]
+        given = [x[4:].strip(" ") for x in head if x.startswith("+++ ")]
+        path = given[-1] if given and given[-1] != "/dev/null" else None
+        return len(plus), len(minus), path[2:] if path and path[:2] in ("a/", "b/") else path, [x[1:] for x in plus]
+
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", D.added_lines(F.col("t")).alias("r")).collect()
+    assert {r["t"]: tuple(r["r"]) for r in rows} == {t: plain(t) for t in texts}
