@@ -126,11 +126,19 @@ def consolidated_patches(spark, d):
     """Results and patch texts of several directories joined by folder; a result without a patch has an empty one."""
     files = Rounds(spark)
     e = read_table(spark, d, "events")
-    e.where("user_id % 4 <> 2").groupBy(F.col("user_id").alias("folder")).agg(F.max("event_id").alias("last"), F.count(F.lit(1)).alias("n")).repartition("folder").write.partitionBy("folder").json(f"{files.base}/result")
-    e.where("user_id % 3 <> 1").groupBy(F.col("user_id").alias("folder")).agg(F.max("props").alias("value")).repartition("folder").write.partitionBy("folder").text(f"{files.base}/patch")
+
+    def written(rows: DataFrame, part: str, file: str, value: F.Column) -> DataFrame:
+        """A file in a folder of its own for each row, and the listing of them."""
+        name = F.concat(listing.bucket(F.col("folder")), F.lit("/folder="), F.col("folder").cast("string"), F.lit(f"/{file}"))
+        listing.write_files(rows.select(name.alias("name"), F.concat(value, F.lit("\n")).alias("value")), f"{files.base}/{part}")
+        return files.keep(listing.list_files(spark, f"{files.base}/{part}"))
+
+    found = e.where("user_id % 4 <> 2").groupBy(F.col("user_id").alias("folder")).agg(F.max("event_id").alias("last"), F.count(F.lit(1)).alias("n"))
+    texts = e.where("user_id % 3 <> 1").groupBy(F.col("user_id").alias("folder")).agg(F.max("props").alias("value"))
+    listed = written(found, "result", "result.json", F.to_json(F.struct("last", "n"))), written(texts.where("value IS NOT NULL"), "patch", "patch.diff", F.col("value"))
     name = F.regexp_extract("path", "folder=([^/]*)", 1).alias("folder")
-    results = listing.read_files(listing.list_files(spark, f"{files.base}/result")).select(name, F.from_json("value", "last long, n long").alias("r")).select("folder", "r.*")
-    patches = listing.read_files(listing.list_files(spark, f"{files.base}/patch"), whole=True).select(name, F.col("value").alias("patch"))
+    results = listing.read_files(listed[0]).select(name, F.from_json("value", "last long, n long").alias("r")).select("folder", "r.*")
+    patches = listing.read_files(listed[1], whole=True).select(name, F.col("value").alias("patch"))
     j = results.join(patches, "folder", "left")
     return files.result(j.select("folder", "last", "n", F.coalesce("patch", F.lit("")).alias("patch"), F.col("patch").isNotNull().alias("has_patch")))
 

@@ -16,6 +16,7 @@ from emberline.operators import relational as R
 from emberline.operators import similarity as Y
 from emberline.operators import staged as S
 from emberline.operators.textindex import TextIndex
+from emberline.plans import files as Q
 from emberline.sources import io, listing, ranges
 from emberline.sources.predictions import repair_in_place
 from emberline.sources.versioned import Conflict, VersionedTable
@@ -336,6 +337,21 @@ def test_small_files_are_listed_and_dealt(spark, tmp_path):
     assert listing.list_files(spark, str(tmp_path / "tree" / "top.json")).count() == 1
 
 
+def test_files_are_written_by_tasks(spark, tmp_path, sf_dir, monkeypatch):
+    """A file a row, whole, in folders that the driver need not list; nothing beside them is left, and the result's texts come back."""
+    rows = [(f"bucket={k % 3}/folder={k}/a.txt", [f"text {k}\n\n", "ü", "", None][k % 4]) for k in range(60)]
+    listing.write_files(spark.createDataFrame(rows, "name string, value string"), f"file:{tmp_path}/tree")
+    listing.write_files(spark.createDataFrame(rows[:9], "name string, value string"), f"file:{tmp_path}/tree")  # as a task that runs again
+    assert {str(p.relative_to(tmp_path / "tree")): p.read_bytes() for p in (tmp_path / "tree").rglob("*") if p.is_file()} == {n: (v or "").encode() for n, v in rows}
+    files = listing.list_files(spark, f"file:{tmp_path}/tree")
+    assert {r["path"].split("/tree/")[1]: r["value"] for r in listing.read_files(files, whole=True).collect()} == {n: (v or "").removesuffix("\n") for n, v in rows}
+    asked = []
+    monkeypatch.setattr(listing, "bucket", lambda key, n=256, f=listing.bucket: asked.append(n) or f(key, n))
+    got = Q.consolidated_patches(spark, sf_dir)
+    users = spark.read.parquet(f"{sf_dir}/events.parquet").where("user_id % 4 <> 2").select("user_id").distinct().count()
+    assert got.count() == users and asked == [256, 256]
+
+
 def test_startup_claims(spark):
     jobs = [("a", "s", None, 950, "idle", None, None, 1), ("b", "s", None, 940, "idle", None, None, 1), ("c", "s", 960, 930, "idle", None, None, 1), ("d", "s", None, 920, "idle", None, None, 1), ("old", "s", None, 10, "idle", None, None, 1), ("busy", "s", None, 999, "idle", None, None, 1), ("far", "x", None, 945, "idle", None, None, 1), ("none", None, None, 945, "idle", None, None, 1), ("late", "s", None, 800, "idle", None, None, 1)]
     df = spark.createDataFrame(jobs, "id string, source string, output_at long, source_at long, status string, leased_at long, retry_at long, retries int")
